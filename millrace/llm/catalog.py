@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, embedding_dedup, language_id, mixing, secrets, topk, url_filter
+from millrace.llm import bpe, embedding_dedup, jaccard_join, language_id, mixing, secrets, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.query,
     "op3_embedding_dedup": embedding_dedup.query,
     "op5_bpe": bpe.query,
     "op6_topk": topk.query,
+    "op7_jaccard_join": jaccard_join.query,
     "op8_secrets": secrets.query,
     "op9_mixing": mixing.query,
     "op10_url_filter": url_filter.query,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Only what SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {
     "op6_topk": topk.SQL,
+    "op7_jaccard_join": jaccard_join.SQL,
     "op9_mixing": mixing.SQL,
     "op10_url_filter": url_filter.SQL,
 }
