@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, embedding_dedup, jaccard_join, language_id, mixing, secrets, topk, url_filter
+from millrace.llm import bpe, embedding_dedup, jaccard_join, language_id, lm_scoring, mixing, secrets, token_counts, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.query,
+    "op2_token_counts": token_counts.query,
     "op3_embedding_dedup": embedding_dedup.query,
+    "op4_lm_scoring": lm_scoring.query,
     "op5_bpe": bpe.query,
     "op6_topk": topk.query,
     "op7_jaccard_join": jaccard_join.query,
