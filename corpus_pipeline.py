@@ -1,11 +1,89 @@
-"""Corpus pipeline: stages over ``documents``, each on all that its predecessor kept."""
+"""Corpus pipeline over ``documents``: five stages, each on all rows that its predecessor kept.
 
+1. ``language_id``: texts whose language cannot be told (no letter, or a probability below ``LEAST_SCORE``) go; the label
+   column takes the prediction where it was null.
+2. ``near_duplicates``: of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the
+   smallest id stays; of rows that are equal in id and group one stays.
+3. ``secret_scan``: secrets are replaced in the text by ``SECRET_MARK``; no document goes.
+4. ``source_mix``: sources are mixed to their target weights; documents repeat, or drop out, as the mix says.
+5. ``bpe``: the final rows with their token ids and the check that these decode to the text.
+
+All stages but the last return the columns of ``documents``.  Every stage takes null and empty texts, repeated rows, empty
+tables and extra columns; see the operators for what they return then.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import bpe, common, jaccard_join, language_id, mixing, secrets
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+#: Least probability of the language predicted; among four labels chance is 0.25.
+LEAST_SCORE = 0.3
+NEAR_WIDTH = 5
+NEAR_THRESHOLD = (80, 100)
+SECRET_MARK = "[secret]"
+
+
+def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language is told."""
+    docs = docs.select(*COLUMNS)
+    net = language_id.train(docs.where(~language_id.held_out()))
+    judged = language_id.identify(docs, net)
+    kept = judged.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies: the one with the smallest id."""
+    docs = docs.select(*COLUMNS)
+    groups = jaccard_join.join(docs, width=NEAR_WIDTH, threshold=NEAR_THRESHOLD)
+    # Null ids are in no group and stay.
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    once = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
+
+
+def stage_secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret span in the texts."""
+    found = secrets.scan(docs.select(*COLUMNS), redact_to=SECRET_MARK)
+    length = F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", length).select(*COLUMNS)
+
+
+def stage_source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat documents so that their sources come to their target weights."""
+    planned = mixing.plan(docs.select(*COLUMNS))
+    partial = F.col("taken") != F.col("copies") * F.col("size")
+    mixed = mixing.repeat(planned, [*COLUMNS, "copies", "size", "taken", "_whole"])
+    return mixed.withColumn("n_chars", F.when(partial & ~F.col("_whole"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed documents with their token ids; ``round_trip`` tells whether the ids decode to the text."""
+    encoded = bpe.decode(bpe.encode(docs.select(*COLUMNS)))
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return encoded.withColumn("round_trip", same).select(*COLUMNS, "token_ids", "n_tokens", "round_trip")
+
+
+STAGES = [
+    ("language_id", stage_language_id),
+    ("near_duplicates", stage_near_duplicates),
+    ("secret_scan", stage_secret_scan),
+    ("source_mix", stage_source_mix),
+    ("bpe", stage_bpe),
+]
+
+#: SQL cannot express the stages; the tests hold them against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written as Parquet in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
