@@ -6,7 +6,9 @@ bytes outside ``0x20, 0x09-0x0D`` with A-Z lower-cased; a null text counts as em
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -57,11 +59,11 @@ def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps whose frames are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of finished steps: they go once the garbage of the driver is collected."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def crc_bucket(column: str, modulus: int) -> Column:
@@ -278,3 +280,35 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 break
             root = jumped
     return root
+
+
+# ---------------------------------------------------------------- bounded membership
+
+
+class BoundedFilter:
+    """A bit per hash of what is in a column: what it denies is certainly absent.
+
+    It has sixteen bits for each row up to ``MOST_BITS`` (16 MiB), which bounds what is collected and broadcast
+    whatever the size of the column; beyond that it lets more through.  An exact join must follow.
+    """
+
+    MOST_BITS = 1 << 27
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @classmethod
+    def of(cls, df: DataFrame, column: str) -> BoundedFilter:
+        rows = df.agg(F.count("*")).first()[0]
+        size = 1 << min(cls.MOST_BITS.bit_length() - 7, max(10, int(16 * rows // 64).bit_length()))
+        h = F.xxhash64(column)
+        bits = df.select(F.pmod(F.shiftright(h, 6), F.lit(size)).alias("word"), F.expr(f"shiftleft(1L, cast(xxhash64(`{column}`) & 63 as int))").alias("bit"))
+        got = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        words = np.zeros(size, np.uint64)
+        words[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+        return cls(words)
+
+    def admits(self, hashes: np.ndarray) -> np.ndarray:
+        """For ``xxhash64`` of the values (int64): whether each may be in the column."""
+        word = (hashes >> 6) % np.int64(len(self.words))
+        return (self.words[word] >> (hashes & 63).astype(np.uint64)) & np.uint64(1) == 1

@@ -10,9 +10,9 @@ grouping at most ``d`` groups differ, and they must agree on one of the first ``
 fixed order (the prefix principle).  Texts that agree on such a group meet under the smallest id that has it (its *hub*), and every
 hub's texts form one R-tree.  Routing loses no pair: it is a pigeonhole argument, not a sample.
 
-Steps: fold equal sets into one representative; route; link each text with the hub it shares most groups with, if
+Steps: route, equal sets of a batch but once; link each text with the hub it shares most groups with, if
 bound and verification agree; then, for hubs whose texts are still in several components, search the R-trees for pairs
-across components.  Trees larger than ``BLOCK`` texts are cut into blocks, and each pair of blocks is a task of its own.  Only
+across components; last, fold equal sets.  Trees larger than ``BLOCK`` texts are cut into blocks, and each pair of blocks is a task of its own.  Only
 links between components matter to the result, so pairs inside a component are not made.
 
 Defined results
@@ -143,7 +143,7 @@ def _ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arr
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
-    """(id, n, h1, h2, tokens): set size, digest of the set and routing tokens of every text."""
+    """(id, n, h1, h2, tokens): set size, digest of the set and routing tokens of every text; equal sets of a batch have tokens once."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = common.text_buffers(batch.column(1))
@@ -162,7 +162,14 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, width: int, num: int,
             tokens.append(got)
             counts.append(count)
         every = lambda parts: np.concatenate(parts).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(every(h1)), pa.array(every(h2)), _ragged(every(tokens), np.concatenate(counts), pa.int64())], names=["id", "n", "h1", "h2", "tokens"])
+        a, b, routes, count = every(h1), every(h2), every(tokens), np.concatenate(counts)
+        # Of equal sets in a batch one is routed; the fold brings the others to its component.
+        _, leaders = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)
+        leads = np.zeros(len(a), bool)
+        leads[leaders] = True
+        leads &= np.asarray(batch.column(0).is_valid())
+        routes, count = routes[np.repeat(leads, count)], np.where(leads, count, 0)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(a), pa.array(b), _ragged(routes, count, pa.int64())], names=["id", "n", "h1", "h2", "tokens"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return common.map_arrow(source, kernel, "id long, n long, h1 long, h2 long, tokens array<long>")
@@ -211,23 +218,18 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
-def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, shingles, point) of (id, text)."""
-
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = common.text_buffers(batch.column(1))
-        sizes, sets, points = [], [], []
-        for lo, hi in common.pieces(offsets):
-            hashes, n = distinct_shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
-            ends = np.cumsum(n)
-            for e, k in zip(ends, n, strict=True):
-                own = hashes[e - k : e]
-                sets.append(pack_set(own))
-                points.append(point_of(own).tobytes())
-            sizes.append(n)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes).astype(np.int64)), common.binary_array(sets), common.binary_array(points)], names=["id", "n", "shingles", "point"])
-
-    return common.map_arrow(docs, kernel, "id long, n long, shingles binary, point binary")
+def _sets(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
+    """(id, n, shingles, point) of a batch of (id, text)."""
+    data, offsets = common.text_buffers(batch.column(1))
+    sizes, sets, points = [], [], []
+    for lo, hi in common.pieces(offsets):
+        hashes, n = distinct_shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
+        for e, k in zip(np.cumsum(n), n, strict=True):
+            own = hashes[e - k : e]
+            sets.append(pack_set(own))
+            points.append(point_of(own).tobytes())
+        sizes.append(n)
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes).astype(np.int64)), common.binary_array(sets), common.binary_array(points)], names=["id", "n", "shingles", "point"])
 
 
 # ---------------------------------------------------------------- the R-tree
@@ -312,6 +314,33 @@ def tree_pairs(blobs: list[bytes], sizes: np.ndarray, left: np.ndarray, right: n
 # ---------------------------------------------------------------- the join
 
 
+def _sharing(made: DataFrame, met: DataFrame) -> DataFrame:
+    """(doc, token) of the tokens that may be in ``met``; most texts have none, and they leave here without a shuffle."""
+    shared = made.sparkSession.sparkContext.broadcast(common.BoundedFilter.of(met, "token"))
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tokens, hashes = batch.column(1), batch.column(2)
+        counts = tokens.value_lengths().to_numpy()
+        keep = shared.value.admits(hashes.flatten().to_numpy())
+        owner = np.repeat(np.arange(batch.num_rows), counts)[keep]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), tokens.flatten().filter(pa.array(keep))], names=["doc", "token"])
+
+    rows = made.where(F.size("tokens") > 0).select("id", "tokens", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
+    return common.map_arrow(rows, kernel, "doc long, token long")
+
+
+def _sets_of_active(docs: DataFrame, shared: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Sets and points of the texts that are routed to a hub, and of few others; texts are not shuffled for it."""
+    active = docs.sparkSession.sparkContext.broadcast(common.BoundedFilter.of(shared.select("doc").distinct(), "doc"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        rows = batch.filter(pa.array(active.value.admits(batch.column(2).to_numpy())))
+        return _sets(rows, width) if rows.num_rows else None
+
+    return common.map_arrow(source.withColumn("hash", F.xxhash64("id")), kernel, "id long, n long, shingles binary, point binary")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The (a, b) whose shingle sets reach the threshold; the bound is tried first."""
 
@@ -343,20 +372,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     num, den = threshold
     made = common.materialise(profiles(docs, id_col, text_col, width, num, den), "shingle-profiles")
     slim = made.select("id", "n", "h1", "h2")
-    folds = common.materialise(slim.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "shingle-folds")
 
     # Routing: texts that share a token, with the smallest text that has it.
-    reps = made.select("id", "tokens").join(folds.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    routed = reps.select(F.col("id").alias("doc"), F.explode("tokens").alias("token"))
+    routed = made.select(F.col("id").alias("doc"), F.explode("tokens").alias("token"))
     met = routed.groupBy("token").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where(F.col("hub") < F.col("last")).select("token", "hub")
-    shared = common.materialise(routed.join(met, "token").groupBy("hub", "doc").agg(F.count("*").alias("tokens")), "shingle-routes")
+    met = common.materialise(met, "shingle-tokens")
     common.release(spark)
-
-    active = shared.select(F.col("doc").alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(active, "id", "left_semi")
-    sets = common.materialise(sets_of(texts, width).dropDuplicates(["id"]), "shingle-sets")
+    shared = common.materialise(_sharing(made, met).join(met, "token").groupBy("hub", "doc").agg(F.count("*").alias("tokens")), "shingle-routes")
     common.release(spark)
 
+    sets = common.materialise(_sets_of_active(docs, shared, id_col, text_col, width), "shingle-sets")
+
     # First links: each text with the hub it shares most with.
     best = shared.where(F.col("hub") != F.col("doc")).groupBy("doc").agg(F.max(F.struct("tokens", (-F.col("hub")).alias("h"))).alias("best"))
     links = common.materialise(_verified(best.select((-F.col("best.h")).alias("a"), F.col("doc").alias("b")), sets, num, den), "shingle-links")
@@ -393,12 +419,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         return parts.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part"))
 
     joint = more.join(lifted("a"), "a", "left").join(lifted("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
-    upper = common.materialise(components.connected(joint), "shingle-parts")
-    reached = folds.select(F.col("rep").alias("node")).distinct().join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    reached = reached.join(upper.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select(F.col("node").alias("rep"), F.coalesce("top", "component").alias("component"))
-    of_set = folds.join(reached, "rep").select("n", "h1", "h2", "component")
-    linked = slim.where(F.col("n") > 0).join(of_set, ["n", "h1", "h2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
-    alone = slim.where(F.col("n") == 0).select("id", "n", F.col("id").alias("component"))
+    upper = components.connected(joint).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    labels = parts.join(upper, "component", "left").select(F.col("node").alias("id"), F.coalesce("top", "component").alias("label"))
+    labels = labels.unionByName(upper.join(parts.select("component"), "component", "left_anti").select(F.col("component").alias("id"), F.col("top").alias("label")))
+
+    # Equal sets share the component of the one that was routed; its id is the smallest of all their documents.
+    whole = slim.where((F.col("n") > 0) & F.col("id").isNotNull())
+    folds = whole.join(labels, "id", "left").groupBy("n", "h1", "h2").agg(F.min("label").alias("label"), F.min("id").alias("least"))
+    folds = common.materialise(folds.withColumn("label", F.coalesce("label", "least")), "shingle-folds")
+    least = folds.groupBy("label").agg(F.min("least").alias("component"))
+    of_set = folds.select("n", "h1", "h2", "label").join(least, "label").drop("label")
+    linked = whole.join(of_set, ["n", "h1", "h2"]).select("id", "n", "component")
+    alone = slim.where((F.col("n") == 0) | F.col("id").isNull()).select("id", "n", F.col("id").alias("component"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
