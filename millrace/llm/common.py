@@ -99,17 +99,32 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``PIECE_BYTES`` of a text or list column each, whole rows only."""
+    values = batch.column(batch.schema.get_field_index(column))
+    sizes = values.value_lengths() if pa.types.is_list(values.type) else pc.binary_length(values)
+    width = 8 if pa.types.is_list(values.type) else 1
+    offsets = np.append(0, np.cumsum(pc.fill_null(sizes, 0).to_numpy().astype(np.int64) * width + 16))
+    for lo, hi in pieces(offsets):
+        yield batch.slice(lo, hi - lo)
+
+
 def binary_array(blobs: list[bytes]) -> pa.Array:
     return pa.array(blobs, pa.binary())
 
 
-def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType) -> DataFrame:
-    """``mapInArrow`` with a kernel that takes one batch at a time."""
+def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str, sliced_by: str | None = None) -> DataFrame:
+    """``mapInArrow`` with a kernel that takes one batch at a time.
+
+    With ``sliced_by``, a batch is cut into slices of about ``PIECE_BYTES`` of that column (text or list), which bounds what a kernel
+    that makes Python objects holds at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := kernel(batch)) is not None:
-                yield out
+            for part in [batch] if sliced_by is None else slices(batch, sliced_by):
+                if part.num_rows and (out := kernel(part)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -40,6 +40,7 @@ STRIDE = WINDOW - max(WIDTHS) + 1
 #: Bounds of the training sample: texts of each label, windows of each text, distinct labels.
 TEXTS_PER_LABEL = 1000
 WINDOWS_PER_TEXT = 4
+LEAST_STEPS = 300
 MOST_LABELS = 512
 
 _HAS_LETTER = r"\p{L}"
@@ -60,7 +61,11 @@ class ByteConvNet:
 
     @classmethod
     def fit(cls, windows: np.ndarray, targets: np.ndarray, labels: list[str], epochs: int = 3, batch: int = 128, rate: float = 4e-3, seed: int = 17) -> ByteConvNet:
-        """Adam on cross entropy; ``windows`` is (n, WINDOW) uint8, ``targets`` the label index of each."""
+        """Adam on cross entropy; ``windows`` is (n, WINDOW) uint8, ``targets`` the label index of each.
+
+        Few windows are gone through more often, so that there are ``LEAST_STEPS`` steps.
+        """
+        epochs = max(epochs, -(-LEAST_STEPS * batch // max(len(windows), 1)))
         rng = np.random.default_rng(seed)
         f32 = np.float32
         params = {"E": rng.normal(0, 0.5, (256, EMBEDDING)).astype(f32), "O": rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(labels))).astype(f32), "c": np.zeros(len(labels), f32)}

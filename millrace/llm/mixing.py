@@ -72,9 +72,11 @@ def plan(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", sourc
     """``docs`` with ``size``, ``source_size``, ``target``, ``copies`` (whole repetitions) and ``taken`` (words in all)."""
     own = ["size", "source_size", "target", "copies", "taken"]
     kept = [c for c in docs.columns if c not in own]
+    key, source = (F.col(f"_row.`{c}`") for c in (key_col, source_col))
     draw = F.md5(F.concat(F.coalesce(F.col(key_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    rows = docs.select(*kept, size_of(text_col).alias("_size"), draw.alias("_draw")).withColumn("_slice", F.substring("_draw", 1, SLICE_DIGITS))
-    slices = rows.groupBy(F.col(source_col).alias("source"), F.col("_slice").alias("slice")).agg(F.sum("_size").alias("slice_size"))
+    # What came in travels as one struct, so that no name of it can clash.
+    rows = docs.select(F.struct(*kept).alias("_row"), size_of(text_col).alias("_size"), draw.alias("_draw")).withColumn("_slice", F.substring("_draw", 1, SLICE_DIGITS))
+    slices = rows.groupBy(source.alias("source"), F.col("_slice").alias("slice")).agg(F.sum("_size").alias("slice_size"))
     by_source = targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, budget_share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     over_slices = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
@@ -83,12 +85,12 @@ def plan(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", sourc
     slices = slices.withColumnRenamed("source", "_s").join(share, F.col("_s").eqNullSafe(F.col("source"))).select(
         F.col("_s"), F.col("slice").alias("_sl"), F.col("earlier").alias("_earlier"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"), F.col("extra").alias("_extra")
     )
-    joined = rows.join(slices, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_sl")))
-    in_slice = W.partitionBy(source_col, "_slice").orderBy("_draw", F.col(key_col).asc_nulls_first(), "_size").rowsBetween(W.unboundedPreceding, -1)
+    joined = rows.join(slices, source.eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_sl")))
+    in_slice = W.partitionBy(source, "_slice").orderBy("_draw", key.asc_nulls_first(), "_size").rowsBetween(W.unboundedPreceding, -1)
     placed = joined.withColumn("_before", F.col("_earlier") + F.coalesce(F.sum("_size").over(in_slice), F.lit(0)))
     more = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_extra") - F.col("_before")))
     return placed.select(
-        *kept,
+        "_row.*",
         F.col("_size").alias("size"),
         F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"),

@@ -18,7 +18,7 @@ Defined results
 * vectors of different lengths are not compared; a vector of no components scores 0 with its like;
 * fewer than k candidates: all of them; ties: the smaller id; rows that repeat a candidate's id and vector keep
   their own ranks; a query's own id is never its candidate; a query given twice is answered once;
-* scores beyond 2**53 raise ``ValueError``, as they would not be exact;
+* components so large that scores may be beyond 2**61 raise ``ValueError``;
 * extra columns are ignored.
 """
 
@@ -37,6 +37,8 @@ QUERY_BLOCK = 4096
 BINS = 512
 SCALE = 256
 K = 5
+_MOST_SCORE = 2.0**61
+_TOO_LARGE = "scores may be beyond 2**61 and do not fit"
 #: Scores held at once in a task.
 _TILE = 1 << 20
 
@@ -62,7 +64,7 @@ def quantise(column: pa.Array, scale: int) -> tuple[np.ndarray, list[np.ndarray]
 
 def _by_length(ids: np.ndarray, vectors: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     lengths = np.array([len(v) for v in vectors])
-    return {int(n): (ids[lengths == n], np.array([v for v in vectors if len(v) == n]).reshape(-1, n)) for n in np.unique(lengths)}
+    return {int(n): (ids[lengths == n], np.array([v for v in vectors if len(v) == n], np.float64).reshape(int((lengths == n).sum()), n)) for n in np.unique(lengths)}
 
 
 def _tiles(batch: pa.RecordBatch, queries: dict[int, tuple[np.ndarray, np.ndarray]], scale: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -77,8 +79,11 @@ def _tiles(batch: pa.RecordBatch, queries: dict[int, tuple[np.ndarray, np.ndarra
         if n not in groups:
             continue
         cand, points = groups[n]
-        if n and len(points) and float(np.abs(points).max()) * float(np.abs(matrix).max()) * n >= 2**53:
-            raise ValueError("scores beyond 2**53 are not exact")
+        bound = float(np.abs(points).max(initial=0)) * float(np.abs(matrix).max(initial=0)) * n
+        if bound >= _MOST_SCORE:
+            raise ValueError(_TOO_LARGE)
+        if bound >= 2**53:  # doubles would round
+            points, matrix = points.astype(np.int64), matrix.astype(np.int64)
         step = max(1, _TILE // max(1, len(query_ids)))
         for a in range(0, len(cand), step):
             scores = (matrix @ points[a : a + step].T).astype(np.int64)
@@ -114,6 +119,8 @@ def _refine(vectors: DataFrame, block: dict, count: int, k: int, scale: int) ->
         if n and len(matrix):
             reach = max(reach, float(np.abs(matrix).sum(axis=1).max()))
     biggest = vectors.select(F.max(F.array_max(F.transform(F.col("vector"), lambda x: F.when(F.abs(x.cast("double")) < float("inf"), F.abs(x.cast("double")))))).alias("m")).first()["m"] or 0.0
+    if reach * (scale * biggest + 1) >= _MOST_SCORE:
+        raise ValueError(_TOO_LARGE)
     top = int(reach * (scale * biggest + 1)) + 1
     low = np.full(count, -top, np.int64)
     width = np.full(count, (2 * top) // BINS + 1, np.int64)
