@@ -107,3 +107,19 @@ def common_prefix(first: Column, last: Column) -> Column:
     n = F.least(F.length(first), F.length(last))
     same = F.filter(F.sequence(F.lit(0), n), lambda k: F.left(first, k) == F.left(last, k))
     return F.left(first, F.array_max(same))
+
+
+def arguments(c: Column) -> Column:
+    """Comma-separated arguments, split only where no bracket is open: ``A<B,C>, D[,]`` has two."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("now"), F.array().cast("array<string>").alias("done"))
+
+    def step(acc: Column, x: Column) -> Column:
+        cut = (x == ",") & (acc["depth"] == 0)
+        depth = acc["depth"] + F.when(x.isin("<", "(", "[", "{"), 1).when(x.isin(">", ")", "]", "}"), -1).otherwise(0)
+        return F.struct(
+            depth.alias("depth"),
+            F.when(cut, F.lit("")).otherwise(F.concat(acc["now"], x)).alias("now"),
+            F.when(cut, F.array_append(acc["done"], F.trim(acc["now"]))).otherwise(acc["done"]).alias("done"),
+        )
+
+    return F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), start, step, lambda acc: F.array_append(acc["done"], F.trim(acc["now"])))

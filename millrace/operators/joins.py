@@ -51,16 +51,23 @@ def matrix(entries: DataFrame, key: str, column: str, value: str, columns: list[
 
 
 def resolve(names: DataFrame, symbols: DataFrame, query: str, container: str | None = None, nearest: int = 3, listed: int = 10, saturated: int = 100) -> DataFrame:
-    """One row per asked name: ``status`` (ok, missing, ambiguous, saturated), ``n`` candidates and the first of them.
+    """One row per asked name: ``status`` (ok, missing, ambiguous, saturated), ``n`` candidates, the first of them, and what is near.
 
-    ``symbols`` has (name, container, id).  A container must equal the asked one or end with it at a dot.
+    ``symbols`` has (name, container, id).  A container must equal the asked one or end with it at a dot.  Near a missing
+    name are those that share its first three letters, ignoring case, by edit distance and then by name.
     """
     asked = names.select(F.col(query).alias("asked"), (F.col(container) if container else F.lit(None).cast("string")).alias("_within")).distinct()
     hit = asked.join(symbols, F.col("asked") == F.col("name"), "left")
     good = F.col("id").isNotNull() & (F.col("_within").isNull() | tx.is_suffix_of(F.col("_within"), F.coalesce("container", F.lit(""))))
     grouped = hit.groupBy("asked", "_within").agg(F.count_if(good).alias("n"), F.slice(F.sort_array(F.collect_list(F.when(good, F.col("id").cast("string")))), 1, listed).alias("_ids"))
     status = F.when(F.col("n") == 0, "missing").when(F.col("n") == 1, "ok").when(F.col("n") > saturated, "saturated").otherwise("ambiguous")
-    return grouped.select("asked", status.alias("status"), "n", F.array_join("_ids", ",").alias("ids"))
+    found = grouped.select("asked", "_within", status.alias("status"), "n", F.array_join("_ids", ",").alias("ids"))
+    lead = lambda c: F.lower(F.left(c, F.lit(3)))
+    names_near = symbols.select(F.col("name").alias("_near"), lead(F.col("name")).alias("_lead")).distinct()
+    gone = found.where(F.col("status") == "missing").select("asked").distinct().withColumn("_lead", lead(F.col("asked"))).join(names_near, "_lead")
+    best = W.partitionBy("asked").orderBy(F.levenshtein(F.lower("asked"), F.lower("_near")), "_near")
+    gone = gone.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= nearest).groupBy("asked").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_near"))), lambda x: x["_near"]), ",").alias("near"))
+    return found.join(gone, "asked", "left").select("asked", "status", "n", "ids", F.coalesce("near", F.lit("")).alias("near"))
 
 
 def member_walk(paths: DataFrame, members: DataFrame, path: str, start_type: str, most: int = 8) -> DataFrame:

@@ -172,9 +172,6 @@ def finding_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.findings(found, "h", "p", "m")
 
 
-_DAY = "strftime(ts, '%d')"
-
-
 @register("""WITH k AS (SELECT event_type || ' ' || user_id AS key FROM events), n AS (SELECT key, row_number() OVER (PARTITION BY key) AS nth FROM k)
  SELECT CASE WHEN nth = 1 THEN key ELSE key || '  [' || nth || ']' END AS occurrence FROM n""")
 def occurrence_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,11 +179,13 @@ def occurrence_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.occurrence_keys(keys, "key").select("occurrence")
 
 
-@register("""WITH k AS (SELECT event_type || ' ' || user_id AS key, event_id % 2 AS run FROM events), n AS (SELECT run, key, row_number() OVER (PARTITION BY run, key) AS nth FROM k),
+@register("""WITH k AS (SELECT event_type || ' ' || user_id AS key, CASE WHEN ts >= (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events) THEN 1 ELSE 0 END AS run FROM events), n AS (SELECT run, key, row_number() OVER (PARTITION BY run, key) AS nth FROM k),
  o AS (SELECT run, CASE WHEN nth = 1 THEN key ELSE key || '  [' || nth || ']' END AS occurrence FROM n), a AS (SELECT occurrence FROM o WHERE run = 1), b AS (SELECT occurrence FROM o WHERE run = 0)
  SELECT coalesce(a.occurrence, b.occurrence) AS occurrence, CASE WHEN b.occurrence IS NULL THEN 'appeared' WHEN a.occurrence IS NULL THEN 'fixed' ELSE 'unchanged' END AS state FROM a FULL JOIN b ON a.occurrence = b.occurrence""")
 def since_last_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select(F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("key"), (F.col("event_id") % 2).alias("run"))
+    events = table(spark, sf_dir, "events")
+    middle = events.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("t")).scalar()
+    events = events.withColumn("t", middle).select(F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("key"), F.when(F.col("ts") >= F.col("t"), 1).otherwise(0).alias("run"))
     keys = lambda run: folds.occurrence_keys(events.where(F.col("run") == run).select("key"), "key").select("occurrence")
     return folds.delta(keys(1), keys(0), "occurrence")
 
@@ -391,7 +390,7 @@ def registration_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     asked = part.select(F.col("p_brand").alias("q")).distinct().unionByName(spark.createDataFrame([("Brand#none",)], "q string"))
-    return joins.resolve(asked, part.select(F.col("p_brand").alias("name"), F.lit("").alias("container"), F.col("p_partkey").alias("id")), "q")
+    return joins.resolve(asked, part.select(F.col("p_brand").alias("name"), F.lit("").alias("container"), F.col("p_partkey").alias("id")), "q").drop("near")
 
 
 @register("""WITH m AS (SELECT n_name AS t, 'Region' AS member, 'R' || n_regionkey AS r FROM nation UNION ALL SELECT 'R' || r_regionkey, 'Name', 'S' FROM region WHERE r_regionkey <> 2), p AS (SELECT c_custkey, n_name AS t, CASE c_custkey % 3 WHEN 0 THEN 'Region.Name' WHEN 1 THEN 'Region' ELSE 'Other.Name' END AS path FROM customer JOIN nation ON c_nationkey = n_nationkey)
@@ -413,11 +412,11 @@ def history_pickaxe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.pickaxe(turns, "conv_id", "turn", tx.occurrences(F.col("text"), "the")).select("conv_id", "turn", "occurrences", "was")
 
 
-@register("""SELECT o_orderkey AS path, (o_custkey % 9)::BIGINT AS added, (o_orderkey % 5)::BIGINT AS deleted, coalesce(CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus END, 'M') AS status FROM orders""")
+@register("""SELECT o_orderkey AS path, (o_custkey % 9)::BIGINT AS added, (o_orderkey % 5)::BIGINT AS deleted, coalesce(CASE WHEN o_orderpriority < '3' THEN o_orderstatus END, 'M') AS status FROM orders""")
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     stats = orders.select(F.col("o_orderkey").alias("path"), (F.col("o_custkey") % 9).alias("added"), (F.col("o_orderkey") % 5).alias("deleted"))
-    return files.changed(stats, orders.where(F.col("o_orderkey") % 4 == 0).select(F.col("o_orderkey").alias("path"), F.col("o_orderstatus").alias("status")))
+    return files.changed(stats, orders.where(F.col("o_orderpriority") < "3").select(F.col("o_orderkey").alias("path"), F.col("o_orderstatus").alias("status")))
 
 
 # ---------------------------------------------------------------- test runs and tool output

@@ -59,6 +59,8 @@ def test_resolution(spark):
     names = spark.createDataFrame([("Run", None), ("Run", "B"), ("Nope", None)], "q string, c string")
     got = {(r["asked"], r["status"], r["ids"]) for r in joins.resolve(names, symbols, "q", "c").collect()}
     assert got == {("Run", "ambiguous", "1,2"), ("Run", "ok", "1"), ("Nope", "missing", "")}
+    close = spark.createDataFrame([("runn",), ("zzz",)], "q string")
+    assert {(r["asked"], r["near"]) for r in joins.resolve(close, symbols, "q").collect()} == {("runn", "Run"), ("zzz", "")}
 
 
 def test_markdown_table(spark):

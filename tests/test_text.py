@@ -53,6 +53,8 @@ def test_values(spark):
     assert one(spark, tx.dominant_ending(F.lit("a\r\nb\r\nc\n"))) == "\r\n"
     assert one(spark, tx.is_suffix_of(F.lit("B.C"), F.lit("A.B.C"))) is True
     assert one(spark, tx.is_suffix_of(F.lit("B.C"), F.lit("AB.C"))) is False
+    assert one(spark, tx.arguments(F.lit("Map<A, B>, int[,], (x, y) z"))) == ["Map<A, B>", "int[,]", "(x, y) z"]
+    assert one(spark, tx.arguments(F.lit(""))) == [""]
 
 
 @pytest.mark.parametrize(("total", "cap", "shown"), [(110, 100, 110), (111, 100, 100), (56, 50, 50), (55, 50, 55), (5, 10, 5)])
