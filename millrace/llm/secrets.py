@@ -58,6 +58,15 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
+def _reach(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Begins in order and, for each, the greatest end so far."""
+    ordered = sorted(spans, key=lambda s: s[1])
+    ends: list[int] = []
+    for s in ordered:
+        ends.append(max(ends[-1], s[2]) if ends else s[2])
+    return [s[1] for s in ordered], ends
+
+
 def _near(spans: list[Span], others: list[Span], scopes: list[int]) -> list[Span]:
     """Those ``spans`` that have one of the ``others`` in their scope and within reach.
 
@@ -65,11 +74,7 @@ def _near(spans: list[Span], others: list[Span], scopes: list[int]) -> list[Span
     """
     if not spans or not others:
         return []
-    others = sorted(others, key=lambda s: s[1])
-    begins = [s[1] for s in others]
-    ends = [others[0][2]]
-    for s in others[1:]:
-        ends.append(max(ends[-1], s[2]))
+    begins, ends = _reach(others)
     found = []
     for span in spans:
         scope = bisect_right(scopes, span[1])
@@ -79,7 +84,7 @@ def _near(spans: list[Span], others: list[Span], scopes: list[int]) -> list[Span
         at = bisect_left(begins, low)
         if at < len(begins) and begins[at] <= high:
             found.append(span)
-        elif at and ends[at - 1] > low and others[at - 1][1] >= (scopes[scope - 1] if scope else 0):
+        elif at and ends[at - 1] > low:
             found.append(span)
     return found
 
@@ -89,15 +94,11 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     if not base and "=" not in text and ":" not in text:
         return []
     access = [s for s in base if s[0] == "access"]
-    taken = sorted((s[1], s[2]) for s in base)
+    begins, reached = _reach(base)
 
     def free(found: list[Span]) -> list[Span]:
-        out = []
-        for s in found:
-            at = bisect_left(taken, (s[2], 0))
-            if not any(b > s[1] for _, b in taken[max(0, at - 3) : at]):
-                out.append(s)
-        return out
+        """Those that no strong span overlaps."""
+        return [s for s in found if not (at := bisect_left(begins, s[2])) or reached[at - 1] <= s[1]]
 
     bare = free([("bare_secret", m.start(), m.end()) for m in _BARE.finditer(text)])
     names = free([("identifier", m.start(1), m.end(1)) for m in _IDENTIFIER.finditer(text)]) if "=" in text or ":" in text else []
