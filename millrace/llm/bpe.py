@@ -47,7 +47,81 @@ class BpeCodec:
         self.pattern = regex.compile(pattern)
         self.encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
 
-    def encode(docs: DataFrame, text_col: str = "text", rank_path: str | None = None, pattern: str | None = None, verify: bool = False) -> DataFrame:
+    def encode(self, text: str | None) -> list[int]:
+        if not text:
+            return []
+        if len(text) <= LONG_TEXT:
+            return self._encode_part(text)
+        ids: list[int] = []
+        start = 0
+        while start < len(text):
+            cut = _SAFE.search(text, min(len(text), start + LONG_TEXT))
+            end = cut.start() if cut else len(text)
+            ids += self._encode_part(text[start:end])
+            start = end
+        return ids
+
+    def _encode_part(self, text: str) -> list[int]:
+        if len(text) < LONG_MATCH or not regex.search(r"\S{%d}|\s{%d}" % (LONG_MATCH // 4, LONG_MATCH // 4), text):
+            return self.encoding.encode_ordinary(text)
+        ids: list[int] = []
+        for m in self.pattern.finditer(text):
+            piece = m.group().encode()
+            ids += self.encoding.encode_ordinary(m.group()) if len(piece) < LONG_MATCH and self._alone(m.group()) else self._merge(piece)
+        return ids
+
+    def _alone(self, match: str) -> bool:
+        """Whether the pattern takes ``match`` as one piece also when it stands alone."""
+        first = self.pattern.match(match)
+        return first is not None and first.end() == len(match)
+
+    def _merge(self, piece: bytes) -> list[int]:
+        """Merge lowest rank first, leftmost among equals, in O(n log n)."""
+        if piece in self.ranks:
+            return [self.ranks[piece]]
+        n = len(piece)
+        end = list(range(1, n + 1))
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := self.ranks.get(piece[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        alive = [True] * n
+        while heap:
+            _, i, middle, stop = heapq.heappop(heap)
+            j = right[i] if alive[i] else n
+            if not alive[i] or end[i] != middle or j >= n or end[j] != stop:
+                continue
+            end[i], alive[j] = stop, False
+            right[i] = right[j]
+            if right[i] < n:
+                left[right[i]] = i
+                if (r := self.ranks.get(piece[i : end[right[i]]])) is not None:
+                    heapq.heappush(heap, (r, i, stop, end[right[i]]))
+            if left[i] >= 0 and (r := self.ranks.get(piece[left[i] : stop])) is not None:
+                heapq.heappush(heap, (r, left[i], i, stop))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[piece[i : end[i]]])
+            i = right[i]
+        return out
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
+
+_CODECS: dict[tuple[str | None, str | None], BpeCodec] = {}
+
+
+def codec(rank_path: str | None = None, pattern: str | None = None) -> BpeCodec:
+    """The codec of a rank file on this machine; the public file and its pattern if none is named."""
+    key = (rank_path, pattern)
+    if key not in _CODECS:
+        import public_tokenizers
+
+        _CODECS[key] = BpeCodec(rank_path or public_tokenizers.path(RANK_FILE), pattern or public_tokenizers.PATTERN)
+    return _CODECS[key]
+
+
+def encode(docs: DataFrame, text_col: str = "text", rank_path: str | None = None, pattern: str | None = None, verify: bool = False) -> DataFrame:
     """``docs`` with ``token_ids`` (array of int) and ``n_tokens``.
 
     With ``verify``, each id list is decoded at once, and ``round_trip`` tells whether that gives the text's bytes.

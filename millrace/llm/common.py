@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 #: Bytes of text a kernel looks at in one go; a longer text is a piece of its own.
 PIECE_BYTES = 2 << 20
 
+_WRITTEN: list[str] = []
+
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
@@ -50,6 +52,7 @@ def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     """Write ``df`` as a table in the shared folder and read it back; cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -58,6 +61,15 @@ def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     return spark.read.schema(schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Delete all tables that ``materialise`` wrote in this driver; call it once their results are stored."""
+    paths, _WRITTEN[:] = list(_WRITTEN), []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps: they go once the garbage of the driver is collected."""
     for _ in range(2):
