@@ -112,13 +112,12 @@ def _histograms(vectors: DataFrame, block: dict, low: np.ndarray, width: np.ndar
     return counted.groupBy("query", "bin").agg(F.sum("n").alias("n"))
 
 
-def _refine(vectors: DataFrame, block: dict, count: int, k: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
+def _refine(vectors: DataFrame, block: dict, count: int, biggest: float, k: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
     """(threshold, wanted): the k-th highest score of each query, and how many of the rows that tie with it belong."""
     reach = 1.0
     for n, (_, matrix) in block.items():
         if n and len(matrix):
             reach = max(reach, float(np.abs(matrix).sum(axis=1).max()))
-    biggest = vectors.select(F.max(F.array_max(F.transform(F.col("vector"), lambda x: F.when(F.abs(x.cast("double")) < float("inf"), F.abs(x.cast("double")))))).alias("m")).first()["m"] or 0.0
     if reach * (scale * biggest + 1) >= _MOST_SCORE:
         raise ValueError(_TOO_LARGE)
     top = int(reach * (scale * biggest + 1)) + 1
@@ -150,6 +149,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
     spark = vectors.sparkSession
     candidates = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     wanted_rows = queries.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
+    finite = F.transform(F.col("vector"), lambda x: F.when(F.abs(x.cast("double")) < float("inf"), F.abs(x.cast("double"))))
+    biggest = candidates.select(F.max(F.array_max(finite)).alias("m")).first()["m"] or 0.0
     wanted_rows = wanted_rows.dropDuplicates(["id"])
     result = None
     last = None
@@ -163,7 +164,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
         rows, found = quantise(got["vector"], scale)
         if len(rows):
             block = _by_length(got["id"].to_numpy()[rows], found)
-            part = _answers(candidates, block, len(rows), k, scale)
+            part = _answers(candidates, block, len(rows), biggest, k, scale)
             result = part if result is None else result.unionByName(part)
         if got.num_rows < query_block:
             break
@@ -172,8 +173,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
     return result
 
 
-def _answers(candidates: DataFrame, block: dict, count: int, k: int, scale: int) -> DataFrame:
-    threshold, ties = _refine(candidates, block, count, k, scale)
+def _answers(candidates: DataFrame, block: dict, count: int, biggest: float, k: int, scale: int) -> DataFrame:
+    threshold, ties = _refine(candidates, block, count, biggest, k, scale)
     shared = candidates.sparkSession.sparkContext.broadcast((block, threshold, ties))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

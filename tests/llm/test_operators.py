@@ -97,6 +97,23 @@ def test_components(spark):
     assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_clean_deletes_what_was_written(spark):
+    kept = common.materialise(spark.range(3).select(F.col("id"), (F.col("id") % 2).alias("part")), "test", ("part",))
+    assert kept.count() == 3 and kept.columns == ["id", "part"]
+    assert common.clean(spark) >= 1 and common.clean(spark) == 0
+    with pytest.raises(Exception, match="(?i)path|file"):
+        spark.read.parquet(kept.inputFiles()[0]).count()
+
+
+def test_bounded_filter_admits_all(spark):
+    df = spark.range(5000).withColumn("h", F.xxhash64("id"))
+    held = common.BoundedFilter.of(df.where("id % 3 = 0"), "id")
+    rows = df.collect()
+    admitted = held.admits(np.array([r["h"] for r in rows]))
+    assert all(a for a, r in zip(admitted, rows) if r["id"] % 3 == 0) and admitted.mean() < 0.5
+    assert not common.BoundedFilter.of(df.limit(0), "id").admits(np.array([r["h"] for r in rows])).any()
+
+
 # ---------------------------------------------------------------- 1 language
 
 
