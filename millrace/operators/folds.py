@@ -16,10 +16,17 @@ def findings(df: DataFrame, head: str, position: str, message: str) -> DataFrame
     """
     labelled = df.groupBy(head, message, position).agg(F.count("*").alias("_n"))
     label = F.when(F.col("_n") == 1, F.col(position)).otherwise(F.concat(F.col(position), F.lit(" x"), F.col("_n").cast("string")))
-    folded = labelled.groupBy(head, message).agg(F.sort_array(F.collect_list(label)).alias("_labels"), F.sum("_n").alias("n"))
-    more = F.size("_labels") - MOST_POSITIONS
-    text = F.concat(F.array_join(F.slice("_labels", 1, MOST_POSITIONS), ", "), F.when(more > 0, F.concat(F.lit(", +"), more.cast("string"), F.lit(" more"))).otherwise(F.lit("")))
-    return folded.select(F.col(head).alias("head"), F.col(message).alias("message"), text.alias("positions"), "n")
+    labelled = labelled.withColumn("_label", label)
+    totals = labelled.groupBy(head, message).agg(F.count("*").alias("_k"), F.sum("_n").alias("n"))
+    # A group limit: each task passes on at most twenty labels of a group, however many it has.
+    first = labelled.withColumn("_rn", F.row_number().over(W.partitionBy(head, message).orderBy("_label"))).where(F.col("_rn") <= MOST_POSITIONS)
+    listed = first.groupBy(head, message).agg(F.sort_array(F.collect_list("_label")).alias("_labels"))
+    keys = [F.col("l.head").eqNullSafe(F.col("t.head")), F.col("l.message").eqNullSafe(F.col("t.message"))]
+    listed = listed.select(F.col(head).alias("head"), F.col(message).alias("message"), "_labels").alias("l")
+    totals = totals.select(F.col(head).alias("head"), F.col(message).alias("message"), "_k", "n").alias("t")
+    more = F.col("_k") - MOST_POSITIONS
+    text = F.concat(F.array_join("_labels", ", "), F.when(more > 0, F.concat(F.lit(", +"), more.cast("string"), F.lit(" more"))).otherwise(F.lit("")))
+    return listed.join(totals, keys).select("l.head", "l.message", text.alias("positions"), "n")
 
 
 def occurrence_keys(df: DataFrame, key: str) -> DataFrame:
@@ -28,6 +35,17 @@ def occurrence_keys(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("_nth", nth).withColumn("occurrence", F.when(F.col("_nth") == 1, F.col(key)).otherwise(F.concat(F.col(key), F.lit("  ["), F.col("_nth").cast("string"), F.lit("]")))).drop("_nth")
 
 
+def occurrence_names(df: DataFrame, key: str, chunk: int = 65536) -> DataFrame:
+    """Only the distinct names of ``occurrence_keys``, made from counts: a key that very many rows share is not gathered.
+
+    Its names are made in chunks, which are dealt out before they are unfolded.
+    """
+    counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    chunks = counted.select(key, "_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"), F.lit(chunk).cast("long"))).alias("_from")).repartition(F.col(key), F.col("_from"))
+    nth = chunks.select(key, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + chunk - 1, F.col("_n")))).alias("_nth"))
+    return nth.select(F.when(F.col("_nth") == 1, F.col(key)).otherwise(F.concat(F.col(key), F.lit("  ["), F.col("_nth").cast("string"), F.lit("]"))).alias("occurrence"))
+
+
 def delta(now: DataFrame, before: DataFrame | None, key: str) -> DataFrame:
     """(key, state): ``appeared``, ``fixed`` or ``unchanged`` against the previous run; ``baseline`` if there was none."""
     if before is None:

@@ -176,7 +176,7 @@ def finding_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT CASE WHEN nth = 1 THEN key ELSE key || '  [' || nth || ']' END AS occurrence FROM n""")
 def occurrence_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = table(spark, sf_dir, "events").select(F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("key"))
-    return folds.occurrence_keys(keys, "key").select("occurrence")
+    return folds.occurrence_names(keys, "key")
 
 
 @register("""WITH k AS (SELECT event_type || ' ' || user_id AS key, CASE WHEN ts >= (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events) THEN 1 ELSE 0 END AS run FROM events), n AS (SELECT run, key, row_number() OVER (PARTITION BY run, key) AS nth FROM k),
@@ -186,7 +186,7 @@ def since_last_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     middle = events.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("t")).scalar()
     events = events.withColumn("t", middle).select(F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("key"), F.when(F.col("ts") >= F.col("t"), 1).otherwise(0).alias("run"))
-    keys = lambda run: folds.occurrence_keys(events.where(F.col("run") == run).select("key"), "key").select("occurrence")
+    keys = lambda run: folds.occurrence_names(events.where(F.col("run") == run), "key")
     return folds.delta(keys(1), keys(0), "occurrence")
 
 

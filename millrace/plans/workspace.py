@@ -235,7 +235,7 @@ class Workspace:
         """Findings of a run against the run before: appeared, fixed, unchanged, or baseline."""
         def keys(run: int) -> DataFrame:
             key = F.concat("id", F.lit(" "), "path", F.lit(":"), F.col("line").cast("string"), F.lit(": "), "message")
-            return folds.occurrence_keys(self._diagnostics(min_severity, None, run).select(key.alias("key")), "key").select("occurrence")
+            return folds.occurrence_names(self._diagnostics(min_severity, None, run).select(key.alias("key")), "key")
 
         return folds.delta(keys(now), keys(before) if before is not None else None, "occurrence")
 

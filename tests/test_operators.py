@@ -10,6 +10,13 @@ def test_findings_fold(spark):
     assert got["E2"]["positions"] == "q"
 
 
+def test_occurrences(spark):
+    df = spark.createDataFrame([("a",)] * 5 + [("b",), (None,)], "k string")
+    names = {r["occurrence"] for r in folds.occurrence_names(df, "k", chunk=2).collect()}
+    assert names == {"a", "a  [2]", "a  [3]", "a  [4]", "a  [5]", "b"}
+    assert {r["occurrence"] for r in folds.occurrence_keys(df.where("k is not null"), "k").collect()} == names
+
+
 def test_delta_and_baseline(spark):
     now, before = (spark.createDataFrame([(x,) for x in s], "k string") for s in ("abc", "bcd"))
     assert {(r["k"], r["state"]) for r in folds.delta(now, before, "k").collect()} == {("a", "appeared"), ("b", "unchanged"), ("c", "unchanged"), ("d", "fixed")}
