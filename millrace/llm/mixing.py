@@ -68,25 +68,30 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share:
     )
 
 
-def plan(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target``, ``copies`` (whole repetitions) and ``taken`` (words in all)."""
+def plan(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``size``, ``source_size``, ``target``, ``copies`` (whole repetitions) and ``taken`` (words in all).
+
+    ``carry`` names the columns of ``docs`` that are wanted with it (all, if None); only those are shuffled.
+    """
     own = ["size", "source_size", "target", "copies", "taken"]
-    kept = [c for c in docs.columns if c not in own]
-    key, source = (F.col(f"_row.`{c}`") for c in (key_col, source_col))
+    kept = [c for c in docs.columns if c not in own and (carry is None or c in carry)]
+    key, source = F.col("_id"), F.col("_source")
     draw = F.md5(F.concat(F.coalesce(F.col(key_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
     # What came in travels as one struct, so that no name of it can clash.
-    rows = docs.select(F.struct(*kept).alias("_row"), size_of(text_col).alias("_size"), draw.alias("_draw")).withColumn("_slice", F.substring("_draw", 1, SLICE_DIGITS))
-    slices = rows.groupBy(source.alias("source"), F.col("_slice").alias("slice")).agg(F.sum("_size").alias("slice_size"))
+    rows = docs.select(F.struct(*kept).alias("_row"), F.col(key_col).alias("_id"), F.col(source_col).alias("_source"), size_of(text_col).alias("_size"), draw.alias("_draw")).withColumn("_slice", F.substring("_draw", 1, SLICE_DIGITS))
+    # A key without nulls: the join and the window below then share one deal.
+    rows = rows.withColumn("_key", F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n")))
+    slices = rows.groupBy("_key", F.col("_slice").alias("slice")).agg(F.sum("_size").alias("slice_size")).withColumn("source", F.when(F.col("_key") != "n", F.substr("_key", F.lit(2))))
     by_source = targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, budget_share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     over_slices = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     slices = slices.withColumn("earlier", F.coalesce(F.sum("slice_size").over(over_slices), F.lit(0)))
     share = by_source.withColumn("whole", whole).withColumn("extra", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     slices = slices.withColumnRenamed("source", "_s").join(share, F.col("_s").eqNullSafe(F.col("source"))).select(
-        F.col("_s"), F.col("slice").alias("_sl"), F.col("earlier").alias("_earlier"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"), F.col("extra").alias("_extra")
+        "_key", F.col("slice").alias("_slice"), F.col("earlier").alias("_earlier"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"), F.col("extra").alias("_extra")
     )
-    joined = rows.join(slices, source.eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_sl")))
-    in_slice = W.partitionBy(source, "_slice").orderBy("_draw", key.asc_nulls_first(), "_size").rowsBetween(W.unboundedPreceding, -1)
+    joined = rows.join(slices, ["_key", "_slice"])
+    in_slice = W.partitionBy("_key", "_slice").orderBy("_draw", key.asc_nulls_first(), "_size").rowsBetween(W.unboundedPreceding, -1)
     placed = joined.withColumn("_before", F.col("_earlier") + F.coalesce(F.sum("_size").over(in_slice), F.lit(0)))
     more = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_extra") - F.col("_before")))
     return placed.select(
@@ -115,8 +120,7 @@ def repeat(planned: DataFrame, columns: list[str], text_col: str = "text") -> Da
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = docs.select("doc_id", "text", "source")
-    return plan(sized).select("doc_id", "size", "source_size", "target", "taken")
+    return plan(docs.select("doc_id", "text", "source"), carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""
