@@ -14,11 +14,15 @@ MOST_HOPS = 16
 
 
 def closure(edges: DataFrame, source: str, target: str, seeds: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
-    """(node, reached, depth): everything reachable from each seed, itself included at depth 0, at its least depth."""
+    """(node, reached, depth): everything reachable from each seed, itself included at depth 0, at its least depth.
+
+    Without seeds, paths are doubled each round, so the rounds grow with the logarithm of the longest way.
+    """
     ensure_checkpoint_dir(edges.sparkSession)
     hops = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).where(F.col("_from").isNotNull() & F.col("_to").isNotNull()).distinct()
-    nodes = seeds.select(F.col(seeds.columns[0]).alias("node")) if seeds is not None else hops.select(F.col("_from").alias("node")).union(hops.select("_to"))
-    seen = nodes.distinct().select("node", F.col("node").alias("reached"), F.lit(0).alias("depth")).checkpoint()
+    if seeds is None:
+        return _doubled(hops, max_depth)
+    seen = seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().select("node", F.col("node").alias("reached"), F.lit(0).alias("depth")).checkpoint()
     front, depth = seen, 0
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -30,6 +34,26 @@ def closure(edges: DataFrame, source: str, target: str, seeds: DataFrame | None
     return seen
 
 
+def _doubled(hops: DataFrame, max_depth: int | None) -> DataFrame:
+    nodes = hops.select(F.col("_from").alias("node")).union(hops.select("_to")).distinct()
+    least = lambda df: df.groupBy("node", "reached").agg(F.min("depth").alias("depth"))
+    seen = least(nodes.select("node", F.col("node").alias("reached"), F.lit(0).alias("depth")).unionByName(hops.select(F.col("_from").alias("node"), F.col("_to").alias("reached"), F.lit(1).alias("depth"))))
+    if max_depth is not None:
+        seen = seen.where(F.col("depth") <= max_depth)
+    seen, state, reach = seen.checkpoint(), None, 1
+    while max_depth is None or reach < max_depth:
+        later = seen.select(F.col("node").alias("reached"), F.col("reached").alias("_end"), F.col("depth").alias("_more"))
+        longer = seen.join(later, "reached").select("node", F.col("_end").alias("reached"), (F.col("depth") + F.col("_more")).alias("depth"))
+        if max_depth is not None:
+            longer = longer.where(F.col("depth") <= max_depth)
+        seen = least(longer).checkpoint()
+        now = tuple(seen.agg(F.count("*"), F.sum("depth")).first())
+        if now == state:
+            break
+        state, reach = now, reach * 2
+    return seen
+
+
 def chain(edges: DataFrame, node: str, parent: str, most: int = MOST_HOPS) -> DataFrame:
     """(node, chain): each node's line of parents, at most ``most`` hops, ending at a repeat or a missing parent.
 

@@ -33,6 +33,10 @@ def test_closure_ends_on_cycles(spark):
     got = {(r["node"], r["reached"], r["depth"]) for r in graph.closure(edges, "f", "t").collect()}
     assert ("a", "c", 2) in got and ("a", "a", 0) in got and ("x", "y", 1) in got and len(got) == 9 + 3
     assert graph.closure(edges, "f", "t", max_depth=1).where("node = 'a'").count() == 2
+    line = spark.createDataFrame([(i, i + 1) for i in range(11)], "f long, t long")
+    assert {(r["node"], r["reached"]): r["depth"] for r in graph.closure(line, "f", "t", max_depth=5).collect()} == {(i, j): j - i for i in range(12) for j in range(i, min(12, i + 6))}
+    seeded = graph.closure(line, "f", "t", spark.createDataFrame([(9,)], "s long"))
+    assert {(r["node"], r["reached"], r["depth"]) for r in seeded.collect()} == {(9, 9, 0), (9, 10, 1), (9, 11, 2)}
 
 
 def test_chain_stops(spark):
