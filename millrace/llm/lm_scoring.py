@@ -2,15 +2,16 @@
 
 Training counts words and word pairs exactly, then keeps of each count only its level ``1 + floor(log2(count))``.  A
 gram of level q is put into a Bloom filter q times, as (gram, 1) to (gram, q); reading probes (gram, 1), (gram, 2), ... until one is
-missing.  The filter is broadcast and gives every worker the counts of an interpolated bigram model.
+missing.  The filter gives the counts of an interpolated bigram model.
 
 Counting is by blocks: each task folds a block of texts into sorted arrays of distinct hashes with counts, cut into
 buckets by hash; a bucket gathers its slices from all blocks.  A frequent word is one entry per block, so it makes no hot
 bucket.  Exact word counts go back to the blocks that hold the words, so the vocabulary is never collected or broadcast, and what
 travels is linear in the distinct words of the blocks.
 
-The filter is made of one segment per bucket and holds ``BITS_PER_ITEM`` bits per entry up to ``MOST_FILTER_BYTES`` in
-all; beyond that bound the segments stop growing and false positives become more likely, nothing is dropped.
+The filter is made of one segment per bucket, and a bucket holds a bounded share of the text.  So the filter grows with the
+corpus at ``BITS_PER_ITEM`` bits per entry and is nowhere in one piece: blocks send the distinct grams that they ask for to
+the buckets, each bucket probes its segment, and the levels go back to the blocks, which score their texts.
 
 Defined results
 ---------------
@@ -40,13 +41,9 @@ from millrace.llm import common
 LAMBDA = 0.6
 BITS_PER_ITEM = 10
 PROBES = 4
-#: Proven bound of what is broadcast: bytes of the filter of words and of that of pairs.
-MOST_FILTER_BYTES = (16 << 20, 48 << 20)
 #: Text in one counting block, and text whose counts share a bucket on average.
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
-#: Text scored in one go; what repeats within it is probed once.
-SCORE_BYTES = 4 << 20
 _LEAST_BUCKETS = 16
 _END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _LEVELS = 48
@@ -75,11 +72,13 @@ def shifted(stream: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_digests(stream: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each text's token sequence."""
-    starts = np.append(0, ends[:-1] + 1)
-    place = np.arange(len(stream)) - np.repeat(starts, np.diff(np.append(starts, len(stream))))
-    return common.mix64(np.add.reduceat(common.mix64(stream + place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)), starts))
+def to_planes(values: np.ndarray) -> bytes:
+    """32-bit numbers, all first bytes before all second bytes and so on, which packs better."""
+    return values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
 
 
 # ---------------------------------------------------------------- the filter
@@ -100,10 +99,12 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + (counts > 0)
 
 
-def segment(keys: np.ndarray, counts: np.ndarray, most_bytes: int) -> bytes:
-    """Bloom filter of the grams of one bucket; its size follows their number up to ``most_bytes``."""
+def segment(keys: np.ndarray, counts: np.ndarray, most_bytes: int | None = None) -> bytes:
+    """Bloom filter of the grams of one bucket; its size follows their number, up to ``most_bytes`` if given."""
     levels = levels_of(counts)
-    size = min(max(8, -(-int(levels.sum()) * BITS_PER_ITEM // 64) * 8), max(8, most_bytes // 8 * 8))
+    size = max(8, -(-int(levels.sum()) * BITS_PER_ITEM // 64) * 8)
+    if most_bytes is not None:
+        size = min(size, max(8, most_bytes // 8 * 8))
     out = np.zeros(size * 8, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         held = keys[levels >= level]
@@ -162,32 +163,11 @@ def estimate(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (3.0 * 2.0 ** (np.maximum(levels, 1) - 1) - 1) / 2, 0.0)
 
 
-@dataclass
-class Model:
-    """What is broadcast: the two filters and four numbers."""
-
-    buckets: int
-    words: LogFrequencyFilter
-    pairs: LogFrequencyFilter
-    train_tokens: int
-    distinct: int
-    train_texts: int
-    weight: float = LAMBDA
-
-    def score(self, stream: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log10 probability of each text under the interpolated bigram model."""
-        starts = np.append(0, ends[:-1] + 1)
-        # Each distinct gram is probed once; frequent ones have many levels to probe.
-        words, place = np.unique(stream, return_inverse=True)
-        uni = estimate(self.words.levels(words, word_bucket(words, self.buckets)))[place]
-        uni[ends] = self.train_texts
-        context = np.append(float(self.train_texts), uni[:-1])
-        value, bucket = pair_key(pair_hashes(shifted(stream), stream), self.buckets)
-        pairs, place = np.unique(bloom_pair(value, bucket), return_inverse=True)
-        joint = estimate(self.pairs.levels(pairs, (pairs >> np.uint64(32)).astype(np.int64)))[place]
-        ratio = np.minimum(1.0, joint / np.maximum(np.maximum(context, joint), 1.0))
-        p = self.weight * ratio + (1 - self.weight) * np.minimum(1.0, (uni + 1) / (self.train_tokens + self.distinct + 1))
-        return np.add.reduceat(np.log10(p), starts)
+def probed(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Levels that the segment of one bucket tells of its grams; those of count 0 are asked for only."""
+    seen = counts > 0
+    held = LogFrequencyFilter.of({0: segment(keys[seen], counts[seen])}, 1)
+    return held.levels(keys, np.zeros(len(keys), np.int64)).astype(np.uint8)
 
 
 def word_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -224,8 +204,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
                 nth += 1
 
 
-_COUNTED = "kind string, bucket long, block long, hashes binary, counts binary, n_texts int, digests binary, n_tokens binary, ids binary, nulls binary, width binary, texts binary, times binary, trained long"
-_KINDS = {"kind": pa.string(), "bucket": pa.int64(), "block": pa.int64(), "hashes": pa.binary(), "counts": pa.binary(), "n_texts": pa.int32(), "digests": pa.binary(), "n_tokens": pa.binary(), "ids": pa.binary(), "nulls": pa.binary(), "width": pa.binary(), "texts": pa.binary(), "times": pa.binary(), "trained": pa.int64()}
+_COUNTED = "kind string, bucket long, block long, hashes binary, counts binary, stream binary, ids binary, nulls binary, trains binary, trained long"
+_KINDS = {"kind": pa.string(), "bucket": pa.int64(), "block": pa.int64(), "hashes": pa.binary(), "counts": pa.binary(), "stream": pa.binary(), "ids": pa.binary(), "nulls": pa.binary(), "trains": pa.binary(), "trained": pa.int64()}
 
 
 def _rows(items: list[dict], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -235,42 +215,39 @@ def _rows(items: list[dict], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
 def count_words(docs: DataFrame, buckets: int) -> DataFrame:
     """Two kinds of rows for each block of texts.
 
-    ``word``: per bucket the distinct word hashes and their counts in training texts.  ``text``: for the words in order of
-    (bucket, hash), in which texts of the block they are and how often, and what else is known of the texts.
+    ``word``: per bucket the distinct word hashes and their counts in training texts.  ``text``: the words in order of
+    (bucket, hash), all texts as places in that order (one past it is the end), and what else is known of the texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, stream, ends, train, rows in _blocks(batches):
-            text = np.repeat(np.arange(len(ends), dtype=np.uint64), np.diff(np.append(-1, ends)))
             inside = np.ones(len(stream), bool)
             inside[ends] = False
-            text = text[inside]
             distinct, local = np.unique(stream[inside], return_inverse=True)
             bucket = word_bucket(distinct, buckets)
             order = np.argsort(bucket, kind="stable")
             distinct, bucket = distinct[order], bucket[order]
             rank = np.empty_like(order)
             rank[order] = np.arange(len(order))
-            entry, times = np.unique((rank[local].astype(np.uint64) << np.uint64(16)) | text, return_counts=True)
-            word, text = (entry >> np.uint64(16)).astype(np.int64), (entry & np.uint64(0xFFFF)).astype(np.uint16)
-            counts = np.bincount(word, times * train[text], len(distinct)).astype(np.uint32)
+            places = np.full(len(stream), len(distinct), np.uint32)
+            places[inside] = rank[local]
+            taught = np.repeat(train, np.diff(np.append(-1, ends)))
+            counts = np.bincount(places[taught & inside], minlength=len(distinct)).astype(np.uint32)
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             found = [{"kind": "word", "bucket": int(b), "block": block, "hashes": distinct[edges[b] : edges[b + 1]].tobytes(), "counts": counts[edges[b] : edges[b + 1]].tobytes()} for b in np.flatnonzero(np.diff(edges))]
             yield _rows(found, _KINDS)
             ids = rows.column(0)
-            own = {"kind": "text", "block": block, "n_texts": len(ends), "digests": text_digests(stream, ends).tobytes(), "n_tokens": np.diff(np.append(-1, ends)).astype(np.int64).tobytes(), "ids": ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), "nulls": np.asarray(ids.is_null()).tobytes()}
-            own |= {"width": np.bincount(word, minlength=len(distinct)).astype(np.uint32).tobytes(), "texts": text.tobytes(), "times": times.astype(np.uint32).tobytes(), "trained": int(train.sum())}
+            own = {"kind": "text", "block": block, "hashes": distinct.tobytes(), "stream": to_planes(places), "ids": ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), "nulls": np.asarray(ids.is_null()).tobytes(), "trains": train.tobytes(), "trained": int(train.sum())}
             yield _rows([own], _KINDS)
 
     return docs.mapInArrow(run, _COUNTED)
 
 
-_TOTALS = {"block": pa.int64(), "bucket": pa.int64(), "totals": pa.binary(), "filter": pa.binary(), "distinct": pa.int64(), "tokens": pa.int64()}
+_TOTALS = {"block": pa.int64(), "bucket": pa.int64(), "totals": pa.binary(), "levels": pa.binary(), "distinct": pa.int64(), "tokens": pa.int64()}
 
 
 def total_words(words: DataFrame, buckets: int) -> DataFrame:
-    """Global counts of each bucket, given back to every block in the order of its words, and the bucket's filter segment."""
-    share = MOST_FILTER_BYTES[0] // buckets
+    """Global counts of each bucket and the levels in its filter segment, given back to every block in the order of its words."""
 
     def kernel(group: pa.RecordBatch) -> pa.RecordBatch:
         bucket, block = group.column(0)[0].as_py(), group.column(1).to_pylist()
@@ -278,49 +255,64 @@ def total_words(words: DataFrame, buckets: int) -> DataFrame:
         counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column(3)])
         distinct, where = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(where, counts, len(distinct)).astype(np.int64)
-        seen = total > 0
+        levels = probed(distinct, total)
         ends = np.cumsum([len(h) for h in hashes])
-        out = [{"block": b, "bucket": bucket, "totals": total[where[e - len(h) : e]].tobytes()} for b, h, e in zip(block, hashes, ends, strict=True)]
-        out[0] |= {"filter": segment(distinct[seen], total[seen], share), "distinct": int(seen.sum()), "tokens": int(total.sum())}
+        own = [where[e - len(h) : e] for h, e in zip(hashes, ends, strict=True)]
+        out = [{"block": b, "bucket": bucket, "totals": total[w].tobytes(), "levels": levels[w].tobytes()} for b, w in zip(block, own, strict=True)]
+        out[0] |= {"distinct": int((total > 0).sum()), "tokens": int(total.sum())}
         return _rows(out, _TOTALS)
 
-    return common.map_runs(words.select("bucket", "block", "hashes", "counts"), ["bucket"], kernel, "block long, bucket long, totals binary, filter binary, distinct long, tokens long")
+    return common.map_runs(words.select("bucket", "block", "hashes", "counts"), ["bucket"], kernel, "block long, bucket long, totals binary, levels binary, distinct long, tokens long")
+
+
+def pair_keys(hashes: np.ndarray, places: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket (upper half) and 32-bit value of the pair that ends at each token of a block."""
+    stream = np.append(hashes, _END)[places]
+    return bloom_pair(*pair_key(pair_hashes(shifted(stream), stream), buckets))
 
 
-def pair_segments(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, filter): the filter segments of all pairs in training texts."""
+def pair_levels(texts: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, pairs): levels of the distinct pairs of each block in the order of their keys, from the segments of the training texts' pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, stream, _, _, _ in _blocks(batches):
-            value, bucket = pair_key(pair_hashes(shifted(stream), stream), buckets)
-            keys = bloom_pair(value, bucket)
-            keys.sort()
-            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            counts = np.diff(np.append(starts, len(keys))).astype(np.uint32)
-            keys = keys[starts]
-            edges = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
-            out = []
-            for b in np.flatnonzero(np.diff(edges)):
-                own = (keys[edges[b] : edges[b + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                out.append((int(b), np.diff(own, prepend=np.uint32(0)).tobytes(), counts[edges[b] : edges[b + 1]].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), common.binary_array([o[1] for o in out]), common.binary_array([o[2] for o in out])], names=["bucket", "steps", "counts"])
-
-    share = MOST_FILTER_BYTES[1] // buckets
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = batch.column(0)[i].as_py()
+                hashes, train = np.frombuffer(batch.column(1)[i].as_py(), np.uint64), np.frombuffer(batch.column(3)[i].as_py(), bool)
+                places = from_planes(batch.column(2)[i].as_py())
+                lengths = np.diff(np.append(-1, np.flatnonzero(places == len(hashes))))
+                # The last bit tells whether a training text has the pair here.
+                keys = (pair_keys(hashes, places, buckets) << np.uint64(1)) | np.repeat(train, lengths).astype(np.uint64)
+                keys.sort()
+                taught, keys = keys & np.uint64(1), keys >> np.uint64(1)
+                starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                counts, keys = np.add.reduceat(taught, starts).astype(np.uint32), keys[starts]
+                edges = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+                filled = np.flatnonzero(np.diff(edges))
+                steps = [np.diff((keys[edges[b] : edges[b + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32), prepend=np.uint32(0)).tobytes() for b in filled]
+                counts = [counts[edges[b] : edges[b + 1]].tobytes() for b in filled]
+                yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int64()), pa.array([block] * len(filled), pa.int64()), common.binary_array(steps), common.binary_array(counts)], names=["bucket", "block", "steps", "counts"])
 
     def kernel(group: pa.RecordBatch) -> pa.RecordBatch:
         bucket = group.column(0)[0].as_py()
-        values = np.concatenate([np.cumsum(np.frombuffer(x.as_py(), np.uint32), dtype=np.uint32) for x in group.column(1)])
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column(2)])
-        distinct, where = np.unique(values, return_inverse=True)
-        total = np.bincount(where, counts, len(distinct))
-        blob = segment(bloom_pair(distinct, np.full(len(distinct), bucket)), total, share)
-        return pa.RecordBatch.from_arrays([pa.array([bucket]), common.binary_array([blob])], names=["bucket", "filter"])
+        values = [np.cumsum(np.frombuffer(x.as_py(), np.uint32), dtype=np.uint32) for x in group.column(2)]
+        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column(3)])
+        ends = np.cumsum([len(v) for v in values])
+        distinct, where = np.unique(np.concatenate(values), return_inverse=True)
+        levels = probed(bloom_pair(distinct, np.full(len(distinct), bucket)), np.bincount(where, counts, len(distinct)))
+        given = [levels[where[e - len(v) : e]].tobytes() for v, e in zip(values, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([group.column(1), group.column(0), common.binary_array(given)], names=["block", "bucket", "pairs"])
+
+    asked = texts.select("block", "hashes", "stream", "trains").mapInArrow(run, "bucket long, block long, steps binary, counts binary")
+    return common.map_runs(asked, ["bucket"], kernel, "block long, bucket long, pairs binary")
 
-    return common.map_runs(docs.mapInArrow(run, "bucket long, steps binary, counts binary"), ["bucket"], kernel, "bucket long, filter binary")
 
+def score_blocks(texts: DataFrame, totals: DataFrame, pairs: DataFrame, buckets: int, train_tokens: int, distinct: int, train_texts: int, weight: float) -> DataFrame:
+    """(id, train, n_tokens, sum_log, known, score) of every text, from what the buckets gave back to its block.
 
-def base_sums(texts: DataFrame, totals: DataFrame) -> DataFrame:
-    """(id, digest, sum_log, known): per text, the sums over all its words from the global counts of its block's words."""
+    ``sum_log`` and ``known`` are sums over its words from exact counts; ``score`` is its log10 probability under the
+    interpolated bigram model, from levels.
+    """
 
     def kernel(group: pa.RecordBatch) -> pa.RecordBatch:
         parts = {n: group.column(group.schema.get_field_index(n)) for n in group.schema.names}
@@ -328,17 +320,26 @@ def base_sums(texts: DataFrame, totals: DataFrame) -> DataFrame:
         info = bucket.index(None)
         blob = lambda n, kind: np.frombuffer(parts[n][info].as_py(), kind)
         order = sorted((b, i) for i, b in enumerate(bucket) if b is not None)
-        counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(parts["totals"][i].as_py(), np.int64) for _, i in order)])
-        n, width, text, times = parts["n_texts"][info].as_py(), blob("width", np.uint32), blob("texts", np.uint16), blob("times", np.uint32)
-        word = np.repeat(np.arange(len(counts)), width)
-        sums = np.bincount(text, times * np.log10(counts + 1)[word], n)
-        known = np.bincount(text, times * (counts > 0)[word], n).astype(np.int64)
+        given = lambda n, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(parts[n][i].as_py(), kind) for _, i in order if parts[n][i].is_valid)])
+        hashes, places = blob("hashes", np.uint64), from_planes(parts["stream"][info].as_py())
+        ends = np.flatnonzero(places == len(hashes))
+        starts = np.append(0, ends[:-1] + 1)
+        counts = np.append(given("totals", np.int64), 0)
+        uni = np.append(estimate(given("levels", np.uint8).astype(np.int64)), float(train_texts))[places]
+        context = np.append(float(train_texts), uni[:-1])
+        _, pair = np.unique(pair_keys(hashes, places, buckets), return_inverse=True)
+        joint = estimate(given("pairs", np.uint8).astype(np.int64))[pair]
+        ratio = np.minimum(1.0, joint / np.maximum(np.maximum(context, joint), 1.0))
+        p = weight * ratio + (1 - weight) * np.minimum(1.0, (uni + 1) / (train_tokens + distinct + 1))
+        each = lambda values: pa.array(np.add.reduceat(values, starts))
         ids = pa.array(blob("ids", np.int64), mask=blob("nulls", bool))
-        return pa.RecordBatch.from_arrays([ids, pa.array(blob("digests", np.int64)), pa.array(sums), pa.array(known)], names=["id", "digest", "sum_log", "known"])
+        n_tokens = pa.array(np.diff(np.append(-1, ends)).astype(np.int64))
+        return pa.RecordBatch.from_arrays([ids, pa.array(blob("trains", bool)), n_tokens, each(np.log10(counts + 1)[places]), each((counts > 0).astype(np.int64)[places]), each(np.log10(p))], names=["id", "train", "n_tokens", "sum_log", "known", "score"])
 
-    names = ["n_texts", "digests", "ids", "nulls", "width", "texts", "times"]
-    both = texts.select("block", *names).unionByName(totals.select("block", "bucket", "totals"), allowMissingColumns=True)
-    return common.map_runs(both, ["block"], kernel, "id long, digest long, sum_log double, known long")
+    every = texts.select("block", "hashes", "stream", "ids", "nulls", "trains")
+    for more in (totals.select("block", "bucket", "totals", "levels"), pairs):
+        every = every.unionByName(more, allowMissingColumns=True)
+    return common.map_runs(every, ["block"], kernel, "id long, train boolean, n_tokens long, sum_log double, known long, score double")
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", weight: float = LAMBDA) -> DataFrame:
@@ -356,35 +357,18 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     train_texts = int(texts.agg(F.coalesce(F.sum("trained"), F.lit(0)).alias("t")).first()["t"])
     train_tokens = int(numbers["n"]) + train_texts
     distinct = int(numbers["v"]) + (train_texts > 0)
-    collect = lambda df: {r["bucket"]: r["filter"] for r in df.select("bucket", "filter").where(F.col("filter").isNotNull()).toArrow().to_pylist()}
-    words = LogFrequencyFilter.of(collect(totals), buckets)
-    pairs = LogFrequencyFilter.of(collect(pair_segments(source.where("train"), buckets)), buckets)
+    pairs = common.materialise(pair_levels(texts, buckets), "lm-pairs")
     common.release(spark)
-    shared = spark.sparkContext.broadcast(Model(buckets, words, pairs, train_tokens, distinct, train_texts, weight))
-
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = shared.value
-        data, offsets = common.text_buffers(batch.column(1))
-        digests, counts, scores = [], [], []
-        for lo, hi in common.pieces(offsets, SCORE_BYTES):
-            stream, ends = token_stream(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            digests.append(text_digests(stream, ends))
-            counts.append(np.diff(np.append(-1, ends)))
-            scores.append(model.score(stream, ends))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(digests).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(np.concatenate(scores))], names=["id", "train", "digest", "n_tokens", "score"])
-
-    scored = common.map_arrow(source, kernel, "id long, train boolean, digest long, n_tokens long, score double")
-    sums = base_sums(texts, totals).dropDuplicates(["id", "digest"]).withColumnsRenamed({"id": "_id", "digest": "_digest"})
-    joined = scored.join(sums, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    scored = score_blocks(texts, totals, pairs, buckets, train_tokens, distinct, train_texts, weight)
     whole = float(np.log10(train_tokens + distinct + 1))
     end = float(np.log10(train_texts + 1))
-    return joined.select(
+    return scored.select(
         F.col("id").alias(id_col),
         F.col("train").alias("in_training"),
         "n_tokens",
-        (F.coalesce("known", F.lit(0)) + F.lit(int(train_texts > 0))).alias("n_known"),
+        (F.col("known") + F.lit(int(train_texts > 0))).alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.coalesce("sum_log", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
+        (F.col("sum_log") + F.lit(end) - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
         "score",
     )
 

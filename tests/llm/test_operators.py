@@ -276,6 +276,16 @@ def test_log_frequency_filter():
     assert len(lm_scoring.segment(keys, counts, 1024)) == 1024
 
 
+def test_lm_score_whatever_the_number_of_grams(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "MOST_FILTER_BYTES", (1 << 12, 1 << 12), raising=False)  # a bound, if there is one, binds here
+    rng = random.Random(8)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.4)) % 20_000}" for _ in range(200))) for i in range(400)]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), F.col("doc_id") % 5 != 0).collect()}
+    want = brute.lm_score(docs, lambda k: k % 5 != 0)
+    error = [abs(got[k] - want[k]) / 201 for k, _ in docs]
+    assert np.mean(error) < 0.02 and max(error) < 0.06
+
+
 # ---------------------------------------------------------------- 5 tokens
 
 
