@@ -40,7 +40,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _IDENTIFIER = re.compile(r"""\b(?:access_?key(?:_?id)?|client_?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,})""", re.IGNORECASE | re.ASCII)
-_BARE = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]{0,63}[0-9])(?=[0-9a-z+/]{0,63}[A-Z])(?=[0-9A-Z+/]{0,63}[a-z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_-])")
+#: An unbroken key of any length, in either alphabet of base64; ``_mixed`` looks at its characters.
+_BARE = re.compile(r"(?<![A-Za-z0-9+/=_-])(?:[A-Za-z0-9+/]{32,}+|[A-Za-z0-9_-]{32,}+)={0,2}+(?![A-Za-z0-9+/=_-])")
+_MIXED = (re.compile("[0-9]"), re.compile("[A-Z]"), re.compile("[a-z]"))
 _ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+")
 _BREAK = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -89,6 +91,11 @@ def _near(spans: list[Span], others: list[Span], scopes: list[int]) -> list[Span
     return found
 
 
+def _mixed(text: str, start: int, end: int) -> bool:
+    """Whether digits, capitals and small letters are all there."""
+    return all(kind.search(text, start, end) for kind in _MIXED)
+
+
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """The weak spans that complementary parts support."""
     if not base and "=" not in text and ":" not in text:
@@ -100,7 +107,7 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
         """Those that no strong span overlaps."""
         return [s for s in found if not (at := bisect_left(begins, s[2])) or reached[at - 1] <= s[1]]
 
-    bare = free([("bare_secret", m.start(), m.end()) for m in _BARE.finditer(text)])
+    bare = free([("bare_secret", m.start(), m.end()) for m in _BARE.finditer(text) if _mixed(text, *m.span())])
     names = free([("identifier", m.start(1), m.end(1)) for m in _IDENTIFIER.finditer(text)]) if "=" in text or ":" in text else []
     secrets = [s for s in base if s[0] != "access"] + bare
     identifiers = access + names
