@@ -163,11 +163,11 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, width: int, num: int,
             counts.append(count)
         every = lambda parts: np.concatenate(parts).view(np.int64)
         a, b, routes, count = every(h1), every(h2), every(tokens), np.concatenate(counts)
-        # Of equal sets in a batch one is routed; the fold brings the others to its component.
-        _, leaders = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)
+        # Of equal sets in a batch one with an id is routed; the fold brings the others to its component.
+        valid = np.flatnonzero(batch.column(0).is_valid())
+        _, leaders = np.unique(np.stack([a, b], axis=1)[valid], axis=0, return_index=True)
         leads = np.zeros(len(a), bool)
-        leads[leaders] = True
-        leads &= np.asarray(batch.column(0).is_valid())
+        leads[valid[leaders]] = True
         routes, count = routes[np.repeat(leads, count)], np.where(leads, count, 0)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(a), pa.array(b), _ragged(routes, count, pa.int64())], names=["id", "n", "h1", "h2", "tokens"])
 

@@ -421,6 +421,13 @@ def test_jaccard_odd(spark, odd):
     assert jaccard_join.join(odd.limit(0)).count() == 0
 
 
+def test_jaccard_null_id_ahead_of_its_copy(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(None, text), (5, text), (9, text + " end"), (None, text + " end")]
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {None: None, 5: 5, 9: 5} and len(got) == 4
+
+
 # ---------------------------------------------------------------- 8 secrets
 
 
