@@ -1,9 +1,10 @@
 """Corpus pipeline over ``documents``: five stages, each on all rows that its predecessor kept.
 
-1. ``language_id``: texts whose language cannot be told (no letter, or a probability below ``LEAST_SCORE``) go; the label
-   column takes the prediction where it was null.
+1. ``language_id``: texts whose language cannot be told (no letter, or a probability not ``ABOVE_CHANCE`` times that of a guess) go;
+   the label column takes the prediction where it was null.
 2. ``near_duplicates``: of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the
-   smallest id stays; of rows that are equal in id and group one stays.
+   smallest id stays.  Rows with one id are one document: the least row (by text, then the other columns) stands for it.
+   Rows without an id are in no group and stay.
 3. ``secret_scan``: secrets are replaced in the text by ``SECRET_MARK``; no document goes.
 4. ``source_mix``: sources are mixed to their target weights; documents repeat, or drop out, as the mix says.
 5. ``bpe``: the final rows with their token ids and the check that these decode to the text.
@@ -21,11 +22,13 @@ from millrace.llm import bpe, common, jaccard_join, language_id, mixing, secrets
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: Least probability of the language predicted, just above chance among four labels: only texts that tell nothing go.
-LEAST_SCORE = 0.28
+#: The language predicted must be this much likelier than one of all labels drawn by chance: only texts that tell nothing go.
+ABOVE_CHANCE = 1.12
 NEAR_WIDTH = 5
 NEAR_THRESHOLD = (80, 100)
 SECRET_MARK = "[secret]"
+#: Most ids of documents that go (a long and a flag each) that are broadcast; above it texts are dealt by id.
+MOST_BROADCAST = 1_000_000
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,18 +36,29 @@ def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     docs = docs.select(*COLUMNS)
     net = language_id.train(docs.where(~language_id.held_out()))
     judged = language_id.identify(docs, net)
-    kept = judged.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    least = ABOVE_CHANCE / len(net.labels) if net is not None and len(net.labels) > 1 else 0.0
+    kept = judged.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= least))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: the one with the smallest id."""
+    """Keep one document of each group of near copies: the one with the smallest id.
+
+    Texts stay where they are read; only rows whose id occurs again are aggregated.
+    """
     docs = docs.select(*COLUMNS)
-    groups = jaccard_join.join(docs, width=NEAR_WIDTH, threshold=NEAR_THRESHOLD)
-    # Null ids are in no group and stay.
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    once = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
+    groups = common.materialise(jaccard_join.join(docs, width=NEAR_WIDTH, threshold=NEAR_THRESHOLD), "near-groups").where(F.col("doc_id").isNotNull())
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id", F.lit(True).alias("_gone")).distinct()
+    again = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id", F.lit(False).alias("_gone"))
+    marks = common.materialise(gone.unionByName(again), "near-marks")
+    few = marks.count() <= MOST_BROADCAST
+    marked = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(marks) if few else marks, "doc_id", "left")
+    kept = marked.where(F.col("_gone").isNull()).select(*COLUMNS).unionByName(docs.where(F.col("doc_id").isNull()))
+    if marks.where(~F.col("_gone")).limit(1).count() == 0:
+        return kept
+    row = F.struct("text", "lang", "source", "n_chars")
+    once = marked.where(~F.col("_gone")).groupBy("doc_id").agg(F.min(row).alias("_row")).select("doc_id", "_row.*")
+    return kept.unionByName(once.select(*COLUMNS))
 
 
 def stage_secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
