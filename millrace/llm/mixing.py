@@ -9,14 +9,17 @@ A target is then met by seeded repetitions: every document of a source is taken
 rest of the target is filled by walking the source's documents in a seeded order, each taken once more until the target is
 full; the one at the edge is taken in part.  So each source comes to its target within a word.
 
-The walk is a prefix sum in two levels (within seeded slices of a source, then over the sums of the slices), so no source,
-however hot, is ever in one task.
+Only the place of the edge has to be known, one row for each source.  It is found by narrowing: sums of the source's slices by
+the first digits of the seeded hash give the slice that holds the edge, sums by the next digits the slice within it, and only there (one
+row in 16**6) documents are put in order.  Then every document is judged where it is read, by comparing its hash with the edge of its
+source: no text is ever shuffled or sorted, and no source, however hot, is ever in one task.
 
 Defined results
 ---------------
 * null or empty text, or one of white space only: size 0, takes no words; an all-empty source has target 0;
 * null source: a source of its own, ranked last; null ids are ordered like the empty text;
-* ties in the seeded order go by id, then by size: rows equal in both are alike;
+* ties in the seeded order (one id) go by size; rows equal in both are alike, and if the edge lies among them the first as read are
+  taken (they are numbered by the partition they were read from, so a repeated id does not meet in one task);
 * an empty table gives an empty result; very long texts are counted whole;
 * extra columns pass through ``plan``; an input column named like a result is replaced.
 """
@@ -33,8 +36,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BUDGET_SHARE = 1.5
 MAX_EPOCHS = 2
-#: Hex digits of the seeded hash that name a slice: 16 ** 3 slices of each source.
+#: Hex digits of the seeded hash that name a slice: 16 ** 3 slices of each source, and as many within the slice at the edge.
 SLICE_DIGITS = 3
+#: Most sources whose edges (a few numbers each) are broadcast; with more of them documents are joined with the edges by source.
+MOST_BROADCAST = 200_000
 SEED = "mix-1"
 
 
@@ -68,40 +73,96 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share:
     )
 
 
+def measured(docs: DataFrame, key_col: str, text_col: str, source_col: str, seed: str, kept: list[str]) -> DataFrame:
+    """(_row, _key, _size, _draw): the ``kept`` columns, the source as a key without nulls, the words and the seeded hash of every document."""
+    draw = F.md5(F.concat(F.coalesce(F.col(key_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
+    # What came in travels as one struct, so that no name of it can clash.
+    row = F.struct(*kept) if kept else F.struct(F.lit(None).cast("int").alias("_none"))
+    return docs.select(row.alias("_row"), key.alias("_key"), size_of(text_col).alias("_size"), draw.alias("_draw"))
+
+
+def _few(df: DataFrame, label: str) -> DataFrame:
+    """A table of a row for each source, written; broadcast if its checked size allows."""
+    held = common.materialise(df, label)
+    return F.broadcast(held) if held.count() <= MOST_BROADCAST else held
+
+
+def edges(slim: DataFrame, weights: tuple[int, ...], budget_share: float, max_epochs: int) -> DataFrame:
+    """A row for each ``_key``: size, target, whole repetitions, words beyond them (``_extra``) and where in the seeded order these end.
+
+    The edge is the group of rows of one hash and size (``_edge``, ``_edge_size``, ``_edge_rows``) before which ``_before`` words
+    lie.  It is below every hash if nothing is taken beyond whole repetitions, and above if all is.
+    """
+    source = F.when(F.col("_key") != "n", F.substr("_key", F.lit(2)))
+    sums = slim.groupBy("_key", F.substring("_draw", 1, SLICE_DIGITS).alias("_slice")).agg(F.sum("_size").alias("n"))
+    by_source = targets(sums.groupBy(source.alias("source")).agg(F.sum("n").alias("source_size")), weights, budget_share, max_epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    shares = by_source.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_key"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), whole.alias("_whole"))
+    shares = _few(shares.withColumn("_extra", F.round(F.col("_target") - F.col("_whole") * F.col("_source_size")).cast("long")), "mix-shares")
+
+    def holding(groups: DataFrame, rank: list[str]) -> DataFrame:
+        """Of the groups (``_key``, ``rank``, n) of each source, with ``_extra`` and ``_from`` (words before all of them), the one with the edge."""
+        run = W.partitionBy("_key").orderBy(*rank).rowsBetween(W.unboundedPreceding, -1)
+        placed = groups.withColumn("_before", F.col("_from") + F.coalesce(F.sum("n").over(run), F.lit(0)))
+        return placed.where((F.col("_before") <= F.col("_extra")) & (F.col("_extra") < F.col("_before") + F.col("n")))
+
+    first = holding(sums.join(shares.select("_key", "_extra"), "_key").withColumn("_from", F.lit(0)), ["_slice"])
+    first = _few(first.select("_key", "_slice", "_extra", F.col("_before").alias("_from")), "mix-slices")
+    inside = slim.withColumn("_slice", F.substring("_draw", 1, SLICE_DIGITS)).join(first, ["_key", "_slice"])
+    inside = inside.select("_key", "_draw", "_size", "_extra", "_from", F.substring("_draw", 1 + SLICE_DIGITS, SLICE_DIGITS).alias("_part"))
+    second = holding(inside.groupBy("_key", "_part", "_extra", "_from").agg(F.sum("_size").alias("n")), ["_part"])
+    second = _few(second.select("_key", "_part", F.col("_before").alias("_from")), "mix-parts")
+    last = inside.drop("_from").join(second, ["_key", "_part"]).groupBy("_key", "_draw", "_size", "_extra", "_from").agg(F.sum("_size").alias("n"), F.count("*").alias("_edge_rows"))
+    last = holding(last, ["_draw", "_size"]).select("_key", F.col("_draw").alias("_edge"), F.col("_size").alias("_edge_size"), "_edge_rows", "_before")
+    open_end = F.when(F.col("_extra") > 0, "~").otherwise("")
+    return _few(shares.join(last, "_key", "left").withColumn("_edge", F.coalesce("_edge", open_end)), "mix-edges")
+
+
+def _mix(rows: DataFrame, slim: DataFrame, weights: tuple[int, ...], budget_share: float, max_epochs: int) -> DataFrame:
+    cut = edges(slim, weights, budget_share, max_epochs)
+    joined = rows.join(cut, "_key")
+    at_edge = (F.col("_draw") == F.col("_edge")) & (F.col("_size") == F.col("_edge_size"))
+    at_edge = F.coalesce(at_edge, F.lit(False))
+    under = (F.col("_draw") < F.col("_edge")) | ((F.col("_draw") == F.col("_edge")) & (F.col("_size") < F.col("_edge_size")))
+    more = F.when(at_edge, F.col("_extra") - F.col("_before")).when(under, F.col("_size")).otherwise(F.lit(0))
+    own = ["size", "source_size", "target", "copies", "taken"]
+
+    def result(placed: DataFrame) -> DataFrame:
+        return placed.select(
+            *([] if "_none" in rows.schema["_row"].dataType.names else [F.col("_row").getField(n).alias(n) for n in rows.schema["_row"].dataType.names if n not in own]),
+            F.col("_size").alias("size"),
+            F.col("_source_size").alias("source_size"),
+            F.col("_target").alias("target"),
+            (F.col("_whole") + F.when((F.col("_size") > 0) & (F.col("_more") == F.col("_size")), 1).otherwise(0)).alias("copies"),
+            (F.col("_whole") * F.col("_size") + F.col("_more")).alias("taken"),
+        )
+
+    several = F.col("_edge_rows") > 1
+    if cut.where(several).limit(1).count() == 0:
+        return result(joined.withColumn("_more", more))
+    # Alike rows at an edge are numbered by partition, then within it; they are all that moves.
+    tied = common.materialise(joined.where(at_edge & several).withColumn("_nth", F.monotonically_increasing_id()), "mix-ties").withColumn("_read", F.shiftright("_nth", 33))
+    before = W.partitionBy("_key").orderBy("_read").rowsBetween(W.unboundedPreceding, -1)
+    counts = tied.groupBy("_key", "_read").agg(F.count("*").alias("c")).withColumn("_first", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
+    number = F.col("_first") + F.row_number().over(W.partitionBy("_key", "_read").orderBy("_nth")) - 1
+    left = F.col("_extra") - F.col("_before") - number * F.col("_size")
+    tied = tied.join(counts, ["_key", "_read"]).withColumn("_more", F.greatest(F.lit(0), F.least(F.col("_size"), left)))
+    others = joined.where(~(at_edge & F.coalesce(several, F.lit(False)))).withColumn("_more", more)
+    return result(others).unionByName(result(tied))
+
+
 def plan(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, carry: list[str] | None = None) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target``, ``copies`` (whole repetitions) and ``taken`` (words in all).
 
-    ``carry`` names the columns of ``docs`` that are wanted with it (all, if None); only those are shuffled.
+    ``carry`` names the columns of ``docs`` that are wanted with it (all, if None); without the text among them, texts are read once.
     """
-    own = ["size", "source_size", "target", "copies", "taken"]
-    kept = [c for c in docs.columns if c not in own and (carry is None or c in carry)]
-    key, source = F.col("_id"), F.col("_source")
-    draw = F.md5(F.concat(F.coalesce(F.col(key_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    # What came in travels as one struct, so that no name of it can clash.
-    rows = docs.select(F.struct(*kept).alias("_row"), F.col(key_col).alias("_id"), F.col(source_col).alias("_source"), size_of(text_col).alias("_size"), draw.alias("_draw")).withColumn("_slice", F.substring("_draw", 1, SLICE_DIGITS))
-    # A key without nulls: the join and the window below then share one deal.
-    rows = rows.withColumn("_key", F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n")))
-    slices = rows.groupBy("_key", F.col("_slice").alias("slice")).agg(F.sum("_size").alias("slice_size")).withColumn("source", F.when(F.col("_key") != "n", F.substr("_key", F.lit(2))))
-    by_source = targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, budget_share, max_epochs)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    over_slices = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    slices = slices.withColumn("earlier", F.coalesce(F.sum("slice_size").over(over_slices), F.lit(0)))
-    share = by_source.withColumn("whole", whole).withColumn("extra", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    slices = slices.withColumnRenamed("source", "_s").join(share, F.col("_s").eqNullSafe(F.col("source"))).select(
-        "_key", F.col("slice").alias("_slice"), F.col("earlier").alias("_earlier"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"), F.col("extra").alias("_extra")
-    )
-    joined = rows.join(slices, ["_key", "_slice"])
-    in_slice = W.partitionBy("_key", "_slice").orderBy("_draw", key.asc_nulls_first(), "_size").rowsBetween(W.unboundedPreceding, -1)
-    placed = joined.withColumn("_before", F.col("_earlier") + F.coalesce(F.sum("_size").over(in_slice), F.lit(0)))
-    more = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_extra") - F.col("_before")))
-    return placed.select(
-        "_row.*",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_whole") + F.when((F.col("_size") > 0) & (more == F.col("_size")), 1).otherwise(0)).alias("copies"),
-        (F.col("_whole") * F.col("_size") + more).alias("taken"),
-    )
+    kept = [c for c in docs.columns if carry is None or c in carry]
+    if text_col not in kept:
+        slim = common.materialise(measured(docs, key_col, text_col, source_col, seed, kept), "mix-sizes")
+        return _mix(slim, slim, weights, budget_share, max_epochs)
+    slim = common.materialise(measured(docs, key_col, text_col, source_col, seed, []), "mix-sizes")
+    return _mix(measured(docs, key_col, text_col, source_col, seed, kept), slim, weights, budget_share, max_epochs)
 
 
 def repeat(planned: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:

@@ -528,6 +528,20 @@ def test_mixing_small_sources(spark):
     check_mix(mixing.plan(clashing(spark.createDataFrame(rows, DOCS))).collect())
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_mixing_edge_among_rows_of_one_id(spark, monkeypatch, broadcast):
+    """A third of a source's rows has one id and size and the edge lies among them; texts differ."""
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", broadcast)
+    rows = [(None if i % 3 else i, f"{i} w" if i % 2 else "one two three", "en", "a" if i < 250 else "b", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    got = mixing.plan(docs).collect()
+    check_mix(got)
+    assert len(got) == 400 and {r["text"] for r in got} == {r[1] for r in rows}
+    slim = mixing.plan(docs, carry=["doc_id"]).collect()
+    key = lambda r: (r["doc_id"] or -1, r["size"], r["target"], r["taken"])
+    assert sorted(map(key, got)) == sorted(map(key, slim)) and not {"text", "source"} & set(slim[0].asDict())
+
+
 def test_mixing_odd_and_repeat(spark, odd):
     planned = mixing.plan(odd)
     check_mix(planned.collect())

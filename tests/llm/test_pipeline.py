@@ -1,7 +1,10 @@
 """The pipeline's stages against brute-force versions of them."""
 
+import random
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline as pipeline
 from millrace.llm import bpe, language_id, mixing, secrets
 from tests.llm import brute
@@ -28,18 +31,37 @@ def test_stages_are_named_and_keep_columns(spark):
 def test_language_stage(spark):
     docs = documents(spark)
     got = rows(pipeline.stage_language_id(spark, docs, SF))
-    judged = language_id.identify(docs, language_id.train(docs.where(~language_id.held_out()))).collect()
-    want = [tuple(r[c] for c in pipeline.COLUMNS) for r in judged if r["lang_pred"] != "und" and r["score"] >= pipeline.LEAST_SCORE]
+    net = language_id.train(docs.where(~language_id.held_out()))
+    judged = language_id.identify(docs, net).collect()
+    want = [tuple(r[c] for c in pipeline.COLUMNS) for r in judged if r["lang_pred"] != "und" and r["score"] >= pipeline.ABOVE_CHANCE / len(net.labels)]
     assert Counter(got) == Counter(want)
     clean = [r for r in rows(docs) if sum(c.isalpha() for c in r[1] or "") > 0.5 * len(r[1] or " ")]
     assert not set(clean) - set(got)
 
 
-def test_near_duplicate_stage(spark):
+def test_language_stage_with_few_and_many_labels(spark):
+    """The least score follows the number of labels: clean texts of two or of twenty languages stay."""
+    rng = random.Random(8)
+    for labels in (1, 2, 20):
+        alphabets = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 12)) for _ in range(labels)]
+        docs = [(i, " ".join("".join(rng.choices(alphabets[i % labels], k=6)) for _ in range(60)), f"l{i % labels:02}", "s", 0) for i in range(30 * labels)]
+        table = spark.createDataFrame([*docs, (10_000, "12 34 !", None, "s", 7)], DOCS)
+        assert Counter(rows(pipeline.stage_language_id(spark, table, SF))) == Counter(docs)
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_near_duplicate_stage(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(pipeline, "MOST_BROADCAST", broadcast)
     docs = [(i, t, "en", "s", len(t)) for i, t in near_copies(21)]
     got = rows(pipeline.stage_near_duplicates(spark, spark.createDataFrame(docs, DOCS), SF))
     part = brute.jaccard([(d[0], d[1]) for d in docs], 5, 80, 100)
-    assert Counter(got) == Counter(d for d in docs if part[d[0]][1] == d[0]) and 0 < len(got) < len(docs)
+    kept = [d for d in docs if part[d[0]][1] == d[0]]
+    assert Counter(got) == Counter(kept) and 0 < len(got) < len(docs)
+    # Repeated rows are one document, as are rows of one id with different texts: the least stands for them.
+    first = kept[0]
+    more = [*docs, first, (first[0], "z " + first[1], None, "s", 0), (None, first[1], "en", "s", 0), (None, first[1], "en", "s", 0)]
+    got = rows(pipeline.stage_near_duplicates(spark, spark.createDataFrame(more, DOCS).repartition(3), SF))
+    assert Counter(got) == Counter([*kept, *more[-2:]])
 
 
 def test_secret_stage(spark):
