@@ -2,11 +2,11 @@
 
 Three kinds of strong spans are found by pattern: ``assign``, ``access`` and ``hex``.  A credential often
 comes in parts that are weak evidence alone: an access identifier, a secret string and the endpoint they open.  The
-parts of a text are joined as intervals: two parts are linked if they lie in one *scope* (an unbroken
-paragraph) and at most ``REACH`` code points apart.  A weak part is reported only if a complementary part is
-linked to it: a bare secret needs an identifier, an identifier needs a secret, an endpoint needs both.
+text is cut into *scopes* (unbroken paragraphs), and the parts are joined with the scopes as intervals: two parts are linked if they lie
+in one scope, however far apart.  A weak part is reported only if a complementary part is linked to it: a bare secret needs an
+identifier, an identifier needs a secret, an endpoint needs both.
 
-The join is a sorted sweep over the parts of a text, linear in their number: no pairs are made.
+No part has a line break in it, so it lies in one scope, found by a binary search; the join is linear in parts and no pairs are made.
 
 Defined results
 ---------------
@@ -33,9 +33,6 @@ from millrace.llm import common
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "identifier", "bare_secret", "endpoint")
 
-#: Most code points between linked parts.
-REACH = 240
-
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
@@ -69,26 +66,10 @@ def _reach(spans: list[Span]) -> tuple[list[int], list[int]]:
     return [s[1] for s in ordered], ends
 
 
-def _near(spans: list[Span], others: list[Span], scopes: list[int]) -> list[Span]:
-    """Those ``spans`` that have one of the ``others`` in their scope and within reach.
-
-    ``others`` keep, for each scope, the running maximum of their ends, so one binary search answers a span.
-    """
-    if not spans or not others:
-        return []
-    begins, ends = _reach(others)
-    found = []
-    for span in spans:
-        scope = bisect_right(scopes, span[1])
-        low = max(scopes[scope - 1] if scope else 0, span[1] - REACH)
-        high = min(scopes[scope] if scope < len(scopes) else span[2] + REACH, span[2] + REACH)
-        # One that begins in reach after ``low``, or one that begins earlier in the scope and ends in reach.
-        at = bisect_left(begins, low)
-        if at < len(begins) and begins[at] <= high:
-            found.append(span)
-        elif at and ends[at - 1] > low:
-            found.append(span)
-    return found
+def _linked(spans: list[Span], others: list[Span], scopes: list[int]) -> list[Span]:
+    """Those ``spans`` that have one of the ``others`` in their scope; ``scopes`` are the starts of all scopes but the first."""
+    held = {bisect_right(scopes, s[1]) for s in others}
+    return [s for s in spans if bisect_right(scopes, s[1]) in held]
 
 
 def _mixed(text: str, start: int, end: int) -> bool:
@@ -114,11 +95,11 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     if not secrets or not identifiers:
         return []
     scopes = [m.end() for m in _BREAK.finditer(text)]
-    bare = _near(bare, identifiers, scopes)
+    bare = _linked(bare, identifiers, scopes)
     strong = [s for s in base if s[0] != "access"] + bare
-    names = _near(names, strong, scopes)
+    names = _linked(names, strong, scopes)
     ends = free([("endpoint", m.start(), m.end()) for m in _ENDPOINT.finditer(text)]) if "://" in text else []
-    ends = _near(_near(ends, strong, scopes), access + names, scopes)
+    ends = _linked(_linked(ends, strong, scopes), access + names, scopes)
     return bare + names + ends
 
 
