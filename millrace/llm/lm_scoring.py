@@ -1,17 +1,19 @@
 """Language-model scoring with a log-frequency Bloom filter (Talbot and Osborne, 2007).
 
-Training counts words and word pairs exactly, then keeps of each count only its level ``1 + floor(log2(count))``.  A
+Training counts words, word pairs and word triples exactly, then keeps of each count only its level ``1 + floor(log2(count))``.  A
 gram of level q is put into a Bloom filter q times, as (gram, 1) to (gram, q); reading probes (gram, 1), (gram, 2), ... until one is
-missing.  The filter gives the counts of an interpolated bigram model.
+missing.  The filter gives the counts of an interpolated model: each order's estimate is ``max(count - D, 0) / count of the
+context``, with the absolute discount ``D = n1 / (n1 + 2 n2)`` of its own counts of counts, mixed with the order below by a fixed weight.
+What the discount takes is given to no other word, so the model is sub-normalised.
 
-Counting is by blocks: each task folds a block of texts into sorted arrays of distinct hashes with counts, cut into
-buckets by hash; a bucket gathers its slices from all blocks.  A frequent word is one entry per block, so it makes no hot
-bucket.  Exact word counts go back to the blocks that hold the words, so the vocabulary is never collected or broadcast, and what
-travels is linear in the distinct words of the blocks.
+Counting is by blocks: each task folds a block of texts into sorted arrays of distinct hashes with counts.  Blocks are merged by a
+butterfly: hashes are cut into parts by their leading bits and blocks are put into groups of about 256; a node merges one part of
+one group.  At the next level nodes of 256 groups merge a part 256 times finer, and so on until one group is left.  So a node
+gets at most one entry for a word from each of its children, however often it occurs in the corpus: no node grows with the corpus, only
+the number of levels does, with its logarithm (one level up to 2 GB of text, two up to 512 GB).  Answers go back the same way.
 
-The filter is made of one segment per bucket, and a bucket holds a bounded share of the text.  So the filter grows with the
-corpus at ``BITS_PER_ITEM`` bits per entry and is nowhere in one piece: blocks send the distinct grams that they ask for to
-the buckets, each bucket probes its segment, and the levels go back to the blocks, which score their texts.
+The filter is made of one segment per part of the last level, ``BITS_PER_ITEM`` bits per entry, and is nowhere in one piece: each segment is
+probed where it is, for all grams that the blocks ask for, and the levels go back to the blocks, which score their texts.
 
 Defined results
 ---------------
@@ -21,12 +23,12 @@ Defined results
 * a null id hashes like the empty id (and so is a training row or not);
 * extra columns are ignored.
 
-Words are compared by 64-bit hashes; word pairs by 32 bits within a bucket.
+Words are compared by 64-bit hashes; longer grams by so many bits that about one in 500 meets another by chance.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,14 +39,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-#: Weight of the pair's estimate against the word's.
+#: Weight of an order's estimate against that of the order below, and the longest grams.
 LAMBDA = 0.6
+ORDER = 3
 BITS_PER_ITEM = 10
 PROBES = 4
-#: Text in one counting block, and text whose counts share a bucket on average.
+#: Text in one counting block; log2 of the blocks in a group and of the parts that a node cuts its hashes into.
 BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 32 << 20
-_LEAST_BUCKETS = 16
+FAN_BITS = 8
 _END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _LEVELS = 48
 
@@ -64,21 +66,28 @@ def token_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return stream, ends
 
 
-def shifted(stream: np.ndarray) -> np.ndarray:
-    """The token before each; an end stands before the first word of a text."""
-    out = np.empty_like(stream)
-    out[:1] = _END
-    out[1:] = stream[:-1]
-    return out
-
-
 def to_planes(values: np.ndarray) -> bytes:
-    """32-bit numbers, all first bytes before all second bytes and so on, which packs better."""
-    return values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Whole numbers in as few bytes as the largest needs, all first bytes before all second bytes and so on."""
+    wide = values.astype("<u8")
+    width = max(1, -(-int(wide.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + wide.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def from_planes(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
+    width = blob[0]
+    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").reshape(-1)
+
+
+def to_steps(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences."""
+    return to_planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def from_steps(blob: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(blob), dtype=np.uint64)
 
 
 # ---------------------------------------------------------------- the filter
@@ -170,28 +179,45 @@ def probed(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return held.levels(keys, np.zeros(len(keys), np.int64)).astype(np.uint8)
 
 
-def word_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+# ---------------------------------------------------------------- grams
 
 
-def pair_key(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(32-bit value, bucket) of a pair."""
-    return (hashes >> np.uint64(32)).astype(np.uint32), ((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+def gram_hashes(stream: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each n up to ``order``, the hash of the gram of n tokens that ends at each token; ends stand before a text."""
+    out, pad = [stream], np.array([_END])
+    for _ in range(1, order):
+        out.append(pair_hashes(before(out[-1], starts, pad[0]), stream))
+        pad = pair_hashes(pad, np.array([_END]))
+    return out
 
 
-def bloom_pair(value: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    return value.astype(np.uint64) | (bucket.astype(np.uint64) << np.uint64(32))
+def before(values: np.ndarray, starts: np.ndarray, first: np.generic | float) -> np.ndarray:
+    """The value of the token before each; ``first`` for the first token of a text."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[starts] = first
+    return out
+
+
+def key_bits(blocks: int) -> int:
+    """Bits by which grams of several words are compared: a block has under 2**22 grams, so about one in 2**9 meets another."""
+    return min(62, 31 + int(blocks).bit_length())
+
+
+def parts_of(keys: np.ndarray, bits: int, lead: int) -> np.ndarray:
+    """The part of each key of so many bits: its leading ones."""
+    return (keys >> np.uint64(bits - lead)).astype(np.int64)
 
 
 # ---------------------------------------------------------------- counting
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
     """(block id, stream, ends, training flags, rows) of blocks of texts; the id depends on the split and the order read."""
     nth, part = 0, TaskContext.get().partitionId()
     for batch in batches:
         data, offsets = common.text_buffers(batch.column(1))
-        for lo, hi in common.pieces(offsets, BLOCK_BYTES):
+        for lo, hi in common.pieces(offsets, block_bytes):
             for a in range(lo, hi, 32768):
                 b = min(hi, a + 32768)
                 streams, ends, base = [], [], 0
@@ -204,162 +230,204 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
                 nth += 1
 
 
-_COUNTED = "kind string, bucket long, block long, hashes binary, counts binary, stream binary, ids binary, nulls binary, trains binary, trained long"
-_KINDS = {"kind": pa.string(), "bucket": pa.int64(), "block": pa.int64(), "hashes": pa.binary(), "counts": pa.binary(), "stream": pa.binary(), "ids": pa.binary(), "nulls": pa.binary(), "trains": pa.binary(), "trained": pa.int64()}
-
-
 def _rows(items: list[dict], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x.get(k) for x in items], t) for k, t in kinds.items()], names=list(kinds))
 
 
-def count_words(docs: DataFrame, buckets: int) -> DataFrame:
-    """Two kinds of rows for each block of texts.
+_TEXT = {"block": pa.int64(), "hashes": pa.binary(), "counts": pa.binary(), "stream": pa.binary(), "ids": pa.binary(), "nulls": pa.binary(), "trains": pa.binary(), "trained": pa.int64()}
 
-    ``word``: per bucket the distinct word hashes and their counts in training texts.  ``text``: the words in order of
-    (bucket, hash), all texts as places in that order (one past it is the end), and what else is known of the texts.
-    """
+
+def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """One row for each block of texts: its distinct words in order with their training counts, all texts as places among
+    these (one past them is the end), and what else is known of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, stream, ends, train, rows in _blocks(batches):
+        for block, stream, ends, train, rows in _blocks(batches, block_bytes):
             inside = np.ones(len(stream), bool)
             inside[ends] = False
             distinct, local = np.unique(stream[inside], return_inverse=True)
-            bucket = word_bucket(distinct, buckets)
-            order = np.argsort(bucket, kind="stable")
-            distinct, bucket = distinct[order], bucket[order]
-            rank = np.empty_like(order)
-            rank[order] = np.arange(len(order))
             places = np.full(len(stream), len(distinct), np.uint32)
-            places[inside] = rank[local]
+            places[inside] = local
             taught = np.repeat(train, np.diff(np.append(-1, ends)))
-            counts = np.bincount(places[taught & inside], minlength=len(distinct)).astype(np.uint32)
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            found = [{"kind": "word", "bucket": int(b), "block": block, "hashes": distinct[edges[b] : edges[b + 1]].tobytes(), "counts": counts[edges[b] : edges[b + 1]].tobytes()} for b in np.flatnonzero(np.diff(edges))]
-            yield _rows(found, _KINDS)
+            counts = np.bincount(places[taught & inside], minlength=len(distinct))
             ids = rows.column(0)
-            own = {"kind": "text", "block": block, "hashes": distinct.tobytes(), "stream": to_planes(places), "ids": ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), "nulls": np.asarray(ids.is_null()).tobytes(), "trains": train.tobytes(), "trained": int(train.sum())}
-            yield _rows([own], _KINDS)
+            yield _rows([{"block": block, "hashes": to_steps(distinct), "counts": to_planes(counts), "stream": to_planes(places), "ids": ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), "nulls": np.asarray(ids.is_null()).tobytes(), "trains": train.tobytes(), "trained": int(train.sum())}], _TEXT)
 
-    return docs.mapInArrow(run, _COUNTED)
+    return docs.mapInArrow(run, "block long, hashes binary, counts binary, stream binary, ids binary, nulls binary, trains binary, trained long")
 
 
-_TOTALS = {"block": pa.int64(), "bucket": pa.int64(), "totals": pa.binary(), "levels": pa.binary(), "distinct": pa.int64(), "tokens": pa.int64()}
+_NODE = {"ord": pa.int32(), "child": pa.int64(), "part": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
+_NODE_TYPE = "ord int, child long, part long, keys binary, counts binary"
 
 
-def total_words(words: DataFrame, buckets: int) -> DataFrame:
-    """Global counts of each bucket and the levels in its filter segment, given back to every block in the order of its words."""
+def _cut(order: int, child: int, keys: np.ndarray, counts: np.ndarray, bits: int, lead: int) -> Iterator[pa.RecordBatch]:
+    """The entries of a node, a row for each of the parts that go on."""
+    part = parts_of(keys, bits, lead)
+    edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, np.int64)
+    found = [{"ord": order, "child": child, "part": int(part[a]), "keys": to_steps(keys[a:b]), "counts": to_planes(counts[a:b])} for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    if found:
+        yield _rows(found, _NODE)
 
-    def kernel(group: pa.RecordBatch) -> pa.RecordBatch:
-        bucket, block = group.column(0)[0].as_py(), group.column(1).to_pylist()
-        hashes = [np.frombuffer(x.as_py(), np.uint64) for x in group.column(2)]
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column(3)])
-        distinct, where = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(where, counts, len(distinct)).astype(np.int64)
-        levels = probed(distinct, total)
-        ends = np.cumsum([len(h) for h in hashes])
-        own = [where[e - len(h) : e] for h, e in zip(hashes, ends, strict=True)]
-        out = [{"block": b, "bucket": bucket, "totals": total[w].tobytes(), "levels": levels[w].tobytes()} for b, w in zip(block, own, strict=True)]
-        out[0] |= {"distinct": int((total > 0).sum()), "tokens": int(total.sum())}
-        return _rows(out, _TOTALS)
 
-    return common.map_runs(words.select("bucket", "block", "hashes", "counts"), ["bucket"], kernel, "block long, bucket long, totals binary, levels binary, distinct long, tokens long")
+def word_entries(texts: DataFrame, fan_bits: int) -> DataFrame:
+    """The words of every block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, hashes, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                yield from _cut(1, block, from_steps(hashes), from_planes(counts), 64, fan_bits)
+
+    return texts.select("block", "hashes", "counts").mapInArrow(run, _NODE_TYPE)
 
 
-def pair_keys(hashes: np.ndarray, places: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket (upper half) and 32-bit value of the pair that ends at each token of a block."""
-    stream = np.append(hashes, _END)[places]
-    return bloom_pair(*pair_key(pair_hashes(shifted(stream), stream), buckets))
+def _opened(hashes: bytes, stream: bytes, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(words, places, ends, grams) of a block."""
+    words, places = from_steps(hashes), from_planes(stream).astype(np.int64)
+    ends = np.flatnonzero(places == len(words))
+    tokens = np.append(words, _END)[places]
+    return words, places, ends, gram_hashes(tokens, np.append(0, ends[:-1] + 1), order)
 
 
-def pair_levels(texts: DataFrame, buckets: int) -> DataFrame:
-    """(block, bucket, pairs): levels of the distinct pairs of each block in the order of their keys, from the segments of the training texts' pairs."""
+def gram_entries(texts: DataFrame, order: int, bits: int, fan_bits: int) -> DataFrame:
+    """The grams of two words and more of every block; those of no training text are there with a count of 0, to be asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                block = batch.column(0)[i].as_py()
-                hashes, train = np.frombuffer(batch.column(1)[i].as_py(), np.uint64), np.frombuffer(batch.column(3)[i].as_py(), bool)
-                places = from_planes(batch.column(2)[i].as_py())
-                lengths = np.diff(np.append(-1, np.flatnonzero(places == len(hashes))))
-                # The last bit tells whether a training text has the pair here.
-                keys = (pair_keys(hashes, places, buckets) << np.uint64(1)) | np.repeat(train, lengths).astype(np.uint64)
-                keys.sort()
-                taught, keys = keys & np.uint64(1), keys >> np.uint64(1)
-                starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                counts, keys = np.add.reduceat(taught, starts).astype(np.uint32), keys[starts]
-                edges = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
-                filled = np.flatnonzero(np.diff(edges))
-                steps = [np.diff((keys[edges[b] : edges[b + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32), prepend=np.uint32(0)).tobytes() for b in filled]
-                counts = [counts[edges[b] : edges[b + 1]].tobytes() for b in filled]
-                yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int64()), pa.array([block] * len(filled), pa.int64()), common.binary_array(steps), common.binary_array(counts)], names=["bucket", "block", "steps", "counts"])
+                block, hashes, stream, train = (batch.column(k)[i].as_py() for k in range(4))
+                _, _, ends, grams = _opened(hashes, stream, order)
+                taught = np.repeat(np.frombuffer(train, bool), np.diff(np.append(-1, ends))).astype(np.uint64)
+                for n in range(2, order + 1):
+                    # The last bit tells whether a training text has the gram here.
+                    keys = ((grams[n - 1] >> np.uint64(64 - bits)) << np.uint64(1)) | taught
+                    keys.sort()
+                    seen, keys = keys & np.uint64(1), keys >> np.uint64(1)
+                    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                    yield from _cut(n, block, keys[starts], np.add.reduceat(seen, starts), bits, fan_bits)
+
+    return texts.select("block", "hashes", "stream", "trains").mapInArrow(run, _NODE_TYPE)
+
+
+def _merged(group: pa.RecordBatch) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray]:
+    """(children, places of each child's keys, distinct keys, their counts) of a node."""
+    column = lambda n: group.column(group.schema.get_field_index(n))
+    keys = [from_steps(x) for x in column("keys").to_pylist()]
+    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(where, np.concatenate([from_planes(x) for x in column("counts").to_pylist()]), len(distinct)).astype(np.int64)
+    ends = np.cumsum([len(k) for k in keys])
+    return column("child").to_pylist(), [where[e - len(k) : e] for k, e in zip(keys, ends, strict=True)], distinct, total
 
-    def kernel(group: pa.RecordBatch) -> pa.RecordBatch:
-        bucket = group.column(0)[0].as_py()
-        values = [np.cumsum(np.frombuffer(x.as_py(), np.uint32), dtype=np.uint32) for x in group.column(2)]
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column(3)])
-        ends = np.cumsum([len(v) for v in values])
-        distinct, where = np.unique(np.concatenate(values), return_inverse=True)
-        levels = probed(bloom_pair(distinct, np.full(len(distinct), bucket)), np.bincount(where, counts, len(distinct)))
-        given = [levels[where[e - len(v) : e]].tobytes() for v, e in zip(values, ends, strict=True)]
-        return pa.RecordBatch.from_arrays([group.column(1), group.column(0), common.binary_array(given)], names=["block", "bucket", "pairs"])
 
-    asked = texts.select("block", "hashes", "stream", "trains").mapInArrow(run, "bucket long, block long, steps binary, counts binary")
-    return common.map_runs(asked, ["bucket"], kernel, "block long, bucket long, pairs binary")
+_ANSWER = {"ord": pa.int32(), "child": pa.int64(), "part": pa.int64(), "totals": pa.binary(), "levels": pa.binary(), "distinct": pa.int64(), "tokens": pa.int64(), "ones": pa.int64(), "twos": pa.int64()}
+_ANSWER_TYPE = "ord int, child long, part long, totals binary, levels binary, distinct long, tokens long, ones long, twos long"
 
 
-def score_blocks(texts: DataFrame, totals: DataFrame, pairs: DataFrame, buckets: int, train_tokens: int, distinct: int, train_texts: int, weight: float) -> DataFrame:
-    """(id, train, n_tokens, sum_log, known, score) of every text, from what the buckets gave back to its block.
+def _given(order: int, part: int, children: list[int], places: list[np.ndarray], totals: np.ndarray | None, levels: np.ndarray) -> list[dict]:
+    return [{"ord": order, "child": c, "part": part, "totals": None if totals is None else to_planes(totals[w]), "levels": levels[w].astype(np.uint8).tobytes()} for c, w in zip(children, places, strict=True)]
+
+
+def answers(entries: DataFrame, blocks: int, bits: int, fan_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(answers, statistics by order).  For every block and part, levels of its grams (and, of words, exact totals) in the order of their keys.
+
+    The statistics are those of training grams: how many there are, how often they occur, and how many occur once and twice.
+    """
+
+    def up(level: int) -> Callable[[pa.RecordBatch], pa.RecordBatch | None]:
+        def kernel(group: pa.RecordBatch) -> pa.RecordBatch | None:
+            order, node = group.column(0)[0].as_py(), group.column(1)[0].as_py()
+            _, _, distinct, total = _merged(group)
+            return next(_cut(order, node, distinct, total, 64 if order == 1 else bits, (level + 1) * fan_bits), None)
+
+        return kernel
+
+    def top(group: pa.RecordBatch) -> pa.RecordBatch:
+        order, part = group.column(0)[0].as_py(), group.column(2)[0].as_py()
+        children, places, distinct, total = _merged(group)
+        out = _given(order, part, children, places, total if order == 1 else None, probed(distinct, total))
+        out[0] |= {"distinct": int((total > 0).sum()), "tokens": int(total.sum()), "ones": int((total == 1).sum()), "twos": int((total == 2).sum())}
+        return _rows(out, _ANSWER)
+
+    def down(group: pa.RecordBatch) -> pa.RecordBatch | None:
+        order, part = group.column(0)[0].as_py(), group.column(2)[0].as_py()
+        asked = group.filter(group.column(group.schema.get_field_index("keys")).is_valid())
+        told = group.filter(group.column(group.schema.get_field_index("keys")).is_null())
+        children, places, _, _ = _merged(asked)
+        rows = sorted((r for r in told.select(["sub", "totals", "levels"]).to_pylist()), key=lambda r: r["sub"])
+        totals = np.concatenate([from_planes(r["totals"]) for r in rows]) if order == 1 else None
+        return _rows(_given(order, part, children, places, totals, np.concatenate([np.frombuffer(r["levels"], np.uint8) for r in rows])), _ANSWER)
+
+    fan, layers, groups = 1 << fan_bits, [], blocks
+    while True:
+        groups = -(-groups // fan)
+        spread = F.pmod(F.xxhash64("child") if not layers else F.col("child"), F.lit(groups))
+        layers.append(entries.select("ord", spread.alias("node"), "part", "child", "keys", "counts"))
+        if groups <= 1:
+            break
+        entries = common.materialise(common.map_runs(layers[-1], ["ord", "node", "part"], up(len(layers)), _NODE_TYPE), "lm-nodes")
+    found = common.materialise(common.map_runs(layers[-1], ["ord", "node", "part"], top, _ANSWER_TYPE), "lm-answers")
+    stats = found.where(F.col("distinct").isNotNull()).select("ord", "distinct", "tokens", "ones", "twos")
+    for layer in reversed(layers[:-1]):
+        told = found.select("ord", F.col("child").alias("node"), F.shiftright("part", fan_bits).alias("part"), F.col("part").alias("sub"), "totals", "levels")
+        found = common.materialise(common.map_runs(layer.unionByName(told, allowMissingColumns=True), ["ord", "node", "part"], down, _ANSWER_TYPE), "lm-answers")
+    return found, stats.groupBy("ord").agg(*[F.sum(c).alias(c) for c in ("distinct", "tokens", "ones", "twos")])
+
+
+def discount(ones: int, twos: int) -> float:
+    return ones / (ones + 2 * twos) if ones else 0.0
+
+
+def score_blocks(texts: DataFrame, found: DataFrame, order: int, bits: int, train_tokens: int, distinct: int, train_texts: int, discounts: list[float], weight: float) -> DataFrame:
+    """(id, train, n_tokens, sum_log, known, score) of every text, from what was given back to its block.
 
     ``sum_log`` and ``known`` are sums over its words from exact counts; ``score`` is its log10 probability under the
-    interpolated bigram model, from levels.
+    interpolated model, from levels.
     """
 
     def kernel(group: pa.RecordBatch) -> pa.RecordBatch:
         parts = {n: group.column(group.schema.get_field_index(n)) for n in group.schema.names}
-        bucket = parts["bucket"].to_pylist()
-        info = bucket.index(None)
-        blob = lambda n, kind: np.frombuffer(parts[n][info].as_py(), kind)
-        order = sorted((b, i) for i, b in enumerate(bucket) if b is not None)
-        given = lambda n, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(parts[n][i].as_py(), kind) for _, i in order if parts[n][i].is_valid)])
-        hashes, places = blob("hashes", np.uint64), from_planes(parts["stream"][info].as_py())
-        ends = np.flatnonzero(places == len(hashes))
+        orders, at = parts["ord"].to_pylist(), parts["part"].to_pylist()
+        info = orders.index(None)
+        words, places, ends, grams = _opened(parts["hashes"][info].as_py(), parts["stream"][info].as_py(), order)
         starts = np.append(0, ends[:-1] + 1)
-        counts = np.append(given("totals", np.int64), 0)
-        uni = np.append(estimate(given("levels", np.uint8).astype(np.int64)), float(train_texts))[places]
-        context = np.append(float(train_texts), uni[:-1])
-        _, pair = np.unique(pair_keys(hashes, places, buckets), return_inverse=True)
-        joint = estimate(given("pairs", np.uint8).astype(np.int64))[pair]
-        ratio = np.minimum(1.0, joint / np.maximum(np.maximum(context, joint), 1.0))
-        p = weight * ratio + (1 - weight) * np.minimum(1.0, (uni + 1) / (train_tokens + distinct + 1))
+
+        def given(n: int, column: str, read: Callable[[bytes], np.ndarray]) -> np.ndarray:
+            rows = sorted((at[i], i) for i, o in enumerate(orders) if o == n)
+            return np.concatenate([np.zeros(0, np.int64), *(read(parts[column][i].as_py()).astype(np.int64) for _, i in rows)])
+
+        levels = lambda n: given(n, "levels", lambda b: np.frombuffer(b, np.uint8))
+        counts = np.append(given(1, "totals", from_planes), 0)
+        held = np.append(estimate(levels(1)), float(train_texts))[places]
+        p = np.minimum(1.0, (held + 1) / (train_tokens + distinct + 1))
+        for n in range(2, order + 1):
+            context = before(held, starts, float(train_texts))
+            _, which = np.unique(grams[n - 1] >> np.uint64(64 - bits), return_inverse=True)
+            held = estimate(levels(n))[which]
+            p = weight * np.maximum(held - discounts[n], 0.0) / np.maximum(np.maximum(context, held), 1.0) + (1 - weight) * p
         each = lambda values: pa.array(np.add.reduceat(values, starts))
-        ids = pa.array(blob("ids", np.int64), mask=blob("nulls", bool))
+        ids = pa.array(np.frombuffer(parts["ids"][info].as_py(), np.int64), mask=np.frombuffer(parts["nulls"][info].as_py(), bool))
         n_tokens = pa.array(np.diff(np.append(-1, ends)).astype(np.int64))
-        return pa.RecordBatch.from_arrays([ids, pa.array(blob("trains", bool)), n_tokens, each(np.log10(counts + 1)[places]), each((counts > 0).astype(np.int64)[places]), each(np.log10(p))], names=["id", "train", "n_tokens", "sum_log", "known", "score"])
+        train = pa.array(np.frombuffer(parts["trains"][info].as_py(), bool))
+        return pa.RecordBatch.from_arrays([ids, train, n_tokens, each(np.log10(counts + 1.0)[places]), each((counts > 0).astype(np.int64)[places]), each(np.log10(p))], names=["id", "train", "n_tokens", "sum_log", "known", "score"])
 
-    every = texts.select("block", "hashes", "stream", "ids", "nulls", "trains")
-    for more in (totals.select("block", "bucket", "totals", "levels"), pairs):
-        every = every.unionByName(more, allowMissingColumns=True)
+    every = texts.select("block", "hashes", "stream", "ids", "nulls", "trains").unionByName(found.select(F.col("child").alias("block"), "ord", "part", "totals", "levels"), allowMissingColumns=True)
     return common.map_runs(every, ["block"], kernel, "id long, train boolean, n_tokens long, sum_log double, known long, score double")
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", weight: float = LAMBDA) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", weight: float = LAMBDA, order: int = ORDER, block_bytes: int = BLOCK_BYTES, fan_bits: int = FAN_BITS) -> DataFrame:
     """(id, in_training, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``; ``train`` marks the rows to learn from."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(_LEAST_BUCKETS, size // BUCKET_BYTES)
-
-    counted = common.materialise(count_words(source, buckets), "lm-blocks", ("kind",))
-    texts = counted.where(F.col("kind") == "text")
-    totals = common.materialise(total_words(counted.where(F.col("kind") == "word"), buckets), "lm-words")
-    common.release(spark)
-    numbers = totals.agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()
-    train_texts = int(texts.agg(F.coalesce(F.sum("trained"), F.lit(0)).alias("t")).first()["t"])
-    train_tokens = int(numbers["n"]) + train_texts
-    distinct = int(numbers["v"]) + (train_texts > 0)
-    pairs = common.materialise(pair_levels(texts, buckets), "lm-pairs")
+    texts = common.materialise(blocks_of(source, block_bytes), "lm-blocks")
+    held = texts.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("trained"), F.lit(0)).alias("t")).first()
+    bits, train_texts = key_bits(held["blocks"]), int(held["t"])
+    entries = common.materialise(word_entries(texts, fan_bits).unionByName(gram_entries(texts, order, bits, fan_bits)), "lm-entries")
+    found, stats = answers(entries, held["blocks"], bits, fan_bits)
     common.release(spark)
-    scored = score_blocks(texts, totals, pairs, buckets, train_tokens, distinct, train_texts, weight)
+    known = {r["ord"]: r for r in stats.collect()}  # one row for each order
+    train_tokens = (known[1]["tokens"] if 1 in known else 0) + train_texts
+    distinct = (known[1]["distinct"] if 1 in known else 0) + (train_texts > 0)
+    discounts = [discount(known[n]["ones"], known[n]["twos"]) if n in known else 0.0 for n in range(order + 1)]
+    scored = score_blocks(texts, found, order, bits, train_tokens, distinct, train_texts, discounts, weight)
     whole = float(np.log10(train_tokens + distinct + 1))
     end = float(np.log10(train_texts + 1))
     return scored.select(

@@ -70,20 +70,26 @@ def lm_base(docs):
     return {k: (bucket(k, 7) == 2, len(s), sum(train[w] > 0 for w in s), n, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in s)) for k, s in streams.items()}
 
 
-def lm_score(docs, train, weight=0.6):
-    """log10 probabilities under the interpolated bigram model, with no filter: each count is the middle of its level."""
+def lm_score(docs, train, weight=0.6, order=3):
+    """log10 probabilities under the interpolated model, with no filter: each count is the middle of its level."""
     middle = lambda n: (3 * 2 ** (n.bit_length() - 1) - 1) / 2 if n else 0.0
-    streams = {k: [None, *words(t), None] for k, t in docs}
+    streams = {k: [None] * (order - 1) + [*words(t), None] for k, t in docs}
+    grams = lambda s, n: (tuple(s[i - n + 1 : i + 1]) for i in range(order - 1, len(s)))
     taught = [s for k, s in streams.items() if train(k)]
-    uni, pairs = Counter(w for s in taught for w in s[1:]), Counter(p for s in taught for p in zip(s, s[1:]))
-    n, v = sum(uni.values()), len(uni)
-    one = lambda w: uni[w] if w is None else middle(uni[w])
-
-    def p(a, b):
-        joint = middle(pairs[a, b])
-        return weight * joint / max(one(a), joint, 1.0) + (1 - weight) * min(1.0, (one(b) + 1) / (n + v + 1))
-
-    return {k: sum(math.log10(p(a, b)) for a, b in zip(s, s[1:])) for k, s in streams.items()}
+    counts = {n: Counter(g for s in taught for g in grams(s, n)) for n in range(1, order + 1)}
+    ones, twos = ({n: sum(v == c for v in counts[n].values()) for n in counts} for c in (1, 2))
+    total, distinct = sum(counts[1].values()), len(counts[1])
+    held = lambda g: float(len(taught)) if set(g) == {None} else middle(counts[len(g)][g])
+
+    def p(g):
+        out = min(1.0, (held(g[-1:]) + 1) / (total + distinct + 1))
+        for n in range(2, order + 1):
+            own, context = middle(counts[n][g[-n:]]), held(g[-n:-1])
+            less = ones[n] / (ones[n] + 2 * twos[n]) if ones[n] else 0.0
+            out = weight * max(own - less, 0.0) / max(context, own, 1.0) + (1 - weight) * out
+        return out
+
+    return {k: sum(math.log10(p(g)) for g in grams(s, order)) for k, s in streams.items()}
 
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

@@ -276,16 +276,24 @@ def test_log_frequency_filter():
     assert len(lm_scoring.segment(keys, counts, 1024)) == 1024
 
 
-def test_lm_score_whatever_the_number_of_grams(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "MOST_FILTER_BYTES", (1 << 12, 1 << 12), raising=False)  # a bound, if there is one, binds here
+@pytest.mark.parametrize("blocks", [{}, {"block_bytes": 1 << 13, "fan_bits": 2}])
+def test_lm_score_whatever_the_number_of_grams(spark, blocks):
+    """Scores near those of exact counts; with a small fan many blocks are merged over several levels."""
     rng = random.Random(8)
     docs = [(i, " ".join(f"w{int(rng.paretovariate(0.4)) % 20_000}" for _ in range(200))) for i in range(400)]
-    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), F.col("doc_id") % 5 != 0).collect()}
+    docs += [(400, None), (401, ""), (402, docs[5][1]), (403, docs[6][1] + " end")]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), F.col("doc_id") % 5 != 0, **blocks).collect()}
     want = brute.lm_score(docs, lambda k: k % 5 != 0)
-    error = [abs(got[k] - want[k]) / 201 for k, _ in docs]
+    error = [abs(got[k] - want[k]) / (len(brute.words(t)) + 1) for k, t in docs]
     assert np.mean(error) < 0.02 and max(error) < 0.06
 
 
+def test_planes():
+    for values in ([], [0], [5, 5, 9], [1, 1 << 20, 1 << 63]):
+        v = np.array(values, np.uint64)
+        assert (lm_scoring.from_planes(lm_scoring.to_planes(v)) == v).all() and (lm_scoring.from_steps(lm_scoring.to_steps(v)) == v).all()
+
+
 # ---------------------------------------------------------------- 5 tokens
 
 
