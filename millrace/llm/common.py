@@ -70,6 +70,11 @@ def clean(spark: SparkSession) -> int:
     return len(paths)
 
 
+def few(df: DataFrame, most: int) -> DataFrame:
+    """A written table, broadcast in joins if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps: they go once the garbage of the driver is collected."""
     for _ in range(2):
@@ -325,17 +330,18 @@ class BoundedFilter:
         self.words = words
 
     @classmethod
-    def of(cls, df: DataFrame, column: str) -> BoundedFilter:
+    def of(cls, df: DataFrame, column: str, hashed: bool = False) -> BoundedFilter:
+        """Of the values of a column, or of a long column that is itself a hash."""
         rows = df.agg(F.count("*")).first()[0]
         size = 1 << min(cls.MOST_BITS.bit_length() - 7, max(10, int(16 * rows // 64).bit_length()))
-        h = F.xxhash64(column)
-        bits = df.select(F.pmod(F.shiftright(h, 6), F.lit(size)).alias("word"), F.expr(f"shiftleft(1L, cast(xxhash64(`{column}`) & 63 as int))").alias("bit"))
+        h = F.col(column) if hashed else F.xxhash64(column)
+        bits = df.select(h.alias("h")).select(F.pmod(F.shiftright("h", 6), F.lit(size)).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
         got = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
         words = np.zeros(size, np.uint64)
         words[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
         return cls(words)
 
     def admits(self, hashes: np.ndarray) -> np.ndarray:
-        """For ``xxhash64`` of the values (int64): whether each may be in the column."""
+        """For the hashes (int64, ``xxhash64`` of the values unless ``hashed``): whether each may be in the column."""
         word = (hashes >> 6) % np.int64(len(self.words))
         return (self.words[word] >> (hashes & 63).astype(np.uint64)) & np.uint64(1) == 1

@@ -10,10 +10,14 @@ grouping at most ``d`` groups differ, and they must agree on one of the first ``
 fixed order (the prefix principle).  Texts that agree on such a group meet under the smallest id that has it (its *hub*), and every
 hub's texts form one R-tree.  Routing loses no pair: it is a pigeonhole argument, not a sample.
 
-Steps: route, equal sets of a batch but once; link each text with the hub it shares most groups with, if
-bound and verification agree; then, for hubs whose texts are still in several components, search the R-trees for pairs
-across components; last, fold equal sets.  Trees larger than ``BLOCK`` texts are cut into blocks, and each pair of blocks is a task of its own.  Only
-links between components matter to the result, so pairs inside a component are not made.
+The principle holds for any fixed order, so groups that very many texts have (lines that unrelated texts share) come last in it: groups
+on which more than ``BLOCK`` texts meet, and those that so many of these texts have at all, are put into a filter, and the texts they are
+routed by are routed again with what the filter admits behind everything else.  They meet there only if they have too few other groups.
+
+Steps: route, equal sets but once; link each text with the hub it shares most groups with, if their sets allow;
+then, for hubs whose texts are still in several components, search the R-trees for pairs across components; last, fold equal
+sets.  In hubs of more than ``BLOCK`` texts those outside the largest component are cut into blocks and meet all blocks; pairs of texts
+within the largest component are not looked at, as only links between components matter to the result.
 
 Defined results
 ---------------
@@ -33,6 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +51,10 @@ LEAF = 16
 #: Growth of the size classes that share a grouping.
 CLASS_STEP = 1.3
 _GROUP_BITS = (6, 16)
+#: Texts of at most so many shingles are routed by single shingles: they have too few groups of several.
+SINGLE = 32
+#: Most rows of a table that is broadcast (three longs each at most).
+MOST_BROADCAST = 500_000
 
 
 # ---------------------------------------------------------------- routing
@@ -70,11 +79,12 @@ def size_classes(most: int) -> np.ndarray:
     return np.array(out + [max(out[-1] + 1, int(out[-1] * CLASS_STEP))])
 
 
-def route_tokens(hashes: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def route_tokens(hashes: np.ndarray, sizes: np.ndarray, num: int, den: int, last: common.BoundedFilter | None = None, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, counts per text): the groups on which a text may meet a similar one.
 
     ``hashes`` holds the distinct shingles of the texts one after another, ``sizes`` their numbers.  Two texts with
-    ``den * |A n B| >= num * |A u B|`` share a token.
+    ``den * |A n B| >= num * |A u B|`` share a token, if both are routed with the same ``last`` or have no token that it admits.
+    Tokens that it admits come last in the order.  With ``every``, all groups of the texts and not only the first.
     """
     texts = len(sizes)
     bounds = size_classes(int(sizes.max(initial=1)))
@@ -96,26 +106,31 @@ def route_tokens(hashes: np.ndarray, sizes: np.ndarray, num: int, den: int) -> t
         lower += 1
     tokens: list[list[np.ndarray]] = [[] for _ in range(texts)]
     for text, cls, differ in slots:
-        groups = np.maximum(1, np.ceil((bounds[cls + 1] - 1) / load)).astype(np.int64)
-        base = np.cumsum(groups) - groups
         count = sizes[text]
-        at = np.repeat(first[text] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        h = hashes[at]
-        key = ((h >> np.uint64(33)) % np.repeat(groups, count).astype(np.uint64)).astype(np.int64) + np.repeat(base, count)
+        single = bounds[cls + 1] - 1 <= SINGLE
+        groups = np.where(single, count, np.maximum(1, np.ceil((bounds[cls + 1] - 1) / load)).astype(np.int64))
+        base = np.cumsum(groups) - groups
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        h = hashes[np.repeat(first[text], count) + nth]
+        key = np.where(np.repeat(single, count), nth, ((h >> np.uint64(33)) % np.repeat(groups, count).astype(np.uint64)).astype(np.int64)) + np.repeat(base, count)
         total = int(groups.sum())
         content = np.zeros(total, np.uint64)
         np.add.at(content, key, common.mix64(h ^ np.uint64(0x5DEECE66D)))
         held = np.bincount(key, minlength=total)
-        which = np.arange(total) - np.repeat(base, groups)
+        which = np.where(np.repeat(single, groups), 0, np.arange(total) - np.repeat(base, groups))
         mark = common.mix64(content + which.astype(np.uint64) * np.uint64(0x9E3779B1) + np.repeat(cls, groups).astype(np.uint64) * np.uint64(0x85EBCA77C2B2AE3D))
         # Fuller groups first: they meet by chance least.
         ranked = ((255 - np.minimum(held, 255)).astype(np.uint64) << np.uint64(56)) | (mark >> np.uint64(8))
+        common_ = np.zeros(total, bool) if last is None else last.admits(ranked.view(np.int64))
         for k, t in enumerate(text):
-            mine = ranked[base[k] : base[k] + groups[k]]
-            mine = mine[held[base[k] : base[k] + groups[k]] > 0]
-            mine.sort()
+            own_groups = slice(base[k], base[k] + groups[k])
+            mine = ranked[own_groups][held[own_groups] > 0]
             d = int(differ[k])
-            tokens[t].append(mine[: d + 1])
+            if last is None:
+                mine.sort()
+            else:
+                mine = mine[np.lexsort((mine, common_[own_groups][held[own_groups] > 0]))]
+            tokens[t].append(mine if every else mine[: d + 1])
             if len(mine) <= d:  # too few groups for the principle: such texts of a class all meet
                 tokens[t].append((np.uint64(0xFF) << np.uint64(56)) | (common.mix64(np.array([cls[k]], np.uint64)) >> np.uint64(8)))
     flat = [x for own_tokens in tokens for x in own_tokens]
@@ -142,10 +157,19 @@ def _ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(values, kind))
 
 
-def profiles(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
-    """(id, n, h1, h2, tokens): set size, digest of the set and routing tokens of every text; equal sets of a batch have tokens once."""
+def profiles(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, only: common.BoundedFilter | None = None, last: common.BoundedFilter | None = None, every: bool = False) -> DataFrame:
+    """(id, n, h1, h2, tokens): set size, digest of the set and routing tokens of every text; equal sets of a batch have tokens once.
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+    ``only`` limits it to the ids that a filter admits; see ``route_tokens`` for ``last`` and ``every``.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((only, last))
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        only, last = shared.value
+        if only is not None:
+            batch = batch.filter(pa.array(only.admits(batch.column(2).to_numpy())))
+            if not batch.num_rows:
+                return None
         data, offsets = common.text_buffers(batch.column(1))
         sizes, h1, h2, tokens, counts = [], [], [], [], []
         for lo, hi in common.pieces(offsets):
@@ -157,12 +181,12 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, width: int, num: int,
                 if len(filled):
                     sums[filled] = np.add.reduceat(values, begin)
                 out.append(sums)
-            got, count = route_tokens(hashes, n, num, den)
+            got, count = route_tokens(hashes, n, num, den, last, every)
             sizes.append(n)
             tokens.append(got)
             counts.append(count)
-        every = lambda parts: np.concatenate(parts).view(np.int64)
-        a, b, routes, count = every(h1), every(h2), every(tokens), np.concatenate(counts)
+        joined = lambda parts: np.concatenate(parts).view(np.int64)
+        a, b, routes, count = joined(h1), joined(h2), joined(tokens), np.concatenate(counts)
         # Of equal sets in a batch one with an id is routed; the fold brings the others to its component.
         valid = np.flatnonzero(batch.column(0).is_valid())
         _, leaders = np.unique(np.stack([a, b], axis=1)[valid], axis=0, return_index=True)
@@ -171,7 +195,9 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, width: int, num: int,
         routes, count = routes[np.repeat(leads, count)], np.where(leads, count, 0)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(a), pa.array(b), _ragged(routes, count, pa.int64())], names=["id", "n", "h1", "h2", "tokens"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("long")).alias("hash"))
+    if only is not None:
+        source = source.where(F.col("id").isNotNull())
     return common.map_arrow(source, kernel, "id long, n long, h1 long, h2 long, tokens array<long>")
 
 
@@ -204,18 +230,29 @@ def pack_set(hashes: np.ndarray) -> bytes:
     return (hashes >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def read_set(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).reshape(-1)
+def read_sets(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sizes) of a column of packed sets."""
+    data, offsets = common.text_buffers(blobs)
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = data.reshape(-1, 6)
+    return out.view(np.uint64).reshape(-1), np.diff(offsets) // 6
+
 
+def shared_counts(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of two columns of sets: hashes with their row in the upper 16 bits, sorted, meet as neighbours.
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two ascending sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
+    Sets hold 48 bits of each hash; rows are taken 65,536 at a time.
+    """
+    out = np.zeros(len(na), np.int64)
+    ends_a, ends_b = np.append(0, np.cumsum(na)), np.append(0, np.cumsum(nb))
+    for lo in range(0, len(na), 1 << 16):
+        hi = min(len(na), lo + (1 << 16))
+        owner = np.arange(hi - lo, dtype=np.uint64) << np.uint64(48)
+        both = np.concatenate([a[ends_a[lo] : ends_a[hi]] | np.repeat(owner, na[lo:hi]), b[ends_b[lo] : ends_b[hi]] | np.repeat(owner, nb[lo:hi])])
+        both.sort()
+        twice = both[1:][both[1:] == both[:-1]]
+        out[lo:hi] = np.bincount((twice >> np.uint64(48)).astype(np.int64), minlength=hi - lo)
+    return out
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
@@ -314,21 +351,77 @@ def tree_pairs(blobs: list[bytes], sizes: np.ndarray, left: np.ndarray, right: n
 # ---------------------------------------------------------------- the join
 
 
-def _sharing(made: DataFrame, met: DataFrame) -> DataFrame:
-    """(doc, token) of the tokens that may be in ``met``; most texts have none, and they leave here without a shuffle."""
-    shared = made.sparkSession.sparkContext.broadcast(common.BoundedFilter.of(met, "token"))
+def _tokens(routed: DataFrame, admitted: common.BoundedFilter | None = None) -> DataFrame:
+    """(doc, token) of the tokens that the filter admits; others leave here without a shuffle."""
+    rows = routed.where(F.size("tokens") > 0).select("id", "tokens")
+    if admitted is None:
+        return rows.select(F.col("id").alias("doc"), F.explode("tokens").alias("token"))
+    shared = routed.sparkSession.sparkContext.broadcast(admitted)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokens, hashes = batch.column(1), batch.column(2)
-        counts = tokens.value_lengths().to_numpy()
-        keep = shared.value.admits(hashes.flatten().to_numpy())
-        owner = np.repeat(np.arange(batch.num_rows), counts)[keep]
+        tokens = batch.column(1)
+        keep = shared.value.admits(tokens.flatten().to_numpy())
+        owner = np.repeat(np.arange(batch.num_rows), tokens.value_lengths().to_numpy())[keep]
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), tokens.flatten().filter(pa.array(keep))], names=["doc", "token"])
 
-    rows = made.where(F.size("tokens") > 0).select("id", "tokens", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
     return common.map_arrow(rows, kernel, "doc long, token long")
 
 
+def _outside(rows: DataFrame, column: str, admitted: common.BoundedFilter, hashed: bool) -> DataFrame:
+    """The rows whose key the filter does not admit."""
+    shared = rows.sparkSession.sparkContext.broadcast(admitted)
+    names = rows.columns
+    keyed = rows.withColumn("_hash", F.col(column) if hashed else F.xxhash64(column))
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(~shared.value.admits(batch.column(len(names)).to_numpy()))).select(names)
+
+    return common.map_arrow(keyed, kernel, rows.schema)
+
+
+def _leaders(made: DataFrame) -> DataFrame:
+    """The routed rows, each set but once in the whole table: a set that was routed in several batches keeps its smallest id."""
+    key = ["n", "h1", "h2"]
+    rows = made.where(F.size("tokens") > 0)
+    several = rows.groupBy(*key).agg(F.min("id").alias("least"), F.count("*").alias("c")).where(F.col("c") > 1).drop("c")
+    more = common.materialise(rows.select("id", *key).join(several, key).where(F.col("id") != F.col("least")).select("id", *key).distinct(), "shingle-copies")
+    return rows.join(common.few(more, MOST_BROADCAST), ["id", *key], "left_anti").select("id", "tokens")
+
+
+def _meetings(tokens: DataFrame) -> DataFrame:
+    """(token, hub, m): tokens of several texts, the smallest of these and their number."""
+    met = tokens.groupBy("token").agg(F.min("doc").alias("hub"), F.max("doc").alias("last"), F.count("*").alias("m"))
+    return met.where(F.col("hub") < F.col("last")).select("token", "hub", "m")
+
+
+def _routes(docs: DataFrame, made: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(routed texts with their tokens, meetings), after tokens on which more than ``most`` texts meet went to the end of the order."""
+    routed = _leaders(made)
+    met = common.materialise(_meetings(_tokens(routed)), "shingle-tokens")
+    common.release(made.sparkSession)
+    often = met.where(F.col("m") > most).select("token")
+    if often.limit(1).count() == 0:
+        return routed, met
+    # Of the texts with such a token, all groups that very many of them have.
+    held = lambda tokens: common.BoundedFilter.of(_tokens(routed, common.BoundedFilter.of(tokens, "token", hashed=True)).select("doc").distinct(), "doc")
+    full = profiles(docs, id_col, text_col, width, num, den, only=held(often), every=True)
+    widely = _tokens(full).groupBy("token").count().where(F.col("count") > most).select("token")
+    often = common.materialise(often.unionByName(widely).distinct(), "shingle-frequent")
+    last = common.BoundedFilter.of(often, "token", hashed=True)
+    # Every text that is routed by a token at the end of the order is routed anew; the others keep their tokens.
+    again = held(often)
+    fresh = common.materialise(profiles(docs, id_col, text_col, width, num, den, only=again, last=last), "shingle-profiles")
+    moved = _leaders(fresh)
+    stayed = _outside(routed, "id", again, False)
+    before = _tokens(routed.join(moved.select("id"), "id", "left_semi"))
+    touched = common.BoundedFilter.of(before.unionByName(_tokens(moved)).select("token").distinct(), "token", hashed=True)
+    routed = common.materialise(stayed.unionByName(moved), "shingle-routed")
+    kept = _outside(met, "token", touched, True)
+    met = common.materialise(kept.unionByName(_meetings(_tokens(routed, touched))), "shingle-tokens")
+    common.release(made.sparkSession)
+    return routed, met
+
+
 def _sets_of_active(docs: DataFrame, shared: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """Sets and points of the texts that are routed to a hub, and of few others; texts are not shuffled for it."""
     active = docs.sparkSession.sparkContext.broadcast(common.BoundedFilter.of(shared.select("doc").distinct(), "doc"))
@@ -342,24 +435,30 @@ def _sets_of_active(docs: DataFrame, shared: DataFrame, id_col: str, text_col: s
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) whose shingle sets reach the threshold; the bound is tried first."""
+    """The (a, b) whose shingle sets reach the threshold.
+
+    An ``a`` of very many pairs is dealt out: its set goes to as many places as its pairs fill.
+    """
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        need = num * (batch.column(2).to_numpy() + batch.column(3).to_numpy())
+        sizes = pc.add(pc.binary_length(batch.column(4)), pc.binary_length(batch.column(5))).to_numpy()
         keep = []
-        for i in range(batch.num_rows):
-            pa_, pb = read_point(batch.column(4)[i].as_py(), int(na[i])), read_point(batch.column(5)[i].as_py(), int(nb[i]))
-            bits = min(group_bits(int(na[i])), group_bits(int(nb[i])))
-            need = num * (int(na[i]) + int(nb[i]))
-            bound = int(np.minimum(folded(pa_, bits), folded(pb, bits)).sum())
-            if bound * (den + num) >= need and overlap(read_set(batch.column(6)[i].as_py()), read_set(batch.column(7)[i].as_py())) * (den + num) >= need:
-                keep.append(i)
-        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"]) if keep else None
-
-    one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"), F.col("shingles").alias("sb"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "pa", "pb", "sa", "sb")
+        for lo, hi in common.pieces(np.append(0, np.cumsum(sizes))):
+            one, two = (read_sets(batch.column(k)[lo:hi]) for k in (4, 5))
+            keep.append(shared_counts(*one, *two) * (den + num) >= need[lo:hi])
+        keep = pa.array(np.concatenate(keep))
+        return pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    pairs = common.materialise(pairs, "shingle-pairs")
+    many = common.materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("places")).where(F.col("places") > 1), "shingle-places")
+    many = common.few(many, MOST_BROADCAST)
+    place = F.coalesce(F.pmod(F.xxhash64("b"), F.col("places")).cast("int"), F.lit(0))
+    pairs = pairs.join(many, "a", "left").select("a", "b", place.alias("place"))
+    one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")).join(many, "a", "left")
+    one = one.withColumn("place", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("places"), F.lit(1)) - 1))).drop("places")
+    two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    joined = pairs.join(one, ["a", "place"]).join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
     return common.map_arrow(joined, kernel, "a long, b long")
 
 
@@ -374,11 +473,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     slim = made.select("id", "n", "h1", "h2")
 
     # Routing: texts that share a token, with the smallest text that has it.
-    routed = made.select(F.col("id").alias("doc"), F.explode("tokens").alias("token"))
-    met = routed.groupBy("token").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where(F.col("hub") < F.col("last")).select("token", "hub")
-    met = common.materialise(met, "shingle-tokens")
-    common.release(spark)
-    shared = common.materialise(_sharing(made, met).join(met, "token").groupBy("hub", "doc").agg(F.count("*").alias("tokens")), "shingle-routes")
+    routed, met = _routes(docs, made, id_col, text_col, width, num, den, block)
+    admitted = common.BoundedFilter.of(met, "token", hashed=True)
+    shared = common.materialise(_tokens(routed, admitted).join(met.select("token", "hub"), "token").groupBy("hub", "doc").agg(F.count("*").alias("tokens")), "shingle-routes")
     common.release(spark)
 
     sets = common.materialise(_sets_of_active(docs, shared, id_col, text_col, width), "shingle-sets")
@@ -390,10 +487,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
     # Hubs whose texts are still apart: their trees are searched across components.
     placed = shared.select("hub", "doc").join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    split = placed.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where(F.col("lo") < F.col("hi"))
-    split = split.select("hub", F.when(F.col("m") > block, F.ceil(F.col("m") / (block // 2))).otherwise(F.lit(1)).cast("int").alias("blocks"))
-    cells = placed.join(split, "hub").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    size = placed.groupBy("hub", "component").agg(F.count("*").alias("m")).groupBy("hub").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.max("m").alias("most"), F.max_by("component", "m").alias("main"))
+    # In a large hub its largest component is cut into blocks that only the rest meets; in others all are the rest.
+    large = F.col("m") > block
+    blocks = lambda n: F.ceil(n / max(1, block // 2)).cast("int")
+    split = size.where(F.col("parts") > 1).select(
+        "hub",
+        F.when(large, F.col("main")).alias("main"),
+        F.when(large, blocks(F.col("m") - F.col("most"))).otherwise(F.lit(1)).alias("rests"),
+        F.when(large, blocks(F.col("most"))).otherwise(F.lit(0)).alias("mains"),
+    )
+    split = common.few(common.materialise(split, "shingle-splits"), MOST_BROADCAST)
+    cells = placed.join(split, "hub").withColumn("is_main", F.coalesce(F.col("component") == F.col("main"), F.lit(False)))
+    among = F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))
+    cells = cells.withColumn("own", (F.pmod(F.xxhash64("doc"), among) + F.when(F.col("is_main"), F.col("rests")).otherwise(F.lit(0))).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rests") + F.when(F.col("is_main"), F.lit(0)).otherwise(F.col("mains")) - 1)))
     cells = cells.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component")
     cells = cells.join(sets.select(F.col("id").alias("doc"), "n", "point"), "doc").select("hub", "i", "j", "own", "doc", "component", "n", "point")
 

@@ -84,8 +84,7 @@ def measured(docs: DataFrame, key_col: str, text_col: str, source_col: str, seed
 
 def _few(df: DataFrame, label: str) -> DataFrame:
     """A table of a row for each source, written; broadcast if its checked size allows."""
-    held = common.materialise(df, label)
-    return F.broadcast(held) if held.count() <= MOST_BROADCAST else held
+    return common.few(common.materialise(df, label), MOST_BROADCAST)
 
 
 def edges(slim: DataFrame, weights: tuple[int, ...], budget_share: float, max_epochs: int) -> DataFrame:

@@ -409,6 +409,68 @@ def test_routing_loses_no_pair(threshold):
         assert set(tokens[: counts[0]].tolist()) & set(tokens[counts[0] :].tolist())
 
 
+def test_routing_with_frequent_groups_last():
+    """The principle holds whatever set of groups goes to the end of the order, also between texts routed before and after."""
+    rng = np.random.default_rng(16)
+    for _ in range(300):
+        n = int(rng.choice([1, 2, 5, 13, 30, 33, 90, 400]))
+        a = set(common.mix64(rng.integers(0, 1 << 60, n).astype(np.uint64)).tolist())
+        b = set(a)
+        for _ in range(int(rng.integers(0, max(2, n // 6)))):
+            b.discard(next(iter(b))) if rng.random() < 0.5 and len(b) > 1 else b.add(int(rng.integers(1 << 62)))
+        if 100 * len(a & b) < 85 * len(a | b):
+            continue
+        sets = [np.array(sorted(s), np.uint64) for s in (a, b)]
+        every = [jaccard_join.route_tokens(s, np.array([len(s)]), 85, 100, every=True)[0].view(np.int64) for s in sets]
+        words = np.zeros(1 << 10, np.uint64)
+        for t in rng.choice(every[0], int(rng.integers(0, len(every[0]) + 1))):
+            words[(t >> 6) % len(words)] |= np.uint64(1) << np.uint64(t & 63)
+        last = common.BoundedFilter(words)
+        routes = []
+        for s in sets:
+            first, again = (jaccard_join.route_tokens(s, np.array([len(s)]), 85, 100, last=x)[0].view(np.int64) for x in (None, last))
+            routes.append(set((again if last.admits(first).any() else first).tolist()))
+        assert routes[0] & routes[1]
+
+
+def largest_meeting(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = jaccard_join.profiles(docs, "doc_id", "text", 4, 85, 100).cache()
+    _, met = jaccard_join._routes(docs, made, "doc_id", "text", 4, 85, 100, 64)
+    return met.agg(F.max("m")).first()[0] or 1
+
+
+def test_meetings_do_not_grow_with_the_corpus(spark):
+    """Unrelated texts with a line in common, and short unrelated texts."""
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(1 << 40)}"
+    line = [word() for _ in range(15)]
+    for n in (500, 2000):
+        texts = [" ".join([*(word() for _ in range(30)), *line]) for _ in range(n)] + [" ".join(word() for _ in range(rng.randrange(6, 10))) for _ in range(n)]
+        assert largest_meeting(spark, texts) <= 64
+
+
+def test_many_copies_under_one_line(spark):
+    """Families of near copies that share a line with everything: hubs of several components, cut into blocks."""
+    rng = random.Random(18)
+    word = lambda: f"w{rng.randrange(200)}"
+    line = [word() for _ in range(12)]
+    docs = []
+    for size in (60, 40, 1, 1, 9, 1):
+        base = [*(word() for _ in range(40)), *line]
+        for _ in range(size):
+            own = list(base)
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(40)] = word()
+            docs.append(" ".join(own))
+    docs += docs[:20]
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    for block in (8, 32):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), block=block).collect()}
+        assert got == brute.jaccard(docs)
+
+
 def test_count_tree_bound():
     rng = np.random.default_rng(7)
     points = rng.poisson(2, (300, 64)).astype(np.uint8)
