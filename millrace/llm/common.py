@@ -7,6 +7,7 @@ bytes outside ``0x20, 0x09-0x0D`` with A-Z lower-cased; a null text counts as em
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -15,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,22 +39,28 @@ _SHINGLE_BASE = np.uint64(0xD1342543DE82EF95)
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (a single-machine test) a temporary folder takes its place.
+    Only where the session names none and runs on a single machine (a test) a temporary folder takes its place.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        held = spark.sparkContext.getCheckpointDir()
-        root = held if held else f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def written(path: str) -> None:
+    """Remember a folder for ``clean``."""
+    _WRITTEN.append(path)
+
+
 def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back; cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    written(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -70,6 +78,20 @@ def clean(spark: SparkSession) -> int:
     return len(paths)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
+def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """(file system, path in it) of a qualified path, for reading and writing from Python tasks: any store that Arrow can open."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
+
+
 def few(df: DataFrame, most: int) -> DataFrame:
     """A written table, broadcast in joins if it has at most ``most`` rows."""
     return F.broadcast(df) if df.count() <= most else df

@@ -7,8 +7,9 @@ rows that tie with it the smallest ids: each task keeps at most as many ties as
 final ranking reduces to the exact answer.
 
 Queries are taken in blocks of at most ``QUERY_BLOCK``; only such a block (a fixed number of vectors) is broadcast, and
-only its thresholds come back to the driver.  Candidates stay where they are read, so a group of equal vectors,
-however large, neither moves nor meets in one task.
+only its thresholds come back to the driver.  The answers of a block are written before the next one is taken, so neither plans nor
+broadcasts pile up.  Scoring a block against a candidate costs far more than reading the candidate, so reading them again for
+each block is no loss.  Candidates stay where they are read, so a group of equal vectors, however large, neither moves nor meets in one task.
 
 Components are quantised to ``floor(scale * x)``, so scores are integers and selection is exact.
 
@@ -17,26 +18,30 @@ Defined results
 * vectors that are null or hold null or non-finite components take no part, nor do rows with a null id;
 * vectors of different lengths are not compared; a vector of no components scores 0 with its like;
 * fewer than k candidates: all of them; ties: the smaller id; rows that repeat a candidate's id and vector keep
-  their own ranks; a query's own id is never its candidate; a query given twice is answered once;
+  their own ranks; a query's own id is never its candidate; a query given twice is answered once, with
+  the least of its usable vectors;
 * components so large that scores may be beyond 2**61 raise ``ValueError``;
 * extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from millrace.llm import common
+
 QUERY_BLOCK = 4096
 BINS = 512
 SCALE = 256
 K = 5
+ANSWER = "query_id long, rank int, vec_id long, score long"
 _MOST_SCORE = 2.0**61
 _TOO_LARGE = "scores may be beyond 2**61 and do not fit"
 #: Scores held at once in a task.
@@ -90,7 +95,7 @@ def _tiles(batch: pa.RecordBatch, queries: dict[int, tuple[np.ndarray, np.ndarra
             yield positions, cand[a : a + step], scores, cand[a : a + step][None] != query_ids[:, None]
 
 
-def _histograms(vectors: DataFrame, block: dict, low: np.ndarray, width: np.ndarray, scale: int) -> DataFrame:
+def _histograms(vectors: DataFrame, block: dict, low: np.ndarray, width: np.ndarray, scale: int) -> pa.Table:
     """(query, bin, n): scores of each query by bin; bin b covers ``low + b * width`` onward, what lies above the last counts in bin BINS."""
     shared = vectors.sparkSession.sparkContext.broadcast((block, low, width))
 
@@ -109,7 +114,9 @@ def _histograms(vectors: DataFrame, block: dict, low: np.ndarray, width: np.ndar
             yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[q, b])], names=["query", "bin", "n"])
 
     counted = vectors.mapInArrow(run, "query int, bin int, n long")
-    return counted.groupBy("query", "bin").agg(F.sum("n").alias("n"))
+    got = counted.groupBy("query", "bin").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
+    return got
 
 
 def _refine(vectors: DataFrame, block: dict, count: int, biggest: float, k: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +134,7 @@ def _refine(vectors: DataFrame, block: dict, count: int, biggest: float, k: int,
     open_ = np.ones(count, bool)
     while True:
         table = np.zeros((count, BINS + 1), np.int64)
-        got = _histograms(vectors, block, low, width, scale).toArrow()
+        got = _histograms(vectors, block, low, width, scale)
         if got.num_rows:
             table[got["query"].to_numpy(), got["bin"].to_numpy()] = got["n"].to_numpy()
         above = table[:, ::-1].cumsum(axis=1)[:, ::-1]  # scores in this bin or a higher one
@@ -151,8 +158,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
     wanted_rows = queries.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     finite = F.transform(F.col("vector"), lambda x: F.when(F.abs(x.cast("double")) < float("inf"), F.abs(x.cast("double"))))
     biggest = candidates.select(F.max(F.array_max(finite)).alias("m")).first()["m"] or 0.0
-    wanted_rows = wanted_rows.dropDuplicates(["id"])
-    result = None
+    usable = F.forall("vector", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    wanted_rows = wanted_rows.where(usable).groupBy("id").agg(F.min("vector").alias("vector"))
+    path = f"{common.shared_dir(spark)}/top-k-{uuid.uuid4().hex}"
+    common.written(path)
     last = None
     while True:
         # The next block of queries by id: a bounded number of vectors.
@@ -162,18 +171,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
             break
         last = int(got["id"][-1].as_py())
         rows, found = quantise(got["vector"], scale)
-        if len(rows):
-            block = _by_length(got["id"].to_numpy()[rows], found)
-            part = _answers(candidates, block, len(rows), biggest, k, scale)
-            result = part if result is None else result.unionByName(part)
+        block = _by_length(got["id"].to_numpy()[rows], found)
+        _write_answers(candidates, block, len(rows), biggest, k, scale, path)
         if got.num_rows < query_block:
             break
-    if result is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return result
+    if last is None:
+        return spark.createDataFrame([], ANSWER)
+    return spark.read.schema(ANSWER).parquet(path)
 
 
-def _answers(candidates: DataFrame, block: dict, count: int, biggest: float, k: int, scale: int) -> DataFrame:
+def _write_answers(candidates: DataFrame, block: dict, count: int, biggest: float, k: int, scale: int, path: str) -> None:
     threshold, ties = _refine(candidates, block, count, biggest, k, scale)
     shared = candidates.sparkSession.sparkContext.broadcast((block, threshold, ties))
 
@@ -197,7 +204,9 @@ def _answers(candidates: DataFrame, block: dict, count: int, biggest: float, k:
 
     found = candidates.mapInArrow(run, "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+    shared.destroy()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
