@@ -180,12 +180,34 @@ def test_token_scan_any_cut(spark):
 def test_token_files(spark, tmp_path, odd, encoding):
     (tmp_path / "a.bin").write_bytes(np.array([1, 2, 50256, 3, 50256, 50256, 9], "<u2").tobytes())
     (tmp_path / "b.bin").write_bytes(b"")
-    got = token_counts.scan(token_counts.read_flat(spark, str(tmp_path), block_tokens=2)).orderBy("ordinal").collect()
+    got = token_counts.scan_files(token_counts.flat_files(spark, str(tmp_path)), block_tokens=2).orderBy("ordinal").collect()
     assert [(r["ordinal"], r["n_tokens"]) for r in got] == [(0, 2), (1, 1), (2, 0), (3, 1)]
-    blocks, places = token_counts.pack(odd, block_tokens=64)
-    found = token_counts.scan(blocks).join(places, ["file", "ordinal"]).collect()
+    files, places = token_counts.pack(clashing(odd))
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
-    assert sorted(((r["id"], r["n_tokens"]) for r in found), key=key) == sorted(((k, len(bpe.codec().encode(t))) for k, t, *_ in ODD), key=key)
+    for block_tokens in (token_counts.BLOCK_TOKENS, 64):
+        found = token_counts.scan_files(files, block_tokens=block_tokens).join(places, ["file", "ordinal"]).collect()
+        assert sorted(((r["id"], r["n_tokens"]) for r in found), key=key) == sorted(((k, len(bpe.codec().encode(t))) for k, t, *_ in ODD), key=key)
+    files, places = token_counts.pack(odd.limit(0))
+    assert token_counts.scan_files(files).count() == places.count() == 0
+
+
+def test_token_file_of_many_ranges(spark, tmp_path):
+    """One file over many ranges and stretches, cut at every offset; odd bytes at its end are no token."""
+    rng = np.random.default_rng(19)
+    lengths = [int(n) for n in rng.choice([0, 1, 2, 9, 50, 4000], 3000)]
+    stream = np.concatenate([np.append(np.ones(n, "<u4"), 7).astype("<u4") for n in lengths] + [np.ones(5, "<u4")])
+    (tmp_path / "one.bin").write_bytes(stream.tobytes() + b"\x07\0\0")
+    for block_tokens in (137, 1 << 12, 1 << 24):
+        got = token_counts.scan_files(token_counts.flat_files(spark, str(tmp_path)), separator=7, token_type="<u4", block_tokens=block_tokens).orderBy("ordinal").collect()
+        assert [r["n_tokens"] for r in got] == [*lengths, 5] and [r["ordinal"] for r in got] == list(range(len(lengths) + 1))
+
+
+def test_token_blocks_repeated_or_without_a_place(spark):
+    blob = lambda *x: np.array(x, "<u2").tobytes()
+    end = token_counts.END_OF_DOCUMENT
+    rows = [("f", 0, blob(1, 1), "x"), ("f", 1, blob(1, end, 2), "x"), ("f", 1, blob(1, end, 2), "y"), ("f", 1, blob(1, end, 2, 2), "z"), (None, 0, blob(5, end), "x"), ("g", None, blob(end), "x"), ("h", 3, None, None)]
+    df = spark.createDataFrame(rows, "file string, block long, tokens binary, stretch string").withColumn("n", F.lit("clash"))
+    assert sorted(tuple(r) for r in token_counts.scan(df).collect()) == [("f", 0, 3), ("f", 1, 1)]
 
 
 # ---------------------------------------------------------------- 3 embeddings
@@ -341,6 +363,15 @@ def test_top_k(spark, block):
     assert len({x[0] for x in got}) == len(set(queries))
 
 
+def test_top_k_query_of_one_id_and_several_vectors(spark):
+    """The least usable vector of an id is the query, however rows are dealt."""
+    rows = [(50, [2.0, 0.0]), (50, [1.0, 3.0]), (50, [0.5, None]), (50, None), (1, [0.0, 9.0]), (2, [9.0, 0.0])]
+    for n in (1, 3):
+        df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(n))
+        got = topk.search(df, df.where(F.col("vec_id") == 50), k=1).collect()
+        assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(50, 1, 3 * 9 * 256 * 256)]
+
+
 def test_top_k_odd(spark):
     nan = float("nan")
     rows = [(0, [1.0, 1.0]), (50, [1.0, 1.0]), (51, [nan, 1.0]), (52, None), (53, [1.0, None]), (54, [1.0, 1.0, 1.0]), (55, [-1.0, 0.3]), (None, [1.0, 1.0]), (100, []), (150, [])]
