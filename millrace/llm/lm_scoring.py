@@ -420,7 +420,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     texts = common.materialise(blocks_of(source, block_bytes), "lm-blocks")
     held = texts.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("trained"), F.lit(0)).alias("t")).first()
     bits, train_texts = key_bits(held["blocks"]), int(held["t"])
-    entries = common.materialise(word_entries(texts, fan_bits).unionByName(gram_entries(texts, order, bits, fan_bits)), "lm-entries")
+    # Made again from the blocks where they are read twice: they are larger than what they are made from.
+    entries = word_entries(texts, fan_bits).unionByName(gram_entries(texts, order, bits, fan_bits))
     found, stats = answers(entries, held["blocks"], bits, fan_bits)
     common.release(spark)
     known = {r["ord"]: r for r in stats.collect()}  # one row for each order
