@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,75 +16,78 @@ MOST_DEPTH = 24
 
 
 def line_diff(old: list[str], new: list[str]) -> list[tuple[str, str]]:
-    """Edit script: (' ', line), ('-', line) and ('+', line), removals before additions within a change."""
-    out: list[tuple[str, str]] = []
-    # A work list in reverse order, so a region's parts come out in sequence.
-    work: list[tuple[list[str], list[str], int]] = [(old, new, 0)]
+    """Edit script: (' ', line), ('-', line) and ('+', line), removals before additions within a change.
+
+    What both sides begin and end with is kept.  Between, a longest common subsequence is kept, additions going first where it can go either way;
+    a region of more than ``MOST_CELLS`` is split at a line that is unique on both sides, else it is one replaced block.
+    """
+    head = 0
+    while head < min(len(old), len(new)) and old[head] == new[head]:
+        head += 1
+    back = 0
+    while back < min(len(old), len(new)) - head and old[-1 - back] == new[-1 - back]:
+        back += 1
+    number: dict[str, int] = {}
+    a, b = (np.array([number.setdefault(x, len(number)) for x in lines[head : len(lines) - back]], np.int64) for lines in (old, new))
+    kept: list[tuple[int, int]] = []
+    # A work list in reverse order, so a region's parts come out in sequence: (begin and end of both sides, depth).
+    work = [(0, len(a), 0, len(b), 0)]
     while work:
-        a, b, depth = work.pop()
-        head = 0
-        while head < min(len(a), len(b)) and a[head] == b[head]:
-            head += 1
-        back = 0
-        while back < min(len(a), len(b)) - head and a[-1 - back] == b[-1 - back]:
-            back += 1
-        out += [(" ", x) for x in a[:head]]
-        kept = a[len(a) - back :]
-        x, y = a[head : len(a) - back], b[head : len(b) - back]
-        if back and (x or y):
-            work += [(kept, kept, depth), (x, y, depth)]
-        elif back:
-            out += [(" ", k) for k in kept]
-        elif not x or not y:
-            out += [("-", k) for k in x] + [("+", k) for k in y]
-        elif (len(x) + 1) * (len(y) + 1) <= MOST_CELLS:
-            out += _aligned(x, y)
-        else:
-            pivot = _anchor(x, y) if depth < MOST_DEPTH else None
-            if pivot is None:
-                out += [("-", k) for k in x] + [("+", k) for k in y]
-            else:
-                i, j = pivot
-                work += [(x[i + 1 :], y[j + 1 :], depth + 1), (x[i : i + 1], y[j : j + 1], depth + 1), (x[:i], y[:j], depth + 1)]
-    return out
-
-
-def _anchor(a: list[str], b: list[str]) -> tuple[int, int] | None:
-    """A line that is unique on both sides, nearest the middle of the first."""
+        i, i_end, j, j_end, depth = work.pop()
+        if (i_end - i) * (j_end - j) <= MOST_CELLS:
+            kept += [(i + x, j + y) for x, y in _common(a[i:i_end], b[j:j_end])]
+        elif depth < MOST_DEPTH and (pivot := _anchor(a[i:i_end].tolist(), b[j:j_end].tolist())) is not None:
+            x, y = i + pivot[0], j + pivot[1]
+            # The pivot is a region of one equal line.
+            work += [(x + 1, i_end, y + 1, j_end, depth + 1), (x, x + 1, y, y + 1, depth + 1), (i, x, j, y, depth + 1)]
+    out, i, j = [(" ", x) for x in old[:head]], 0, 0
+    for x, y in [*kept, (len(a), len(b))]:
+        out += [("-", k) for k in old[head + i : head + x]] + [("+", k) for k in new[head + j : head + y]]
+        if x < len(a):
+            out.append((" ", old[head + x]))
+        i, j = x + 1, y + 1
+    return out + [(" ", x) for x in old[len(old) - back :]]
+
+
+def _anchor(a: list[int], b: list[int]) -> tuple[int, int] | None:
+    """A line that is unique on both sides, nearest the middle of the first, the earlier of two."""
     once_a, once_b = Counter(a), Counter(b)
     place = {x: j for j, x in enumerate(b) if once_b[x] == 1}
-    found = [(abs(2 * i - len(a)), i, place[x]) for i, x in enumerate(a) if once_a[x] == 1 and x in place]
+    found = [(abs(i - len(a) // 2), i, place[x]) for i, x in enumerate(a) if once_a[x] == 1 and x in place]
     return min(found)[1:] if found else None
 
 
-def _aligned(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """Longest common subsequence by the classic table."""
+def _common(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, from a table of suffix lengths that is filled by diagonals."""
     n, m = len(a), len(b)
-    table = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = table[i], table[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
+    table = np.zeros((n + 1, m + 1), np.int32)
+    for k in range(n + m - 2, -1, -1):
+        i = np.arange(max(0, k - m + 1), min(n, k + 1))
+        j = k - i
+        table[i, j] = np.where(a[i] == b[j], table[i + 1, j + 1] + 1, np.maximum(table[i + 1, j], table[i, j + 1]))
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i] == b[j]:
-            out.append((" ", a[i]))
+    while i < n and j < m:
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif i < n and (j == m or table[i + 1][j] >= table[i][j + 1]):
-            out.append(("-", a[i]))
-            i += 1
-        else:
-            out.append(("+", b[j]))
+        elif table[i, j + 1] >= table[i + 1, j]:
             j += 1
+        else:
+            i += 1
     return out
 
 
+def lines_of(text: str | None) -> list[str]:
+    """Lines with either ending; a null text is the empty text, one empty line."""
+    return (text or "").replace("\r\n", "\n").split("\n")
+
+
 def diff_texts(pairs: DataFrame, old: str, new: str) -> DataFrame:
-    """``pairs`` with ``added``, ``deleted`` and ``script`` (one line per kept, removed or added line); null is empty."""
+    """``pairs`` with ``added``, ``deleted`` and ``script`` (one line per kept, removed or added line); null is the empty text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            scripts = [line_diff((o or "").split("\n") if o else [], (n or "").split("\n") if n else []) for o, n in zip(frame[old], frame[new], strict=True)]
+            scripts = [line_diff(lines_of(o), lines_of(n)) for o, n in zip(frame[old], frame[new], strict=True)]
             frame["added"] = [sum(k == "+" for k, _ in s) for s in scripts]
             frame["deleted"] = [sum(k == "-" for k, _ in s) for s in scripts]
             frame["script"] = ["\n".join(k + x for k, x in s) for s in scripts]

@@ -33,8 +33,18 @@ def prefix(sites: DataFrame, entries: DataFrame, uid: str, name: str, most: int
     parts = F.split(F.col(name), r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))
     keyed = entries.where(F.col(name).isNotNull()).select(F.col(name).alias("_name"), F.explode(F.array_distinct(prefixes)).alias("_uid"))
-    found = sites.select(uid).distinct().join(keyed, F.col(uid) == F.col("_uid"), "left")
-    return found.groupBy(uid).agg(F.count("_name").alias("n"), F.array_join(F.slice(F.sort_array(F.collect_list("_name")), 1, most), ",").alias("names"))
+    asked = sites.select(F.col(uid).alias("_site")).distinct()
+    held = keyed.join(asked, F.col("_uid") == F.col("_site"), "left_semi")
+    counts = held.groupBy("_uid").agg(F.count("*").alias("n"))
+    listed = first_of(held, ["_uid"], ["_name"], most).groupBy("_uid").agg(F.array_join(F.sort_array(F.collect_list("_name")), ",").alias("names"))
+    found = asked.join(counts, F.col("_site") == F.col("_uid"), "left").drop("_uid").join(listed, F.col("_site") == F.col("_uid"), "left")
+    return found.select(F.col("_site").alias(uid), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("names", F.lit("")).alias("names"))
+
+
+def first_of(df: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows of each group: a group limit, of which each task passes on no more than that."""
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rn", nth).where(F.col("_rn") <= most).drop("_rn")
 
 
 def missing(expected: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,7 +69,10 @@ def resolve(names: DataFrame, symbols: DataFrame, query: str, container: str | N
     asked = names.select(F.col(query).alias("asked"), (F.col(container) if container else F.lit(None).cast("string")).alias("_within")).distinct()
     hit = asked.join(symbols, F.col("asked") == F.col("name"), "left")
     good = F.col("id").isNotNull() & (F.col("_within").isNull() | tx.is_suffix_of(F.col("_within"), F.coalesce("container", F.lit(""))))
-    grouped = hit.groupBy("asked", "_within").agg(F.count_if(good).alias("n"), F.slice(F.sort_array(F.collect_list(F.when(good, F.col("id").cast("string")))), 1, listed).alias("_ids"))
+    counted = hit.groupBy("asked", "_within").agg(F.count_if(good).alias("n"))
+    first = first_of(hit.where(good).select("asked", "_within", F.col("id").cast("string").alias("id")), ["asked", "_within"], ["id"], listed)
+    first = first.groupBy(F.col("asked").alias("_a"), F.col("_within").alias("_w")).agg(F.sort_array(F.collect_list("id")).alias("_ids"))
+    grouped = counted.join(first, (F.col("asked") == F.col("_a")) & F.col("_within").eqNullSafe(F.col("_w")), "left").withColumn("_ids", F.coalesce("_ids", F.array().cast("array<string>")))
     status = F.when(F.col("n") == 0, "missing").when(F.col("n") == 1, "ok").when(F.col("n") > saturated, "saturated").otherwise("ambiguous")
     found = grouped.select("asked", "_within", status.alias("status"), "n", F.array_join("_ids", ",").alias("ids"))
     lead = lambda c: F.lower(F.left(c, F.lit(3)))
@@ -70,9 +83,13 @@ def resolve(names: DataFrame, symbols: DataFrame, query: str, container: str | N
     return found.join(gone, "asked", "left").select("asked", "status", "n", "ids", F.coalesce("near", F.lit("")).alias("near"))
 
 
-def member_walk(paths: DataFrame, members: DataFrame, path: str, start_type: str, most: int = 8) -> DataFrame:
-    """Walk dotted member paths through (type, member, member_type); ``resolved`` and the first ``broken`` segment."""
-    walk = paths.withColumn("_parts", F.split(F.col(path), r"\.")).withColumn("_type", F.col(start_type)).withColumn("broken", F.lit(None).cast("string"))
+def member_walk(paths: DataFrame, members: DataFrame, path: str, start_type: str, most: int = 8, ends: str | None = None) -> DataFrame:
+    """Walk dotted member paths through (type, member, member_type); ``resolved`` and the first ``broken`` segment.
+
+    A path that is longer than ``most`` and not broken within it is not told: ``resolved`` is null.  With ``ends``, the type that the walk
+    ends at is a column of that name.
+    """
+    walk = paths.withColumn("_parts", F.filter(F.split(F.col(path), r"\."), lambda x: x != "")).withColumn("_type", F.col(start_type)).withColumn("broken", F.lit(None).cast("string"))
     table = members.select(F.col("type").alias("_mt"), F.col("member").alias("_mm"), F.col("member_type").alias("_mr")).dropDuplicates(["_mt", "_mm"])
     for depth in range(1, most + 1):
         part = F.try_element_at("_parts", F.lit(depth))
@@ -80,7 +97,8 @@ def member_walk(paths: DataFrame, members: DataFrame, path: str, start_type: str
         stuck = F.col("broken").isNull() & F.col("_part").isNotNull() & F.col("_mm").isNull()
         walk = walk.withColumn("broken", F.when(stuck, F.col("_part")).otherwise(F.col("broken")))
         walk = walk.withColumn("_type", F.when(F.col("_part").isNotNull(), F.col("_mr")).otherwise(F.col("_type"))).drop("_mt", "_mm", "_mr", "_part")
-    return walk.select(*paths.columns, F.col("broken").isNull().alias("resolved"), "broken")
+    resolved = F.when(F.col("broken").isNotNull(), False).when(F.size("_parts") <= most, True)
+    return walk.select(*paths.columns, resolved.alias("resolved"), "broken", *([F.col("_type").alias(ends)] if ends else []))
 
 
 def pickaxe(versions: DataFrame, key: str, order: str, count: Column) -> DataFrame:

@@ -50,9 +50,13 @@ def table(docs: DataFrame, columns: list[str], id_col: str, text_col: str) -> Da
 
 
 def headers(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The header names found, for refusing an unknown column with what there is."""
-    first = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x: tx.trim_any(x)), lambda x: F.startswith(x, F.lit("|")) & (F.length(x) > 1))
-    return docs.select(id_col, F.explode(F.slice(first, 1, 1)).alias("header"))
+    """(id, header): the lower-cased names in the first line of every table, for refusing an unknown column with what there is."""
+    trimmed = F.transform(F.split(F.col(text_col), "\n"), lambda x: tx.trim_any(x))
+    is_row = lambda x: F.startswith(x, F.lit("|")) & (F.length(x) > 1)
+    rows = docs.where(F.col(text_col).isNotNull()).select(id_col, trimmed.alias("_l"))
+    firsts = F.filter("_l", lambda x, i: is_row(x) & ((i == 0) | ~F.coalesce(is_row(F.get("_l", i - 1)), F.lit(False))))
+    cells = lambda line: F.transform(F.split(F.regexp_replace(line, r"^[|]|(?<!\\)[|]$", ""), _UNESCAPED), lambda c: F.lower(F.replace(tx.trim_any(c), F.lit("\\|"), F.lit("|"))))
+    return rows.select(id_col, F.explode(F.flatten(F.transform(firsts, cells))).alias("header")).distinct()
 
 
 def sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

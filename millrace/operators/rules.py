@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -26,7 +26,7 @@ def resx_missing(entries: DataFrame) -> DataFrame:
     files = entries.where(F.col("culture").isNotNull()).select("family", "path", "culture").distinct()
     wanted = neutral.join(files, "family")
     gone = wanted.join(text.where(F.col("culture").isNotNull()).select("path", "name"), ["path", "name"], "left_anti")
-    return _finding(gone, "RESX001", "path", "name", F.concat(F.lit("no "), "culture", F.lit(" value")))
+    return _finding(gone, "RESX001", "path", "name", F.concat("culture", F.lit(": untranslated")))
 
 
 def _paired(entries: DataFrame) -> DataFrame:
@@ -49,42 +49,42 @@ def resx_placeholders(entries: DataFrame) -> DataFrame:
 def resx_unused(entries: DataFrame, tokens: DataFrame) -> DataFrame:
     """RESX003 (opt-in): a translatable neutral key that no code token names."""
     keys = entries.where((F.col("kind") == "Text") & F.col("culture").isNull()).select("path", "name").distinct()
-    return _finding(keys.join(tokens.select(F.col(tokens.columns[0]).alias("name")), "name", "left_anti"), "RESX003", "path", "name", F.lit("no reference found"))
+    return _finding(keys.join(tokens.select(F.col(tokens.columns[0]).alias("name")), "name", "left_anti"), "RESX003", "path", "name", F.lit("nothing names it"))
 
 
 def resx_duplicates(entries: DataFrame) -> DataFrame:
     """RESX004: a key declared more than once in a file."""
     twice = entries.groupBy("path", "name").agg(F.sort_array(F.collect_list("line")).alias("lines")).where(F.size("lines") > 1)
-    return _finding(twice, "RESX004", "path", "name", F.concat(F.lit("declared at lines "), F.array_join(F.col("lines").cast("array<string>"), ", ")))
+    return _finding(twice, "RESX004", "path", "name", F.concat(F.lit("repeated: "), F.array_join(F.col("lines").cast("array<string>"), ", ")))
 
 
 def resx_orphans(entries: DataFrame) -> DataFrame:
     """RESX005: a culture's key that the neutral file lacks."""
     neutral = entries.where(F.col("culture").isNull()).select("family", "name")
-    return _finding(entries.where((F.col("kind") == "Text") & F.col("culture").isNotNull()).join(neutral, ["family", "name"], "left_anti"), "RESX005", "path", "name", F.lit("not declared in the neutral file"))
+    return _finding(entries.where((F.col("kind") == "Text") & F.col("culture").isNotNull()).join(neutral, ["family", "name"], "left_anti"), "RESX005", "path", "name", F.lit("has no neutral counterpart"))
 
 
 def resx_empty(entries: DataFrame) -> DataFrame:
     """RESX006: an empty localized value, unless RESX002 already tells of it."""
     extra, absent = _differs()
-    return _finding(_paired(entries).where((F.col("value") == "") & (F.size(extra) == 0) & (F.size(absent) == 0)), "RESX006", "path", "name", F.lit("the localized value is empty"))
+    return _finding(_paired(entries).where((F.col("value") == "") & (F.size(extra) == 0) & (F.size(absent) == 0)), "RESX006", "path", "name", F.lit("blank translation"))
 
 
 def resx_whitespace(entries: DataFrame) -> DataFrame:
     """RESX007: an untrimmed value that is not marked as preserved."""
-    return _finding(entries.where((F.col("kind") == "Text") & ~F.col("preserved") & (F.col("value") != tx.trim_any(F.col("value")))), "RESX007", "path", "name", F.lit("leading or trailing white space"))
+    return _finding(entries.where((F.col("kind") == "Text") & ~F.col("preserved") & (F.col("value") != tx.trim_any(F.col("value")))), "RESX007", "path", "name", F.lit("padded value"))
 
 
 def resx_unsorted(entries: DataFrame) -> DataFrame:
     """RESX008 (opt-in): the keys of a file are not in ordinal order."""
     was = F.lag("name").over(W.partitionBy("path").orderBy("line"))
-    return _finding(entries.withColumn("_was", was).where(F.col("_was") > F.col("name")).select("path").distinct().withColumn("name", F.lit("-")), "RESX008", "path", "name", F.lit("the keys are not in ordinal order"))
+    return _finding(entries.withColumn("_was", was).where(F.col("_was") > F.col("name")).select("path").distinct().withColumn("name", F.lit("-")), "RESX008", "path", "name", F.lit("keys unsorted"))
 
 
 def resx_designer(entries: DataFrame, designers: DataFrame) -> DataFrame:
     """RESX009: an identifier-shaped neutral key that the designer text does not hold; designers: (family, designer, text)."""
     keys = entries.where((F.col("kind") == "Text") & F.col("culture").isNull() & tx.is_identifier(F.col("name"))).select("family", "name").distinct()
-    return _finding(keys.join(designers, "family").where(F.col("text").isNotNull() & ~F.contains("text", F.col("name"))), "RESX009", "designer", "name", F.lit("the designer does not expose this key"))
+    return _finding(keys.join(designers, "family").where(F.col("text").isNotNull() & ~F.contains("text", F.col("name"))), "RESX009", "designer", "name", F.lit("missing from generated code"))
 
 
 def validate_resources(entries: DataFrame, tokens: DataFrame | None = None, designers: DataFrame | None = None, rules: tuple[str, ...] = DEFAULT_RESOURCE_RULES) -> DataFrame:
@@ -123,10 +123,24 @@ def markup_unparsed(files: DataFrame) -> DataFrame:
     return _finding(files.where(~F.col("parsed")).withColumn("_k", F.lit("-")), "XAML000", "file", "_k", F.lit("the file does not parse"))
 
 
+def _repeated(rows: DataFrame, group: list[Column], order: list[str]) -> DataFrame:
+    """All rows of a group but the first in order, from counts: a group of very many rows is not gathered in one task."""
+    columns = rows.columns
+    keyed = rows.select(*columns, *[g.alias(f"_g{i}") for i, g in enumerate(group)])
+    keys = [f"_g{i}" for i in range(len(group))]
+    counted = keyed.groupBy(*keys, *columns).agg(F.count("*").alias("_n"))
+    first = counted.groupBy(*keys).agg(F.min(F.struct(*order, *[c for c in columns if c not in order])).alias("_first"))
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_first.{c}"))
+    on = [counted[k].eqNullSafe(first[k]) for k in keys]
+    left = counted.join(first, on).select(*[counted[c] for c in columns], (F.col("_n") - same.cast("int")).alias("_again"))
+    return left.where("_again > 0").select(*columns, F.explode(F.array_repeat(F.lit(1), F.col("_again").cast("int"))).alias("_")).drop("_")
+
+
 def markup_duplicates(elements: DataFrame, column: str, rule: str) -> DataFrame:
     """XAML001 (keys) and XAML002 (names): the second and later ones of a file."""
-    nth = F.row_number().over(W.partitionBy("file", column).orderBy("line"))
-    again = elements.where(F.col(column).isNotNull()).withColumn("_nth", nth).where("_nth > 1")
+    again = _repeated(elements.where(F.col(column).isNotNull()).select("file", "line", column), [F.col("file"), F.col(column)], ["line"])
     return _finding(again, rule, "file", column, F.concat(F.lit("again at line "), F.col("line").cast("string")))
 
 
@@ -179,8 +193,7 @@ def route_parameters(routes: DataFrame, parameters: DataFrame) -> DataFrame:
 
 def duplicate_routes(routes: DataFrame) -> DataFrame:
     """RZR006: the second and later declarations of a route, ignoring case."""
-    nth = F.row_number().over(W.partitionBy(F.lower("route")).orderBy("path"))
-    return _finding(routes.withColumn("_nth", nth).where("_nth > 1"), "RZR006", "path", "route", F.lit("duplicate route"))
+    return _finding(_repeated(routes.where(F.col("route").isNotNull()).select("path", "route"), [F.lower("route")], ["path"]), "RZR006", "path", "route", F.lit("duplicate route"))
 
 
 def reference_types(refs: DataFrame, lineage: DataFrame) -> DataFrame:

@@ -50,11 +50,10 @@ def multi(docs: DataFrame, queries: list[str], id_col: str = "doc_id", text_col:
     """Lines that contain any of up to ten literals, tagged with all that they contain: ``q1,q3``."""
     _checked(queries)
     has = [F.contains("text", F.lit(q)) for q in queries]
-    tags = F.array_join(F.array_compact(F.array(*[F.when(h, F.lit(f"q{i}")) for i, h in enumerate(has, 1)])), ",")
     any_of = lambda c: [F.contains(c, F.lit(q)) for q in queries]
     held = docs.where(_or(any_of(F.col(text_col))))
     found = lines(held, id_col, text_col).where(_or(has))
-    return found.withColumn("tags", tags).withColumn("text", tx.cut(tx.trim_any(F.col("text"))))
+    return found.withColumn("tags", _tags(has)).withColumn("text", tx.cut(tx.trim_any(F.col("text"))))
 
 
 def _or(parts: list[Column]) -> Column:
@@ -64,12 +63,14 @@ def _or(parts: list[Column]) -> Column:
     return out
 
 
-def context(docs: DataFrame, query: str, around: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Hits with up to ``around`` lines (0 to 5, clamped) before and after, joined by line feeds."""
-    _checked([query])
+def context(docs: DataFrame, query: str | list[str], around: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Hits with up to ``around`` lines (0 to 5, clamped) before and after, joined by line feeds; of several literals also the tags."""
+    queries = [query] if isinstance(query, str) else query
+    _checked(queries)
     k = min(max(around, 0), MOST_CONTEXT)
-    held = docs.where(F.contains(F.col(text_col), F.lit(query))).select(id_col, F.split(F.col(text_col), "\n").alias("_lines"))
-    hit = F.filter(F.transform("_lines", lambda line, i: F.struct((i + 1).alias("line"), line.alias("text"))), lambda h: F.contains(h["text"], F.lit(query)))
+    has = lambda c: [F.contains(c, F.lit(q)) for q in queries]
+    held = docs.where(_or(has(F.col(text_col)))).select(id_col, F.split(F.col(text_col), "\n").alias("_lines"))
+    hit = F.filter(F.transform("_lines", lambda line, i: F.struct((i + 1).alias("line"), line.alias("text"))), lambda h: _or(has(h["text"])))
     first = F.greatest(F.col("_hit.line") - k, F.lit(1))
     return (
         held.withColumn("_hit", F.explode(hit))
@@ -77,16 +78,22 @@ def context(docs: DataFrame, query: str, around: int, id_col: str = "doc_id", te
             id_col,
             F.col("_hit.line").alias("line"),
             tx.cut(tx.trim_any(F.col("_hit.text"))).alias("text"),
+            *([] if isinstance(query, str) else [_tags(has(F.col("_hit.text"))).alias("tags")]),
             F.array_join(F.slice("_lines", first, F.col("_hit.line") - first), "\n").alias("before"),
             F.array_join(F.slice("_lines", F.col("_hit.line") + 1, F.lit(k)), "\n").alias("after"),
         )
     )
 
 
+def _tags(has: list[Column]) -> Column:
+    return F.array_join(F.array_compact(F.array(*[F.when(h, F.lit(f"q{i}")) for i, h in enumerate(has, 1)])), ",")
+
+
 def unique(hits: DataFrame, cap: int, id_col: str = "doc_id") -> DataFrame:
-    """Equal payloads among the first ``cap`` hits folded: the first one with ``n``."""
+    """Equal payloads (with their tags and context, if any) among the first ``cap`` hits folded: the first one with ``n``."""
     capped = hits.orderBy(id_col, "line").limit(cap)
-    return capped.groupBy("text").agg(F.min(F.struct(id_col, "line")).alias("_first"), F.count("*").alias("n")).select(F.col(f"_first.{id_col}").alias(id_col), F.col("_first.line").alias("line"), "text", "n")
+    payload = [c for c in ("text", "tags", "before", "after") if c in hits.columns]
+    return capped.groupBy(*payload).agg(F.min(F.struct(id_col, "line")).alias("_first"), F.count("*").alias("n")).select(F.col(f"_first.{id_col}").alias(id_col), F.col("_first.line").alias("line"), *payload, "n")
 
 
 def near_miss(docs: DataFrame, needle: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from millrace.functions import globs
 from millrace.functions import text as tx
-from millrace.operators import caps, diff, folds, graph, joins, markdown, rules, search
+from millrace.operators import caps, components, diff, folds, graph, joins, markdown, rules, search
+from millrace.plans import session
 from millrace.sources import documents as sources
 from millrace.sources import files
 from millrace.sources.tables import table
+from millrace.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,6 +68,13 @@ def search_text_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.context(table(spark, sf_dir, "documents"), "token", 1)
 
 
+@register(f"""WITH lines AS ({_LINES}), around AS (SELECT doc_id, line, l, {_TRIM.format('l')} AS x, array_to_string(list_filter([lag(l, 2) OVER w, lag(l) OVER w], lambda y: y IS NOT NULL), chr(10)) AS before,
+ array_to_string(list_filter([lead(l) OVER w, lead(l, 2) OVER w], lambda y: y IS NOT NULL), chr(10)) AS after FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line))
+ SELECT doc_id, line, {_PAYLOAD} AS text, array_to_string(list_filter([CASE WHEN contains(l, 'token') THEN 'q1' END, CASE WHEN contains(l, 'ation') THEN 'q2' END], lambda y: y IS NOT NULL), ',') AS tags, before, after FROM around WHERE contains(l, 'token') OR contains(l, 'ation')""")
+def search_text_multi_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.context(table(spark, sf_dir, "documents"), ["token", "ation"], 2)
+
+
 @register(f"""WITH lines AS ({_LINES}), hits AS (SELECT doc_id, line, {_TRIM.format('l')} AS x FROM lines WHERE contains(l, 'the')),
  capped AS (SELECT doc_id, line, {_PAYLOAD} AS text FROM hits ORDER BY doc_id, line LIMIT 500)
  SELECT arg_min(doc_id, (doc_id, line)) AS doc_id, arg_min(line, (doc_id, line)) AS line, text, count(*) AS n FROM capped GROUP BY text""")
@@ -204,11 +213,25 @@ def impact_top_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_name").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "c_name").limit(10)
 
 
-@register("""WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation), r AS (SELECT a AS node, a AS reached, 0 AS depth FROM e UNION SELECT r.node, e.b, r.depth + 1 FROM r JOIN e ON r.reached = e.a WHERE r.depth < 30)
+@register("""WITH RECURSIVE e AS (SELECT DISTINCT conv_id * 1000 + turn AS a, conv_id * 1000 + CASE WHEN turn % 7 = 6 THEN turn - 3 ELSE turn + 1 END AS b FROM conversations), k AS (SELECT e.a, e.b FROM e WHERE e.b IN (SELECT a FROM e)),
+ r AS (SELECT a AS node, a AS reached, 0 AS depth FROM k UNION SELECT b, b, 0 FROM k UNION SELECT r.node, k.b, r.depth + 1 FROM r JOIN k ON r.reached = k.a WHERE r.depth < 40)
  SELECT node, reached, min(depth)::INTEGER AS depth FROM r GROUP BY ALL""")
 def impact_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * 3 + 1) % 25).alias("b"))
-    return graph.closure(edges, "a", "b")
+    """Turns that follow each turn of a conversation; every seventh leads back, so there are cycles."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    edges = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("a"), (F.col("conv_id") * 1000 + F.when(F.col("turn") % 7 == 6, F.col("turn") - 3).otherwise(F.col("turn") + 1)).alias("b"))
+    return graph.closure(edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi"), "a", "b")
+
+
+@register("""WITH RECURSIVE e AS (SELECT DISTINCT 'r' || r_regionkey AS a, 'n' || n_nationkey AS b FROM region JOIN nation ON n_regionkey = r_regionkey UNION SELECT 'n' || n_nationkey, 's' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+ r AS (SELECT 'r' || r_regionkey AS node, 'r' || r_regionkey AS reached, 0 AS depth FROM region UNION SELECT r.node, e.b, r.depth + 1 FROM r JOIN e ON r.reached = e.a) SELECT node, reached, min(depth)::INTEGER AS depth FROM r GROUP BY ALL""")
+def impact_closure_of_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is reached from every region, over nations to suppliers."""
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    nation = table(spark, sf_dir, "nation")
+    edges = nation.select(key("r", "n_regionkey").alias("a"), key("n", "n_nationkey").alias("b"))
+    edges = edges.unionByName(table(spark, sf_dir, "supplier").select(key("n", "s_nationkey").alias("a"), key("s", "s_suppkey").alias("b")))
+    return graph.closure(edges, "a", "b", table(spark, sf_dir, "region").select(key("r", "r_regionkey").alias("seed")))
 
 
 @register("""WITH RECURSIVE e AS (SELECT p_partkey AS k, (p_partkey * 7) % (SELECT count(*) FROM part) AS parent FROM part), w AS (SELECT k AS node, [k] AS chain, k AS at, 0 AS hop FROM e
@@ -234,18 +257,22 @@ def lines_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- resource tables
 
-_ENTRY_SQL = """e AS (SELECT source AS family, source || '.' || coalesce(lang, '') AS path, CASE WHEN lang <> 'en' THEN lang END AS culture, 'k' || (doc_id % 97) AS name, coalesce(string_split(text, chr(10))[1], '') || CASE WHEN doc_id % 3 = 0 THEN ' {' || (doc_id % 4) || '}' ELSE '' END AS value, CASE WHEN doc_id % 11 = 0 THEN 'Typed' ELSE 'Text' END AS kind, doc_id % 13 = 0 AS preserved, doc_id::INTEGER AS line FROM documents WHERE lang IS NOT NULL)"""
+_ENTRY_SQL = """e AS (SELECT 'f' || (doc_id % 9) AS family, 'f' || (doc_id % 9) || '.' || lang AS path, CASE WHEN lang <> 'en' THEN lang END AS culture, 'k' || (doc_id % 31) AS name,
+ CASE WHEN doc_id % 17 = 0 THEN '' ELSE CASE WHEN doc_id % 19 = 0 THEN '  ' ELSE '' END || coalesce(string_split(text, chr(10))[1], '') || CASE WHEN doc_id % 5 = 0 THEN ' {' || (doc_id % 4) || '}' ELSE '' END END AS value,
+ CASE WHEN doc_id % 11 = 0 THEN 'Typed' ELSE 'Text' END AS kind, doc_id % 13 = 0 AS preserved, doc_id::INTEGER AS line FROM documents WHERE lang IS NOT NULL)"""
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where(F.col("lang").isNotNull())
-    value = F.concat(F.coalesce(F.split("text", "\n")[0], F.lit("")), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" {"), (F.col("doc_id") % 4).cast("string"), F.lit("}"))).otherwise(F.lit("")))
+    every = lambda n, text: F.when(F.col("doc_id") % n == 0, text).otherwise(F.lit(""))
+    value = F.concat(every(19, F.lit("  ")), F.coalesce(F.split("text", "\n")[0], F.lit("")), every(5, F.concat(F.lit(" {"), (F.col("doc_id") % 4).cast("string"), F.lit("}"))))
+    family = F.concat(F.lit("f"), (F.col("doc_id") % 9).cast("string"))
     return docs.select(
-        F.col("source").alias("family"),
-        F.concat("source", F.lit("."), "lang").alias("path"),
+        family.alias("family"),
+        F.concat(family, F.lit("."), "lang").alias("path"),
         F.when(F.col("lang") != "en", F.col("lang")).alias("culture"),
-        F.concat(F.lit("k"), (F.col("doc_id") % 97).cast("string")).alias("name"),
-        value.alias("value"),
+        F.concat(F.lit("k"), (F.col("doc_id") % 31).cast("string")).alias("name"),
+        F.when(F.col("doc_id") % 17 == 0, F.lit("")).otherwise(value).alias("value"),
         F.when(F.col("doc_id") % 11 == 0, "Typed").otherwise("Text").alias("kind"),
         (F.col("doc_id") % 13 == 0).alias("preserved"),
         F.col("doc_id").cast("int").alias("line"),
@@ -257,7 +284,7 @@ _NEUTRAL = "n AS (SELECT family, name, arg_min(value, line) AS neutral FROM e WH
 _PAIRED = f"{_NEUTRAL}, p AS (SELECT e.*, n.neutral FROM e JOIN n USING (family, name) WHERE e.kind = 'Text' AND e.culture IS NOT NULL), d AS (SELECT *, list_sort(list_distinct([x::INTEGER FOR x IN regexp_extract_all(value, '\\{{(\\d+)(?:[,:][^}}]*)?\\}}', 1)])) AS a, list_sort(list_distinct([x::INTEGER FOR x IN regexp_extract_all(neutral, '\\{{(\\d+)(?:[,:][^}}]*)?\\}}', 1)])) AS x FROM p), q AS (SELECT *, list_filter(a, lambda v: NOT list_contains(x, v)) AS extra, list_filter(x, lambda v: NOT list_contains(a, v)) AS absent FROM d)"
 
 
-@register(_RULE_SQL + f"{_NEUTRAL}, f AS (SELECT DISTINCT family, path, culture FROM e WHERE culture IS NOT NULL) SELECT 'RESX001' AS rule, f.path, n.name AS key, 'no ' || f.culture || ' value' AS detail FROM n JOIN f USING (family) WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.kind = 'Text' AND e.culture IS NOT NULL AND e.path = f.path AND e.name = n.name)")
+@register(_RULE_SQL + f"{_NEUTRAL}, f AS (SELECT DISTINCT family, path, culture FROM e WHERE culture IS NOT NULL) SELECT 'RESX001' AS rule, f.path, n.name AS key, f.culture || ': untranslated' AS detail FROM n JOIN f USING (family) WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.kind = 'Text' AND e.culture IS NOT NULL AND e.path = f.path AND e.name = n.name)")
 def resx_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.resx_missing(_entries(spark, sf_dir))
 
@@ -267,41 +294,42 @@ def resx_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.resx_placeholders(_entries(spark, sf_dir))
 
 
-@register(_RULE_SQL + "t AS (SELECT 'k' || (event_id % 60) AS name FROM events) SELECT 'RESX003' AS rule, path, name AS key, 'no reference found' AS detail FROM (SELECT DISTINCT path, name FROM e WHERE kind = 'Text' AND culture IS NULL) WHERE name NOT IN (SELECT name FROM t)")
+@register(_RULE_SQL + "t AS (SELECT 'k' || (event_id % 20) AS name FROM events) SELECT 'RESX003' AS rule, path, name AS key, 'nothing names it' AS detail FROM (SELECT DISTINCT path, name FROM e WHERE kind = 'Text' AND culture IS NULL) WHERE name NOT IN (SELECT name FROM t)")
 def resx_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = table(spark, sf_dir, "events").select(F.concat(F.lit("k"), (F.col("event_id") % 60).cast("string")).alias("token"))
+    tokens = table(spark, sf_dir, "events").select(F.concat(F.lit("k"), (F.col("event_id") % 20).cast("string")).alias("token"))
     return rules.resx_unused(_entries(spark, sf_dir), tokens)
 
 
-@register(_RULE_SQL + "g AS (SELECT path, name, list_sort(list(line)) AS lines FROM e GROUP BY ALL) SELECT 'RESX004' AS rule, path, name AS key, 'declared at lines ' || array_to_string(lines, ', ') AS detail FROM g WHERE len(lines) > 1")
+@register(_RULE_SQL + "g AS (SELECT path, name, list_sort(list(line)) AS lines FROM e GROUP BY ALL) SELECT 'RESX004' AS rule, path, name AS key, 'repeated: ' || array_to_string(lines, ', ') AS detail FROM g WHERE len(lines) > 1")
 def resx_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.resx_duplicates(_entries(spark, sf_dir))
 
 
-@register(_RULE_SQL + "n AS (SELECT DISTINCT family, name FROM e WHERE culture IS NULL) SELECT 'RESX005' AS rule, path, name AS key, 'not declared in the neutral file' AS detail FROM e WHERE kind = 'Text' AND culture IS NOT NULL AND NOT EXISTS (SELECT 1 FROM n WHERE n.family = e.family AND n.name = e.name)")
+@register(_RULE_SQL + "n AS (SELECT DISTINCT family, name FROM e WHERE culture IS NULL) SELECT 'RESX005' AS rule, path, name AS key, 'has no neutral counterpart' AS detail FROM e WHERE kind = 'Text' AND culture IS NOT NULL AND NOT EXISTS (SELECT 1 FROM n WHERE n.family = e.family AND n.name = e.name)")
 def resx_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.resx_orphans(_entries(spark, sf_dir))
 
 
-@register(_RULE_SQL + _PAIRED + " SELECT 'RESX006' AS rule, path, name AS key, 'the localized value is empty' AS detail FROM q WHERE value = '' AND len(extra) = 0 AND len(absent) = 0")
+@register(_RULE_SQL + _PAIRED + " SELECT 'RESX006' AS rule, path, name AS key, 'blank translation' AS detail FROM q WHERE value = '' AND len(extra) = 0 AND len(absent) = 0")
 def resx_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.resx_empty(_entries(spark, sf_dir))
 
 
-@register(_RULE_SQL + f"x AS (SELECT 1) SELECT 'RESX007' AS rule, path, name AS key, 'leading or trailing white space' AS detail FROM e WHERE kind = 'Text' AND NOT preserved AND value <> {_TRIM.format('value')}")
+@register(_RULE_SQL + f"x AS (SELECT 1) SELECT 'RESX007' AS rule, path, name AS key, 'padded value' AS detail FROM e WHERE kind = 'Text' AND NOT preserved AND value <> {_TRIM.format('value')}")
 def resx_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.resx_whitespace(_entries(spark, sf_dir))
 
 
-@register(_RULE_SQL + "l AS (SELECT path, name, lag(name) OVER (PARTITION BY path ORDER BY line) AS was FROM e) SELECT DISTINCT 'RESX008' AS rule, path, '-' AS key, 'the keys are not in ordinal order' AS detail FROM l WHERE was > name")
+@register(_RULE_SQL + "l AS (SELECT path, name, lag(name) OVER (PARTITION BY path ORDER BY line) AS was FROM e) SELECT DISTINCT 'RESX008' AS rule, path, '-' AS key, 'keys unsorted' AS detail FROM l WHERE was > name")
 def resx_unsorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.resx_unsorted(_entries(spark, sf_dir))
 
 
-@register(_RULE_SQL + "d AS (SELECT source AS family, source || '.designer' AS designer, string_agg('k' || (doc_id % 50), ' ' ORDER BY doc_id) AS text FROM documents GROUP BY source) SELECT 'RESX009' AS rule, designer AS path, name AS key, 'the designer does not expose this key' AS detail FROM (SELECT DISTINCT family, name FROM e WHERE kind = 'Text' AND culture IS NULL) JOIN d USING (family) WHERE NOT contains(text, name)")
+@register(_RULE_SQL + "d AS (SELECT 'f' || (doc_id % 9) AS family, 'f' || (doc_id % 9) || '.designer' AS designer, string_agg(DISTINCT 'k' || (doc_id % 23 + doc_id % 2), ' ' ORDER BY 'k' || (doc_id % 23 + doc_id % 2)) AS text FROM documents GROUP BY 1, 2) SELECT 'RESX009' AS rule, designer AS path, name AS key, 'missing from generated code' AS detail FROM (SELECT DISTINCT family, name FROM e WHERE kind = 'Text' AND culture IS NULL) JOIN d USING (family) WHERE NOT contains(text, name)")
 def resx_designer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    designers = docs.groupBy(F.col("source").alias("family")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda d: F.concat(F.lit("k"), (d % 50).cast("string"))), " ").alias("text"))
+    key = F.concat(F.lit("k"), (F.col("doc_id") % 23 + F.col("doc_id") % 2).cast("string"))
+    designers = docs.groupBy(F.concat(F.lit("f"), (F.col("doc_id") % 9).cast("string")).alias("family")).agg(F.array_join(F.sort_array(F.collect_set(key)), " ").alias("text"))
     return rules.resx_designer(_entries(spark, sf_dir), designers.select("family", F.concat("family", F.lit(".designer")).alias("designer"), "text"))
 
 
@@ -343,12 +371,10 @@ def markup_unused_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.markup_unused(_elements(spark, sf_dir), mentions, "key", "XAML004")
 
 
-@register("""WITH r AS (SELECT page_id, url, lower(regexp_extract(url, '://[^/]*(/[^?#]*)', 1)) AS route FROM pages), n AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY url, page_id) AS nth FROM r)
- SELECT count(*) FILTER (nth > 1) AS again, count(*) AS routes FROM n""")
+@register("""WITH r AS (SELECT url AS path, regexp_extract(url, '://[^/]*(/[^?#]*)', 1) AS route FROM pages), n AS (SELECT *, row_number() OVER (PARTITION BY lower(route) ORDER BY path, route) AS nth FROM r)
+ SELECT 'RZR006' AS rule, path, route AS key, 'duplicate route' AS detail FROM n WHERE nth > 1""")
 def component_duplicate_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routes = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.regexp_extract("url", r"://[^/]*(/[^?#]*)", 1).alias("route"))
-    again = rules.duplicate_routes(routes).agg(F.count("*").alias("again"))
-    return routes.agg(F.count("*").alias("routes")).withColumn("again", again.scalar())
+    return rules.duplicate_routes(table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.regexp_extract("url", r"://[^/]*(/[^?#]*)", 1).alias("route")))
 
 
 @register("""WITH u AS (SELECT DISTINCT user_id, event_type FROM events), w AS (SELECT event_id, user_id, event_type, list_filter(['view', 'purchase'], lambda x: x <> event_type) AS need FROM events)
@@ -385,12 +411,13 @@ def registration_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.expand_through(direct, nation, bodies, "k")
 
 
-@register("""WITH q AS (SELECT DISTINCT p_brand AS asked FROM part UNION SELECT 'Brand#none'), h AS (SELECT q.asked, p_partkey::VARCHAR AS id FROM q LEFT JOIN part ON q.asked = p_brand), g AS (SELECT asked, count(id) AS n, list_sort(list(id) FILTER (id IS NOT NULL)) AS ids FROM h GROUP BY asked)
- SELECT asked, CASE WHEN n = 0 THEN 'missing' WHEN n = 1 THEN 'ok' WHEN n > 100 THEN 'saturated' ELSE 'ambiguous' END AS status, n, coalesce(array_to_string(ids[1:10], ','), '') AS ids FROM g""")
+@register("""WITH q AS (SELECT DISTINCT p_brand AS asked FROM part UNION SELECT 'Brand#none' UNION SELECT 'brand#1'), h AS (SELECT q.asked, p_partkey::VARCHAR AS id FROM q LEFT JOIN part ON q.asked = p_brand), g AS (SELECT asked, count(id) AS n, list_sort(list(id) FILTER (id IS NOT NULL)) AS ids FROM h GROUP BY asked),
+ c AS (SELECT asked, b, row_number() OVER (PARTITION BY asked ORDER BY levenshtein(lower(asked), lower(b)), b) AS rn FROM g JOIN (SELECT DISTINCT p_brand AS b FROM part) ON n = 0 AND lower(left(asked, 3)) = lower(left(b, 3))), k AS (SELECT asked, string_agg(b, ',' ORDER BY rn) AS near FROM c WHERE rn <= 3 GROUP BY asked)
+ SELECT asked, CASE WHEN n = 0 THEN 'missing' WHEN n = 1 THEN 'ok' WHEN n > 100 THEN 'saturated' ELSE 'ambiguous' END AS status, n, coalesce(array_to_string(ids[1:10], ','), '') AS ids, coalesce(near, '') AS near FROM g LEFT JOIN k USING (asked)""")
 def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    asked = part.select(F.col("p_brand").alias("q")).distinct().unionByName(spark.createDataFrame([("Brand#none",)], "q string"))
-    return joins.resolve(asked, part.select(F.col("p_brand").alias("name"), F.lit("").alias("container"), F.col("p_partkey").alias("id")), "q").drop("near")
+    asked = part.select(F.col("p_brand").alias("q")).distinct().unionByName(spark.createDataFrame([("Brand#none",), ("brand#1",)], "q string"))
+    return joins.resolve(asked, part.select(F.col("p_brand").alias("name"), F.lit("").alias("container"), F.col("p_partkey").alias("id")), "q")
 
 
 @register("""WITH m AS (SELECT n_name AS t, 'Region' AS member, 'R' || n_regionkey AS r FROM nation UNION ALL SELECT 'R' || r_regionkey, 'Name', 'S' FROM region WHERE r_regionkey <> 2), p AS (SELECT c_custkey, n_name AS t, CASE c_custkey % 3 WHEN 0 THEN 'Region.Name' WHEN 1 THEN 'Region' ELSE 'Other.Name' END AS path FROM customer JOIN nation ON c_nationkey = n_nationkey)
@@ -478,9 +505,19 @@ def markdown_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.table(text, ["Name", "Key"], "id", "text").select("id", "Name", "Key")
 
 
+@register(f"""WITH lines AS ({_LINES}), m AS (SELECT doc_id, line, l, max(line) OVER (PARTITION BY doc_id) AS n FROM lines), h AS (SELECT doc_id AS id, line, line * 2 AS start_line, 1 + line % 3 AS level, 'Part ' || line AS heading, n FROM m WHERE line % 2 = 1)
+ SELECT id, heading, level::INTEGER AS level, start_line::INTEGER AS start_line, coalesce((SELECT min(o.start_line) FROM h o WHERE o.id = h.id AND o.start_line > h.start_line AND o.level <= h.level) - 1, h.n * 2)::INTEGER AS end_line FROM h""")
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a line put after each of its lines, a heading behind every other one."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    mark = lambda i: F.when(i % 2 == 0, F.concat(F.repeat(F.lit("#"), (1 + (i + 1) % 3).cast("int")), F.lit(" Part "), (i + 1).cast("string"))).otherwise(F.lit("text"))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.regexp_replace(x, r"^(\s*)([#`~])", "$1.$2"), F.lit("\n"), mark(i)))
+    return markdown.sections(docs.select(F.col("doc_id").alias("id"), F.array_join(lines, "\n").alias("text")), "id", "text")
+
+
 @register("""SELECT n_regionkey AS id, 'Top' AS heading, 1 AS level, 1 AS start_line, (count(*) + 4)::INTEGER AS end_line FROM nation GROUP BY ALL
  UNION ALL SELECT n_regionkey, n_name, 2, (4 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name))::INTEGER, (4 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name))::INTEGER FROM nation""")
-def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def markdown_sections_fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("id")).agg(F.sort_array(F.collect_list(F.concat(F.lit("## "), "n_name"))).alias("h"))
     return markdown.sections(names.select("id", F.concat(F.lit("# Top\n```\n# not one\n```\n"), F.array_join("h", "\n")).alias("text")), "id", "text")
 
@@ -489,15 +526,22 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""WITH c AS (SELECT event_id AS seq, 'd/f' || (user_id % 300) || CASE user_id % 4 WHEN 0 THEN '.cs' WHEN 1 THEN '.xaml' WHEN 2 THEN '.resx' ELSE '.txt' END AS path, CASE WHEN event_type = 'purchase' THEN 'deleted' ELSE 'changed' END AS op, value FROM events),
- l AS (SELECT path, arg_max(op, seq) AS op, max(seq) AS seq FROM c WHERE NOT ends_with(path, '.txt') GROUP BY path)
- SELECT path, seq, CASE WHEN ends_with(path, '.cs') THEN 'Code' WHEN ends_with(path, '.xaml') THEN 'Xaml' ELSE 'Resx' END AS kind FROM l WHERE op <> 'deleted'""")
+ l AS (SELECT path, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM c WHERE NOT ends_with(path, '.txt') GROUP BY path)
+ SELECT path, floor(value)::BIGINT AS length, CASE WHEN ends_with(path, '.cs') THEN 'Code' WHEN ends_with(path, '.xaml') THEN 'Xaml' ELSE 'Resx' END AS kind FROM l WHERE op <> 'deleted'""")
 def change_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.streaming import changes
-
+    """The state after two drains of a change log, the earlier half of the events and then the rest."""
     u = F.col("user_id") % 4
     path = F.concat(F.lit("d/f"), (F.col("user_id") % 300).cast("string"), F.when(u == 0, ".cs").when(u == 1, ".xaml").when(u == 2, ".resx").otherwise(".txt"))
-    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), path.alias("path"), F.when(F.col("event_type") == "purchase", "deleted").otherwise("changed").alias("op"), F.col("ts").cast("timestamp").alias("modified"), F.floor("value").alias("length"))
-    return changes.latest(log).where(F.col("op") != "deleted").select("path", "seq", "kind")
+    log = table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("seq"), path.alias("path"), F.when(F.col("event_type") == "purchase", "deleted").otherwise("changed").alias("op"), F.col("ts").cast("timestamp").alias("modified"), F.floor("value").alias("length"))
+    temporary = [F.lit(x) for x in ("~", ".tmp", ".orig")]
+    noise = log.withColumn("path", F.concat("path", F.get(F.array(*temporary), (F.col("seq") % 3).cast("int"))))
+    noise = noise.unionByName(log.withColumn("path", F.concat(F.lit("x/obj/"), "path")))
+    folder = session.shared_folder(spark, "changes")
+    middle = log.agg(F.max("seq") / 2).scalar()
+    for part in (log.unionByName(noise).where(F.col("seq") <= middle), log.unionByName(noise).where(F.col("seq") > middle)):
+        part.write.mode("append").parquet(f"{folder}/log")
+        changes.drain(spark, f"{folder}/log", f"{folder}/held")
+    return changes.state(spark, f"{folder}/held").select("path", "length", "kind")
 
 
 @register()

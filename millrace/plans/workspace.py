@@ -16,6 +16,7 @@ Tables and their columns:
 * entries: see ``operators.rules``; elements: file, line, type_name, key, name, path, uid, attributes (map)
 * styles: file, line, key, target, based_on, scope; tracked: path
 * results: project, test_name, outcome, duration_ms; parameters, routes: see ``operators.rules``
+* directives, nodes, expressions, component_members: see ``operators.components``; component_files: path, component
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from millrace.errors import InvalidQuery
 from millrace.functions import globs
 from millrace.functions import text as tx
-from millrace.operators import caps, diff, folds, graph, joins, markdown, rules, search
+from millrace.operators import caps, components, diff, folds, graph, joins, markdown, rules, search
 from millrace.sources import documents as sources
 from millrace.sources import files as file_sources
 
@@ -92,18 +93,23 @@ class Workspace:
         found = found.where(globs.matches(F.col("rel_path"), glob)) if glob else found
         return found.where(~globs.matches(F.col("rel_path"), exclude)) if exclude else found
 
-    def search_text(self, queries: list[str], glob: str | None = None, exclude: str | None = None, context: int = 0, cap: int = DEFAULT_CAP) -> DataFrame:
+    def search_text(self, queries: list[str], glob: str | None = None, exclude: str | None = None, context: int = 0, cap: int = DEFAULT_CAP, unique: bool = False) -> DataFrame:
+        """Hits in order, capped; with ``unique``, equal ones among them folded."""
         texts = self._texts(glob, exclude)
-        if len(queries) > 1:
+        if context:
+            hits = search.context(texts, queries if len(queries) > 1 else queries[0], context, "rel_path", "text")
+        elif len(queries) > 1:
             hits = search.multi(texts, queries, "rel_path", "text")
-        elif context:
-            hits = search.context(texts, queries[0], context, "rel_path", "text")
         else:
             hits = search.literal(texts, queries[0], "rel_path", "text")
+        if unique:
+            return search.unique(hits, cap, "rel_path")
         return caps.slack_cap(hits, [F.col("rel_path"), F.col("line")], cap)
 
-    def search_regex(self, query: str, glob: str | None = None, exclude: str | None = None, matches_only: bool = False, cap: int = DEFAULT_CAP) -> DataFrame:
+    def search_regex(self, query: str, glob: str | None = None, exclude: str | None = None, matches_only: bool = False, cap: int = DEFAULT_CAP, unique: bool = False) -> DataFrame:
         hits = search.regex(self._texts(glob, exclude), query, "rel_path", "text", matches_only)
+        if unique:
+            return search.unique(hits, cap, "rel_path")
         return caps.slack_cap(hits, [F.col("rel_path"), F.col("line")], cap)
 
     def read_text(self, path: str, start: int = 1, end: int | None = None, tail: int | None = None) -> DataFrame:
@@ -124,10 +130,13 @@ class Workspace:
         """Columns of the markdown tables of a file; a column that no table has is refused with the headers there are."""
         one = self["files"].where(F.col("rel_path") == path)
         found = markdown.table(one, columns, "rel_path", "text")
-        known = " ".join(r["header"].lower() for r in markdown.headers(one, "rel_path", "text").limit(20).collect())
+        held = markdown.headers(one, "rel_path", "text")
+        asked = [c.lower() for c in columns]
+        known = {r["header"] for r in held.where(F.col("header").isin(*asked)).select("header").distinct().collect()}
         unknown = [c for c in columns if c.lower() not in known]
         if unknown:
-            raise InvalidQuery(f"no table has the column {', '.join(unknown)}", f"the headers are {known}", "NOT_FOUND")
+            some = ", ".join(r["header"] for r in held.select("header").distinct().orderBy("header").limit(20).collect())
+            raise InvalidQuery(f"no table has the column {', '.join(unknown)}", f"the headers are {some}", "NOT_FOUND")
         return found
 
     # ------------------------------------------------------------ symbols
@@ -177,15 +186,21 @@ class Workspace:
         return asked.join(held.select("id", F.array_join(tx.dedented(lines), "\n").alias("source")), "id", "left").orderBy("ord").select("id", F.coalesce("source", F.lit("NOT_RESOLVED")).alias("source"))
 
     def _usages(self, symbol_id: str) -> DataFrame:
-        return self["refs"].where((F.col("symbol_id") == symbol_id) & ~F.col("is_implicit") & ~F.col("is_generated"))
+        refs = self["refs"]
+        if "markup_refs" in self.tables:
+            refs = refs.unionByName(self["markup_refs"])
+        return refs.where((F.col("symbol_id") == symbol_id) & ~F.col("is_implicit") & ~F.col("is_generated"))
 
     def find_usages(self, symbol_id: str, cap: int = DEFAULT_CAP, containers: bool = False) -> DataFrame:
-        """Ordered by path and offset, capped, then folded by (path, confidence, kind, scope, container)."""
+        """Ordered by path and offset, capped, then folded by (path, confidence, kind, scope, container), with the ``total`` before the cap.
+
+        Usages in markup (``markup_refs``: as ``refs``), if the workspace has them, are among them.
+        """
         usages = self._usages(symbol_id).withColumn("path_key", F.lower("path"))
         capped = caps.slack_cap(usages, [F.col("path_key"), F.col("offset")], cap)
         keys = ["path", "confidence", "kind", "scope"] + ["container"] * containers
         position = F.concat_ws(":", F.col("line").cast("string"), F.col("col").cast("string"))
-        return folds.usages(capped.withColumn("position", position), keys, ["offset"], "position")
+        return folds.usages(capped.withColumn("position", position), [*keys, "total"], ["offset"], "position")
 
     def find_registrations(self, query: str, cap: int = DEFAULT_CAP) -> DataFrame:
         direct = self["registrations"].select("file", "line", "text")
@@ -201,7 +216,12 @@ class Workspace:
     def explore_symbol(self, symbol_id: str) -> DataFrame:
         tests = self["symbols"].where("is_test").select("path").distinct().withColumn("t", F.lit(True))
         usages = self._usages(symbol_id).join(tests, "path", "left")
-        return usages.agg(F.count("*").alias("usages"), F.count_if("t").alias("test_usages"), F.count_distinct("path").alias("files"))
+        found = usages.agg(F.count("*").alias("usages"), F.count_if("t").alias("test_usages"), F.count_distinct("path").alias("files"))
+        if "type_edges" in self.tables:
+            found = found.withColumn("implementations", self.find_implementations(symbol_id).agg(F.count("*")).scalar())
+        if "markup_refs" in self.tables:
+            found = found.withColumn("markup", self["markup_refs"].where(F.col("symbol_id") == symbol_id).agg(F.count("*")).scalar())
+        return found
 
     def top_files(self, symbol_id: str, n: int = 10) -> DataFrame:
         return self._usages(symbol_id).groupBy("path").agg(F.count("*").alias("usages")).orderBy(F.col("usages").desc(), "path").limit(n)
@@ -261,8 +281,15 @@ class Workspace:
         return reached.join(test_projects.select("project"), "project", "left_semi").orderBy("project")
 
     def changed_files(self, exclude: str | None = None) -> DataFrame:
+        """Changed files with their status; untracked ones (``untracked``: path), if the workspace has them, folded by top directory."""
         found = file_sources.changed(self["changed"], self["statuses"])
-        return found.where(~globs.matches(F.col("path"), exclude)) if exclude else found
+        found = found.where(~globs.matches(F.col("path"), exclude)) if exclude else found
+        if "untracked" not in self.tables:
+            return found
+        more = self["untracked"]
+        more = more.where(~globs.matches(F.col("path"), exclude)) if exclude else more
+        more = folds.untracked(more, "path").select(F.col("row").alias("path"), F.lit("??").alias("status"))
+        return found.unionByName(more, allowMissingColumns=True)
 
     def diff_symbols(self) -> DataFrame:
         """Each hunk with the innermost declaration around it."""
@@ -383,17 +410,57 @@ class Workspace:
         routes = self["routes"].where(F.col("component") == name).groupBy("component").agg(F.sort_array(F.collect_set("route")).alias("routes"))
         return self["parameters"].where(F.col("component") == name).join(routes, "component", "left").orderBy("parameter")
 
+    def component_outline(self, path: str, elements: bool = False) -> DataFrame:
+        of = lambda table: self[table].where(F.col("path") == path)
+        return components.outline(of("directives"), of("nodes"), of("component_members"), elements).orderBy("section", "line", "text")
+
+    def component_bindings(self, path: str, validate: bool = False) -> DataFrame:
+        """Binding sites of a file; with ``validate``, whether their members are there and can be set."""
+        nodes = self["nodes"].where(F.col("path") == path)
+        if not validate:
+            return components.binding_sites(nodes).orderBy("line", "attribute")
+        lineage = self["type_edges"] if "type_edges" in self.tables else None
+        return components.checked_sites(nodes, self["component_members"], self["component_files"], lineage).orderBy("line", "attribute")
+
+    def component_codebehind(self, path: str) -> DataFrame:
+        members = self["component_members"].where(F.col("path") == path)
+        return components.code_behind(members, self["files"].select(F.col("rel_path").alias("path"))).orderBy("line", "member")
+
     def component_find(self, query: str, kind: str) -> DataFrame:
+        """Hits in component files; without their facts, routes, components and attributes are found in the tables of these."""
+        if "nodes" in self.tables:
+            return components.find(kind, query, self["directives"], self["nodes"], self["expressions"]).orderBy("path", "line", "text")
         by = {"route": ("routes", "route"), "component": ("parameters", "component"), "attribute": ("parameters", "parameter")}
         if kind not in by:
-            raise InvalidQuery(f"the kind {kind!r} is unknown", f"use {', '.join(by)}")
+            raise InvalidQuery(f"the kind {kind!r} needs the table of nodes", f"use {', '.join(by)}")
         table, column = by[kind]
         return self[table].where(tx.contains_ci(F.col(column), query))
 
-    def component_validate(self, uses: DataFrame, catch_all: DataFrame) -> DataFrame:
+    def component_validate(self, uses: DataFrame, catch_all: DataFrame, selected: tuple[str, ...] | None = None) -> DataFrame:
+        """All component rules whose tables the workspace has, or the selected ones.
+
+        Tables: parameters, routes; binds and properties (RZR004), component_refs and lineage (RZR007), stylesheets and component_files
+        (RZR008), injects, registered and provided (RZR009), component_files with flags ``unavailable`` (RZR000) and ``malformed`` (RZR010).
+        """
         parameters, routes = self["parameters"], self["routes"]
-        parts = [rules.unknown_components(uses, parameters), rules.unknown_parameters(uses, parameters, catch_all), rules.required_parameters(uses, parameters), rules.route_parameters(routes, parameters), rules.duplicate_routes(routes)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        has = lambda *names: all(n in self.tables for n in names)
+        parts = {"RZR001": rules.unknown_components(uses, parameters), "RZR002": rules.unknown_parameters(uses, parameters, catch_all), "RZR003": rules.required_parameters(uses, parameters), "RZR005": rules.route_parameters(routes, parameters), "RZR006": rules.duplicate_routes(routes)}
+        if has("binds", "properties"):
+            parts["RZR004"] = rules.unsettable_binds(self["binds"], self["properties"])
+        if has("component_refs", "lineage"):
+            parts["RZR007"] = rules.reference_types(self["component_refs"], self["lineage"])
+        if has("stylesheets", "component_files"):
+            parts["RZR008"] = rules.orphan_stylesheets(self["stylesheets"], self["component_files"])
+        if has("injects", "registered", "provided"):
+            parts["RZR009"] = rules.unregistered_injections(self["injects"], self["registered"], self["provided"])
+        if has("component_files"):
+            for code, flag, detail in (("RZR000", "unavailable", "no semantics"), ("RZR010", "malformed", "markup does not parse")):
+                if flag in self["component_files"].columns:
+                    parts[code] = rules.flagged_files(self["component_files"], code, flag, detail)
+        out = None
+        for code in sorted(parts):
+            if selected is None or code in selected:
+                out = parts[code] if out is None else out.unionByName(parts[code])
+        if out is None:
+            raise InvalidQuery("no rule is selected", f"use {', '.join(sorted(parts))}")
         return out.orderBy("path", "rule", "key")

@@ -11,12 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
+from millrace.sources.files import SKIPPED_FOLDERS
 
 # The kind of a file by its extension.
 KINDS = {"Code": (".cs",), "Project": (".csproj", ".props", ".targets", ".sln", ".slnx"), "Xaml": (".xaml", ".axaml"), "Razor": (".razor", ".cshtml"), "Resx": (".resx", ".resw")}
 #: Changed paths in one drain from which on a full reload is asked for.
 RELOAD_AT = 5000
 
+# Endings and beginnings of temporary names.
+TEMPORARY = r"(?i)(~|\.tmp|\.swp|\.swx|\.orig|\.rej)$"
+TEMPORARY_NAMES = r"^(~\$|\.#)"
+
 CHANGES = "seq BIGINT, path STRING, op STRING, modified TIMESTAMP, length BIGINT"
 
 
@@ -30,8 +35,10 @@ def kind_of(path: Column) -> Column:
 
 
 def latest(changes: DataFrame) -> DataFrame:
-    """The last event of each path, paths compared ignoring case; temporary and unclassified files are ignored."""
-    kept = changes.where(F.col("path").isNotNull() & ~F.col("path").rlike(r"(?i)(~|\.tmp|\.swp)$")).withColumn("kind", kind_of(F.col("path"))).where(F.col("kind").isNotNull())
+    """The last event of each path, paths compared ignoring case; temporary, excluded and unclassified files are ignored."""
+    folders = F.split(tx.directory(F.col("path")), r"[/\\]")
+    counts = ~F.col("path").rlike(TEMPORARY) & ~tx.file_name(F.col("path")).rlike(TEMPORARY_NAMES) & ~F.arrays_overlap(folders, F.array(*[F.lit(x) for x in SKIPPED_FOLDERS]))
+    kept = changes.where(F.col("path").isNotNull() & counts).withColumn("kind", kind_of(F.col("path"))).where(F.col("kind").isNotNull())
     last = kept.groupBy(F.lower("path").alias("path_key")).agg(F.max_by(F.struct("seq", "path", "op", "modified", "length", "kind"), "seq").alias("e"))
     return last.select("path_key", "e.*")
 
