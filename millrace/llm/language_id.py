@@ -12,6 +12,7 @@ Defined results
 * null text, empty text or text without a letter: ``und`` with score 0;
 * very long texts: all windows count, none is skipped;
 * no labelled text to learn from: every text is ``und`` with score 0;
+* more labels than ``most_labels``: the most frequent ones are learned (ties to the smaller label), others are never predicted;
 * repeated rows and ties: each row is judged alone; equal probabilities go to the smaller label;
 * extra columns pass through; an input column named like a result is replaced.
 """
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,14 +39,15 @@ FILTERS = 16
 EMBEDDING = 8
 STRIDE = WINDOW - max(WIDTHS) + 1
 
-#: Bounds of the training sample: texts of each label, windows of each text, distinct labels.
+#: Bounds of the training sample: texts of each label, windows of each text, distinct labels, and windows in all (256 bytes each).
 TEXTS_PER_LABEL = 1000
 WINDOWS_PER_TEXT = 4
 LEAST_STEPS = 300
 MOST_LABELS = 512
+MOST_WINDOWS = 200_000
 
 _HAS_LETTER = r"\p{L}"
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] = np.arange(97, 123)
 
 
@@ -60,12 +63,14 @@ class ByteConvNet:
     out_bias: np.ndarray
 
     @classmethod
-    def fit(cls, windows: np.ndarray, targets: np.ndarray, labels: list[str], epochs: int = 3, batch: int = 128, rate: float = 4e-3, seed: int = 17) -> ByteConvNet:
+    def fit(cls, windows: np.ndarray, targets: np.ndarray, labels: list[str], epochs: int = 3, batch: int = 128, rate: float = 4e-3, seed: int = 17, order: np.ndarray | None = None) -> ByteConvNet:
         """Adam on cross entropy; ``windows`` is (n, WINDOW) uint8, ``targets`` the label index of each.
 
-        Few windows are gone through more often, so that there are ``LEAST_STEPS`` steps.
+        An epoch goes through the windows in ``order`` (places, repeated where a window counts more than once), shuffled.  Few
+        windows are gone through more often, so that there are ``LEAST_STEPS`` steps.
         """
-        epochs = max(epochs, -(-LEAST_STEPS * batch // max(len(windows), 1)))
+        order = np.arange(len(windows)) if order is None else order
+        epochs = max(epochs, -(-LEAST_STEPS * batch // max(len(order), 1)))
         rng = np.random.default_rng(seed)
         f32 = np.float32
         params = {"E": rng.normal(0, 0.5, (256, EMBEDDING)).astype(f32), "O": rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(labels))).astype(f32), "c": np.zeros(len(labels), f32)}
@@ -76,7 +81,7 @@ class ByteConvNet:
         bytes_in = _LOWER[windows]
         step = 0
         for _ in range(epochs):
-            for rows in np.array_split(rng.permutation(len(windows)), max(1, len(windows) // batch)):
+            for rows in np.array_split(order[rng.permutation(len(order))], max(1, len(order) // batch)):
                 x, y = bytes_in[rows], targets[rows]
                 emb = params["E"][x]
                 lane = np.arange(len(rows))[:, None]
@@ -202,19 +207,18 @@ def predictor_of(net: ByteConvNet) -> Predictor:
     return _PREDICTORS[key]
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", key_col: str = "doc_id", texts_per_label: int = TEXTS_PER_LABEL, windows_per_text: int = WINDOWS_PER_TEXT) -> ByteConvNet | None:
-    """Fit a network on at most about ``1.3 * texts_per_label`` texts of each label.
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", key_col: str = "doc_id", texts_per_label: int = TEXTS_PER_LABEL, windows_per_text: int = WINDOWS_PER_TEXT, most_labels: int = MOST_LABELS, most_windows: int = MOST_WINDOWS) -> ByteConvNet | None:
+    """Fit a network on at most about ``1.3 * texts_per_label`` texts of each label, fewer if there would be more than about ``most_windows``.
 
     The sample is drawn by a hash of the key, and of each text ``windows_per_text`` windows are taken, evenly
     spaced over its whole length.  That bounds what reaches the driver whatever the size of the corpus.
     None if there is no labelled text with a letter.
     """
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).rlike(_HAS_LETTER))
-    counts = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(label_col).alias("label")).count().limit(MOST_LABELS + 1).collect()
-    if len(counts) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
+    counts = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(label_col).alias("label")).count().orderBy(F.col("count").desc(), "label").limit(most_labels).collect()
     if not counts:
         return None
+    texts_per_label = max(1, min(texts_per_label, int(most_windows / (1.3 * windows_per_text * len(counts)))))
     whole = 1 << 30
     shares = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(whole, int(1.2 * texts_per_label * whole / r["count"]) + 1))])
     draw = F.pmod(F.xxhash64(F.col(key_col).cast("string"), F.lit("language sample")), F.lit(whole))
@@ -230,19 +234,18 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
         block = window_bytes(data, starts, fill) if len(starts) else np.zeros((0, WINDOW), np.uint8)
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(nth[take]), common.binary_array([x.tobytes() for x in block])], names=["label", "draw", "nth", "bytes"])
 
-    drawn = common.map_arrow(sample, cut, T.StructType([T.StructField("label", T.StringType()), T.StructField("draw", T.LongType()), T.StructField("nth", T.LongType()), T.StructField("bytes", T.BinaryType())])).toArrow().to_pylist()
-    if not drawn:
+    drawn = common.map_arrow(sample, cut, T.StructType([T.StructField("label", T.StringType()), T.StructField("draw", T.LongType()), T.StructField("nth", T.LongType()), T.StructField("bytes", T.BinaryType())])).toArrow()
+    if not drawn.num_rows:
         return None
-    drawn.sort(key=lambda r: (r["label"], r["draw"], r["nth"], r["bytes"]))
-    labels = sorted({r["label"] for r in drawn})
-    windows = np.frombuffer(b"".join(r["bytes"] for r in drawn), np.uint8).reshape(-1, WINDOW)
-    place = {x: i for i, x in enumerate(labels)}
-    targets = np.array([place[r["label"]] for r in drawn])
+    drawn = drawn.sort_by([(n, "ascending") for n in ("label", "draw", "nth", "bytes")])
+    labels = sorted(drawn["label"].unique().to_pylist())
+    windows = common.text_buffers(drawn["bytes"])[0].reshape(-1, WINDOW)
+    targets = pc.index_in(drawn["label"], pa.array(labels, drawn["label"].type)).to_numpy().astype(np.int64)
     # Labels met more often must not crowd out the others.
     most = max(np.bincount(targets))
     rows_of = [np.flatnonzero(targets == i) for i in range(len(labels))]
     balanced = np.concatenate([np.resize(r, most) for r in rows_of])
-    return ByteConvNet.fit(windows[balanced], targets[balanced], labels)
+    return ByteConvNet.fit(windows, targets, labels, order=balanced)
 
 
 def identify(docs: DataFrame, net: ByteConvNet | None, text_col: str = "text") -> DataFrame:

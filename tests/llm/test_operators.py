@@ -126,6 +126,41 @@ def test_language_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_tables_against_direct_convolution():
+    """The table-driven network against embeddings, filters and pooling written out, window by window."""
+    rng = np.random.default_rng(20)
+    labels = ["a", "b", "c"]
+    texts = ["".join(rng.choice(list("abcdefghij KLM\u00e9"), int(n))) for n in (1, 2, 3, 40, 255, 256, 257, 700)]
+    data, offsets = common.text_buffers(pa.array(texts))
+    starts, fill, _ = language_id.windows_of(data, offsets)
+    windows = language_id.window_bytes(data, starts, fill)
+    net = language_id.ByteConvNet.fit(windows, rng.integers(0, 3, len(windows)), labels, order=np.arange(len(windows)).repeat(3))
+
+    def direct(text):
+        raw, total = text.encode(), np.zeros(3)
+        for at in range(0, max(1, len(raw) - language_id.WINDOW + language_id.STRIDE), language_id.STRIDE):
+            piece = raw[at : at + language_id.WINDOW]
+            emb = net.embedding[[b + 32 if 65 <= b <= 90 else b for b in piece.ljust(language_id.WINDOW, b"\0")]]
+            pooled = []
+            for width, weights, bias in zip(language_id.WIDTHS, net.filters, net.filter_bias, strict=True):
+                pooled += list(max(0, x) for x in np.max([emb[i : i + width].reshape(-1) @ weights for i in range(language_id.WINDOW - width + 1)], axis=0) + bias)
+            logits = np.array(pooled) @ net.out + net.out_bias
+            e = np.exp(logits - logits.max())
+            total += e / e.sum() * len(piece)
+        return total.argmax(), total.max() / total.sum()
+
+    best, score = language_id.Predictor(net).predict(data, offsets)
+    for t, text in enumerate(texts):
+        want, p = direct(text)
+        assert best[t] == want and abs(score[t] - p) < 1e-4
+
+
+def test_language_more_labels_than_learned(spark):
+    rows = [(i, "word " * 20, f"l{i % (2 + i // 40):02}", "s", 0) for i in range(200)]
+    net = language_id.train(spark.createDataFrame(rows, DOCS), most_labels=3, most_windows=60)
+    assert net.labels == ["l00", "l01", "l02"]
+
+
 def test_language_odd(spark, odd):
     net = language_id.train(odd.where(F.col("lang").isNotNull()))
     got = language_id.identify(clashing(odd), net).collect()
