@@ -69,9 +69,19 @@ def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     return spark.read.schema(schema).parquet(path)
 
 
-def clean(spark: SparkSession) -> int:
-    """Delete all tables that ``materialise`` wrote in this driver; call it once their results are stored."""
-    paths, _WRITTEN[:] = list(_WRITTEN), []
+def mark() -> int:
+    """The place in the list of written tables from which ``clean`` may go."""
+    return len(_WRITTEN)
+
+
+def clean(spark: SparkSession, since: int = 0, keep_last: bool = False) -> int:
+    """Delete the tables that ``materialise`` wrote in this driver (since a mark, but the last one if told so).
+
+    Call it once what was made of them is stored.
+    """
+    kept = _WRITTEN[-1:] if keep_last and len(_WRITTEN) > since else []
+    paths = _WRITTEN[since : len(_WRITTEN) - len(kept)]
+    _WRITTEN[since:] = kept
     for path in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

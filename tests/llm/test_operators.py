@@ -280,7 +280,7 @@ def test_embedding_recall_at_default(spark):
 def test_embedding_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, 2.0]), (8, [2.0, 4.0]), (9, [1.0, 2.0, 0.0]), (10, [1.0, 2.0]), (10, [1.0, 2.0]), (None, [1.0, 2.0]), (11, [1e30, 2e30])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("bucket", F.lit(1))
+    df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).withColumns({n: F.lit("clash") for n in ("bucket", "rep", "vector", "n_links", "kept")})
     got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.link(df).collect()]
     assert sorted(got, key=lambda r: (r[0] is None, r[0] or 0)) == [
         *((i, 0, i, True) for i in range(1, 7)),
