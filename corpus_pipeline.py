@@ -97,5 +97,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written as Parquet in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        begun = common.mark()
         docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.clean(spark, begun, keep_last=True)  # what the stage wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
