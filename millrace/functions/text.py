@@ -83,6 +83,11 @@ def directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)[/\\][^/\\]*$", 1)
 
 
+def utc_stamp(c: Column) -> Column:
+    """A timestamp as ``2024-01-31T09:05:00Z``, whatever the zone of the session; null stays null."""
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def duration_ms(c: Column) -> Column:
     """Milliseconds of ``hh:mm:ss.fffffff``; 0 where it cannot be read."""
     part = lambda i, kind: F.regexp_extract(c, r"^(\d+):(\d+):(\d+(?:\.\d+)?)$", i).try_cast(kind)

@@ -101,6 +101,37 @@ def tool_read_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _workspace(spark, sf_dir).read_text("src/d2/f12.cs", 1, 3)
 
 
+@register("""SELECT 'e' || event_id AS rel_path, CASE WHEN event_id % 9 = 0 THEN 'MISSING' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '  ' || (event_id * 3) END AS stamp, n.total, n.rank FROM events JOIN (SELECT event_id AS i, (count(*) OVER ())::BIGINT AS total, (row_number() OVER (ORDER BY 'e' || event_id))::INTEGER AS rank FROM events WHERE event_id % 3 = 0) n ON n.i = event_id WHERE rank <= 200""")
+def tool_find_files_stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    zone = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts").cast("timestamp_ntz"))
+    files = table(spark, sf_dir, "events").where(e % 3 == 0).select(_text("e", e).alias("rel_path"), F.when(e % 9 != 0, zone.cast("timestamp")).alias("modified"), (e * 3).alias("length"))
+    return Workspace(spark, "w", {"files": files}).find_files(stamps=True, cap=200)
+
+
+@register("SELECT 'o' || o_orderkey AS id, o_orderstatus AS message, 'f' || l_linenumber AS path, l_quantity::BIGINT AS added, l_suppkey::BIGINT AS deleted FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)")
+def tool_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), _text("f", F.col("l_linenumber")).alias("path"), F.col("l_quantity").cast("long").alias("added"), F.col("l_suppkey").cast("long").alias("deleted"))
+    commits = orders.join(lines, "o_orderkey").select(_text("o", F.col("o_orderkey")).alias("id"), F.col("o_orderstatus").alias("message"), "path", "added", "deleted")
+    first = orders.agg(F.min("o_orderkey")).first()[0]
+    return _workspace(spark, sf_dir, commits=commits).commit(f"o{first}")
+
+
+@register("SELECT 'v' || (p_partkey % 7) || '.' || (p_partkey % 30) || '.' || p_partkey AS name, 'S' || p_partkey AS id, p_brand AS date FROM part ORDER BY p_partkey % 7 DESC, p_partkey % 30 DESC, p_partkey DESC LIMIT 51")
+def tool_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p_partkey")
+    tags = table(spark, sf_dir, "part").select(_text("v", p % 7, ".", p % 30, ".", p).alias("name"), _text("S", p).alias("id"), F.col("p_brand").alias("date"))
+    return _workspace(spark, sf_dir, tags=tags).tag_list()
+
+
+@register("SELECT p_name || '  ' || p_size AS package FROM part WHERE p_partkey % 3 = 0")
+def tool_package_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead = F.when(F.col("p_partkey") % 3 == 0, "   > ").when(F.col("p_partkey") % 3 == 1, "   [net] ").otherwise(">")
+    report = table(spark, sf_dir, "part").select(_text(lead, F.col("p_name"), "  ", F.col("p_size"), " \t").alias("value"))
+    return _workspace(spark, sf_dir, package_report=report).package_audit()
+
+
 # ---------------------------------------------------------------- declarations and their uses
 
 

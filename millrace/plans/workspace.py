@@ -14,6 +14,7 @@ Tables and their columns:
 * hunks: path, start, count; changed: path, added, deleted; statuses: path, status
 * commits: seq, id, message, path, text
 * entries: see ``operators.rules``; elements: file, line, type_name, key, name, path, uid, attributes (map)
+* tags: name, id, date; package_report: value
 * styles: file, line, key, target, based_on, scope; tracked: path
 * results: project, test_name, outcome, duration_ms; parameters, routes: see ``operators.rules``
 * directives, nodes, expressions, component_members: see ``operators.components``; component_files: path, component
@@ -78,15 +79,22 @@ class Workspace:
     def owner_of(self, path: str) -> DataFrame:
         return self["files"].where(F.col("rel_path") == path).select("project")
 
-    def find_files(self, glob: str | None = None, name: str | None = None, tracked: bool = False, depth: int = 0) -> DataFrame:
-        found = self["files"].select("rel_path")
+    def find_files(self, glob: str | None = None, name: str | None = None, tracked: bool = False, depth: int = 0, stamps: bool = False, cap: int | None = None) -> DataFrame:
+        """Paths that pass all filters; with ``depth`` rolled up by directory, with ``stamps`` each with its time in UTC and its length
+        (files: also modified, length; a file without them reads MISSING), with ``cap`` the first ones and the total."""
+        found = self["files"].select("rel_path", *(["modified", "length"] if stamps else []))
         if glob:
             found = found.where(globs.matches(F.col("rel_path"), glob))
         if name:
             found = found.where(tx.contains_ci(tx.file_name(F.col("rel_path")), name))
         if tracked:
             found = found.join(self["tracked"].select(F.col("path").alias("rel_path")), "rel_path", "left_semi")
-        return folds.rollup(found, "rel_path", depth) if depth else found
+        if stamps:
+            stamp = F.concat(tx.utc_stamp(F.col("modified")), F.lit("  "), F.col("length").cast("string"))
+            found = found.select("rel_path", F.coalesce(stamp, F.lit("MISSING")).alias("stamp"))
+        elif depth:
+            found = folds.rollup(found, "rel_path", depth)
+        return caps.slack_cap(found, [F.col(found.columns[0])], cap) if cap else found
 
     def _texts(self, glob: str | None, exclude: str | None) -> DataFrame:
         found = self["files"].select("rel_path", "text")
@@ -300,6 +308,19 @@ class Workspace:
     def diff_text(self, pairs: DataFrame, old: str, new: str) -> DataFrame:
         return diff.diff_texts(pairs, old, new)
 
+    def commit(self, commit_id: str) -> DataFrame:
+        """(id, message, path, added, deleted) of one commit (commits: also added, deleted), a row for each file."""
+        return self["commits"].where(F.col("id") == commit_id).select("id", "message", "path", "added", "deleted").orderBy("path")
+
+    def tag_list(self, cap: int = 50) -> DataFrame:
+        """Tags (name, id, date), the newest version first: names are compared number by number, then as text; one row above the cap."""
+        numbers = F.transform(F.regexp_extract_all("name", F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("long"))
+        return self["tags"].select("name", "id", "date").orderBy(numbers.desc(), F.col("name").desc()).limit(cap + 1)
+
+    def package_audit(self) -> DataFrame:
+        """Packages that a report on vulnerable or outdated ones lists (package_report: value)."""
+        return sources.audited_packages(self["package_report"])
+
     def history(self, message: str | None = None, path: str | None = None, contains: str | None = None, cap: int = DEFAULT_CAP) -> DataFrame:
         """Newest first; one row above the cap tells that there are more."""
         found = self["commits"]

@@ -48,6 +48,12 @@ def project_references(files: DataFrame) -> DataFrame:
     return packages.unionByName(files.select("path", F.explode(project).alias("name")).select("path", F.lit("project").alias("kind"), F.replace("name", F.lit("\\"), F.lit("/")).alias("name"), F.lit(None).cast("string").alias("version")))
 
 
+def audited_packages(output: DataFrame, line_col: str = "value") -> DataFrame:
+    """(package,): the listed packages of a vulnerability or version report, from its output lines: those that begin with ``> ``."""
+    line = tx.trim_any(F.col(line_col))
+    return output.where(F.startswith(line, F.lit("> "))).select(F.substr(line, F.lit(3)).alias("package"))
+
+
 def project_properties(files: DataFrame, name: str | None = None) -> DataFrame:
     """(path, name, value) of simple property elements, by name."""
     body = F.array_join(F.regexp_extract_all("text", F.lit(r"(?s)<PropertyGroup[^>]*>(.*?)</PropertyGroup>"), F.lit(1)), "\n")
