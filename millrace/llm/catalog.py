@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, embedding_dedup, jaccard_join, language_id, lm_scoring, mixing, secrets, token_counts, topk, url_filter
+from millrace.llm import bpe, embedding_dedup, hard_negatives, jaccard_join, language_id, lm_scoring, mixing, secrets, spelling, token_counts, topk, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.query,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": secrets.query,
     "op9_mixing": mixing.query,
     "op10_url_filter": url_filter.query,
+    "op11_hard_negatives": hard_negatives.query,
+    "op12_spelling": spelling.query,
+    "op13_warc": warc.query,
 }
 
 #: Only what SQL can express; the others are tested against brute force.
@@ -27,4 +30,6 @@ ORACLES: dict[str, str] = {
     "op7_jaccard_join": jaccard_join.SQL,
     "op9_mixing": mixing.SQL,
     "op10_url_filter": url_filter.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op13_warc": warc.SQL,
 }
