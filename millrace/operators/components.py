@@ -41,16 +41,33 @@ def binding_sites(nodes: DataFrame) -> DataFrame:
     return rows.select("path", "line", "tag", F.col("a.name").alias("attribute"), F.trim(F.col("a.expression")).alias("expression"), kind.alias("kind")).where(F.col("kind").isNotNull())
 
 
+def lineage_order(lineage: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """(type, component, via, depth): each type with all it derives from, itself first, then its chain of bases, then its interfaces.
+
+    lineage: derived, base, and maybe is_interface.  ``via`` is 0 for the type and its bases and 1 for interfaces, wherever along the
+    line they come in; within each, ``depth`` is the least number of steps.
+    """
+    every = graph.closure(lineage, "derived", "base", types).select(F.col("node").alias("type"), F.col("reached").alias("component"), "depth")
+    if "is_interface" not in lineage.columns:
+        return every.select("type", "component", F.lit(0).alias("via"), "depth")
+    chain = graph.closure(lineage.where(~F.col("is_interface")), "derived", "base", types).select(F.col("node").alias("type"), F.col("reached").alias("component"), F.lit(0).alias("via"), "depth")
+    through = every.join(chain.select("type", "component"), ["type", "component"], "left_anti").where("depth > 0")
+    return chain.unionByName(through.select("type", "component", F.lit(1).alias("via"), "depth"))
+
+
 def inherited(members: DataFrame, lineage: DataFrame) -> DataFrame:
-    """(type, member, member_type, settable): own members and those of base types, the nearest one of a name; lineage: derived, base."""
-    nearest = graph.closure(lineage, "derived", "base").select(F.col("node").alias("type"), F.col("reached").alias("component"), "depth")
-    alone = members.select(F.col("component").alias("type")).distinct().join(nearest.select("type").distinct(), "type", "left_anti")
-    every = nearest.unionByName(alone.select("type", F.col("type").alias("component"), F.lit(0).alias("depth")))
-    best = F.min(F.struct("depth", "component", "member_type", "settable")).alias("m")
+    """(type, member, member_type, settable): own members and those of base types and interfaces, the first one of a name in the order of lineage."""
+    nearest = lineage_order(lineage)
+    known = nearest.select("type").distinct()
+    alone = members.select(F.col("component").alias("type")).distinct().join(known, "type", "left_anti")
+    # Types that only interfaces lead to have no row of their own in the chains.
+    own = known.join(nearest.where("depth = 0").select("type"), "type", "left_anti")
+    every = nearest.unionByName(alone.unionByName(own).select("type", F.col("type").alias("component"), F.lit(0).alias("via"), F.lit(0).alias("depth")))
+    best = F.min(F.struct("via", "depth", "component", "member_type", "settable")).alias("m")
     return every.join(members, "component").groupBy("type", "member").agg(best).select("type", "member", "m.member_type", "m.settable")
 
 
-def checked_sites(nodes: DataFrame, members: DataFrame, context: DataFrame, lineage: DataFrame | None = None, most: int = 8) -> DataFrame:
+def checked_sites(nodes: DataFrame, members: DataFrame, context: DataFrame, lineage: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Binding sites with a ``verdict``: OK, INLINE, UNRESOLVED, NO_SETTER or NO_CONTEXT; context: (path, component).
 
     An expression is walked segment by segment, calls without their arguments, through members and those of base types.

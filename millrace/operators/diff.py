@@ -7,12 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: Cells of one alignment table and depth of splitting; beyond both, a region is one replaced block.
 MOST_CELLS = 2_000_000
 MOST_DEPTH = 24
+#: Lines of the text of a difference, unless more are asked for.
+MOST_LINES = 1000
+#: Characters of lines in an Arrow batch that goes out, about.
+_BATCH_CHARACTERS = 4 << 20
 
 
 def line_diff(old: list[str], new: list[str]) -> list[tuple[str, str]]:
@@ -97,11 +103,95 @@ def diff_texts(pairs: DataFrame, old: str, new: str) -> DataFrame:
     return pairs.mapInPandas(run, f"{fields}, added long, deleted long, script string")
 
 
+def changes(old: list[str], new: list[str]) -> list[tuple[int, int, int, int]]:
+    """(old start, old count, new start, new count) of what differs, starts from 1: the stretches of the edit script between kept lines."""
+    out, i, j = [], 0, 0
+    a, b = 0, 0
+    for kind, _ in [*line_diff(old, new), (" ", "")]:
+        if kind == " ":
+            if (i, j) != (a, b):
+                out.append((a + 1, i - a, b + 1, j - b))
+            i, j = i + 1, j + 1
+            a, b = i, j
+        elif kind == "-":
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+_HUNK = "hunk int, old_start int, old_count int, new_start int, new_count int, removed array<string>, added array<string>"
+
+
+def hunks_between(pairs: DataFrame, old: str, new: str) -> DataFrame:
+    """The columns of ``pairs`` but the two texts, with each of their hunks: number, places, and the lines removed and added.
+
+    Texts are null or empty: one empty line.  Equal texts have no hunks.
+    """
+    kept = [f for f in pairs.schema.fields if f.name not in (old, new)]
+    source = pairs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(old).alias("_old"), F.col(new).alias("_new"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            held = 0
+
+            def made() -> pa.RecordBatch:
+                owner, *columns = zip(*rows, strict=True)
+                kinds = [pa.int32()] * 5 + [pa.list_(pa.string())] * 2
+                own = [batch.column(c).take(pa.array(owner, pa.int64())) for c in range(len(kept))]
+                return pa.RecordBatch.from_arrays(own + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.name for f in kept] + [x.split()[0] for x in _HUNK.split(", ")])
+
+            for r in range(batch.num_rows):
+                was, now = (lines_of(batch.column(len(kept) + c)[r].as_py()) for c in (0, 1))
+                for n, (i, x, j, y) in enumerate(changes(was, now), 1):
+                    removed, added = was[i - 1 : i - 1 + x], now[j - 1 : j - 1 + y]
+                    rows.append((r, n, i, x, j, y, removed, added))
+                    held += sum(map(len, removed)) + sum(map(len, added))
+                    if held > _BATCH_CHARACTERS or len(rows) >= 4096:
+                        yield made()
+                        rows, held = [], 0
+            if rows:
+                yield made()
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+    return source.mapInArrow(run, fields + _HUNK)
+
+
+def unified(found: DataFrame, keys: list[str], most: int = MOST_LINES) -> DataFrame:
+    """(keys, changed, lines, diff): the hunks of each pair as unified text of at most ``most`` lines.
+
+    ``changed`` sums the longer side of each hunk, ``lines`` is how many lines the whole text has.  A hunk that begins beyond the bound is
+    dropped before anything is gathered, so no task holds more than about ``most`` lines of a pair and the hunk that crosses it.
+    """
+    sign = lambda mark, lines: F.transform(lines, lambda x: F.concat(F.lit(mark), x))
+    number = lambda c: F.col(c).cast("string")
+    head = F.concat(F.lit("@@ -"), number("old_start"), F.lit(","), number("old_count"), F.lit(" +"), number("new_start"), F.lit(","), number("new_count"), F.lit(" @@"))
+    size = F.col("old_count") + F.col("new_count") + 1
+    totals = found.groupBy(*keys).agg(F.sum(F.greatest("old_count", "new_count")).alias("changed"), F.sum(size).alias("lines"))
+    above = F.coalesce(F.sum(size).over(W.partitionBy(*keys).orderBy("hunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shown = found.withColumn("_above", above).where(F.col("_above") < most)
+    body = F.slice(F.concat(F.array(head), sign("-", F.col("removed")), sign("+", F.col("added"))), F.lit(1), (F.lit(most) - F.col("_above")).cast("int"))
+    parts = shown.select(*keys, F.struct("hunk", body.alias("body")).alias("_part")).groupBy(*keys).agg(F.sort_array(F.collect_list("_part")).alias("_parts"))
+    joined = totals.join(parts, [totals[k].eqNullSafe(parts[k]) for k in keys])
+    return joined.select(*[totals[k] for k in keys], "changed", "lines", F.array_join(F.flatten(F.transform("_parts", lambda x: x["body"])), "\n").alias("diff"))
+
+
+def replayed(texts: DataFrame, found: DataFrame, keys: list[str], old: str) -> DataFrame:
+    """(keys, text): the old texts with their hunks applied, which gives the new ones; texts without hunks stay."""
+    columns = ["old_start", "old_count", "added"]
+    gathered = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("hunk", *columns))).alias("_hunks"))
+    joined = texts.join(gathered, [texts[k].eqNullSafe(gathered[k]) for k in keys], "left").select(*[texts[k] for k in keys], F.split(F.regexp_replace(F.coalesce(old, F.lit("")), "\r\n", "\n"), "\n").alias("_was"), F.coalesce("_hunks", F.array().cast(gathered.schema["_hunks"].dataType)).alias("_hunks"))
+    # Each hunk brings the kept lines since the one before and its own; the rest of the text follows the last.
+    ends = joined.withColumn("_ends", F.concat(F.array(F.lit(1)), F.transform("_hunks", lambda h: h["old_start"] + h["old_count"])))
+    pieces = F.transform("_hunks", lambda h, i: F.concat(F.slice("_was", F.get("_ends", i), h["old_start"] - F.get("_ends", i)), h["added"]))
+    rest = F.slice("_was", F.get("_ends", F.size("_hunks")), F.greatest(F.size("_was") - F.get("_ends", F.size("_hunks")) + 1, F.lit(0)))
+    return ends.select(*keys, F.array_join(F.concat(F.flatten(pieces), rest), "\n").alias("text"))
+
+
 def hunks(unified: DataFrame, line_col: str, order_col: str) -> DataFrame:
     """(path, start, count) of the new side of unified diff lines; a missing count is 1."""
     header = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
-    from pyspark.sql.window import Window as W
-
     path = F.last(F.when(F.startswith(line_col, F.lit("+++ b/")), F.substr(line_col, F.lit(7))), ignorenulls=True).over(W.partitionBy("file").orderBy(order_col))
     found = unified.withColumn("path", path).where(F.col(line_col).rlike(header))
     count = F.regexp_extract(line_col, header, 2)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from millrace.functions import text as tx
+from millrace.plans.session import ensure_checkpoint_dir
 
 
 def containment(points: DataFrame, spans: DataFrame, key: str, start: str, end: str, span_start: str, span_end: str, span_id: str, point_id: str, bucket: int = 64) -> DataFrame:
@@ -83,20 +84,26 @@ def resolve(names: DataFrame, symbols: DataFrame, query: str, container: str | N
     return found.join(gone, "asked", "left").select("asked", "status", "n", "ids", F.coalesce("near", F.lit("")).alias("near"))
 
 
-def member_walk(paths: DataFrame, members: DataFrame, path: str, start_type: str, most: int = 8, ends: str | None = None) -> DataFrame:
+def member_walk(paths: DataFrame, members: DataFrame, path: str, start_type: str, most: int | None = 8, ends: str | None = None) -> DataFrame:
     """Walk dotted member paths through (type, member, member_type); ``resolved`` and the first ``broken`` segment.
 
-    A path that is longer than ``most`` and not broken within it is not told: ``resolved`` is null.  With ``ends``, the type that the walk
-    ends at is a column of that name.
+    The walk takes as many steps as the longest path has segments, which one job finds out, unless ``most`` bounds them: then a path that is
+    longer and not broken within them is not told: ``resolved`` is null.  With ``ends``, the type that the walk ends at is a column of that name.
+    Each step is a join, and every few of them lineage is cut.
     """
     walk = paths.withColumn("_parts", F.filter(F.split(F.col(path), r"\."), lambda x: x != "")).withColumn("_type", F.col(start_type)).withColumn("broken", F.lit(None).cast("string"))
-    table = members.select(F.col("type").alias("_mt"), F.col("member").alias("_mm"), F.col("member_type").alias("_mr")).dropDuplicates(["_mt", "_mm"])
+    if most is None:
+        most = walk.agg(F.max(F.size("_parts"))).first()[0] or 0
+    table = members.select(F.col("type").alias("_mt"), F.col("member").alias("_mm"), F.col("member_type").alias("_mr")).groupBy("_mt", "_mm").agg(F.min("_mr").alias("_mr"))
     for depth in range(1, most + 1):
         part = F.try_element_at("_parts", F.lit(depth))
         walk = walk.withColumn("_part", part).join(table, (F.col("_type") == F.col("_mt")) & (F.col("_part") == F.col("_mm")), "left")
         stuck = F.col("broken").isNull() & F.col("_part").isNotNull() & F.col("_mm").isNull()
         walk = walk.withColumn("broken", F.when(stuck, F.col("_part")).otherwise(F.col("broken")))
         walk = walk.withColumn("_type", F.when(F.col("_part").isNotNull(), F.col("_mr")).otherwise(F.col("_type"))).drop("_mt", "_mm", "_mr", "_part")
+        if depth % 8 == 0 and depth < most:
+            ensure_checkpoint_dir(walk.sparkSession)
+            walk = walk.checkpoint()
     resolved = F.when(F.col("broken").isNotNull(), False).when(F.size("_parts") <= most, True)
     return walk.select(*paths.columns, resolved.alias("resolved"), "broken", *([F.col("_type").alias(ends)] if ends else []))
 

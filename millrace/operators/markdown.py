@@ -1,12 +1,14 @@
 """Markdown tables as rows and headings as intervals, within each text.
 
-A text is one row, and its lines are worked on as an array inside that row: no shuffle and no window over lines.
+Only the lines of tables, or headings and fences, leave a text, each with its place; what belongs together is told by windows over the places
+within a text.  Each line is touched a fixed number of times, so a text of very many lines costs time and memory in proportion.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from millrace.errors import InvalidQuery
 from millrace.functions import text as tx
@@ -22,25 +24,16 @@ def table(docs: DataFrame, columns: list[str], id_col: str, text_col: str) -> Da
     """
     if not columns:
         raise InvalidQuery("no column is named", "name at least one column")
-    trimmed = F.transform(F.split(F.col(text_col), "\n"), lambda x: tx.trim_any(x))
-    is_row = lambda x: F.startswith(x, F.lit("|")) & (F.length(x) > 1)
-    with_lines = docs.where(F.col(text_col).isNotNull()).select(id_col, trimmed.alias("_l"))
-    # For each line its header: the first line of the run it is in; 0 outside tables.
-    runs = F.aggregate(
-        "_l",
-        F.struct(F.array().cast("array<int>").alias("heads"), F.lit(0).alias("head"), F.lit(0).alias("at")),
-        lambda acc, x: F.struct(
-            F.concat(acc["heads"], F.array(F.when(is_row(x), F.when(acc["head"] == 0, acc["at"] + 1).otherwise(acc["head"])).otherwise(0))).alias("heads"),
-            F.when(is_row(x), F.when(acc["head"] == 0, acc["at"] + 1).otherwise(acc["head"])).otherwise(0).alias("head"),
-            (acc["at"] + 1).alias("at"),
-        ),
-    )
-    rows = with_lines.where(F.exists("_l", is_row)).select(id_col, "_l", runs["heads"].alias("_h"))
-    rows = rows.select(id_col, "_l", F.posexplode("_h").alias("_p", "_head")).where((F.col("_head") > 0) & (F.col("_head") != F.col("_p") + 1))
+    trimmed = F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct((i + 1).alias("line"), tx.trim_any(x).alias("text")))
+    only = F.filter(trimmed, lambda x: F.startswith(x["text"], F.lit("|")) & (F.length(x["text"]) > 1))
+    held = docs.where(F.contains(F.col(text_col), F.lit("|"))).select(F.monotonically_increasing_id().alias("_text"), id_col, only.alias("_rows"))
+    rows = held.select("_text", id_col, F.explode("_rows").alias("_r")).select("_text", id_col, F.col("_r.line").alias("line"), F.col("_r.text").alias("_line"))
+    # Lines of one table follow each other, so line and place differ by the same number in all of them.
+    run = F.col("line") - F.row_number().over(W.partitionBy("_text").orderBy("line"))
+    in_table = W.partitionBy("_text", "_run").orderBy("line")
+    rows = rows.withColumn("_run", run).withColumn("_head", F.first("_line").over(in_table)).withColumn("_nth", F.row_number().over(in_table)).where("_nth > 1")
     cells = lambda line: F.transform(F.split(F.regexp_replace(line, r"^[|]|(?<!\\)[|]$", ""), _UNESCAPED), lambda c: F.replace(tx.trim_any(c), F.lit("\\|"), F.lit("|")))
-    line = F.get("_l", F.col("_p"))
-    rows = rows.select(id_col, (F.col("_p") + 1).alias("line"), line.alias("_line"), F.transform(cells(F.get("_l", F.col("_head") - 1)), F.lower).alias("_names"), cells(line).alias("_cells"))
-    rows = rows.where(~F.col("_line").rlike(r"^[|:\-\s]*-[|:\-\s]*$"))
+    rows = rows.where(~F.col("_line").rlike(r"^[|:\-\s]*-[|:\-\s]*$")).select(id_col, "line", F.transform(cells("_head"), F.lower).alias("_names"), cells("_line").alias("_cells"))
     place = {c: F.array_position("_names", c.lower()) for c in columns}
     wanted = None
     for p in place.values():
@@ -61,20 +54,18 @@ def headers(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, heading, level, start_line, end_line): headings outside fences, each to before the next of its level or higher."""
-    fence = lambda x: x.rlike(r"^\s{0,3}(```|~~~)")
-    parts = docs.where(F.col(text_col).isNotNull()).select(id_col, F.split(F.col(text_col), "\n").alias("_l")).where(F.exists("_l", lambda x: x.rlike(r"^#{1,6}\s")))
-    marked = F.aggregate(
-        "_l",
-        F.struct(F.array().cast("array<struct<level:int,heading:string,line:int>>").alias("found"), F.lit(False).alias("fenced"), F.lit(0).alias("at")),
-        lambda acc, x: F.struct(
-            F.when(
-                ~acc["fenced"] & x.rlike(r"^#{1,6}\s"),
-                F.concat(acc["found"], F.array(F.struct(F.length(F.regexp_extract(x, r"^(#{1,6})\s", 1)).alias("level"), tx.trim_any(F.regexp_extract(x, r"^#{1,6}\s+(.*)$", 1)).alias("heading"), (acc["at"] + 1).alias("line")))),
-            ).otherwise(acc["found"]).alias("found"),
-            F.when(fence(x), ~acc["fenced"]).otherwise(acc["fenced"]).alias("fenced"),
-            (acc["at"] + 1).alias("at"),
-        ),
-    )
-    found = parts.select(id_col, F.size("_l").alias("_n"), marked["found"].alias("_f"))
-    after = lambda h: F.array_min(F.transform(F.filter("_f", lambda o: (o["line"] > h["line"]) & (o["level"] <= h["level"])), lambda o: o["line"]))
-    return found.select(id_col, F.explode(F.transform("_f", lambda h: F.struct(h["heading"].alias("heading"), h["level"].alias("level"), h["line"].alias("start_line"), F.coalesce(after(h) - 1, F.col("_n")).alias("end_line")))).alias("s")).select(id_col, "s.*")
+    is_fence = lambda x: x.rlike(r"^\s{0,3}(```|~~~)")
+    is_heading = lambda x: x.rlike(r"^#{1,6}\s")
+    lines = docs.where(F.contains(F.col(text_col), F.lit("#"))).select(F.monotonically_increasing_id().alias("_text"), id_col, F.split(F.col(text_col), "\n").alias("_l"))
+    marks = F.filter(F.transform("_l", lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))), lambda x: is_fence(x["text"]) | is_heading(x["text"]))
+    rows = lines.select("_text", id_col, F.size("_l").alias("_n"), F.explode(marks).alias("_m")).select("_text", id_col, "_n", F.col("_m.line").alias("start_line"), F.col("_m.text").alias("_line"))
+    # A heading stands outside of fences if an even number of them stand before it.
+    before = W.partitionBy("_text").orderBy("start_line").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_fences", F.coalesce(F.sum(is_fence(F.col("_line")).cast("int")).over(before), F.lit(0)))
+    rows = rows.where(is_heading(F.col("_line")) & (F.col("_fences") % 2 == 0)).withColumn("level", F.length(F.regexp_extract("_line", r"^(#{1,6})\s", 1)))
+    # Backwards, the least line seen so far of each level or higher is that of the next such heading.
+    behind = W.partitionBy("_text").orderBy(F.col("start_line").desc()).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumns({f"_next{k}": F.min(F.when(F.col("level") <= k, F.col("start_line"))).over(behind) for k in range(1, 7)})
+    after = F.coalesce(*[F.when(F.col("level") == k, F.col(f"_next{k}")) for k in range(1, 7)])
+    heading = tx.trim_any(F.regexp_extract("_line", r"^#{1,6}\s+(.*)$", 1))
+    return rows.select(id_col, heading.alias("heading"), "level", "start_line", F.coalesce(after - 1, F.col("_n")).alias("end_line"))

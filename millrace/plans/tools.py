@@ -256,12 +256,12 @@ def tool_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _workspace(spark, sf_dir, changed=changed, statuses=statuses, untracked=untracked).changed_files("c/3/*").withColumns({c: F.col(c).cast("string") for c in ("added", "deleted")})
 
 
-@register(f"""WITH {_SYMBOLS}, h AS (SELECT 'src/d' || (c_custkey % 10) || '/f' || (c_custkey % 100) || '.cs' AS path, (c_custkey % 7 + 1)::INTEGER AS start, (c_custkey % 3)::INTEGER AS count FROM customer), d AS (SELECT DISTINCT *, start + greatest(count, 1) - 1 AS "end", path || ':' || start AS hunk FROM h WHERE count = 1),
- m AS (SELECT d.*, s.id AS symbol, row_number() OVER (PARTITION BY hunk ORDER BY s.end_line - s.start_line NULLS LAST, s.id) AS rn FROM d LEFT JOIN symbols s ON s.path = d.path AND s.start_line <= d.start AND s.end_line >= d."end") SELECT path, start, count, "end", hunk, symbol, CASE WHEN symbol IS NULL THEN 'HEURISTIC' ELSE 'EXACT' END AS confidence FROM m WHERE rn = 1""")
+@register(f"""WITH {_SYMBOLS}, h AS (SELECT 'src/d' || (c_custkey % 10) || '/f' || (c_custkey % 100) || '.cs' AS path, (c_custkey % 7 + 1)::INTEGER AS start, (c_custkey % 3)::INTEGER AS count FROM customer), d AS (SELECT *, start + greatest(count, 1) - 1 AS "end", path || ':' || start AS hunk, row_number() OVER () AS id FROM h),
+ m AS (SELECT d.*, s.id AS symbol, row_number() OVER (PARTITION BY d.id ORDER BY s.end_line - s.start_line NULLS LAST, s.id) AS rn FROM d LEFT JOIN symbols s ON s.path = d.path AND s.start_line <= d.start AND s.end_line >= d."end") SELECT path, start, count, "end", hunk, symbol, CASE WHEN symbol IS NULL THEN 'HEURISTIC' ELSE 'EXACT' END AS confidence FROM m WHERE rn = 1""")
 def tool_diff_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
     hunks = table(spark, sf_dir, "customer").select(_text("src/d", c % 10, "/f", c % 100, ".cs").alias("path"), (c % 7 + 1).cast("int").alias("start"), (c % 3).cast("int").alias("count"))
-    return _workspace(spark, sf_dir, hunks=hunks.where(F.col("count") == 1).distinct()).diff_symbols()
+    return _workspace(spark, sf_dir, hunks=hunks).diff_symbols()
 
 
 @register("""WITH c AS (SELECT conv_id * 100 + turn AS seq, 'c' || conv_id AS path, role AS message, text FROM conversations), o AS (SELECT *, ((length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'tion', ''))) // 4)::INTEGER AS occurrences FROM c WHERE contains(message, 'user')), l AS (SELECT *, lag(occurrences, 1, 0) OVER (PARTITION BY path ORDER BY seq) AS was FROM o)

@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from millrace.errors import InvalidQuery
 from millrace.functions import globs
 from millrace.functions import text as tx
-from millrace.operators import caps, components, diff, folds, graph, joins, markdown, rules, search
+from millrace.operators import caps, components, diff, folds, graph, grep, joins, markdown, mentions, rules, search
 from millrace.sources import documents as sources
 from millrace.sources import files as file_sources
+from millrace.sources import markup
 
 DEFAULT_CAP = 100
 SCOPE_RANK = ("local", "app", "theme")
@@ -70,6 +71,10 @@ class Workspace:
             out = part if out is None else out.unionByName(part)
         return out
 
+    def scanned(self) -> Workspace:
+        """The workspace with the tables that its markup and component files give: elements, parsed, nodes, directives, expressions, routes, issues, component_files."""
+        return Workspace(self.spark, self.name, self.tables | markup.markup_tables(self["files"]) | markup.component_tables(self["files"]))
+
     # ------------------------------------------------------------ projects and files
 
     def list_projects(self, contains: str | None = None) -> DataFrame:
@@ -114,8 +119,14 @@ class Workspace:
             return search.unique(hits, cap, "rel_path")
         return caps.slack_cap(hits, [F.col("rel_path"), F.col("line")], cap)
 
-    def search_regex(self, query: str, glob: str | None = None, exclude: str | None = None, matches_only: bool = False, cap: int = DEFAULT_CAP, unique: bool = False) -> DataFrame:
-        hits = search.regex(self._texts(glob, exclude), query, "rel_path", "text", matches_only)
+    def search_regex(self, query: str | list[str], glob: str | None = None, exclude: str | None = None, matches_only: bool = False, cap: int = DEFAULT_CAP, unique: bool = False, context: int = 0) -> DataFrame:
+        """Matches in whole texts, across lines where the pattern allows it; of several patterns with the tags of all that a line has."""
+        queries = [query] if isinstance(query, str) else query
+        texts = self._texts(glob, exclude)
+        if len(queries) == 1 and not context and grep.within_lines(queries[0]):
+            hits = search.regex(texts, queries[0], "rel_path", "text", matches_only)
+        else:
+            hits = grep.grep(texts, queries, "rel_path", "text", matches_only, context)
         if unique:
             return search.unique(hits, cap, "rel_path")
         return caps.slack_cap(hits, [F.col("rel_path"), F.col("line")], cap)
@@ -300,14 +311,21 @@ class Workspace:
         return found.unionByName(more, allowMissingColumns=True)
 
     def diff_symbols(self) -> DataFrame:
-        """Each hunk with the innermost declaration around it."""
-        hunks = self["hunks"].select("path", "start", "count", (F.col("start") + F.greatest(F.col("count"), F.lit(1)) - 1).alias("end"), F.concat_ws(":", "path", F.col("start").cast("string")).alias("hunk"))
+        """Each hunk with the innermost declaration around it; equal hunks share their answer and all stay."""
+        hunks = self["hunks"].groupBy("path", "start", "count").agg(F.count("*").alias("_again")).withColumn("end", F.col("start") + F.greatest(F.col("count"), F.lit(1)) - 1)
+        hunks = hunks.withColumns({"hunk": F.concat_ws(":", "path", F.col("start").cast("string")), "_id": F.struct("path", "start", "count")})
         spans = self["symbols"].select(F.col("path"), "start_line", "end_line", F.col("id").alias("symbol"))
-        return joins.containment(hunks, spans, "path", "start", "end", "start_line", "end_line", "symbol", "hunk")
+        found = joins.containment(hunks, spans, "path", "start", "end", "start_line", "end_line", "symbol", "_id")
+        return found.select("path", "start", "count", "end", "hunk", "symbol", "confidence", F.explode(F.array_repeat(F.lit(1), F.col("_again").cast("int"))).alias("_")).drop("_")
 
     def diff_text(self, pairs: DataFrame, old: str, new: str) -> DataFrame:
         return diff.diff_texts(pairs, old, new)
 
+    def diff_unified(self, pairs: DataFrame, old: str, new: str, lines: int = diff.MOST_LINES) -> DataFrame:
+        """Bounded unified text of what changed in each pair; its other columns name it."""
+        keys = [c for c in pairs.columns if c not in (old, new)]
+        return diff.unified(diff.hunks_between(pairs, old, new), keys, lines)
+
     def commit(self, commit_id: str) -> DataFrame:
         """(id, message, path, added, deleted) of one commit (commits: also added, deleted), a row for each file."""
         return self["commits"].where(F.col("id") == commit_id).select("id", "message", "path", "added", "deleted").orderBy("path")
@@ -358,8 +376,29 @@ class Workspace:
         more = textual.join(exact.select("path", "line"), ["path", "line"], "left_anti")
         return exact.withColumn("confidence", F.lit("EXACT")).unionByName(more.withColumn("confidence", F.lit("HEURISTIC"))).orderBy("path", "line")
 
+    def resx_key_usages(self, key: str, exact: DataFrame | None = None, cap: int = DEFAULT_CAP) -> DataFrame:
+        """Usages of a resource key in order, capped: those that the files' texts hold, and exact ones (path, line, form) in their place.
+
+        ``composed`` counts lookups put together at run time: with any of them, no usage is no proof.
+        """
+        texts = self["files"].where(mentions.scanned(F.col("rel_path"))).select(F.col("rel_path").alias("path"), "text")
+        found = mentions.key_usages(texts, key, "path", "text").withColumn("confidence", F.lit("HEURISTIC"))
+        if exact is not None:
+            sure = exact.select("path", "line", "form")
+            known = sure.select(F.lower("path").alias("_p"), F.col("line").alias("_l")).distinct()
+            found = sure.withColumn("confidence", F.lit("EXACT")).unionByName(found.join(known, (F.lower("path") == F.col("_p")) & (F.col("line") == F.col("_l")), "left_anti"))
+        return caps.slack_cap(found, [F.col("path"), F.col("line"), F.col("form")], cap).withColumn("composed", mentions.composed_lookups(texts).scalar())
+
+    def _tokens(self) -> DataFrame:
+        """What the scanned files mention, unless the workspace has a table of tokens."""
+        if "tokens" in self.tables:
+            return self["tokens"]
+        return mentions.tokens(self["files"].where(mentions.scanned(F.col("rel_path"))))
+
     def resx_validate(self, selected: tuple[str, ...] = rules.DEFAULT_RESOURCE_RULES) -> DataFrame:
-        return rules.validate_resources(self["entries"], self.tables.get("tokens"), self.tables.get("designers"), selected)
+        """Findings of the selected rules; what is unused (RESX003) is told from the texts of the files, or a table of tokens."""
+        tokens = self._tokens() if "RESX003" in selected and {"tokens", "files"} & set(self.tables) else None
+        return rules.validate_resources(self["entries"], tokens, self.tables.get("designers"), selected)
 
     # ------------------------------------------------------------ markup
 
@@ -401,29 +440,39 @@ class Workspace:
         return rows.where(F.col("event").isin(*events) & tx.is_identifier(F.col("handler"))).orderBy("line", "event")
 
     def xaml_bindings(self, file: str, members: DataFrame | None = None, start_type: str | None = None) -> DataFrame:
-        """Binding expressions; with member tables, whether each dotted path resolves."""
+        """Binding expressions; with member tables, whether each dotted path resolves, through base types and interfaces (``type_edges``) too."""
         rows = self["elements"].where(F.col("file") == file).select("file", "line", F.explode("attributes").alias("attribute", "expression")).where(F.startswith("expression", F.lit("{Binding")))
         path = F.regexp_extract("expression", r"^\{Binding\s+(?:Path=)?([A-Za-z_][\w.]*)", 1)
         rows = rows.withColumn("binding", path)
         if members is None:
             return rows.orderBy("line", "attribute")
-        return joins.member_walk(rows.where(path != "").withColumn("start", F.lit(start_type)), members, "binding", "start").orderBy("line", "attribute")
-
-    def xaml_validate(self, parsed: DataFrame, references: DataFrame, mentions: DataFrame) -> DataFrame:
+        if "type_edges" in self.tables:
+            own = members.withColumnRenamed("type", "component")
+            own = own if "settable" in own.columns else own.withColumn("settable", F.lit(True))
+            members = components.inherited(own, self["type_edges"]).select("type", "member", "member_type")
+        return joins.member_walk(rows.where(path != "").withColumn("start", F.lit(start_type)), members, "binding", "start", None).orderBy("line", "attribute")
+
+    def xaml_validate(self, parsed: DataFrame | None = None, references: DataFrame | None = None, mentioned: DataFrame | None = None) -> DataFrame:
+        """All markup rules; what is not handed in comes from the scan of the files (``scanned``): whether they parse, the resources that
+        attributes refer to, and the identifiers that texts mention outside of the declarations themselves."""
         elements = self["elements"]
-        parts = [
-            rules.markup_unparsed(parsed),
-            rules.markup_duplicates(elements, "key", "XAML001"),
-            rules.markup_duplicates(elements, "name", "XAML002"),
-            rules.markup_unresolved(references, elements, parsed),
-            rules.markup_unused(elements, mentions, "key", "XAML004"),
-            rules.markup_unused(elements, mentions, "name", "XAML005"),
-        ]
+        parsed = self["parsed"] if parsed is None else parsed
+        references = mentions.markup_references(elements) if references is None else references
+        parts = [rules.markup_unparsed(parsed), rules.markup_duplicates(elements, "key", "XAML001"), rules.markup_duplicates(elements, "name", "XAML002"), rules.markup_unresolved(references, elements, parsed)]
+        for column, rule in (("key", "XAML004"), ("name", "XAML005")):
+            parts.append(rules.markup_unused(elements, self._mentioned(column, references) if mentioned is None else mentioned, column, rule))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
 
+    def _mentioned(self, column: str, references: DataFrame) -> DataFrame:
+        """Tokens that may use a declared key or name: of files that are no markup, of other attributes' values, and keys referred to."""
+        code = mentions.tokens(self["files"].where(mentions.scanned(F.col("rel_path")) & ~tx.extension(F.col("rel_path")).isin(*markup.MARKUP_ENDINGS)))
+        values = self["elements"].select(F.explode(F.map_values(F.map_filter("attributes", lambda k, v: ~k.isin("Key", "Name")))).alias("text"))
+        tokens = code.unionByName(mentions.tokens(values)).unionByName(references.select(F.col("key").alias("token")))
+        return tokens.select(F.col("token").alias(column)).distinct()
+
     # ------------------------------------------------------------ components
 
     def component(self, name: str) -> DataFrame:
