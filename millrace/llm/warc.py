@@ -40,6 +40,8 @@ from millrace.llm import common
 #: Bytes of records (not compressed) of one archive, about; bytes of a piece of a stream.
 ROLL_BYTES = 256 << 20
 PIECE = 1 << 20
+#: Bytes of members that a reading task takes on average.
+READ_BYTES = 16 << 20
 #: Levels of compression: of the stream that is only passed on, and of the archive that stays.
 STREAM_LEVEL, MEMBER_LEVEL = 1, 6
 #: The date of all records, so that a rerun writes the same bytes.
@@ -337,7 +339,8 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
                 yield made()
 
     named = index.where(F.col("error").isNull()).select("file", "offset", "length")
-    return named.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, RECORD)
+    total = named.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return named.repartitionByRange(max(1, -(-total // READ_BYTES)), "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, RECORD)
 
 
 def archive(pages: DataFrame, **options: object) -> DataFrame:
