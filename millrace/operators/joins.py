@@ -84,6 +84,43 @@ def resolve(names: DataFrame, symbols: DataFrame, query: str, container: str | N
     return found.join(gone, "asked", "left").select("asked", "status", "n", "ids", F.coalesce("near", F.lit("")).alias("near"))
 
 
+def type_tokens(c: Column) -> Column:
+    """A type as its names and brackets in order, without spaces and the names of tuple elements."""
+    bare = F.regexp_replace(c, r"([\w>\])?])\s+[A-Za-z_]\w*", "$1")
+    return F.regexp_extract_all(bare, F.lit(r"[<>,()\[\]?*]|[^<>,()\[\]?*\s]+"), F.lit(0))
+
+
+def same_type(actual: Column, asked: Column) -> Column:
+    """Whether a type is the asked one, each of whose names may lack the qualifiers before it; a blank one fits any."""
+    pairs = F.arrays_zip(type_tokens(actual).alias("a"), type_tokens(asked).alias("b"))
+    alike = F.forall(pairs, lambda p: F.coalesce((p["a"] == p["b"]) | F.endswith(p["a"], F.concat(F.lit("."), p["b"])), F.lit(False)))
+    return (F.trim(asked) == "") | alike
+
+
+def resolve_overloads(names: DataFrame, symbols: DataFrame, query: str, listed: int = 10, saturated: int = 100) -> DataFrame:
+    """One row per asked reference ``Container.Name(type, type)``: (asked, status, n, ids); the container and the parameters may be left out.
+
+    ``symbols`` has (name, container, id, parameters array<string>, null for what takes none).  Parameters are split where no bracket is open and
+    compared one by one.  A name that more than ``saturated`` symbols have is told by its container alone: with one it is looked up among
+    those that the container holds, without one it is ``saturated``.
+    """
+    text = F.trim(F.col(query))
+    open_at = F.locate("(", text)
+    name = F.trim(F.when(open_at > 0, F.substr(text, F.lit(1), open_at - 1)).otherwise(text))
+    inside = F.trim(F.regexp_extract(text, r"(?s)^[^(]*\((.*)\)\s*$", 1))
+    parts = F.when(open_at > 0, F.when(inside == "", F.array().cast("array<string>")).otherwise(tx.arguments(inside)))
+    asked = names.select(F.col(query).alias("asked"), tx.last_segment(name).alias("_name"), F.nullif(F.regexp_extract(name, r"^(.*)\.[^.]*$", 1), F.lit("")).alias("_within"), parts.alias("_asked")).distinct()
+    found = asked.join(symbols.select(F.col("name").alias("_name"), F.coalesce("container", F.lit("")).alias("_container"), F.col("id").cast("string").alias("id"), "parameters"), "_name", "left")
+    within = F.col("_within").isNull() | tx.is_suffix_of(F.col("_within"), F.col("_container"))
+    fits = F.when(F.col("_asked").isNull(), True).when(F.col("parameters").isNull() | (F.size("parameters") != F.size("_asked")), False).otherwise(F.forall(F.arrays_zip(F.col("parameters").alias("p"), F.col("_asked").alias("q")), lambda x: same_type(x["p"], x["q"])))
+    good = F.col("id").isNotNull() & within & fits
+    counts = found.groupBy("asked").agg(F.count("id").alias("_all"), F.count_if(good).alias("n"))
+    first = first_of(found.where(good).select("asked", "id"), ["asked"], ["id"], listed).groupBy("asked").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
+    bare = F.regexp_extract("asked", r"^([^(]*)", 1)
+    status = F.when((F.col("_all") > saturated) & ~F.contains(bare, F.lit(".")), "saturated").when(F.col("n") == 0, "missing").when(F.col("n") == 1, "ok").otherwise("ambiguous")
+    return counts.join(first, "asked", "left").select("asked", status.alias("status"), "n", F.coalesce("ids", F.lit("")).alias("ids"))
+
+
 def member_walk(paths: DataFrame, members: DataFrame, path: str, start_type: str, most: int | None = 8, ends: str | None = None) -> DataFrame:
     """Walk dotted member paths through (type, member, member_type); ``resolved`` and the first ``broken`` segment.
 

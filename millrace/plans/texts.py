@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import components, diff, grep, markdown, mentions, rules
+from millrace.operators import components, diff, grep, joins, markdown, mentions, rules
 from millrace.plans.catalog import _CUT, _LINES, _PAYLOAD, _RULE_SQL, _TRIM, _entries, register
 from millrace.plans.tools import _FILES, _files, _text
 from millrace.plans.workspace import Workspace
@@ -211,3 +211,39 @@ def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = lambda x, i: F.when(i % 6 == 0, "").when(i % 6 == 1, "| Key | Text |").otherwise(F.concat(F.lit("| "), i.cast("string"), F.lit(" | "), clean(x), F.lit(" |")))
     docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", F.array_join(F.transform(F.split("text", "\n"), row), "\n").alias("text"))
     return markdown.table(docs, ["Text", "KEY"], "doc_id", "text")
+
+
+# ---------------------------------------------------------------- projects, overloads
+
+
+def _project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project for each supplier, which imports the properties of its nation, which import those of its region."""
+    s, n = F.col("s_suppkey"), F.col("n_nationkey")
+    own = _text('<Project>\n<Import Project="../../geo/n', F.col("s_nationkey"), '.props"/>\n<PropertyGroup>\n<A>$(B)-x', s, "</A><!-- <A>no</A> -->\n<B>s</B>\n<C>$(A);$(C)</C>\n<E Condition=\"'$(D)' == 'r1'\">one</E>\n</PropertyGroup>\n<ItemGroup><Item>i</Item></ItemGroup></Project>")
+    projects = table(spark, sf_dir, "supplier").select(_text("src/p", s, "/p", s, ".csproj").alias("rel_path"), own.alias("text"))
+    nations = table(spark, sf_dir, "nation").select(_text("geo/n", n, ".props").alias("rel_path"), _text('<Project><Import Project="r', F.col("n_regionkey"), '.props"/><Import Project="n', n, '.props"/><PropertyGroup><B>n$(D)</B></PropertyGroup></Project>').alias("text"))
+    regions = table(spark, sf_dir, "region").select(_text("geo/r", F.col("r_regionkey"), ".props").alias("rel_path"), _text("<Project><PropertyGroup><D>r", F.col("r_regionkey"), "</D><C>c</C><E>$(Root)</E></PropertyGroup></Project>").alias("text"))
+    shared = table(spark, sf_dir, "region").limit(1).select(F.lit("src/Directory.Build.props").alias("rel_path"), F.lit("<Project><PropertyGroup><Root>top</Root></PropertyGroup></Project>").alias("text"))
+    return projects.unionByName(nations).unionByName(regions).unionByName(shared)
+
+
+@register("""WITH p AS (SELECT 'src/p' || s_suppkey || '/p' || s_suppkey || '.csproj' AS path, s_suppkey AS s, 'r' || n_regionkey AS d, 'geo/r' || n_regionkey || '.props' AS rf FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+ SELECT path, 'Root' AS name, 'top' AS value, 'src/Directory.Build.props' AS file FROM p UNION ALL SELECT path, 'D', d, rf FROM p UNION ALL SELECT path, 'A', 'n' || d || '-x' || s, path FROM p UNION ALL SELECT path, 'B', 's', path FROM p
+ UNION ALL SELECT path, 'C', 'n' || d || '-x' || s || ';c', path FROM p UNION ALL SELECT path, 'E', CASE WHEN d = 'r1' THEN 'one' ELSE 'top' END, CASE WHEN d = 'r1' THEN path ELSE rf END FROM p""")
+def tool_project_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Workspace(spark, "w", {"files": _project_files(spark, sf_dir)}).project_properties()
+
+
+@register("""WITH s AS (SELECT 'S' || p_partkey AS id, 'F' || (p_size % 10) AS name, 'N.' || replace(p_brand, '#', '') AS container, split_part(p_type, ' ', 1) AS a, split_part(p_type, ' ', 3) AS b, p_partkey % 5 = 0 AS field FROM part),
+ q AS (SELECT DISTINCT replace(p_brand, '#', '') || '.F' || (p_size % 10) || '(List<' || split_part(p_type, ' ', 1) || '>, ' || split_part(p_type, ' ', 3) || ')' AS asked, 'F' || (p_size % 10) AS name, 'N.' || replace(p_brand, '#', '') AS container, split_part(p_type, ' ', 1) AS a, split_part(p_type, ' ', 3) AS b FROM part),
+ h AS (SELECT q.asked, s.id FROM q LEFT JOIN s ON s.name = q.name AND s.container = q.container AND s.a = q.a AND s.b = q.b AND NOT s.field)
+ SELECT asked, CASE count(id) WHEN 0 THEN 'missing' WHEN 1 THEN 'ok' ELSE 'ambiguous' END AS status, count(id) AS n, coalesce(array_to_string(list_sort(list(id) FILTER (id IS NOT NULL))[1:10], ','), '') AS ids FROM h GROUP BY asked""")
+def resolution_of_overloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References with parameter lists, among symbols of which hundreds share a name."""
+    part = table(spark, sf_dir, "part")
+    word = lambda i: F.split_part("p_type", F.lit(" "), F.lit(i))
+    brand, name = F.replace("p_brand", F.lit("#"), F.lit("")), _text("F", F.col("p_size") % 10)
+    parameters = F.when(F.col("p_partkey") % 5 != 0, F.array(_text("X.Y.List<X.", word(1), ">"), word(3)))
+    symbols = part.select(_text("S", F.col("p_partkey")).alias("id"), name.alias("name"), _text("N.", brand).alias("container"), parameters.alias("parameters"))
+    asked = part.select(_text(brand, ".", name, "(List<", word(1), ">, ", word(3), ")").alias("q"))
+    return joins.resolve_overloads(asked, symbols, "q")

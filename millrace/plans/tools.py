@@ -205,8 +205,8 @@ def _registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(_text("f", k % 20).alias("file"), k.cast("int").alias("line"), F.when(k % 2 == 0, "MapGet").otherwise("Add").alias("method"), _text("Use", F.col("s_name")).alias("text"), _text("h", k % 6).alias("container"))
 
 
-@register(f"""WITH {_REGISTRATIONS}, calls AS (SELECT 'n' || n_nationkey AS file, n_nationkey::INTEGER AS line, 'h' || n_regionkey AS method FROM nation), every AS (SELECT file, line, text FROM reg UNION ALL SELECT calls.file, calls.line, reg.text FROM calls JOIN reg ON reg.container = calls.method),
- h AS (SELECT *, (count(*) OVER ())::BIGINT AS total, (row_number() OVER (ORDER BY file, line, text))::INTEGER AS rank FROM every WHERE contains(lower(text), '0001')) SELECT * FROM h WHERE rank <= CASE WHEN total <= 110 THEN total ELSE least(total, 100) END""")
+@register(f"""WITH {_REGISTRATIONS}, calls AS (SELECT 'n' || n_nationkey AS file, n_nationkey::INTEGER AS line, 'h' || n_regionkey AS method FROM nation), every AS (SELECT file, line, text, NULL AS via FROM reg UNION ALL SELECT calls.file, calls.line, reg.text, calls.method FROM calls JOIN reg ON reg.container = calls.method),
+ h AS (SELECT *, (count(*) OVER ())::BIGINT AS total, (row_number() OVER (ORDER BY file, line, text, via))::INTEGER AS rank FROM every WHERE contains(lower(text), '0001')) SELECT * FROM h WHERE rank <= CASE WHEN total <= 110 THEN total ELSE least(total, 100) END""")
 def tool_find_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = table(spark, sf_dir, "nation").select(_text("n", F.col("n_nationkey")).alias("file"), F.col("n_nationkey").cast("int").alias("line"), _text("h", F.col("n_regionkey")).alias("method"))
     return _workspace(spark, sf_dir, registrations=_registrations(spark, sf_dir), helper_calls=calls).find_registrations("0001")

@@ -31,7 +31,7 @@ from millrace.functions import text as tx
 from millrace.operators import caps, components, diff, folds, graph, grep, joins, markdown, mentions, rules, search
 from millrace.sources import documents as sources
 from millrace.sources import files as file_sources
-from millrace.sources import markup
+from millrace.sources import markup, properties
 
 DEFAULT_CAP = 100
 SCOPE_RANK = ("local", "app", "theme")
@@ -161,10 +161,18 @@ class Workspace:
     # ------------------------------------------------------------ symbols
 
     def search_symbols(self, query: str, kind: str | None = None, scope: str | None = None, cap: int = DEFAULT_CAP) -> DataFrame:
-        """Declarations whose name contains the query: distinct by id, test half withheld, ranked and capped."""
+        """Declarations whose name contains the query: distinct by id, test half withheld, ranked and capped.
+
+        Components (``component_files``), if the workspace has them, are among them, as public ones of kind ``component``.
+        """
         if not query.strip():
             raise InvalidQuery("the query is blank", "name a part of a symbol")
-        found = self["symbols"].where(tx.contains_ci(F.col("name"), query))
+        symbols = self["symbols"]
+        if "component_files" in self.tables:
+            more = self["component_files"].where(F.col("component").isNotNull())
+            more = more.select(F.concat(F.lit("component:"), "path").alias("id"), F.col("component").alias("name"), F.lit("component").alias("kind"), F.lit("public").alias("accessibility"), "path", F.lit(1).alias("start_line"), F.lit(False).alias("is_test"))
+            symbols = symbols.unionByName(more, allowMissingColumns=True)
+        found = symbols.where(tx.contains_ci(F.col("name"), query))
         found = found.where(F.lower("kind") == kind.lower()) if kind else found
         order = [F.col("is_test"), (F.col("accessibility") == "public").desc(), F.length("name"), F.col("id")]
         unique = caps.first_wins(found, ["id"], [F.col("path"), F.col("start_line")])
@@ -222,10 +230,11 @@ class Workspace:
         return folds.usages(capped.withColumn("position", position), [*keys, "total"], ["offset"], "position")
 
     def find_registrations(self, query: str, cap: int = DEFAULT_CAP) -> DataFrame:
-        direct = self["registrations"].select("file", "line", "text")
-        bodies = self["registrations"].select("text", F.col("container").alias("method"))
+        """Registrations that contain the query, and those in helpers once for each call, marked with the helper (``via``)."""
+        direct = self["registrations"].select("file", "line", "text", F.lit(None).cast("string").alias("via"))
+        bodies = self["registrations"].select("text", F.col("container").alias("method"), F.col("container").alias("via"))
         every = joins.expand_through(direct, self["helper_calls"].select("file", "line", "method"), bodies, "method")
-        return caps.slack_cap(every.where(tx.contains_ci(F.col("text"), query)), [F.col("file"), F.col("line"), F.col("text")], cap)
+        return caps.slack_cap(every.where(tx.contains_ci(F.col("text"), query)), [F.col("file"), F.col("line"), F.col("text"), F.col("via")], cap)
 
     def list_endpoints(self, cap: int = DEFAULT_CAP) -> DataFrame:
         """Endpoint registrations and page routes, each arm capped by itself."""
@@ -278,6 +287,26 @@ class Workspace:
 
         return folds.delta(keys(now), keys(before) if before is not None else None, "occurrence")
 
+    def analyze(self, run: int, ids: list[str] | None = None, min_severity: int = 0, changed_only: bool = False, dead_code: bool = True) -> DataFrame:
+        """Findings of a run and unreferenced members in one answer: (id, path, line, message), all filtered alike.
+
+        With ``changed_only``, those of the files in ``changed``.
+        """
+        found = self._diagnostics(min_severity, None, run).select("id", "path", "line", "message")
+        if dead_code:
+            found = found.unionByName(self.dead_code().select(F.col("rule").alias("id"), "path", F.lit(None).cast("int").alias("line"), F.concat("key", F.lit(" "), "detail").alias("message")))
+        if ids:
+            found = found.where(F.col("id").isin(*ids))
+        return found.join(self["changed"].select("path").distinct(), "path", "left_semi").select("id", "path", "line", "message") if changed_only else found
+
+    def project_properties(self, name: str | None = None) -> DataFrame:
+        """Properties of all projects among the files, evaluated, each with the file that defines it."""
+        return properties.evaluated(self["files"], name)
+
+    def resolve_overloads(self, references: list[str]) -> DataFrame:
+        """Symbols (with ``parameters``) by references such as ``Type.Run(List<int>, string)``."""
+        return joins.resolve_overloads(self.spark.createDataFrame([(r,) for r in references], "q string"), self["symbols"], "q")
+
     def dead_code(self) -> DataFrame:
         members = self["symbols"].select("id", "path", "name", (F.col("accessibility") == "private").alias("private"))
         return rules.dead_members(members, self["refs"].select("symbol_id", "path"))

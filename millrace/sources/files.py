@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.versions import Versions
+
 # Folders that are never entered, and the size above which a file is not text to search.
 SKIPPED_FOLDERS = ("bin", "obj", ".git", ".claude", "node_modules", ".vs", ".idea", "artifacts", "TestResults")
 MOST_BYTES = 16 * 1024 * 1024
@@ -23,6 +27,58 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.col("path").alias("full_path"), rel.alias("rel_path"), F.col("modificationTime").alias("modified"), "length", "content").where(~skipped)
 
 
+#: Changed files up to which a catalogue names them to the reader; of more, it reads what has the stamps of changed ones.
+MOST_NAMED = 2_000
+CATALOGUE = "rel_path string, number bigint, full_path string, modified timestamp, length bigint, content binary"
+
+
+def catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """(full_path, rel_path, modified, length, content) of all files as of the last ``refresh``."""
+    return Versions(spark, folder, CATALOGUE, "rel_path", "number").read().select("full_path", "rel_path", "modified", "length", "content")
+
+
+def refresh(spark: SparkSession, root: str, folder: str) -> dict[str, int]:
+    """Bring the catalogue in ``folder`` up to the files below ``root``: how many were added, changed and removed.
+
+    Files are listed without being opened and their stamps (time and length) joined with those of the last refresh; only files whose stamp
+    differs are read, and only they are written.
+    """
+    held = Versions(spark, folder, CATALOGUE, "rel_path", "number")
+    base, deltas = held.parts()
+    number = max([-1, *([base] if base is not None else []), *deltas]) + 1
+    now = scan(spark, root).select("full_path", "rel_path", "modified", "length").persist()
+    try:
+        known = held.read().select(F.col("rel_path").alias("_p"), F.col("modified").alias("_m"), F.col("length").alias("_n"))
+        told = now.join(known, F.col("rel_path") == F.col("_p"), "full")
+        state = F.when(F.col("_p").isNull(), "added").when(F.col("rel_path").isNull(), "removed").when((F.col("modified") != F.col("_m")) | (F.col("length") != F.col("_n")), "changed")
+        told = told.select(F.coalesce("rel_path", "_p").alias("rel_path"), "full_path", "modified", "length", state.alias("state")).where(F.col("state").isNotNull()).persist()
+        counts = {r["state"]: r["count"] for r in told.groupBy("state").count().collect()}
+        if counts:
+            fresh = told.where(F.col("state") != "removed")
+            gone = told.where(F.col("state") == "removed").select("rel_path", F.lit(number).cast("long").alias("number"), "full_path", "modified", "length", F.lit(None).cast("binary").alias("content"), F.lit(True).alias("gone"))
+            held.put(_contents(spark, root, fresh).select("rel_path", F.lit(number).cast("long").alias("number"), "full_path", "modified", "length", "content", F.lit(False).alias("gone")).unionByName(gone), number)
+            held.compact()
+        told.unpersist()
+    finally:
+        now.unpersist()
+    return {k: counts.get(k, 0) for k in ("added", "changed", "removed")}
+
+
+def _contents(spark: SparkSession, root: str, fresh: DataFrame) -> DataFrame:
+    """``fresh`` files with their contents."""
+    some = [r["full_path"] for r in fresh.select("full_path").limit(MOST_NAMED + 1).collect()]
+    if not some:
+        return fresh.withColumn("content", F.lit(None).cast("binary"))
+    if len(some) <= MOST_NAMED:
+        read = spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in some])
+    else:
+        # The reader opens no file whose time or length lies outside of those of changed ones.
+        low = fresh.agg(F.min("modified").alias("t"), F.max("modified").alias("u"), F.min("length").alias("a"), F.max("length").alias("b")).first()
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        read = read.where(F.col("modificationTime").between(low["t"], low["u"]) & F.col("length").between(low["a"], low["b"]))
+    return fresh.select("rel_path", "full_path", "modified", "length").join(read.select(F.col("path").alias("full_path"), "content"), "full_path")
+
+
 def prune(files: DataFrame, extensions: tuple[str, ...] = ()) -> DataFrame:
     """``files`` with ``skipped`` (too large) and without binary ones: listed extension, or NUL among the first 4096 bytes of
     content that has no UTF-16 mark."""

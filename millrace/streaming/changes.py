@@ -1,17 +1,20 @@
 """Change capture: a log of path events drained on demand into a state table.
 
 Pull, not push: ``drain`` runs a stream with ``availableNow`` over a folder of change rows.  Each micro-batch keeps the
-latest event of each path, classifies it, merges it into the state and bumps one generation per kind that changed.  State is
-written to a new version folder and then named in a small pointer table keyed by batch, so a batch that is run twice gives the same state.
+latest event of each path, classifies it, adds it to the state and bumps one generation per kind that changed.  State is a keyed table of
+a base and deltas (``sources.versions``), a delta for each batch, so a batch that is run twice gives the same state.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.sources.files import SKIPPED_FOLDERS
+from millrace.sources.versions import Versions
 
 # The kind of a file by its extension.
 KINDS = {"Code": (".cs",), "Project": (".csproj", ".props", ".targets", ".sln", ".slnx"), "Xaml": (".xaml", ".axaml"), "Razor": (".razor", ".cshtml"), "Resx": (".resx", ".resw")}
@@ -43,12 +46,6 @@ def latest(changes: DataFrame) -> DataFrame:
     return last.select("path_key", "e.*")
 
 
-def merged(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """State after a batch of latest events: deleted paths go, others take the event's stamp."""
-    untouched = state.join(batch.select("path_key"), "path_key", "left_anti")
-    return untouched.unionByName(batch.where(F.col("op") != "deleted").select(*state.columns))
-
-
 def generations(batches: DataFrame) -> DataFrame:
     """(kind, generation): drains in which a kind changed; batches: (drain, kind)."""
     return batches.groupBy("kind").agg(F.count_distinct("drain").alias("generation"))
@@ -57,12 +54,21 @@ def generations(batches: DataFrame) -> DataFrame:
 STATE = ["path_key", "path", "modified", "length", "kind"]
 
 
-def drain(spark: SparkSession, source: str, folder: str) -> dict[str, object]:
+def _table(spark: SparkSession, folder: str) -> Versions:
+    return Versions(spark, f"{folder}/state", "path_key string, seq bigint, path string, modified timestamp, length bigint, kind string", "path_key", "seq")
+
+
+def drain(spark: SparkSession, source: str, folder: str, absorb: Callable[[DataFrame], DataFrame | None] | None = None) -> dict[str, object]:
     """Take all that is new in ``source`` (Parquet files of change rows) into the state in ``folder``.
 
-    Returns the batches taken and whether a full reload is due.  A failed drain is taken again by the next one.
+    A micro-batch writes its own events only, so a drain costs what it changes; the state is put in order again (``Versions.compact``) once enough has
+    changed.  ``absorb`` may do something with the events of a batch and return those (path_key) that it could not: they are put back into
+    the source, are no change of this drain, and come again with the next one, unless a later event of their path has come by then.  Returns the batches and the
+    events taken, how many were put back, and whether a full reload is due, which is told from all events of the drain.  A drain that fails is
+    taken again by the next one.
     """
-    seen = {"batches": 0, "reload": False}
+    seen = {"batches": 0, "events": 0, "requeued": 0, "reload": False}
+    table = _table(spark, folder)
 
     def take(batch: DataFrame, number: int) -> None:
         events = latest(batch).persist()
@@ -70,39 +76,39 @@ def drain(spark: SparkSession, source: str, folder: str) -> dict[str, object]:
             n = events.count()
             if not n:
                 return
+            failed = absorb(events) if absorb is not None else None
+            done = events
+            if failed is not None:
+                failed = failed.select("path_key").distinct().persist()
+                back = events.join(failed, "path_key", "left_semi")
+                done = events.join(failed, "path_key", "left_anti")
+                if again := back.count():
+                    # A batch that is run twice may put them back twice; equal events count once.
+                    back.select("seq", "path", "op", "modified", "length").write.mode("append").parquet(source)
+                    seen["requeued"] += again
             seen["batches"] += 1
-            seen["reload"] = seen["reload"] or n >= RELOAD_AT
-            before = state(spark, folder, number - 1)
-            merged(before, events).select(*STATE).write.mode("overwrite").parquet(f"{folder}/state/v={number}")
-            events.select(F.lit(number).alias("drain"), "kind").distinct().write.mode("overwrite").parquet(f"{folder}/drains/n={number}")
+            seen["events"] += n
+            seen["reload"] = seen["events"] >= RELOAD_AT
+            table.put(done.withColumn("gone", F.col("op") == "deleted"), number)
+            done.select(F.lit(number).alias("drain"), "kind").distinct().write.mode("overwrite").parquet(f"{folder}/drains/n={number}")
         finally:
             events.unpersist()
 
     stream = spark.readStream.schema(CHANGES).parquet(source).writeStream.option("checkpointLocation", f"{folder}/progress").foreachBatch(take).trigger(availableNow=True).start()
     stream.awaitTermination()
+    if seen["batches"]:
+        table.compact()
     return seen
 
 
-def _versions(spark: SparkSession, folder: str, part: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    # A version is whole once its commit marker is there.
-    return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-
-
 def state(spark: SparkSession, folder: str, until: int | None = None) -> DataFrame:
-    """The state after the last drain (or after batch ``until``)."""
-    whole = [v for v in _versions(spark, folder, "state") if until is None or v <= until]
-    if not whole:
-        return spark.createDataFrame([], "path_key string, path string, modified timestamp, length bigint, kind string")
-    return spark.read.parquet(f"{folder}/state/v={whole[-1]}")
+    """The state after the last drain (or after batch ``until``, as long as no later base has taken its place)."""
+    return _table(spark, folder).read(until).select(*STATE)
 
 
 def drains(spark: SparkSession, folder: str) -> DataFrame:
     """(drain, kind) of all drains that changed something."""
-    whole = _versions(spark, folder, "drains")
+    whole = Versions(spark, f"{folder}", "drain int, kind string", "kind", "drain").whole("drains")
     if not whole:
         return spark.createDataFrame([], "drain int, kind string")
     return spark.read.parquet(*[f"{folder}/drains/n={v}" for v in whole]).select("drain", "kind")
