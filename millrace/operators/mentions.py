@@ -42,12 +42,15 @@ def tokens(files: DataFrame, id_col: str = "rel_path", text_col: str = "text") -
 
 
 def counts(files: DataFrame, id_col: str = "rel_path", text_col: str = "text") -> DataFrame:
-    """(token, lines, texts) of all tokens: on how many lines and in how many texts each is."""
-    lines = search.lines(files.withColumn("_row", F.monotonically_increasing_id()), "_row", text_col)
-    found = lines.select("_row", F.explode(tx.identifiers(F.col("text"))).alias("token"))
-    # Lines of one text are read by one task, so the first level is combined before the shuffle.
-    per = found.groupBy("token", "_row").agg(F.count("*").alias("lines"))
-    return per.groupBy("token").agg(F.sum("lines").alias("lines"), F.count("*").alias("texts"))
+    """(token, lines, texts) of all tokens: on how many lines and in how many texts each is.
+
+    Lines and texts are counted apart, each where texts are read, so that only sums by token are shuffled.
+    """
+    held = files.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
+    on_lines = F.flatten(F.transform(F.split("text", "\n"), tx.identifiers))
+    found = held.select(F.explode(on_lines).alias("token")).groupBy("token").agg(F.count("*").alias("lines"), F.lit(0).cast("long").alias("texts"))
+    more = held.select(F.explode(tx.identifiers(F.col("text"))).alias("token")).groupBy("token").agg(F.lit(0).cast("long").alias("lines"), F.count("*").alias("texts"))
+    return found.unionByName(more).groupBy("token").agg(F.sum("lines").alias("lines"), F.sum("texts").alias("texts"))
 
 
 def of_keys(files: DataFrame, keys: DataFrame, key: str = "key", id_col: str = "rel_path", text_col: str = "text") -> DataFrame:
