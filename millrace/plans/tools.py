@@ -156,10 +156,12 @@ def tool_get_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _workspace(spark, sf_dir).get_symbol("S11")
 
 
-@register(f"""WITH {_FILES}, {_SYMBOLS}, asked AS (SELECT unnest(['S11', 'S20', 'S9999999']) AS id), held AS (SELECT s.id, array_to_string(list_slice(string_split(f.text, chr(10)), s.start_line, s.end_line), chr(10)) AS source FROM symbols s JOIN files f ON f.rel_path = s.path)
- SELECT asked.id, coalesce(source, 'NOT_RESOLVED') AS source FROM asked LEFT JOIN held USING (id)""")
+@register(f"""WITH {_FILES}, {_SYMBOLS}, asked AS (SELECT unnest(['S11', 'S20', 'S9999999']) AS id), f2 AS (SELECT rel_path, [repeat(' ', (4 + (i % 2) * 2)::INTEGER) || string_split(text, chr(10))[i + 1] FOR i IN range(len(string_split(text, chr(10))))] AS l FROM files),
+ h AS (SELECT s.id, list_slice(f2.l, s.start_line, s.end_line) AS l FROM symbols s JOIN f2 ON f2.rel_path = s.path), k AS (SELECT *, coalesce(list_min([length(x) - length(ltrim(x)) FOR x IN l IF regexp_matches(x, '\\S')]), 0) AS indent FROM h)
+ SELECT asked.id, coalesce(array_to_string([x[indent + 1:] FOR x IN l], chr(10)), 'NOT_RESOLVED') AS source FROM asked LEFT JOIN k USING (id)""")
 def tool_get_symbol_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _workspace(spark, sf_dir).get_symbol_source(["S11", "S20", "S9999999"])
+    files = _files(spark, sf_dir).withColumn("text", F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.repeat(F.lit(" "), (4 + i % 2 * 2).cast("int")), x)), "\n"))
+    return _workspace(spark, sf_dir, files=files).get_symbol_source(["S11", "S20", "S9999999"])
 
 
 @register(f"""WITH {_REFS}, n AS (SELECT *, (count(*) OVER ())::BIGINT AS total, row_number() OVER (ORDER BY lower(path), "offset") AS rn FROM used), c AS (SELECT * FROM n WHERE rn <= CASE WHEN total <= 44 THEN total ELSE least(total, 40) END)
@@ -168,9 +170,16 @@ def tool_find_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _workspace(spark, sf_dir).find_usages("S7", cap=40)
 
 
-@register(f"WITH {_SYMBOLS}, {_REFS}, t AS (SELECT DISTINCT path FROM symbols WHERE is_test) SELECT count(*) AS usages, count(*) FILTER (path IN (SELECT path FROM t)) AS test_usages, count(DISTINCT path) AS files FROM used")
+@register(f"""WITH RECURSIVE {_SYMBOLS}, {_REFS}, t AS (SELECT DISTINCT path FROM symbols WHERE is_test), m AS (SELECT 'm' || l_orderkey || '.xaml' AS path FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 50 = 7), u AS (SELECT path FROM used UNION ALL SELECT path FROM m),
+ e AS (SELECT 'S' || c_custkey AS d, 'S' || (c_custkey // 3) AS b FROM customer), r AS (SELECT 'S7' AS id, 0 AS depth UNION SELECT e.d, r.depth + 1 FROM r JOIN e ON r.id = e.b WHERE e.d <> e.b)
+ SELECT count(*) AS usages, count(*) FILTER (path IN (SELECT path FROM t)) AS test_usages, count(DISTINCT path) AS files, (SELECT count(DISTINCT id) FROM r WHERE depth > 0) AS implementations, (SELECT count(*) FROM m) AS markup FROM u""")
 def tool_explore_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _workspace(spark, sf_dir).explore_symbol("S7")
+    c = F.col("c_custkey")
+    edges = table(spark, sf_dir, "customer").select(_text("S", c).alias("derived"), _text("S", F.floor(c / 3)).alias("base")).where("derived <> base")
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    no = F.lit(False)
+    markup = lines.select(_text("S", F.col("l_partkey") % 50).alias("symbol_id"), _text("m", F.col("l_orderkey"), ".xaml").alias("path"), F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit(0).cast("long").alias("offset"), F.lit("EXACT").alias("confidence"), F.lit("x").alias("kind"), F.lit("production").alias("scope"), F.lit("c").alias("container"), no.alias("is_implicit"), no.alias("is_generated"))
+    return _workspace(spark, sf_dir, type_edges=edges, markup_refs=markup).explore_symbol("S7")
 
 
 @register(f"WITH {_REFS} SELECT path, count(*) AS usages FROM used GROUP BY path ORDER BY usages DESC, path LIMIT 10")
@@ -365,18 +374,19 @@ def tool_markup_codebehind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _workspace(spark, sf_dir, elements=_elements(spark, sf_dir)).xaml_codebehind("v3", ["Click", "Loaded"])
 
 
-@register(f"""WITH {_MARKUP}, b AS (SELECT file, line, 'Click' AS attribute, value AS expression, regexp_extract(value, 'Path=([A-Za-z_.]+)', 1) AS binding FROM el WHERE file = 'v4' AND starts_with(value, '{{Binding'))
- SELECT *, 'VM' AS start, CASE WHEN binding = 'Item.purchase' THEN 'purchase' END IS NULL AS resolved, CASE WHEN binding = 'Item.purchase' THEN 'purchase' END AS broken FROM b""")
+@register(f"""WITH {_MARKUP}, m AS (SELECT 'VM' AS t, 'Item' AS member, 'T' AS r UNION SELECT DISTINCT 'T', event_type, 'S' FROM events WHERE ascii(event_type) % 2 = 0), b AS (SELECT file, line, 'Click' AS attribute, value AS expression, regexp_extract(value, 'Path=([A-Za-z_.]+)', 1) AS binding FROM el WHERE file = 'v4' AND starts_with(value, '{{Binding')),
+ w AS (SELECT b.*, x.member AS one, y.member AS two FROM b LEFT JOIN m x ON x.t = 'VM' AND x.member = split_part(binding, '.', 1) LEFT JOIN m y ON y.t = x.r AND y.member = split_part(binding, '.', 2))
+ SELECT file, line, attribute, expression, binding, 'VM' AS start, one IS NOT NULL AND two IS NOT NULL AS resolved, CASE WHEN one IS NULL THEN split_part(binding, '.', 1) WHEN two IS NULL THEN split_part(binding, '.', 2) END AS broken FROM w""")
 def tool_markup_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = spark.createDataFrame([("VM", "Item", "T")], "type string, member string, member_type string")
-    kinds = table(spark, sf_dir, "events").select(F.lit("T").alias("type"), F.col("event_type").alias("member"), F.lit("S").alias("member_type")).where(F.col("member") != "purchase").distinct()
+    kinds = table(spark, sf_dir, "events").select(F.lit("T").alias("type"), F.col("event_type").alias("member"), F.lit("S").alias("member_type")).where(F.ascii("member") % 2 == 0).distinct()
     return _workspace(spark, sf_dir, elements=_elements(spark, sf_dir)).xaml_bindings("v4", members.unionByName(kinds), "VM")
 
 
 _STYLES = "st AS (SELECT 's' || (p_partkey % 9) AS file, p_partkey::INTEGER AS line, CASE WHEN p_partkey % 6 <> 0 THEN 'K' || (p_partkey % 25) END AS key, p_brand AS target, CASE p_size % 4 WHEN 0 THEN 'local' WHEN 1 THEN 'app' WHEN 2 THEN 'theme' ELSE 'other' END AS scope FROM part)"
 
 
-@register(f"WITH {_STYLES} SELECT * FROM st WHERE key = 'K7'")
+@register(f"WITH {_STYLES} SELECT *, CASE scope WHEN 'local' THEN 1 WHEN 'app' THEN 2 WHEN 'theme' THEN 3 ELSE 4 END::INTEGER AS rank FROM st WHERE key = 'K7'")
 def tool_markup_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, z = F.col("p_partkey"), F.col("p_size") % 4
     styles = table(spark, sf_dir, "part").select(_text("s", p % 9).alias("file"), p.cast("int").alias("line"), F.when(p % 6 != 0, _text("K", p % 25)).alias("key"), F.col("p_brand").alias("target"), F.when(z == 0, "local").when(z == 1, "app").when(z == 2, "theme").otherwise("other").alias("scope"))
@@ -445,15 +455,21 @@ def tool_component_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _workspace(spark, sf_dir, **_components(spark, sf_dir)).component_bindings("c3.razor")
 
 
-@register(f"WITH {_NODES}, {_SITES} SELECT *, CASE WHEN contains(expression, '=>') THEN 'INLINE' WHEN starts_with(expression, 'Lost') THEN 'UNRESOLVED' WHEN kind = 'bind' AND expression = 'Model.Title' THEN 'NO_SETTER' ELSE 'OK' END AS verdict FROM si WHERE path = 'c1.razor'")
+@register(f"""WITH {_NODES}, {_SITES}, m AS (SELECT * FROM (VALUES ('C1', 'Model', 'M', true), ('C1', 'Own', 'S', true), ('C1', 'Hidden', 'S', true), ('M', 'Title', 'S', false), ('M', 'Find', 'F', true), ('F', 'Size', 'I', true)) v(t, member, r, settable)),
+ p AS (SELECT *, [x FOR x IN [trim(regexp_replace(y, '\\(.*', '')) FOR y IN string_split(expression, '.')] IF x <> ''] AS s FROM si WHERE path = 'c1.razor'),
+ w AS (SELECT p.*, len(s) AS n, a.member AS a, b.member AS b, c.member AS c, CASE len(s) WHEN 1 THEN a.settable WHEN 2 THEN b.settable ELSE c.settable END AS settable FROM p LEFT JOIN m a ON a.t = 'C1' AND a.member = s[1] LEFT JOIN m b ON b.t = a.r AND b.member = s[2] LEFT JOIN m c ON c.t = b.r AND c.member = s[3])
+ SELECT path, line, tag, attribute, expression, kind, CASE WHEN contains(expression, '=>') THEN 'INLINE' WHEN a IS NULL OR (n > 1 AND b IS NULL) OR (n > 2 AND c IS NULL) THEN 'UNRESOLVED' WHEN kind = 'bind' AND NOT settable THEN 'NO_SETTER' ELSE 'OK' END AS verdict FROM w""")
 def tool_component_bindings_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _workspace(spark, sf_dir, **_components(spark, sf_dir)).component_bindings("c1.razor", validate=True)
 
 
-@register("SELECT 'c1.razor' AS path, line, member, 'c1.razor.cs' AS code_behind, 'c1.razor.css' AS style, NULL::VARCHAR AS script FROM (VALUES (9, 'Own'), (0, 'Hidden')) v(line, member) WHERE (SELECT count(*) FROM region) > 0")
+@register("""WITH f AS (SELECT 'c' || (doc_id % 50) || '.razor' || CASE doc_id % 4 WHEN 0 THEN '.cs' WHEN 1 THEN '.css' WHEN 2 THEN '.js' ELSE '' END AS file FROM documents), m AS (SELECT 'c' || (p_partkey % 60) || '.razor' AS path, p_partkey::INTEGER AS line, p_name AS member FROM part)
+ SELECT path, line, member, (SELECT min(file) FROM f WHERE file = path || '.cs') AS code_behind, (SELECT min(file) FROM f WHERE file = path || '.css') AS style, (SELECT min(file) FROM f WHERE file = path || '.js') AS script FROM m WHERE path = 'c7.razor'""")
 def tool_component_codebehind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "region").select(F.explode(F.array(*[F.lit(x) for x in ("c1.razor.cs", "c1.razor.css", "c2.razor.js", "c1.cs")])).alias("rel_path")).distinct()
-    return _workspace(spark, sf_dir, **(_components(spark, sf_dir) | {"files": files})).component_codebehind("c1.razor")
+    d, p = F.col("doc_id"), F.col("p_partkey")
+    files = table(spark, sf_dir, "documents").select(_text("c", d % 50, ".razor", F.when(d % 4 == 0, ".cs").when(d % 4 == 1, ".css").when(d % 4 == 2, ".js").otherwise("")).alias("rel_path"))
+    members = table(spark, sf_dir, "part").select(_text("c", p % 60, ".razor").alias("path"), p.cast("int").alias("line"), F.col("p_name").alias("member"))
+    return _workspace(spark, sf_dir, files=files, component_members=members).component_codebehind("c7.razor")
 
 
 @register(f"""WITH {_NODES} SELECT path, line, 'element' AS kind, node_path AS text FROM nd WHERE NOT is_component AND contains(tag, 'iv') UNION ALL SELECT path, line, 'attribute', tag || ' ' || name FROM nd WHERE contains(name, 'bind')

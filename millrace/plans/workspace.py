@@ -442,8 +442,9 @@ class Workspace:
         return self["elements"].where((F.col("file") == file) & F.col("key").isNotNull()).orderBy("line")
 
     def xaml_resolve(self, key: str) -> DataFrame:
+        """Declarations of a key, the nearest scope first (``rank`` from 1)."""
         rank = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in SCOPE_RANK]), F.col("scope")), F.lit(0))
-        return self["styles"].where(F.col("key") == key).withColumn("rank", F.when(rank == 0, len(SCOPE_RANK) + 1).otherwise(rank)).orderBy("rank", "file").drop("rank")
+        return self["styles"].where(F.col("key") == key).withColumn("rank", F.when(rank == 0, len(SCOPE_RANK) + 1).otherwise(rank)).orderBy("rank", "file", "line")
 
     def xaml_styles(self, target: str) -> DataFrame:
         """Styles of a type, the implicit one first, each with its chain of bases."""
