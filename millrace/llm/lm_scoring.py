@@ -12,8 +12,11 @@ one group.  At the next level nodes of 256 groups merge a part 256 times finer,
 gets at most one entry for a word from each of its children, however often it occurs in the corpus: no node grows with the corpus, only
 the number of levels does, with its logarithm (one level up to 2 GB of text, two up to 512 GB).  Answers go back the same way.
 
-The filter is made of one segment per part of the last level, ``BITS_PER_ITEM`` bits per entry, and is nowhere in one piece: each segment is
-probed where it is, for all grams that the blocks ask for, and the levels go back to the blocks, which score their texts.
+The filter is made of one segment per part of the last level, ``BITS_PER_ITEM`` bits per entry, of training grams alone.  A gram occurs at
+least as often as its level says, so the training tokens bound its size before anything is merged.  Up to ``MOST_BROADCAST`` bytes of that bound the segments
+are written as a table, collected and broadcast, and workers probe them while they score their blocks; only training grams are shuffled.  Beyond it
+the filter is nowhere in one piece: grams of all texts go up, each segment is probed where it is made, and the levels go back to the blocks.  The segments
+are the same bit for bit, so scores are the same both ways.
 
 Defined results
 ---------------
@@ -28,12 +31,13 @@ Words are compared by 64-bit hashes; longer grams by so many bits that about one
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +51,8 @@ PROBES = 4
 #: Text in one counting block; log2 of the blocks in a group and of the parts that a node cuts its hashes into.
 BLOCK_BYTES = 8 << 20
 FAN_BITS = 8
+#: Most bytes that the filter may have, by its bound, to be broadcast.
+MOST_BROADCAST = 64 << 20
 _END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _LEVELS = 48
 
@@ -234,7 +240,7 @@ def _rows(items: list[dict], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x.get(k) for x in items], t) for k, t in kinds.items()], names=list(kinds))
 
 
-_TEXT = {"block": pa.int64(), "hashes": pa.binary(), "counts": pa.binary(), "stream": pa.binary(), "ids": pa.binary(), "nulls": pa.binary(), "trains": pa.binary(), "trained": pa.int64()}
+_TEXT = {"block": pa.int64(), "hashes": pa.binary(), "counts": pa.binary(), "stream": pa.binary(), "ids": pa.binary(), "nulls": pa.binary(), "trains": pa.binary(), "trained": pa.int64(), "taught": pa.int64()}
 
 
 def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -251,9 +257,9 @@ def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
             taught = np.repeat(train, np.diff(np.append(-1, ends)))
             counts = np.bincount(places[taught & inside], minlength=len(distinct))
             ids = rows.column(0)
-            yield _rows([{"block": block, "hashes": to_steps(distinct), "counts": to_planes(counts), "stream": to_planes(places), "ids": ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), "nulls": np.asarray(ids.is_null()).tobytes(), "trains": train.tobytes(), "trained": int(train.sum())}], _TEXT)
+            yield _rows([{"block": block, "hashes": to_steps(distinct), "counts": to_planes(counts), "stream": to_planes(places), "ids": ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), "nulls": np.asarray(ids.is_null()).tobytes(), "trains": train.tobytes(), "trained": int(train.sum()), "taught": int(taught.sum())}], _TEXT)
 
-    return docs.mapInArrow(run, "block long, hashes binary, counts binary, stream binary, ids binary, nulls binary, trains binary, trained long")
+    return docs.mapInArrow(run, "block long, hashes binary, counts binary, stream binary, ids binary, nulls binary, trains binary, trained long, taught long")
 
 
 _NODE = {"ord": pa.int32(), "child": pa.int64(), "part": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
@@ -288,8 +294,9 @@ def _opened(hashes: bytes, stream: bytes, order: int) -> tuple[np.ndarray, np.nd
     return words, places, ends, gram_hashes(tokens, np.append(0, ends[:-1] + 1), order)
 
 
-def gram_entries(texts: DataFrame, order: int, bits: int, fan_bits: int) -> DataFrame:
-    """The grams of two words and more of every block; those of no training text are there with a count of 0, to be asked for."""
+def gram_entries(texts: DataFrame, order: int, bits: int, fan_bits: int, training_only: bool = False) -> DataFrame:
+    """The grams of two words and more of every block; those of no training text are there with a count of 0, to be asked for, unless
+    only training ones are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,7 +310,9 @@ def gram_entries(texts: DataFrame, order: int, bits: int, fan_bits: int) -> Data
                     keys.sort()
                     seen, keys = keys & np.uint64(1), keys >> np.uint64(1)
                     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                    yield from _cut(n, block, keys[starts], np.add.reduceat(seen, starts), bits, fan_bits)
+                    counts = np.add.reduceat(seen, starts)
+                    wanted = counts > 0 if training_only else slice(None)
+                    yield from _cut(n, block, keys[starts][wanted], counts[wanted], bits, fan_bits)
 
     return texts.select("block", "hashes", "stream", "trains").mapInArrow(run, _NODE_TYPE)
 
@@ -326,11 +335,18 @@ def _given(order: int, part: int, children: list[int], places: list[np.ndarray],
     return [{"ord": order, "child": c, "part": part, "totals": None if totals is None else to_planes(totals[w]), "levels": levels[w].astype(np.uint8).tobytes()} for c, w in zip(children, places, strict=True)]
 
 
-def answers(entries: DataFrame, blocks: int, bits: int, fan_bits: int) -> tuple[DataFrame, DataFrame]:
-    """(answers, statistics by order).  For every block and part, levels of its grams (and, of words, exact totals) in the order of their keys.
+def _statistics(total: np.ndarray) -> dict:
+    """Of the counts of a part: training grams, their occurrences, and how many occur once and twice."""
+    return {"distinct": int((total > 0).sum()), "tokens": int(total.sum()), "ones": int((total == 1).sum()), "twos": int((total == 2).sum())}
 
-    The statistics are those of training grams: how many there are, how often they occur, and how many occur once and twice.
-    """
+
+def _summed(found: DataFrame) -> DataFrame:
+    held = found.where(F.col("distinct").isNotNull()).select("ord", "distinct", "tokens", "ones", "twos")
+    return held.groupBy("ord").agg(*[F.sum(c).alias(c) for c in ("distinct", "tokens", "ones", "twos")])
+
+
+def _layers(entries: DataFrame, blocks: int, bits: int, fan_bits: int) -> list[DataFrame]:
+    """The children of the nodes of each level of the butterfly, the last level last."""
 
     def up(level: int) -> Callable[[pa.RecordBatch], pa.RecordBatch | None]:
         def kernel(group: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -340,11 +356,24 @@ def answers(entries: DataFrame, blocks: int, bits: int, fan_bits: int) -> tuple[
 
         return kernel
 
+    fan, layers, groups = 1 << fan_bits, [], blocks
+    while True:
+        groups = -(-groups // fan)
+        spread = F.pmod(F.xxhash64("child") if not layers else F.col("child"), F.lit(groups))
+        layers.append(entries.select("ord", spread.alias("node"), "part", "child", "keys", "counts"))
+        if groups <= 1:
+            return layers
+        entries = common.materialise(common.map_runs(layers[-1], ["ord", "node", "part"], up(len(layers)), _NODE_TYPE), "lm-nodes")
+
+
+def answers(entries: DataFrame, blocks: int, bits: int, fan_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(answers, statistics by order).  For every block and part, levels of its grams (and, of words, exact totals) in the order of their keys."""
+
     def top(group: pa.RecordBatch) -> pa.RecordBatch:
         order, part = group.column(0)[0].as_py(), group.column(2)[0].as_py()
         children, places, distinct, total = _merged(group)
         out = _given(order, part, children, places, total if order == 1 else None, probed(distinct, total))
-        out[0] |= {"distinct": int((total > 0).sum()), "tokens": int(total.sum()), "ones": int((total == 1).sum()), "twos": int((total == 2).sum())}
+        out[0] |= _statistics(total)
         return _rows(out, _ANSWER)
 
     def down(group: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -356,28 +385,64 @@ def answers(entries: DataFrame, blocks: int, bits: int, fan_bits: int) -> tuple[
         totals = np.concatenate([from_planes(r["totals"]) for r in rows]) if order == 1 else None
         return _rows(_given(order, part, children, places, totals, np.concatenate([np.frombuffer(r["levels"], np.uint8) for r in rows])), _ANSWER)
 
-    fan, layers, groups = 1 << fan_bits, [], blocks
-    while True:
-        groups = -(-groups // fan)
-        spread = F.pmod(F.xxhash64("child") if not layers else F.col("child"), F.lit(groups))
-        layers.append(entries.select("ord", spread.alias("node"), "part", "child", "keys", "counts"))
-        if groups <= 1:
-            break
-        entries = common.materialise(common.map_runs(layers[-1], ["ord", "node", "part"], up(len(layers)), _NODE_TYPE), "lm-nodes")
+    layers = _layers(entries, blocks, bits, fan_bits)
     found = common.materialise(common.map_runs(layers[-1], ["ord", "node", "part"], top, _ANSWER_TYPE), "lm-answers")
-    stats = found.where(F.col("distinct").isNotNull()).select("ord", "distinct", "tokens", "ones", "twos")
+    stats = _summed(found)
     for layer in reversed(layers[:-1]):
         told = found.select("ord", F.col("child").alias("node"), F.shiftright("part", fan_bits).alias("part"), F.col("part").alias("sub"), "totals", "levels")
         found = common.materialise(common.map_runs(layer.unionByName(told, allowMissingColumns=True), ["ord", "node", "part"], down, _ANSWER_TYPE), "lm-answers")
-    return found, stats.groupBy("ord").agg(*[F.sum(c).alias(c) for c in ("distinct", "tokens", "ones", "twos")])
+    return found, stats
+
+
+_SEGMENT = {"ord": pa.int32(), "part": pa.int64(), "bits": pa.binary(), "distinct": pa.int64(), "tokens": pa.int64(), "ones": pa.int64(), "twos": pa.int64()}
+
+
+def segments(entries: DataFrame, blocks: int, bits: int, fan_bits: int) -> tuple[DataFrame, DataFrame, int]:
+    """(the filter: a segment for each order and part; statistics by order; leading bits that tell a part) of training grams."""
+
+    def top(group: pa.RecordBatch) -> pa.RecordBatch:
+        _, _, distinct, total = _merged(group)
+        return _rows([{"ord": group.column(0)[0].as_py(), "part": group.column(2)[0].as_py(), "bits": segment(distinct, total)} | _statistics(total)], _SEGMENT)
+
+    layers = _layers(entries, blocks, bits, fan_bits)
+    found = common.materialise(common.map_runs(layers[-1], ["ord", "node", "part"], top, "ord int, part long, bits binary, distinct long, tokens long, ones long, twos long"), "lm-segments")
+    return found, _summed(found), len(layers) * fan_bits
+
+
+@dataclass
+class Whole:
+    """The filters of all orders as workers hold them, with what tells the part of a gram."""
+
+    filters: dict[int, tuple[np.ndarray, LogFrequencyFilter]]
+    bits: int
+    lead: int
+
+    @classmethod
+    def of(cls, table: pa.Table, bits: int, lead: int) -> Whole:
+        filters = {}
+        orders = table["ord"].to_numpy()
+        for n in np.unique(orders):
+            rows = table.filter(pa.array(orders == n)).sort_by("part")
+            # Parts without a training gram share an empty segment behind the others.
+            held = dict(enumerate(rows["bits"].to_pylist()))
+            filters[int(n)] = rows["part"].to_numpy(), LogFrequencyFilter.of(held, len(held) + 1)
+        return cls(filters, bits, lead)
+
+    def levels(self, order: int, keys: np.ndarray) -> np.ndarray:
+        if order not in self.filters:
+            return np.zeros(len(keys), np.int64)
+        parts, held = self.filters[order]
+        part = parts_of(keys, self.bits, self.lead)
+        at = np.minimum(np.searchsorted(parts, part), len(parts) - 1)
+        return held.levels(keys, np.where(parts[at] == part, at, len(parts)))
 
 
 def discount(ones: int, twos: int) -> float:
     return ones / (ones + 2 * twos) if ones else 0.0
 
 
-def score_blocks(texts: DataFrame, found: DataFrame, order: int, bits: int, train_tokens: int, distinct: int, train_texts: int, discounts: list[float], weight: float) -> DataFrame:
-    """(id, train, n_tokens, sum_log, known, score) of every text, from what was given back to its block.
+def score_blocks(texts: DataFrame, found: DataFrame, order: int, bits: int, train_tokens: int, distinct: int, train_texts: int, discounts: list[float], weight: float, whole: Broadcast | None = None) -> DataFrame:
+    """(id, train, n_tokens, sum_log, known, score) of every text, from what was given back to its block and the filter that workers hold, if any.
 
     ``sum_log`` and ``known`` are sums over its words from exact counts; ``score`` is its log10 probability under the
     interpolated model, from levels.
@@ -400,8 +465,8 @@ def score_blocks(texts: DataFrame, found: DataFrame, order: int, bits: int, trai
         p = np.minimum(1.0, (held + 1) / (train_tokens + distinct + 1))
         for n in range(2, order + 1):
             context = before(held, starts, float(train_texts))
-            _, which = np.unique(grams[n - 1] >> np.uint64(64 - bits), return_inverse=True)
-            held = estimate(levels(n))[which]
+            keys, which = np.unique(grams[n - 1] >> np.uint64(64 - bits), return_inverse=True)
+            held = estimate(levels(n) if whole is None else whole.value.levels(n, keys))[which]
             p = weight * np.maximum(held - discounts[n], 0.0) / np.maximum(np.maximum(context, held), 1.0) + (1 - weight) * p
         each = lambda values: pa.array(np.add.reduceat(values, starts))
         ids = pa.array(np.frombuffer(parts["ids"][info].as_py(), np.int64), mask=np.frombuffer(parts["nulls"][info].as_py(), bool))
@@ -418,18 +483,27 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     texts = common.materialise(blocks_of(source, block_bytes), "lm-blocks")
-    held = texts.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("trained"), F.lit(0)).alias("t")).first()
+    held = texts.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("trained"), F.lit(0)).alias("t"), F.coalesce(F.sum("taught"), F.lit(0)).alias("tokens")).first()
     bits, train_texts = key_bits(held["blocks"]), int(held["t"])
-    # Made again from the blocks where they are read twice: they are larger than what they are made from.
-    entries = word_entries(texts, fan_bits).unionByName(gram_entries(texts, order, bits, fan_bits))
-    found, stats = answers(entries, held["blocks"], bits, fan_bits)
+    entries, whole = word_entries(texts, fan_bits), None
+    # The levels of all grams of one order sum up to no more than the training tokens; each of its segments is rounded up to 8 bytes.
+    parts = 1 << fan_bits * max(1, math.ceil(math.log(max(held["blocks"], 2), 1 << fan_bits)))
+    bound = (order - 1) * (int(held["tokens"]) * BITS_PER_ITEM // 8 + 8 * parts)
+    if bound <= MOST_BROADCAST:
+        found, stats = answers(entries, held["blocks"], bits, fan_bits)
+        table, more, lead = segments(gram_entries(texts, order, bits, fan_bits, True), held["blocks"], bits, fan_bits)
+        stats = stats.unionByName(more)
+        whole = spark.sparkContext.broadcast(Whole.of(table.select("ord", "part", "bits").toArrow(), bits, lead))
+    else:
+        # Made again from the blocks where they are read twice: they are larger than what they are made from.
+        found, stats = answers(entries.unionByName(gram_entries(texts, order, bits, fan_bits)), held["blocks"], bits, fan_bits)
     common.release(spark)
     known = {r["ord"]: r for r in stats.collect()}  # one row for each order
     train_tokens = (known[1]["tokens"] if 1 in known else 0) + train_texts
     distinct = (known[1]["distinct"] if 1 in known else 0) + (train_texts > 0)
     discounts = [discount(known[n]["ones"], known[n]["twos"]) if n in known else 0.0 for n in range(order + 1)]
-    scored = score_blocks(texts, found, order, bits, train_tokens, distinct, train_texts, discounts, weight)
-    whole = float(np.log10(train_tokens + distinct + 1))
+    scored = score_blocks(texts, found, order, bits, train_tokens, distinct, train_texts, discounts, weight, whole)
+    total = float(np.log10(train_tokens + distinct + 1))
     end = float(np.log10(train_texts + 1))
     return scored.select(
         F.col("id").alias(id_col),
@@ -437,7 +511,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         "n_tokens",
         (F.col("known") + F.lit(int(train_texts > 0))).alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("sum_log") + F.lit(end) - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
+        (F.col("sum_log") + F.lit(end) - F.col("n_tokens") * F.lit(total)).alias("base_score"),
         "score",
     )
 
