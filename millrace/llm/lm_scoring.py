@@ -2,9 +2,11 @@
 
 Training counts words, word pairs and word triples exactly, then keeps of each count only its level ``1 + floor(log2(count))``.  A
 gram of level q is put into a Bloom filter q times, as (gram, 1) to (gram, q); reading probes (gram, 1), (gram, 2), ... until one is
-missing.  The filter gives the counts of an interpolated model: each order's estimate is ``max(count - D, 0) / count of the
-context``, with the absolute discount ``D = n1 / (n1 + 2 n2)`` of its own counts of counts, mixed with the order below by a fixed weight.
-What the discount takes is given to no other word, so the model is sub-normalised.
+missing.  The filter gives the counts of an interpolated model whose weights follow the context (Jelinek and Mercer, 1980): an order's estimate
+is ``count / count of the context``, its weight ``LAMBDA * (1 - D / count of the context)`` with ``D = n1 / (n1 + 2 n2)`` of the counts of counts of
+that order, and all the rest goes to the order below; an unseen context leaves everything to it.  The lowest order keeps one part for all words never
+met.  So what follows any context sums to one as far as counts are exact.  A count read from the filter is the mean of all counts of its order and
+level, so the counts of a level sum up to what they should, and single contexts are off by what theirs differ from the mean.
 
 Counting is by blocks: each task folds a block of texts into sorted arrays of distinct hashes with counts.  Blocks are merged by a
 butterfly: hashes are cut into parts by their leading bits and blocks are put into groups of about 256; a node merges one part of
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-#: Weight of an order's estimate against that of the order below, and the longest grams.
+#: Most weight of an order's estimate against that of the order below, and the longest grams.
 LAMBDA = 0.6
 ORDER = 3
 BITS_PER_ITEM = 10
@@ -173,9 +175,13 @@ class LogFrequencyFilter:
         return found
 
 
-def estimate(levels: np.ndarray) -> np.ndarray:
-    """Middle of the counts that share a level."""
-    return np.where(levels > 0, (3.0 * 2.0 ** (np.maximum(levels, 1) - 1) - 1) / 2, 0.0)
+def level_means(stats: np.ndarray) -> np.ndarray:
+    """The count that each level stands for: the mean of those that share it; a level that no training gram has, its middle."""
+    grams, sums = stats[:_LEVELS], stats[_LEVELS : 2 * _LEVELS]
+    middle = (3.0 * 2.0 ** (np.arange(_LEVELS) - 1) - 1) / 2
+    out = np.where(grams > 0, sums / np.maximum(grams, 1), middle)
+    out[0] = 0.0
+    return out
 
 
 def probed(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -327,8 +333,8 @@ def _merged(group: pa.RecordBatch) -> tuple[list[int], list[np.ndarray], np.ndar
     return column("child").to_pylist(), [where[e - len(k) : e] for k, e in zip(keys, ends, strict=True)], distinct, total
 
 
-_ANSWER = {"ord": pa.int32(), "child": pa.int64(), "part": pa.int64(), "totals": pa.binary(), "levels": pa.binary(), "distinct": pa.int64(), "tokens": pa.int64(), "ones": pa.int64(), "twos": pa.int64()}
-_ANSWER_TYPE = "ord int, child long, part long, totals binary, levels binary, distinct long, tokens long, ones long, twos long"
+_ANSWER = {"ord": pa.int32(), "child": pa.int64(), "part": pa.int64(), "totals": pa.binary(), "levels": pa.binary(), "stats": pa.list_(pa.int64())}
+_ANSWER_TYPE = "ord int, child long, part long, totals binary, levels binary, stats array<long>"
 
 
 def _given(order: int, part: int, children: list[int], places: list[np.ndarray], totals: np.ndarray | None, levels: np.ndarray) -> list[dict]:
@@ -336,13 +342,15 @@ def _given(order: int, part: int, children: list[int], places: list[np.ndarray],
 
 
 def _statistics(total: np.ndarray) -> dict:
-    """Of the counts of a part: training grams, their occurrences, and how many occur once and twice."""
-    return {"distinct": int((total > 0).sum()), "tokens": int(total.sum()), "ones": int((total == 1).sum()), "twos": int((total == 2).sum())}
+    """Of the counts of a part: training grams by level, their occurrences by level, and how many occur twice."""
+    levels = levels_of(total)
+    by_level = np.bincount(levels, total > 0, _LEVELS), np.bincount(levels, total, _LEVELS)
+    return {"stats": np.concatenate([*by_level, [(total == 2).sum()]]).astype(np.int64).tolist()}
 
 
 def _summed(found: DataFrame) -> DataFrame:
-    held = found.where(F.col("distinct").isNotNull()).select("ord", "distinct", "tokens", "ones", "twos")
-    return held.groupBy("ord").agg(*[F.sum(c).alias(c) for c in ("distinct", "tokens", "ones", "twos")])
+    """(ord, at, n): the statistics of all parts together, ``at`` their place in ``_statistics``."""
+    return found.where(F.col("stats").isNotNull()).select("ord", F.posexplode("stats").alias("at", "n")).groupBy("ord", "at").agg(F.sum("n").alias("n"))
 
 
 def _layers(entries: DataFrame, blocks: int, bits: int, fan_bits: int) -> list[DataFrame]:
@@ -394,7 +402,7 @@ def answers(entries: DataFrame, blocks: int, bits: int, fan_bits: int) -> tuple[
     return found, stats
 
 
-_SEGMENT = {"ord": pa.int32(), "part": pa.int64(), "bits": pa.binary(), "distinct": pa.int64(), "tokens": pa.int64(), "ones": pa.int64(), "twos": pa.int64()}
+_SEGMENT = {"ord": pa.int32(), "part": pa.int64(), "bits": pa.binary(), "stats": pa.list_(pa.int64())}
 
 
 def segments(entries: DataFrame, blocks: int, bits: int, fan_bits: int) -> tuple[DataFrame, DataFrame, int]:
@@ -405,7 +413,7 @@ def segments(entries: DataFrame, blocks: int, bits: int, fan_bits: int) -> tuple
         return _rows([{"ord": group.column(0)[0].as_py(), "part": group.column(2)[0].as_py(), "bits": segment(distinct, total)} | _statistics(total)], _SEGMENT)
 
     layers = _layers(entries, blocks, bits, fan_bits)
-    found = common.materialise(common.map_runs(layers[-1], ["ord", "node", "part"], top, "ord int, part long, bits binary, distinct long, tokens long, ones long, twos long"), "lm-segments")
+    found = common.materialise(common.map_runs(layers[-1], ["ord", "node", "part"], top, "ord int, part long, bits binary, stats array<long>"), "lm-segments")
     return found, _summed(found), len(layers) * fan_bits
 
 
@@ -437,11 +445,12 @@ class Whole:
         return held.levels(keys, np.where(parts[at] == part, at, len(parts)))
 
 
-def discount(ones: int, twos: int) -> float:
+def discount(stats: np.ndarray) -> float:
+    ones, twos = float(stats[1]), float(stats[2 * _LEVELS])
     return ones / (ones + 2 * twos) if ones else 0.0
 
 
-def score_blocks(texts: DataFrame, found: DataFrame, order: int, bits: int, train_tokens: int, distinct: int, train_texts: int, discounts: list[float], weight: float, whole: Broadcast | None = None) -> DataFrame:
+def score_blocks(texts: DataFrame, found: DataFrame, order: int, bits: int, train_tokens: int, distinct: int, train_texts: int, means: list[np.ndarray], discounts: list[float], weight: float, whole: Broadcast | None = None) -> DataFrame:
     """(id, train, n_tokens, sum_log, known, score) of every text, from what was given back to its block and the filter that workers hold, if any.
 
     ``sum_log`` and ``known`` are sums over its words from exact counts; ``score`` is its log10 probability under the
@@ -461,13 +470,16 @@ def score_blocks(texts: DataFrame, found: DataFrame, order: int, bits: int, trai
 
         levels = lambda n: given(n, "levels", lambda b: np.frombuffer(b, np.uint8))
         counts = np.append(given(1, "totals", from_planes), 0)
-        held = np.append(estimate(levels(1)), float(train_texts))[places]
+        held = np.append(means[1][levels(1)], float(train_texts))[places]
         p = np.minimum(1.0, (held + 1) / (train_tokens + distinct + 1))
         for n in range(2, order + 1):
             context = before(held, starts, float(train_texts))
             keys, which = np.unique(grams[n - 1] >> np.uint64(64 - bits), return_inverse=True)
-            held = estimate(levels(n) if whole is None else whole.value.levels(n, keys))[which]
-            p = weight * np.maximum(held - discounts[n], 0.0) / np.maximum(np.maximum(context, held), 1.0) + (1 - weight) * p
+            held = means[n][levels(n) if whole is None else whole.value.levels(n, keys)][which]
+            # A gram that the filter tells to be more frequent than its context is as frequent.
+            context = np.maximum(context, held)
+            own = weight * np.maximum(context - discounts[n], 0.0) / np.maximum(context, 1.0)
+            p = own * held / np.maximum(context, 1.0) + (1 - own) * p
         each = lambda values: pa.array(np.add.reduceat(values, starts))
         ids = pa.array(np.frombuffer(parts["ids"][info].as_py(), np.int64), mask=np.frombuffer(parts["nulls"][info].as_py(), bool))
         n_tokens = pa.array(np.diff(np.append(-1, ends)).astype(np.int64))
@@ -498,11 +510,13 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         # Made again from the blocks where they are read twice: they are larger than what they are made from.
         found, stats = answers(entries.unionByName(gram_entries(texts, order, bits, fan_bits)), held["blocks"], bits, fan_bits)
     common.release(spark)
-    known = {r["ord"]: r for r in stats.collect()}  # one row for each order
-    train_tokens = (known[1]["tokens"] if 1 in known else 0) + train_texts
-    distinct = (known[1]["distinct"] if 1 in known else 0) + (train_texts > 0)
-    discounts = [discount(known[n]["ones"], known[n]["twos"]) if n in known else 0.0 for n in range(order + 1)]
-    scored = score_blocks(texts, found, order, bits, train_tokens, distinct, train_texts, discounts, weight, whole)
+    known = np.zeros((order + 1, 2 * _LEVELS + 1), np.int64)
+    for r in stats.collect():  # fewer than a hundred rows for each order
+        known[r["ord"], r["at"]] = r["n"]
+    train_tokens = int(known[1, _LEVELS : 2 * _LEVELS].sum()) + train_texts
+    distinct = int(known[1, :_LEVELS].sum()) + (train_texts > 0)
+    means, discounts = [level_means(x) for x in known], [discount(x) for x in known]
+    scored = score_blocks(texts, found, order, bits, train_tokens, distinct, train_texts, means, discounts, weight, whole)
     total = float(np.log10(train_tokens + distinct + 1))
     end = float(np.log10(train_texts + 1))
     return scored.select(

@@ -70,26 +70,36 @@ def lm_base(docs):
     return {k: (bucket(k, 7) == 2, len(s), sum(train[w] > 0 for w in s), n, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in s)) for k, s in streams.items()}
 
 
-def lm_score(docs, train, weight=0.6, order=3):
-    """log10 probabilities under the interpolated model, with no filter: each count is the middle of its level."""
-    middle = lambda n: (3 * 2 ** (n.bit_length() - 1) - 1) / 2 if n else 0.0
-    streams = {k: [None] * (order - 1) + [*words(t), None] for k, t in docs}
-    grams = lambda s, n: (tuple(s[i - n + 1 : i + 1]) for i in range(order - 1, len(s)))
-    taught = [s for k, s in streams.items() if train(k)]
-    counts = {n: Counter(g for s in taught for g in grams(s, n)) for n in range(1, order + 1)}
+def lm_model(docs, train, weight=0.6, order=3):
+    """Probability of a gram's last token (a tuple; None is the end) under the interpolated model, with no filter: each count is the mean of those of its order and level."""
+    taught = [[None] * (order - 1) + [*words(t), None] for k, t in docs if train(k)]
+    counts = {n: Counter(tuple(s[i - n + 1 : i + 1]) for s in taught for i in range(order - 1, len(s))) for n in range(1, order + 1)}
     ones, twos = ({n: sum(v == c for v in counts[n].values()) for n in counts} for c in (1, 2))
     total, distinct = sum(counts[1].values()), len(counts[1])
-    held = lambda g: float(len(taught)) if set(g) == {None} else middle(counts[len(g)][g])
+    alike = {n: [[c for g, c in counts[n].items() if c.bit_length() == level and (n > 1 or g != (None,))] for level in range(50)] for n in counts}
+    mean = {n: [sum(x) / len(x) if x else 0.0 for x in alike[n]] for n in counts}
+    level = lambda g: mean[len(g)][counts[len(g)][g].bit_length()]
+    held = lambda g: float(len(taught)) if set(g) == {None} else level(g)
 
     def p(g):
         out = min(1.0, (held(g[-1:]) + 1) / (total + distinct + 1))
         for n in range(2, order + 1):
-            own, context = middle(counts[n][g[-n:]]), held(g[-n:-1])
-            less = ones[n] / (ones[n] + 2 * twos[n]) if ones[n] else 0.0
-            out = weight * max(own - less, 0.0) / max(context, own, 1.0) + (1 - weight) * out
+            seen = level(g[-n:])
+            context = max(held(g[-n:-1]), seen)
+            if context:
+                less = ones[n] / (ones[n] + 2 * twos[n]) if ones[n] else 0.0
+                own = weight * max(context - less, 0.0) / context
+                out = own * seen / context + (1 - own) * out
         return out
 
-    return {k: sum(math.log10(p(g)) for g in grams(s, order)) for k, s in streams.items()}
+    return p
+
+
+def lm_score(docs, train, weight=0.6, order=3):
+    """log10 probabilities of texts under ``lm_model``."""
+    p = lm_model(docs, train, weight, order)
+    streams = {k: [None] * (order - 1) + [*words(t), None] for k, t in docs}
+    return {k: sum(math.log10(p(tuple(s[i - order + 1 : i + 1]))) for i in range(order - 1, len(s))) for k, s in streams.items()}
 
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

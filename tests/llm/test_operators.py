@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 
@@ -357,6 +358,31 @@ def test_lm_scores_alike_whether_the_filter_is_broadcast_or_not(spark, odd, monk
     assert scores[0] == scores[1] and len(scores[0]) == 200 + len(ODD) - 3
 
 
+def test_lm_probabilities_sum_to_one(spark):
+    """What follows each context sums to one, and so do all texts, words never met included, where the counts of a level are equal."""
+    train = [(i, t) for i, t in enumerate(["", "a", "b", "c"] * 4)]
+    p = brute.lm_model(train, lambda k: True)
+    for context in [(None, None), (None, "a"), (None, "new"), ("a", "new"), ("new", "b")]:
+        assert abs(sum(p((*context, w)) for w in ("a", "b", "c", "new", None)) - 1) < 1e-12
+    texts = [" ".join(t) for n in range(5) for t in itertools.product(["a", "b", "c", "new"], repeat=n)]
+    docs = train + list(enumerate(texts, 1000))
+    got = lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") < 1000).where("doc_id >= 1000").collect()
+    mass = sum(10 ** r["score"] for r in got)
+    want = sum(10**x for k, x in brute.lm_score(docs, lambda k: k < 1000).items() if k >= 1000)
+    assert len(got) == len(texts) and abs(mass - want) < 0.01 and 0.98 < mass < 1.01
+
+
+def test_lm_tells_texts_that_occur_twice(spark, corpus):
+    """Training texts that occur twice score higher a token than those that occur once."""
+    once = [(k, t) for k, t in corpus if k is not None and len(brute.words(t)) > 20]
+    twice = [k for k, _ in once[::10]]
+    docs = once + [(k + 1_000_000, t) for k, t in once[::10]]
+    got = lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string"), F.lit(True)).collect()
+    each = {r["doc_id"]: r["score"] / r["n_tokens"] for r in got}
+    single = np.array([each[k] for k, _ in once if k not in set(twice)])
+    assert np.mean([each[k] for k in twice]) > np.mean(single)
+
+
 def test_planes():
     for values in ([], [0], [5, 5, 9], [1, 1 << 20, 1 << 63]):
         v = np.array(values, np.uint64)
