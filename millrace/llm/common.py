@@ -6,12 +6,12 @@ bytes outside ``0x20, 0x09-0x0D`` with A-Z lower-cased; a null text counts as em
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
-import time
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 #: Bytes of text a kernel looks at in one go; a longer text is a piece of its own.
 PIECE_BYTES = 2 << 20
 
-_WRITTEN: list[str] = []
+#: Lets Spark delete the shuffle files of a statement at its end.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -51,41 +52,92 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+class _Runs(threading.local):
+    """The folders that each open run of this thread wrote; the first list is that of no run."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = [[]]
+
+
+_RUNS = _Runs()
+
+
+@contextmanager
+def run() -> Iterator[list[str]]:
+    """A run with a list of its own of the folders that are written inside it, by this thread, for ``clean``.
+
+    Runs in other threads, or around this one, have other lists; what is left in it at the end goes to the run around it.
+    """
+    paths: list[str] = []
+    _RUNS.open.append(paths)
+    try:
+        yield paths
+    finally:
+        _RUNS.open.remove(paths)
+        _RUNS.open[-1].extend(paths)
+
+
 def written(path: str) -> None:
     """Remember a folder for ``clean``."""
-    _WRITTEN.append(path)
+    _RUNS.open[-1].append(path)
+
+
+class _Dropping:
+    """Statements inside lose their shuffle files when they end; the session's setting comes back with the last of them."""
+
+    def __init__(self) -> None:
+        self.lock, self.inside, self.before = threading.Lock(), 0, "false"
+
+    @contextmanager
+    def __call__(self, spark: SparkSession) -> Iterator[None]:
+        with self.lock:
+            if not self.inside:
+                self.before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
+                spark.conf.set(_SHUFFLE_CLEANUP, "true")
+            self.inside += 1
+        try:
+            yield
+        finally:
+            with self.lock:
+                self.inside -= 1
+                if not self.inside:
+                    spark.conf.set(_SHUFFLE_CLEANUP, self.before)
+
+
+_dropping = _Dropping()
 
 
 def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back; cuts lineage, survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it back; cuts lineage, survives lost executors.
+
+    Its shuffle files go as soon as it is written: nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     written(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with _dropping(spark):
+        writer.parquet(path)
     schema = T.StructType([f for f in df.schema.fields if f.name not in partition_by] + [f for f in df.schema.fields if f.name in partition_by])
     return spark.read.schema(schema).parquet(path)
 
 
-def mark() -> int:
-    """The place in the list of written tables from which ``clean`` may go."""
-    return len(_WRITTEN)
-
-
-def clean(spark: SparkSession, since: int = 0, keep_last: bool = False) -> int:
-    """Delete the tables that ``materialise`` wrote in this driver (since a mark, but the last one if told so).
+def clean(spark: SparkSession, paths: list[str] | None = None, keep: DataFrame | None = None) -> int:
+    """Delete the folders of a run (without one, those that this thread wrote outside any), but not those that ``keep`` reads.
 
     Call it once what was made of them is stored.
     """
-    kept = _WRITTEN[-1:] if keep_last and len(_WRITTEN) > since else []
-    paths = _WRITTEN[since : len(_WRITTEN) - len(kept)]
-    _WRITTEN[since:] = kept
-    for path in paths:
+    paths = _RUNS.open[0] if paths is None else paths
+    read = [] if keep is None else keep.inputFiles()
+    kept = [p for p in paths if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in read)]
+    gone = [p for p in paths if p not in kept]
+    paths[:] = kept
+    for path in gone:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    return len(paths)
+    return len(gone)
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -107,14 +159,6 @@ def few(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps: they go once the garbage of the driver is collected."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-
-
 def crc_bucket(column: str, modulus: int) -> Column:
     """``crc32(column as text) mod modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)

@@ -398,7 +398,6 @@ def _routes(docs: DataFrame, made: DataFrame, id_col: str, text_col: str, width:
     """(routed texts with their tokens, meetings), after tokens on which more than ``most`` texts meet went to the end of the order."""
     routed = _leaders(made)
     met = common.materialise(_meetings(_tokens(routed)), "shingle-tokens")
-    common.release(made.sparkSession)
     often = met.where(F.col("m") > most).select("token")
     if often.limit(1).count() == 0:
         return routed, met
@@ -418,7 +417,6 @@ def _routes(docs: DataFrame, made: DataFrame, id_col: str, text_col: str, width:
     routed = common.materialise(stayed.unionByName(moved), "shingle-routed")
     kept = _outside(met, "token", touched, True)
     met = common.materialise(kept.unionByName(_meetings(_tokens(routed, touched))), "shingle-tokens")
-    common.release(made.sparkSession)
     return routed, met
 
 
@@ -476,7 +474,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     routed, met = _routes(docs, made, id_col, text_col, width, num, den, block)
     admitted = common.BoundedFilter.of(met, "token", hashed=True)
     shared = common.materialise(_tokens(routed, admitted).join(met.select("token", "hub"), "token").groupBy("hub", "doc").agg(F.count("*").alias("tokens")), "shingle-routes")
-    common.release(spark)
 
     sets = common.materialise(_sets_of_active(docs, shared, id_col, text_col, width), "shingle-sets")
 
@@ -520,7 +517,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
     found = common.map_runs(cells, ["hub", "i", "j"], search, "a long, b long").distinct()
     more = common.materialise(_verified(found, sets, num, den), "shingle-links")
-    common.release(spark)
 
     # Components of representatives; the second round works on those of the first.
     def lifted(side: str) -> DataFrame:

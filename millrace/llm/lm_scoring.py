@@ -509,7 +509,6 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     else:
         # Made again from the blocks where they are read twice: they are larger than what they are made from.
         found, stats = answers(entries.unionByName(gram_entries(texts, order, bits, fan_bits)), held["blocks"], bits, fan_bits)
-    common.release(spark)
     known = np.zeros((order + 1, 2 * _LEVELS + 1), np.int64)
     for r in stats.collect():  # fewer than a hundred rows for each order
         known[r["ord"], r["at"]] = r["n"]

@@ -5,6 +5,8 @@ import hashlib
 import itertools
 import math
 import random
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +108,26 @@ def test_clean_deletes_what_was_written(spark):
         spark.read.parquet(kept.inputFiles()[0]).count()
 
 
+def test_runs_delete_what_is_their_own(spark):
+    with ThreadPoolExecutor(2) as threads, common.run() as around:
+
+        def work(n):
+            with common.run() as paths:
+                one = common.materialise(spark.range(n), "one")
+                both.wait(60)
+                two = common.materialise(spark.range(n), "two")
+                both.wait(60)
+                assert common.clean(spark, paths, keep=two) == 1 and len(paths) == 1
+                both.wait(60)
+                with pytest.raises(Exception, match="(?i)path|file"):
+                    spark.read.parquet(one.inputFiles()[0]).count()
+                return two.count()
+
+        both = threading.Barrier(2)
+        assert list(threads.map(work, [3, 4])) == [3, 4] and not around
+    assert spark.conf.get(common._SHUFFLE_CLEANUP) == "false"
+
+
 def test_bounded_filter_admits_all(spark):
     df = spark.range(5000).withColumn("h", F.xxhash64("id"))
     held = common.BoundedFilter.of(df.where("id % 3 = 0"), "id")
@@ -156,10 +178,15 @@ def test_language_tables_against_direct_convolution():
         assert best[t] == want and abs(score[t] - p) < 1e-4
 
 
-def test_language_more_labels_than_learned(spark):
-    rows = [(i, "word " * 20, f"l{i % (2 + i // 40):02}", "s", 0) for i in range(200)]
-    net = language_id.train(spark.createDataFrame(rows, DOCS), most_labels=3, most_windows=60)
-    assert net.labels == ["l00", "l01", "l02"]
+def test_language_of_very_many_labels(spark, monkeypatch):
+    """All of 600 labels are learned, the rarest too, whatever the bound on windows; too many for the driver raise."""
+    rows = [(i, f"word{i % 600} " * 20, f"l{i % 600:03}", "s", 0) for i in range(1300)] + [(i, "12 34", "l000", "s", 0) for i in range(2000, 4000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    net = language_id.train(docs, most_windows=700)
+    assert net.labels == [f"l{i:03}" for i in range(600)]
+    monkeypatch.setattr(language_id, "MOST_LABELS", 599)
+    with pytest.raises(ValueError, match="labels"):
+        language_id.train(docs)
 
 
 def test_language_odd(spark, odd):
