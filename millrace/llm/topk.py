@@ -159,7 +159,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
     finite = F.transform(F.col("vector"), lambda x: F.when(F.abs(x.cast("double")) < float("inf"), F.abs(x.cast("double"))))
     biggest = candidates.select(F.max(F.array_max(finite)).alias("m")).first()["m"] or 0.0
     usable = F.forall("vector", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
-    wanted_rows = wanted_rows.where(usable).groupBy("id").agg(F.min("vector").alias("vector"))
+    # Stored once in the order of ids, so that each block reads only its part of the files.
+    wanted_rows = common.materialise(wanted_rows.where(usable).groupBy("id").agg(F.min("vector").alias("vector")).orderBy("id"), "top-k-queries")
     path = f"{common.shared_dir(spark)}/top-k-{uuid.uuid4().hex}"
     common.written(path)
     last = None
