@@ -12,7 +12,7 @@ Defined results
 * null text, empty text or text without a letter: ``und`` with score 0;
 * very long texts: all windows count, none is skipped;
 * no labelled text to learn from: every text is ``und`` with score 0;
-* more labels than ``most_labels``: the most frequent ones are learned (ties to the smaller label), others are never predicted;
+* very many labels: all are learned, each from fewer windows, at least one text of each; more than ``MOST_LABELS`` raise ``ValueError``;
 * repeated rows and ties: each row is judged alone; equal probabilities go to the smaller label;
 * extra columns pass through; an input column named like a result is replaced.
 """
@@ -39,11 +39,12 @@ FILTERS = 16
 EMBEDDING = 8
 STRIDE = WINDOW - max(WIDTHS) + 1
 
-#: Bounds of the training sample: texts of each label, windows of each text, distinct labels, and windows in all (256 bytes each).
+#: Bounds of the training sample: texts of each label, windows of each text, and windows in all (256 bytes each), and the
+#: labels that one network on the driver can have: every one of them is learned, more raise.
 TEXTS_PER_LABEL = 1000
 WINDOWS_PER_TEXT = 4
 LEAST_STEPS = 300
-MOST_LABELS = 512
+MOST_LABELS = 20_000
 MOST_WINDOWS = 200_000
 
 _HAS_LETTER = r"\p{L}"
@@ -207,22 +208,32 @@ def predictor_of(net: ByteConvNet) -> Predictor:
     return _PREDICTORS[key]
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", key_col: str = "doc_id", texts_per_label: int = TEXTS_PER_LABEL, windows_per_text: int = WINDOWS_PER_TEXT, most_labels: int = MOST_LABELS, most_windows: int = MOST_WINDOWS) -> ByteConvNet | None:
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", key_col: str = "doc_id", texts_per_label: int = TEXTS_PER_LABEL, windows_per_text: int = WINDOWS_PER_TEXT, most_windows: int = MOST_WINDOWS) -> ByteConvNet | None:
     """Fit a network on at most about ``1.3 * texts_per_label`` texts of each label, fewer if there would be more than about ``most_windows``.
 
     The sample is drawn by a hash of the key, and of each text ``windows_per_text`` windows are taken, evenly
-    spaced over its whole length.  That bounds what reaches the driver whatever the size of the corpus.
+    spaced over its whole length.  That bounds what reaches the driver whatever the size of the corpus.  The text drawn first of each label is always in.
     None if there is no labelled text with a letter.
     """
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).rlike(_HAS_LETTER))
-    counts = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(label_col).alias("label")).count().orderBy(F.col("count").desc(), "label").limit(most_labels).collect()
+    whole = 1 << 30
+    # A row without a key is drawn by its text.
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.col(text_col)), F.lit("language sample")), F.lit(whole))
+    first = F.min(F.when(F.col(text_col).rlike(_HAS_LETTER), draw)).alias("first")
+    counts = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n"), first).limit(MOST_LABELS + 1).collect()
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels cannot be learned by one network")
     if not counts:
         return None
     texts_per_label = max(1, min(texts_per_label, int(most_windows / (1.3 * windows_per_text * len(counts)))))
-    whole = 1 << 30
-    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(whole, int(1.2 * texts_per_label * whole / r["count"]) + 1))])
-    draw = F.pmod(F.xxhash64(F.col(key_col).cast("string"), F.lit("language sample")), F.lit(whole))
-    sample = rows.withColumn("_draw", draw).where(F.col("_draw") < shares[F.col(label_col)]).select(F.col(label_col).alias("label"), F.col("_draw").alias("draw"), F.col(text_col).alias("text"))
+    windows_per_text = max(1, min(windows_per_text, most_windows // len(counts)))
+    # Below this a draw is in the sample: about the wanted number of texts, and the least draw of the label in any case.
+    shares = [(r["label"], max(min(whole, int(1.2 * texts_per_label * whole / r["n"]) + 1), (r["first"] or 0) + 1)) for r in counts]
+    names = [f"_{n}" for n in ("label", "below", "draw", "text")]
+    below = F.broadcast(labelled.sparkSession.createDataFrame(shares, T.StructType([T.StructField(names[0], T.StringType()), T.StructField(names[1], T.LongType())])))
+    sample = rows.select(F.col(label_col).cast("string").alias(names[0]), draw.alias(names[2]), F.col(text_col).alias(names[3])).join(below, names[0]).where(F.col(names[2]) < F.col(names[1]))
+    # Rows that repeat a key stand in the sample once, however many there are.
+    sample = sample.groupBy(F.col(names[0]).alias("label"), F.col(names[2]).alias("draw")).agg(F.min(names[3]).alias("text"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = common.text_buffers(batch.column(2))
