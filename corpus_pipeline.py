@@ -32,7 +32,11 @@ MOST_BROADCAST = 1_000_000
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is told."""
+    """Keep documents whose language is told.
+
+    A null or empty text, or one without a letter, goes; each row is judged alone, so repeated rows and ids, null ones too, share their fate.
+    A null label takes the prediction; with no labelled text all go; an empty table stays empty.
+    """
     docs = docs.select(*COLUMNS)
     net = language_id.train(docs.where(~language_id.held_out()))
     judged = language_id.identify(docs, net)
@@ -44,7 +48,8 @@ def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies: the one with the smallest id.
 
-    Texts stay where they are read; only rows whose id occurs again are aggregated.
+    Texts stay where they are read; only rows whose id occurs again are aggregated.  A null text, or one without words, is near nothing and stays, as does
+    a row without an id.
     """
     docs = docs.select(*COLUMNS)
     groups = common.materialise(jaccard_join.join(docs, width=NEAR_WIDTH, threshold=NEAR_THRESHOLD), "near-groups").where(F.col("doc_id").isNotNull())
@@ -62,14 +67,21 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def stage_secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret span in the texts."""
+    """Replace every secret span in the texts.
+
+    A null text stays null and an empty one empty; ``n_chars`` follows the text only where something was replaced.  Rows are read one by one.
+    """
     found = secrets.scan(docs.select(*COLUMNS), redact_to=SECRET_MARK)
     length = F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", length).select(*COLUMNS)
 
 
 def stage_source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat documents so that their sources come to their target weights."""
+    """Repeat documents so that their sources come to their target weights.
+
+    A null source is a source of its own, the last; null and empty texts have size 0 and are taken or not as others are.  Rows of one id
+    are dealt in one order by their other columns, a null id like any; an empty table stays empty.
+    """
     planned = mixing.plan(docs.select(*COLUMNS))
     partial = F.col("taken") != F.col("copies") * F.col("size")
     mixed = mixing.repeat(planned, [*COLUMNS, "copies", "size", "taken", "_whole"])
@@ -77,7 +89,7 @@ def stage_source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents with their token ids; ``round_trip`` tells whether the ids decode to the text."""
+    """The mixed documents with their token ids; ``round_trip`` tells whether the ids decode to the text.  A null text is encoded as the empty one."""
     return bpe.encode(docs.select(*COLUMNS), verify=True).select(*COLUMNS, "token_ids", "n_tokens", "round_trip")
 
 
@@ -94,10 +106,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet in the shared folder and read again."""
+    """All stages over ``documents``; each result is written as Parquet in the shared folder and read again, and goes once the next is stored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        begun = common.mark()
-        docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        common.clean(spark, begun, keep_last=True)  # what the stage wrote on its way
+    with common.run() as written:
+        for name, stage in STAGES[:-1]:
+            docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            common.clean(spark, written, keep=docs)  # what the stage wrote on its way, and what it read
     return STAGES[-1][1](spark, docs, sf_dir)
