@@ -114,8 +114,8 @@ def tool_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), _text("f", F.col("l_linenumber")).alias("path"), F.col("l_quantity").cast("long").alias("added"), F.col("l_suppkey").cast("long").alias("deleted"))
     commits = orders.join(lines, "o_orderkey").select(_text("o", F.col("o_orderkey")).alias("id"), F.col("o_orderstatus").alias("message"), "path", "added", "deleted")
-    first = orders.agg(F.min("o_orderkey")).first()[0]
-    return _workspace(spark, sf_dir, commits=commits).commit(f"o{first}")
+    first = orders.agg(_text("o", F.min("o_orderkey")).alias("id")).scalar()
+    return _workspace(spark, sf_dir, commits=commits).commit(first)
 
 
 @register("SELECT 'v' || (p_partkey % 7) || '.' || (p_partkey % 30) || '.' || p_partkey AS name, 'S' || p_partkey AS id, p_brand AS date FROM part ORDER BY p_partkey % 7 DESC, p_partkey % 30 DESC, p_partkey DESC LIMIT 51")

@@ -355,8 +355,8 @@ class Workspace:
         keys = [c for c in pairs.columns if c not in (old, new)]
         return diff.unified(diff.hunks_between(pairs, old, new), keys, lines)
 
-    def commit(self, commit_id: str) -> DataFrame:
-        """(id, message, path, added, deleted) of one commit (commits: also added, deleted), a row for each file."""
+    def commit(self, commit_id: str | Column) -> DataFrame:
+        """(id, message, path, added, deleted) of one commit (commits: also added, deleted), a row for each file; the id may be a scalar query."""
         return self["commits"].where(F.col("id") == commit_id).select("id", "message", "path", "added", "deleted").orderBy("path")
 
     def tag_list(self, cap: int = 50) -> DataFrame:
