@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import components, diff, grep, joins, markdown, mentions, rules
+from millrace.operators import components, diff, grep, joins, markdown, mentions, reading, rules
 from millrace.plans.catalog import _CUT, _LINES, _PAYLOAD, _RULE_SQL, _TRIM, _entries, register
 from millrace.plans.tools import _FILES, _files, _text
 from millrace.plans.workspace import Workspace
@@ -213,6 +213,55 @@ def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.table(docs, ["Text", "KEY"], "doc_id", "text")
 
 
+# ---------------------------------------------------------------- bounded reading
+
+# Lines of each document without the empty one after a last line feed, stripped at the end, with the UTF-8 size of the document.
+_STRIPPED = r"""d AS (SELECT doc_id, regexp_replace(text, '\n$', '') AS t, strlen(text)::BIGINT AS bytes FROM documents WHERE text <> ''), p AS (SELECT doc_id, bytes, string_split(t, chr(10)) AS a FROM d),
+ l AS (SELECT doc_id, bytes, len(a)::INTEGER AS total_lines, generate_subscripts(a, 1)::INTEGER AS line, regexp_replace(unnest(a), '\s+$', '') AS x FROM p)"""
+
+
+@register(f"""WITH {_STRIPPED}, k AS (SELECT *, row_number() OVER w AS nth, sum(length(x)) OVER w - length(x) AS before FROM l WHERE line BETWEEN 2 AND 60 AND x <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+ r AS (SELECT *, 600 - before AS room FROM k WHERE nth <= 12 AND before < 600)
+ SELECT doc_id, line, CASE WHEN length(x) > room THEN x[1:room::BIGINT] || '... (+' || (length(x) - room)::BIGINT || ' chars)' ELSE x END AS text, length(x) > room AS is_cut, length(x) >= room AS is_last, total_lines,
+ max(CASE WHEN (nth = 12 OR length(x) >= room) AND line < least(60, total_lines) THEN line + 1 END) OVER (PARTITION BY doc_id) AS next_line, bytes FROM r""")
+def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines 2 to 60 of every document, at most 12 of them and 600 characters."""
+    return reading.windows(table(spark, sf_dir, "documents").select("doc_id", "text"), 2, 60, most_lines=12, most_chars=600)
+
+
+@register(f"""WITH {_STRIPPED}, asked AS (SELECT unnest(['f12', 'gone', 'f3', 'f40', 'f41']) AS path, unnest(range(1, 6))::INTEGER AS place),
+ k AS (SELECT place, l.*, row_number() OVER (PARTITION BY place ORDER BY line) AS nth FROM l JOIN asked ON path = 'f' || doc_id WHERE x <> ''), b AS (SELECT *, 2500 - (sum(length(x)) OVER (ORDER BY place, line) - length(x)) AS room FROM k WHERE nth <= 20),
+ r AS (SELECT place, line, CASE WHEN length(x) > room THEN x[1:room::BIGINT] || '... (+' || (length(x) - room)::BIGINT || ' chars)' ELSE x END AS text, length(x) > room AS is_cut, length(x) >= room AS is_last, total_lines,
+  max(CASE WHEN (nth = 20 OR length(x) >= room) AND line < total_lines THEN line + 1 END) OVER (PARTITION BY place) AS next_line FROM b WHERE room > 0)
+ SELECT a.place, path AS rel_path, CASE WHEN f.doc_id IS NULL THEN 'NOT_FOUND' WHEN line IS NULL AND a.place > (SELECT max(place) FROM r WHERE is_last) THEN 'CLIPPED' ELSE 'OK' END AS status, line, r.text, is_cut, total_lines, next_line, CASE WHEN f.doc_id IS NOT NULL THEN strlen(coalesce(f.text, '')) END::BIGINT AS bytes
+ FROM asked a LEFT JOIN documents f ON path = 'f' || f.doc_id LEFT JOIN r ON r.place = a.place""")
+def tool_read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five files, one of them missing, with one budget of 2,500 characters and 20 lines each."""
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("rel_path"), "text")
+    return Workspace(spark, "w", {"files": files}).read_texts(["f12", "gone", "f3", "f40", "f41"], most_lines=20, most_chars=2500)
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as markdown files of 50: a section for each document, with a table of its language and characters."""
+    d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 50).alias("k"), "doc_id", F.col("doc_id").cast("string").alias("i"), F.coalesce("lang", F.lit("-")).alias("lang"), F.coalesce(F.length("text"), F.lit(0)).cast("string").alias("n"))
+    part = F.concat(F.lit("## Doc "), "i", F.lit("\n| Id | Lang | Size |\n|---|---|---|\n| "), "i", F.lit(" | "), "lang", F.lit(" | "), "n", F.lit(" |"))
+    listed = d.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("part")))).alias("parts"))
+    return listed.select(F.concat(F.lit("n"), F.col("k").cast("string"), F.lit(".md")).alias("rel_path"), F.concat(F.lit("# Notes\n"), F.array_join("parts.part", "\n")).alias("text"))
+
+
+_NOTED = "o AS (SELECT doc_id, lang, text, (row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id))::INTEGER AS nth FROM documents), s AS (SELECT 'n' || (doc_id // 50) || '.md' AS rel_path, doc_id, coalesce(lang, '-') AS lang, coalesce(length(text), 0) AS n, 4 * nth - 2 AS first FROM o)"
+
+
+@register(f"WITH {_NOTED} SELECT rel_path, first AS line, '## Doc ' || doc_id AS text FROM s WHERE doc_id = 20 UNION ALL SELECT rel_path, first + 1, '| Id | Lang | Size |' FROM s WHERE doc_id = 20 UNION ALL SELECT rel_path, first + 2, '|---|---|---|' FROM s WHERE doc_id = 20 UNION ALL SELECT rel_path, first + 3, '| ' || doc_id || ' | ' || lang || ' | ' || n || ' |' FROM s WHERE doc_id = 20")
+def tool_read_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Workspace(spark, "w", {"files": _notes(spark, sf_dir)}).read_section("n0.md", "## doc 20")
+
+
+@register(f"""WITH {_NOTED} SELECT rel_path, first + 3 AS line, n::VARCHAR AS "size", doc_id::VARCHAR AS "Id" FROM s WHERE doc_id // 50 = 0""")
+def tool_read_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Workspace(spark, "w", {"files": _notes(spark, sf_dir)}).read_columns("n0.md", ["size", "Id"], section="Notes")
+
+
 # ---------------------------------------------------------------- projects, overloads
 
 

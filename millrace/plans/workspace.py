@@ -24,16 +24,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from millrace.errors import InvalidQuery
 from millrace.functions import globs
 from millrace.functions import text as tx
-from millrace.operators import caps, components, diff, folds, graph, grep, joins, markdown, mentions, rules, search
+from millrace.operators import caps, components, diff, folds, graph, grep, joins, markdown, mentions, reading, rules, search
 from millrace.sources import documents as sources
 from millrace.sources import files as file_sources
 from millrace.sources import markup, properties
 
 DEFAULT_CAP = 100
+#: Files of one answer of ``read_texts``.
+MOST_PATHS = 10
 SCOPE_RANK = ("local", "app", "theme")
 
 
@@ -141,12 +144,49 @@ class Workspace:
     def headings(self, path: str) -> DataFrame:
         return markdown.sections(self["files"].where(F.col("rel_path") == path), "rel_path", "text")
 
-    def read_section(self, path: str, heading: str, occurrence: int = 1) -> DataFrame:
-        found = self.headings(path).where(F.col("heading") == heading).orderBy("start_line").limit(occurrence).orderBy(F.col("start_line").desc()).limit(1)
-        return self.read_text(path).join(found.select("rel_path", "start_line", "end_line"), "rel_path").where(F.col("line").between(F.col("start_line"), F.col("end_line"))).select("rel_path", "line", "text")
+    def read_texts(self, paths: list[str], start: int = 1, end: int | None = None, tail: int | None = None, most_lines: int = 0, most_chars: int = 0, keep_blank: bool = False) -> DataFrame:
+        """(place, rel_path, status, line, text, is_cut, total_lines, next_line, bytes): up to ten files in the order asked, with one budget of characters.
 
-    def read_columns(self, path: str, columns: list[str]) -> DataFrame:
-        """Columns of the markdown tables of a file; a column that no table has is refused with the headers there are."""
+        A file that is not there is ``NOT_FOUND``; one that the budget does not reach is ``CLIPPED``; both, and an empty file, have one row without a line.
+        """
+        if not paths or any(not p.strip() for p in paths):
+            raise InvalidQuery("a path is blank", "name the files to read")
+        if len(paths) > MOST_PATHS:
+            raise InvalidQuery(f"{len(paths)} paths", f"name at most {MOST_PATHS}")
+        asked = self.spark.createDataFrame([(i, p) for i, p in enumerate(dict.fromkeys(paths), 1)], "place int, rel_path string")
+        held = self["files"].select("rel_path", "text").join(F.broadcast(asked), "rel_path")
+        found = reading.windows(held, start, end, tail, most_lines, most_chars, keep_blank, "rel_path", "text", ["place"])
+        sizes = held.select("place", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("_bytes"))
+        rows = asked.join(sizes, "place", "left").join(found.drop("rel_path", "bytes"), "place", "left")
+        # At most ten files meet here.
+        ended = F.max(F.when(F.col("is_last"), F.col("place"))).over(W.partitionBy(F.lit(0)))
+        status = F.when(F.col("_bytes").isNull(), "NOT_FOUND").when(F.col("line").isNull() & (F.col("place") > ended), "CLIPPED").otherwise("OK")
+        return rows.select("place", "rel_path", status.alias("status"), "line", "text", "is_cut", "total_lines", "next_line", F.col("_bytes").alias("bytes"))
+
+    def _located(self, path: str, heading: str, occurrence: int) -> DataFrame:
+        """The one section that is meant; an ambiguous or unknown heading is refused with what there is."""
+        title = heading.lstrip("#").strip()
+        sections = self.headings(path)
+        found = sections.where(F.lower("heading") == title.lower())
+        if heading.startswith("#"):
+            found = found.where(F.col("level") == len(heading) - len(heading.lstrip("#")))
+        starts = [r["start_line"] for r in found.orderBy("start_line").select("start_line").limit(max(occurrence, 2)).collect()]
+        if not starts:
+            some = ", ".join(r["heading"] for r in sections.orderBy("start_line").limit(12).collect())
+            raise InvalidQuery(f"no section is titled '{heading}'", f"the first ones are {some}", "NOT_FOUND")
+        if not occurrence and len(starts) > 1:
+            raise InvalidQuery(f"'{heading}' names several sections", "name the occurrence, from 1")
+        if occurrence > len(starts):
+            raise InvalidQuery(f"occurrence {occurrence} does not exist", f"there are {len(starts)}")
+        return found.where(F.col("start_line") == starts[max(occurrence, 1) - 1]).select("rel_path", "start_line", "end_line")
+
+    def read_section(self, path: str, heading: str, occurrence: int = 0) -> DataFrame:
+        """The lines of a section; with leading ``#`` marks the level counts too.  Of several of one title the occurrence must be named."""
+        found = self._located(path, heading, occurrence)
+        return self.read_text(path).join(F.broadcast(found), "rel_path").where(F.col("line").between(F.col("start_line"), F.col("end_line"))).select("rel_path", "line", "text")
+
+    def read_columns(self, path: str, columns: list[str], section: str | None = None, occurrence: int = 0) -> DataFrame:
+        """Columns of the markdown tables of a file, or of a section; a column that no table of the file has is refused with the headers there are."""
         one = self["files"].where(F.col("rel_path") == path)
         found = markdown.table(one, columns, "rel_path", "text")
         held = markdown.headers(one, "rel_path", "text")
@@ -156,7 +196,10 @@ class Workspace:
         if unknown:
             some = ", ".join(r["header"] for r in held.select("header").distinct().orderBy("header").limit(20).collect())
             raise InvalidQuery(f"no table has the column {', '.join(unknown)}", f"the headers are {some}", "NOT_FOUND")
-        return found
+        if section is None:
+            return found
+        within = F.broadcast(self._located(path, section, occurrence))
+        return found.join(within, "rel_path").where(F.col("line").between(F.col("start_line"), F.col("end_line"))).select(*found.columns)
 
     # ------------------------------------------------------------ symbols
 

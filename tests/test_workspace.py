@@ -70,7 +70,12 @@ def test_files(ws):
     assert col(ws.search_regex(r"R\w+", "test/*.cs", matches_only=True), "text") == ["Run", "Run"]
     assert col(ws.read_text("src/a.cs", 2, 3), "line") == [2, 3] and col(ws.read_text("src/a.cs", tail=1), "text") == ["}"]
     assert col(ws.read_section("doc/n.md", "U"), "text") == ["## U", "end"]
+    assert col(ws.read_section("doc/n.md", "# t", 1), "line") == [1, 2, 3, 4, 5, 6]
     assert col(ws.read_columns("doc/n.md", ["n", "Tool"]), "n", "Tool") == [("1", "x")]
+    assert col(ws.read_columns("doc/n.md", ["n"], section="T"), "n") == ["1"] and not col(ws.read_columns("doc/n.md", ["n"], section="U"), "n")
+    for heading, occurrence in (("V", 0), ("U", 2), ("# U", 0)):
+        with pytest.raises(InvalidQuery):
+            ws.read_section("doc/n.md", heading, occurrence)
     with pytest.raises(InvalidQuery):
         ws.read_columns("doc/n.md", ["Nope"])
 
