@@ -1,6 +1,7 @@
 """The pipeline's stages against brute-force versions of them."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -90,6 +91,52 @@ def test_mix_stage(spark):
     assert len(partial) <= len({r["source"] for r in planned.values()})
 
 
+def test_secret_stage_against_plain_patterns(spark):
+    """Every base secret is gone, and a text without an access identifier loses nothing else."""
+    docs = rows(documents(spark))
+    assert len({d[0] for d in docs}) == len(docs)
+    got = {r[0]: r[1] for r in rows(pipeline.stage_secret_scan(spark, documents(spark), SF))}
+    assert set(got) == {d[0] for d in docs}
+    hits = 0
+    for key, text, *_ in docs:
+        found = [m.span() for m in brute.ASSIGN.finditer(text or "") if len(m.group(2)) >= 12]
+        found += [m.span() for m in re.finditer(r"AKIA[A-Z0-9]+", text or "") if len(m.group()) >= 18]
+        found += [m.span() for m in re.finditer(r"[0-9a-f]+", text or "") if len(m.group()) >= 16]
+        hits += bool(found)
+        if not found:
+            assert got[key] == text
+            continue
+        covered = {i for a, z in found for i in range(a, z)}
+        assert all(text[a:z] not in got[key] for a, z in found)
+        if "AKIA" not in text:
+            left = "".join(c for i, c in enumerate(text) if i not in covered)
+            assert got[key].replace(pipeline.SECRET_MARK, "") == left
+    assert hits
+
+
+def test_mix_stage_against_water_filling(spark):
+    """Words by source meet targets that are filled here step by step; no document is taken more than twice."""
+    docs = rows(documents(spark))
+    size = {d[0]: len(brute.words(d[1])) for d in docs}
+    sources = sorted({d[3] for d in docs}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[d[0]] for d in docs if d[3] == s) for s in sources}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    target, free, left = {}, set(sources), 1.5 * sum(total.values())
+    while free:
+        share = {s: left * weight[s] / sum(weight[f] for f in free) for s in free}
+        over = {s for s in free if share[s] > 2 * total[s]}
+        for s in over or free:
+            target[s] = 2.0 * total[s] if over else share[s]
+        left -= sum(target[s] for s in over)
+        free = free - over if over else set()
+    by_source, by_doc = Counter(), Counter()
+    for d in rows(pipeline.stage_source_mix(spark, documents(spark), SF)):
+        by_source[d[3]] += len(brute.words(d[1]))
+        by_doc[d[0]] += len(brute.words(d[1]))
+    assert all(abs(by_source[s] - target[s]) <= 1 for s in sources), (by_source, target)
+    assert all(n <= 2 * size[k] for k, n in by_doc.items())
+
+
 def test_bpe_stage(spark):
     for r in pipeline.stage_bpe(spark, documents(spark), SF).collect():
         assert r["round_trip"] and r["token_ids"] == bpe.codec().encode(r["text"])
