@@ -1,6 +1,8 @@
 """Bounded closure and chains over edge tables.
 
 Rounds are separate jobs whose frontier is cut with ``checkpoint()``; visited pairs are removed by an anti join, so cycles end.
+Only frontiers and visited pairs of at most ``MOST_BROADCAST`` rows are broadcast.  Everything else is joined by shuffles: the size of a compressed
+file tells too little of its rows for Spark to choose, and what it broadcasts passes through the driver in every round.
 """
 
 from __future__ import annotations
@@ -11,6 +13,13 @@ from pyspark.sql import functions as F
 from millrace.plans.session import ensure_checkpoint_dir
 
 MOST_HOPS = 16
+#: Most rows of one side of a round's join that are broadcast.
+MOST_BROADCAST = 10_000
+
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` as the side of a join that is broadcast if it has few rows, and shuffled else."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df.hint("merge")
 
 
 def closure(edges: DataFrame, source: str, target: str, seeds: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
@@ -22,15 +31,18 @@ def closure(edges: DataFrame, source: str, target: str, seeds: DataFrame | None
     hops = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).where(F.col("_from").isNotNull() & F.col("_to").isNotNull()).distinct()
     if seeds is None:
         return _doubled(hops, max_depth)
+    hops = hops.checkpoint()
     seen = seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().select("node", F.col("node").alias("reached"), F.lit(0).alias("depth")).checkpoint()
     front, depth = seen, 0
+    known = new = seen.count()
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = front.join(hops, F.col("reached") == F.col("_from")).select("node", F.col("_to").alias("reached")).distinct()
-        front = step.join(seen, ["node", "reached"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        if front.isEmpty():
+        step = hops.join(_sized(front, new), F.col("reached") == F.col("_from")).select("node", F.col("_to").alias("reached")).distinct()
+        front = step.join(_sized(seen, known), ["node", "reached"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        new = front.count()
+        if not new:
             break
-        seen = seen.unionByName(front)
+        seen, known = seen.unionByName(front), known + new
     return seen
 
 
@@ -43,7 +55,7 @@ def _doubled(hops: DataFrame, max_depth: int | None) -> DataFrame:
     seen, state, reach = seen.checkpoint(), None, 1
     while max_depth is None or reach < max_depth:
         later = seen.select(F.col("node").alias("reached"), F.col("reached").alias("_end"), F.col("depth").alias("_more"))
-        longer = seen.join(later, "reached").select("node", F.col("_end").alias("reached"), (F.col("depth") + F.col("_more")).alias("depth"))
+        longer = seen.join(later.hint("merge"), "reached").select("node", F.col("_end").alias("reached"), (F.col("depth") + F.col("_more")).alias("depth"))
         if max_depth is not None:
             longer = longer.where(F.col("depth") <= max_depth)
         seen = least(longer).checkpoint()
