@@ -31,3 +31,11 @@ def test_doubled_closure_broadcasts_nothing(spark, rounds):
     line = spark.createDataFrame([(i, i + 1) for i in range(11)], "f long, t long")
     assert graph.closure(line, "f", "t").count() == 12 * 13 // 2
     assert not any("Broadcast" in p for p in rounds)
+
+
+def test_explore_symbol_broadcasts_no_type_edges(spark, rounds):
+    t = spark.createDataFrame
+    refs = t([("t1", "a.cs", False, False), ("t1", "b.cs", False, False), ("t2", "a.cs", False, False)], "symbol_id string, path string, is_implicit boolean, is_generated boolean")
+    ws = Workspace(spark, "w", {"symbols": t([("a.cs", True)], "path string, is_test boolean"), "refs": refs, "type_edges": _tree(spark)})
+    assert [tuple(r) for r in ws.explore_symbol("t1").collect()] == [(2, 1, 2, 25)]
+    assert len(rounds) == 6 and not any("Broadcast" in p for p in rounds[3:])
