@@ -14,14 +14,16 @@ def containment(points: DataFrame, spans: DataFrame, key: str, start: str, end:
     """Each interval with the innermost span of the same key around it; without one it stays, as HEURISTIC.
 
     A range join by key alone multiplies every interval with every span of its key.  Spans are dealt into strips of
-    ``bucket`` lines instead, so an interval meets only the spans over the strip it starts in, by equality.
+    ``bucket`` lines instead, so an interval meets only the spans over the strip it starts in, by equality.  Of spans of one key with the
+    same lines only the first can be an answer, so the others go before the join.
     """
     strips = spans.select(F.col(key).alias("_k"), F.col(span_start).alias("_ss"), F.col(span_end).alias("_se"), F.col(span_id).alias(span_id)).where(F.col("_ss") <= F.col("_se"))
+    strips = strips.groupBy("_k", "_ss", "_se").agg(F.min(span_id).alias(span_id))
     strips = strips.withColumn("_strip", F.explode(F.sequence(F.floor(F.col("_ss") / bucket), F.floor(F.col("_se") / bucket))))
     placed = points.withColumn("_pstrip", F.floor(F.col(start) / bucket))
     inside = (F.col(key) == F.col("_k")) & (F.col("_pstrip") == F.col("_strip")) & (F.col("_ss") <= F.col(start)) & (F.col("_se") >= F.col(end))
-    best = W.partitionBy(point_id).orderBy((F.col("_se") - F.col("_ss")).asc_nulls_last(), F.col(span_id))
-    joined = placed.join(strips, inside, "left").withColumn("_rn", F.row_number().over(best)).where("_rn = 1")
+    best = W.partitionBy(point_id).orderBy((F.col("_se") - F.col("_ss")).asc_nulls_last(), F.col(span_id).asc_nulls_last())
+    joined = placed.join(strips.hint("merge"), inside, "left").withColumn("_rn", F.row_number().over(best)).where("_rn = 1")
     return joined.select(*points.columns, span_id, F.when(F.col(span_id).isNull(), "HEURISTIC").otherwise("EXACT").alias("confidence"))
 
 

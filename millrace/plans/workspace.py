@@ -384,11 +384,13 @@ class Workspace:
 
     def diff_symbols(self) -> DataFrame:
         """Each hunk with the innermost declaration around it; equal hunks share their answer and all stay."""
-        hunks = self["hunks"].groupBy("path", "start", "count").agg(F.count("*").alias("_again")).withColumn("end", F.col("start") + F.greatest(F.col("count"), F.lit(1)) - 1)
-        hunks = hunks.withColumns({"hunk": F.concat_ws(":", "path", F.col("start").cast("string")), "_id": F.struct("path", "start", "count")})
+        hunks, key = self["hunks"].select("path", "start", "count"), ["path", "start", "count"]
+        asked = hunks.distinct().withColumn("end", F.col("start") + F.greatest(F.col("count"), F.lit(1)) - 1)
+        asked = asked.withColumns({"hunk": F.concat_ws(":", "path", F.col("start").cast("string")), "_id": F.struct(*key)})
         spans = self["symbols"].select(F.col("path"), "start_line", "end_line", F.col("id").alias("symbol"))
-        found = joins.containment(hunks, spans, "path", "start", "end", "start_line", "end_line", "symbol", "_id")
-        return found.select("path", "start", "count", "end", "hunk", "symbol", "confidence", F.explode(F.array_repeat(F.lit(1), F.col("_again").cast("int"))).alias("_")).drop("_")
+        found = joins.containment(asked, spans, "path", "start", "end", "start_line", "end_line", "symbol", "_id").withColumnsRenamed({k: f"_{k}" for k in key})
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+        return hunks.join(found.hint("merge"), same).select(*key, "end", "hunk", "symbol", "confidence")
 
     def diff_text(self, pairs: DataFrame, old: str, new: str) -> DataFrame:
         return diff.diff_texts(pairs, old, new)

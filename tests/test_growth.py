@@ -2,7 +2,7 @@
 
 import pytest
 
-from millrace.operators import graph
+from millrace.operators import graph, joins
 from millrace.plans.workspace import Workspace
 
 
@@ -39,3 +39,26 @@ def test_explore_symbol_broadcasts_no_type_edges(spark, rounds):
     ws = Workspace(spark, "w", {"symbols": t([("a.cs", True)], "path string, is_test boolean"), "refs": refs, "type_edges": _tree(spark)})
     assert [tuple(r) for r in ws.explore_symbol("t1").collect()] == [(2, 1, 2, 25)]
     assert len(rounds) == 6 and not any("Broadcast" in p for p in rounds[3:])
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_containment_keeps_one_span_of_the_same_lines(spark):
+    hunks = spark.createDataFrame([(1, "f", 2, 2), (2, "f", 70, 70), (3, None, 1, 1)], "id long, path string, a int, b int")
+    spans = spark.range(1000).selectExpr("concat('s', 1000 + id) AS span", "'f' AS path", "cast(id % 2 AS int) AS s", "cast(id % 2 + 2 AS int) AS e").unionByName(spark.createDataFrame([(None, "f", 0, 2)], "span string, path string, s int, e int"))
+    found = joins.containment(hunks, spans, "path", "a", "b", "s", "e", "span", "id")
+    # A span without an id comes last, as in SQL.
+    assert {r["id"]: (r["span"], r["confidence"]) for r in found.collect()} == {1: ("s1000", "EXACT"), 2: (None, "HEURISTIC"), 3: (None, "HEURISTIC")}
+    plan = _plan(found)
+    assert "min(span" in plan and "Broadcast" not in plan
+
+
+def test_diff_symbols_keeps_equal_hunks(spark):
+    t = spark.createDataFrame
+    hunks = t([("f", 2, 1)] * 3 + [("f", 2, 0), (None, 1, 1), (None, 1, 1), ("f", None, 1)], "path string, start int, count int")
+    ws = Workspace(spark, "w", {"hunks": hunks, "symbols": t([("a", "f", 1, 3), ("b", "f", 1, 3)], "id string, path string, start_line int, end_line int")})
+    found = ws.diff_symbols()
+    assert sorted((tuple(r) for r in found.collect()), key=str) == sorted([("f", 2, 1, 2, "f:2", "a", "EXACT")] * 3 + [("f", 2, 0, 2, "f:2", "a", "EXACT")] + [(None, 1, 1, 1, "1", None, "HEURISTIC")] * 2 + [("f", None, 1, None, "f", None, "HEURISTIC")], key=str)
+    assert "Broadcast" not in _plan(found)
