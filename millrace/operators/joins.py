@@ -92,11 +92,10 @@ def type_tokens(c: Column) -> Column:
     return F.regexp_extract_all(bare, F.lit(r"[<>,()\[\]?*]|[^<>,()\[\]?*\s]+"), F.lit(0))
 
 
-def same_type(actual: Column, asked: Column) -> Column:
-    """Whether a type is the asked one, each of whose names may lack the qualifiers before it; a blank one fits any."""
-    pairs = F.arrays_zip(type_tokens(actual).alias("a"), type_tokens(asked).alias("b"))
-    alike = F.forall(pairs, lambda p: F.coalesce((p["a"] == p["b"]) | F.endswith(p["a"], F.concat(F.lit("."), p["b"])), F.lit(False)))
-    return (F.trim(asked) == "") | alike
+def same_tokens(actual: Column, asked: Column) -> Column:
+    """Whether the tokens of a type are the asked ones, of which each name may lack the qualifiers before it; null, of a blank type, fits any."""
+    pairs = F.arrays_zip(actual.alias("a"), asked.alias("b"))
+    return asked.isNull() | F.forall(pairs, lambda p: F.coalesce((p["a"] == p["b"]) | F.endswith(p["a"], F.concat(F.lit("."), p["b"])), F.lit(False)))
 
 
 def resolve_overloads(names: DataFrame, symbols: DataFrame, query: str, listed: int = 10, saturated: int = 100) -> DataFrame:
@@ -106,21 +105,45 @@ def resolve_overloads(names: DataFrame, symbols: DataFrame, query: str, listed:
     compared one by one.  A name that more than ``saturated`` symbols have is told by its container alone: with one it is looked up among
     those that the container holds, without one it is ``saturated``.
     """
-    text = F.trim(F.col(query))
+    names = names.select(F.col(query).alias("asked")).distinct()
+    text = F.trim(F.col("asked"))
     open_at = F.locate("(", text)
     name = F.trim(F.when(open_at > 0, F.substr(text, F.lit(1), open_at - 1)).otherwise(text))
     inside = F.trim(F.regexp_extract(text, r"(?s)^[^(]*\((.*)\)\s*$", 1))
     parts = F.when(open_at > 0, F.when(inside == "", F.array().cast("array<string>")).otherwise(tx.arguments(inside)))
-    asked = names.select(F.col(query).alias("asked"), tx.last_segment(name).alias("_name"), F.nullif(F.regexp_extract(name, r"^(.*)\.[^.]*$", 1), F.lit("")).alias("_within"), parts.alias("_asked")).distinct()
-    found = asked.join(symbols.select(F.col("name").alias("_name"), F.coalesce("container", F.lit("")).alias("_container"), F.col("id").cast("string").alias("id"), "parameters"), "_name", "left")
-    within = F.col("_within").isNull() | tx.is_suffix_of(F.col("_within"), F.col("_container"))
-    fits = F.when(F.col("_asked").isNull(), True).when(F.col("parameters").isNull() | (F.size("parameters") != F.size("_asked")), False).otherwise(F.forall(F.arrays_zip(F.col("parameters").alias("p"), F.col("_asked").alias("q")), lambda x: same_type(x["p"], x["q"])))
-    good = F.col("id").isNotNull() & within & fits
-    counts = found.groupBy("asked").agg(F.count("id").alias("_all"), F.count_if(good).alias("n"))
-    first = first_of(found.where(good).select("asked", "id"), ["asked"], ["id"], listed).groupBy("asked").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
+    parts = F.transform(parts, lambda x: F.when(F.trim(x) != "", type_tokens(x)))
+    asked = names.select("asked", tx.last_segment(name).alias("_name"), F.nullif(F.regexp_extract(name, r"^(.*)\.[^.]*$", 1), F.lit("")).alias("_within"), parts.alias("_asked"))
+    # Stored, as conditions on what is parsed would else be asked of every reference before equal ones are folded.
+    ensure_checkpoint_dir(asked.sparkSession)
+    asked = asked.checkpoint()
+    shapes = _shapes(symbols, listed).withColumn("_types", F.transform("parameters", type_tokens)).checkpoint()
+    fits = F.when(F.col("_asked").isNull(), True).when(F.col("_types").isNull() | (F.size("_types") != F.size("_asked")), False).otherwise(F.forall(F.arrays_zip(F.col("_types").alias("p"), F.col("_asked").alias("q")), lambda x: same_tokens(x["p"], x["q"])))
+    # A container that is the asked one or ends with it has the same last segment.
+    held = asked.withColumn("_tail", tx.last_segment(F.col("_within"))).where(F.col("_within").isNotNull()).join(shapes.withColumn("_tail", tx.last_segment(F.col("_container"))).hint("merge"), ["_name", "_tail"])
+    held = held.where(tx.is_suffix_of(F.col("_within"), F.col("_container")) & fits).select("asked", "_n", "_ids")
+    free = asked.where(F.col("_within").isNull()).join(shapes.hint("merge"), "_name").where(fits).select("asked", "_n", "_ids")
+    good = held.unionByName(free).checkpoint()
+    counts = good.groupBy("asked").agg(F.sum("_n").alias("n"))
+    first = first_of(good.select("asked", F.explode("_ids").alias("id")), ["asked"], ["id"], listed).groupBy("asked").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
+    every = shapes.groupBy("_name").agg(F.sum("_n").alias("_all"))
+    found = asked.select("asked", "_name").join(every.hint("merge"), "_name", "left").join(counts, "asked", "left").join(first, "asked", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     bare = F.regexp_extract("asked", r"^([^(]*)", 1)
     status = F.when((F.col("_all") > saturated) & ~F.contains(bare, F.lit(".")), "saturated").when(F.col("n") == 0, "missing").when(F.col("n") == 1, "ok").otherwise("ambiguous")
-    return counts.join(first, "asked", "left").select("asked", status.alias("status"), "n", F.coalesce("ids", F.lit("")).alias("ids"))
+    return found.select("asked", status.alias("status"), "n", F.coalesce("ids", F.lit("")).alias("ids"))
+
+
+def _shapes(symbols: DataFrame, listed: int) -> DataFrame:
+    """(_name, _container, parameters, _n, _ids): symbols alike in all but their ids, how many these are and the first of them.
+
+    A reference fits all of them or none, so it is compared with one row for all.
+    """
+    alike = ["_name", "_container", "parameters"]
+    named = symbols.select(F.col("name").alias("_name"), F.coalesce("container", F.lit("")).alias("_container"), "parameters", F.col("id").cast("string").alias("id")).where(F.col("id").isNotNull())
+    counts = named.groupBy(*alike).agg(F.count("*").alias("_n"))
+    first = first_of(named, alike, ["id"], listed).groupBy(*alike).agg(F.collect_list("id").alias("_ids"))
+    # Parameters may be null, which grouping compares as equal.
+    both = counts.withColumn("_ids", F.lit(None).cast("array<string>")).unionByName(first.withColumn("_n", F.lit(None).cast("long")))
+    return both.groupBy(*alike).agg(F.max("_n").alias("_n"), F.max("_ids").alias("_ids"))
 
 
 def member_walk(paths: DataFrame, members: DataFrame, path: str, start_type: str, most: int | None = 8, ends: str | None = None) -> DataFrame:

@@ -62,3 +62,25 @@ def test_diff_symbols_keeps_equal_hunks(spark):
     found = ws.diff_symbols()
     assert sorted((tuple(r) for r in found.collect()), key=str) == sorted([("f", 2, 1, 2, "f:2", "a", "EXACT")] * 3 + [("f", 2, 0, 2, "f:2", "a", "EXACT")] + [(None, 1, 1, 1, "1", None, "HEURISTIC")] * 2 + [("f", None, 1, None, "f", None, "HEURISTIC")], key=str)
     assert "Broadcast" not in _plan(found)
+
+
+def test_overloads_compare_shapes(spark, monkeypatch):
+    kind, rows = type(spark.range(0)), []
+    cut = kind.checkpoint
+
+    def counted(self, *a, **k):
+        done = cut(self, *a, **k)
+        rows.append(done.count())
+        return done
+
+    monkeypatch.setattr(kind, "checkpoint", counted)
+    symbols = spark.range(3000).selectExpr("'Run' AS name", "concat('N.C', id % 3) AS container", "cast(id AS string) AS id", "CASE WHEN id % 2 = 0 THEN array('X.int') END AS parameters")
+    symbols = symbols.unionByName(spark.createDataFrame([("Run", None, "z", ["int"]), ("Run", "N.C1", None, ["int"])], "name string, container string, id string, parameters array<string>"))
+    asked = spark.range(4000).selectExpr("concat('C', id % 4, '.Run(int)') AS q").unionByName(spark.createDataFrame([("Run(int)",), ("Run( )",), (None,), ("N.C2.Run",), ("N.C2.Run",)], "q string"))
+    got = {r["asked"]: (r["status"], r["n"], r["ids"]) for r in joins.resolve_overloads(asked, symbols, "q").collect()}
+    ids = lambda keep: ",".join(sorted(str(i) for i in range(3000) if keep(i))[:10])
+    want = {f"C{c}.Run(int)": ("ambiguous", 500, ids(lambda i, c=c: i % 3 == c and i % 2 == 0)) for c in range(3)} | {"C3.Run(int)": ("missing", 0, ""), None: ("missing", 0, ""), "N.C2.Run": ("ambiguous", 1000, ids(lambda i: i % 3 == 2))}
+    want |= {"Run(int)": ("saturated", 1501, ids(lambda i: i % 2 == 0)), "Run( )": ("saturated", 0, "")}
+    assert got == want
+    # References, kinds of symbols and what fits: none of them follows the equal ones.
+    assert rows == [8, 7, 9]
