@@ -74,28 +74,40 @@ def token_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return stream, ends
 
 
-def to_planes(values: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes as the largest needs, all first bytes before all second bytes and so on."""
+def to_planes(values: np.ndarray, skewed: bool = False) -> bytes:
+    """Whole numbers in as few bits as the largest needs: all first bytes, then all second ones and so on, what is left of a byte bit by bit.
+
+    ``skewed`` ones, of which most are small, are bits throughout: those of the upper planes are nearly all zero and compress well.
+    """
     wide = values.astype("<u8")
-    width = max(1, -(-int(wide.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + wide.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    bits = max(1, int(wide.max(initial=0)).bit_length())
+    whole = 0 if skewed else bits // 8
+    top = wide >> np.uint64(8 * whole)
+    planes = [np.packbits(((top >> np.uint64(i)) & np.uint64(1)).astype(np.uint8), bitorder="little").tobytes() for i in range(bits - 8 * whole)]
+    return bytes([whole, len(planes), -len(wide) % 8]) + wide.view(np.uint8).reshape(-1, 8)[:, :whole].T.tobytes() + b"".join(planes)
 
 
 def from_planes(blob: bytes) -> np.ndarray:
-    width = blob[0]
-    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
-    return out.view("<u8").reshape(-1)
+    whole, rest, spare = blob[:3]
+    data = np.frombuffer(blob, np.uint8, offset=3)
+    eighth = (len(data) + whole * spare) // (8 * whole + rest)
+    n = 8 * eighth - spare
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :whole] = data[: whole * n].reshape(whole, n).T
+    values = out.view("<u8").reshape(-1)
+    for i, plane in enumerate(data[whole * n :].reshape(rest, eighth)):
+        values |= np.unpackbits(plane, count=n, bitorder="little").astype(np.uint64) << np.uint64(8 * whole + i)
+    return values
 
 
 def to_steps(keys: np.ndarray) -> bytes:
-    """Ascending keys as their differences."""
-    return to_planes(np.diff(keys, prepend=np.uint64(0)))
+    """Ascending keys as the first one and the differences."""
+    return keys[:1].astype("<u8").tobytes() + to_planes(np.diff(keys))
 
 
 def from_steps(blob: bytes) -> np.ndarray:
-    return np.cumsum(from_planes(blob), dtype=np.uint64)
+    steps = from_planes(blob[8:] if len(blob) > 8 else blob)
+    return np.cumsum(np.concatenate([np.frombuffer(blob[:8], "<u8"), steps]), dtype=np.uint64) if len(blob) > 8 else steps
 
 
 # ---------------------------------------------------------------- the filter
@@ -263,7 +275,7 @@ def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
             taught = np.repeat(train, np.diff(np.append(-1, ends)))
             counts = np.bincount(places[taught & inside], minlength=len(distinct))
             ids = rows.column(0)
-            yield _rows([{"block": block, "hashes": to_steps(distinct), "counts": to_planes(counts), "stream": to_planes(places), "ids": ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), "nulls": np.asarray(ids.is_null()).tobytes(), "trains": train.tobytes(), "trained": int(train.sum()), "taught": int(taught.sum())}], _TEXT)
+            yield _rows([{"block": block, "hashes": to_steps(distinct), "counts": to_planes(counts, True), "stream": to_planes(places), "ids": ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), "nulls": np.asarray(ids.is_null()).tobytes(), "trains": train.tobytes(), "trained": int(train.sum()), "taught": int(taught.sum())}], _TEXT)
 
     return docs.mapInArrow(run, "block long, hashes binary, counts binary, stream binary, ids binary, nulls binary, trains binary, trained long, taught long")
 
@@ -276,7 +288,7 @@ def _cut(order: int, child: int, keys: np.ndarray, counts: np.ndarray, bits: int
     """The entries of a node, a row for each of the parts that go on."""
     part = parts_of(keys, bits, lead)
     edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, np.int64)
-    found = [{"ord": order, "child": child, "part": int(part[a]), "keys": to_steps(keys[a:b]), "counts": to_planes(counts[a:b])} for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    found = [{"ord": order, "child": child, "part": int(part[a]), "keys": to_steps(keys[a:b]), "counts": to_planes(counts[a:b], True)} for a, b in zip(edges[:-1], edges[1:], strict=True)]
     if found:
         yield _rows(found, _NODE)
 
@@ -338,7 +350,7 @@ _ANSWER_TYPE = "ord int, child long, part long, totals binary, levels binary, st
 
 
 def _given(order: int, part: int, children: list[int], places: list[np.ndarray], totals: np.ndarray | None, levels: np.ndarray) -> list[dict]:
-    return [{"ord": order, "child": c, "part": part, "totals": None if totals is None else to_planes(totals[w]), "levels": levels[w].astype(np.uint8).tobytes()} for c, w in zip(children, places, strict=True)]
+    return [{"ord": order, "child": c, "part": part, "totals": None if totals is None else to_planes(totals[w], True), "levels": to_planes(levels[w], True)} for c, w in zip(children, places, strict=True)]
 
 
 def _statistics(total: np.ndarray) -> dict:
@@ -391,7 +403,7 @@ def answers(entries: DataFrame, blocks: int, bits: int, fan_bits: int) -> tuple[
         children, places, _, _ = _merged(asked)
         rows = sorted((r for r in told.select(["sub", "totals", "levels"]).to_pylist()), key=lambda r: r["sub"])
         totals = np.concatenate([from_planes(r["totals"]) for r in rows]) if order == 1 else None
-        return _rows(_given(order, part, children, places, totals, np.concatenate([np.frombuffer(r["levels"], np.uint8) for r in rows])), _ANSWER)
+        return _rows(_given(order, part, children, places, totals, np.concatenate([from_planes(r["levels"]) for r in rows])), _ANSWER)
 
     layers = _layers(entries, blocks, bits, fan_bits)
     found = common.materialise(common.map_runs(layers[-1], ["ord", "node", "part"], top, _ANSWER_TYPE), "lm-answers")
@@ -468,7 +480,7 @@ def score_blocks(texts: DataFrame, found: DataFrame, order: int, bits: int, trai
             rows = sorted((at[i], i) for i, o in enumerate(orders) if o == n)
             return np.concatenate([np.zeros(0, np.int64), *(read(parts[column][i].as_py()).astype(np.int64) for _, i in rows)])
 
-        levels = lambda n: given(n, "levels", lambda b: np.frombuffer(b, np.uint8))
+        levels = lambda n: given(n, "levels", from_planes)
         counts = np.append(given(1, "totals", from_planes), 0)
         held = np.append(means[1][levels(1)], float(train_texts))[places]
         p = np.minimum(1.0, (held + 1) / (train_tokens + distinct + 1))

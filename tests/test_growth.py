@@ -1,7 +1,9 @@
 """What steps move does not follow the input through the driver, one task or all pairs."""
 
+import numpy as np
 import pytest
 
+from millrace.llm import lm_scoring
 from millrace.operators import graph, joins
 from millrace.plans.workspace import Workspace
 
@@ -84,3 +86,12 @@ def test_overloads_compare_shapes(spark, monkeypatch):
     assert got == want
     # References, kinds of symbols and what fits: none of them follows the equal ones.
     assert rows == [8, 7, 9]
+
+
+def test_steps_take_the_bits_of_their_differences():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(1 << 36, (1 << 36) + (1 << 29), 5000, dtype=np.uint64))
+    blob = lm_scoring.to_steps(keys)
+    assert (lm_scoring.from_steps(blob) == keys).all() and len(blob) < 2.7 * len(keys)
+    for values in (keys, np.array([0, 1, 2, 1 << 63], np.uint64), keys[:0], rng.integers(0, 3, 5001).astype(np.uint64)):
+        assert (lm_scoring.from_planes(lm_scoring.to_planes(values, True)) == values).all()
