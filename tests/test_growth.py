@@ -43,6 +43,17 @@ def test_explore_symbol_broadcasts_no_type_edges(spark, rounds):
     assert len(rounds) == 6 and not any("Broadcast" in p for p in rounds[3:])
 
 
+def test_explore_symbol_broadcasts_no_type_edges_as_executed(spark, monkeypatch):
+    kind, ran = type(spark.range(0)), []
+    cut = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a, **k: (cut(self, *a, **k), ran.append(_plan(self)))[0])
+    monkeypatch.setattr(graph, "MOST_BROADCAST", 2, raising=False)
+    ws = Workspace(spark, "w", {"symbols": spark.sql("SELECT 'a.cs' AS path, true AS is_test"), "refs": spark.sql("SELECT 't1' AS symbol_id, 'a.cs' AS path, false AS is_implicit, false AS is_generated"), "type_edges": _tree(spark)})
+    assert [tuple(r) for r in ws.explore_symbol("t1").collect()] == [(1, 1, 1, 25)]
+    # Adaptive execution, which could turn a planned shuffle into a broadcast, leaves the rounds of larger fronts as planned.
+    assert all("isFinalPlan=true" in p and "Broadcast" not in p for p in ran[-3:])
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
